@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op10_byte_bpe
+from .html_main import op9_html_main
+from .order_minhash import op5_order_minhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_order_minhash": op5_order_minhash,
+    "op9_html_main": op9_html_main,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
