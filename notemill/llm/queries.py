@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op10_byte_bpe
 from .html_main import op9_html_main
 from .order_minhash import op5_order_minhash
+from .toxicity import op3_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_toxicity": op3_toxicity,
     "op5_order_minhash": op5_order_minhash,
     "op9_html_main": op9_html_main,
     "op10_byte_bpe": op10_byte_bpe,
