@@ -10,8 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def reachable(spark: SparkSession) -> None:
+    """Let this session's Python workers import this package from where the driver has it, if it wasn't shipped otherwise."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), root]))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables; read by Spark only, so any store that Spark knows will do."""
+    reachable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -51,4 +60,39 @@ def dropped(df: DataFrame) -> None:
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) with null texts as empty; every other column of docs is left behind, so none can clash."""
+    reachable(docs.sparkSession)
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+
+#: Ids that may be broadcast: eight bytes each, so some tens of MB at most.
+BROADCAST_IDS = 1_000_000
+
+
+def rows_with_ids(rows: DataFrame, ids: DataFrame, how: str = "left_semi", most: int = BROADCAST_IDS) -> DataFrame:
+    """rows whose doc_id is (left_semi) or is not (left_anti) among ids (one column, doc_id, no row twice).
+
+    ids is broadcast if it has most rows at most, so that no text moves; beyond that both sides are shuffled.
+    """
+    few = ids.limit(most + 1).count() <= most
+    return rows.join(F.broadcast(ids) if few else ids, "doc_id", how)
+
+
+def components(edges: DataFrame, name: str = "components") -> DataFrame:
+    """(id, class_id): for each id in edges (a, b), the smallest id that it is connected with.
+
+    Each round takes the smallest label among a node and its neighbours and then the label of that label, until none changes.
+    Every round's labels are written to the shared folder, so lineage stays short and lost executors cost one round.
+    """
+    both = kept(edges.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("id"), F.col("a").alias("other"))).distinct(), name)
+    labels = kept(both.groupBy("id").agg(F.least(F.min("other"), F.first("id")).alias("class_id")), name)
+    while True:
+        near = both.join(labels.select(F.col("id").alias("other"), F.col("class_id").alias("c")), "other").groupBy("id").agg(F.min("c").alias("c"))
+        best = labels.join(near, "id").select("id", "class_id", F.least("class_id", "c").alias("c"))
+        jump = labels.select(F.col("id").alias("c"), F.col("class_id").alias("d"))
+        new = kept(best.join(jump, "c").select("id", F.least("c", "d").alias("class_id"), (F.least("c", "d") != F.col("class_id")).alias("changed")), name)
+        done = new.where("changed").limit(1).count() == 0
+        dropped(labels)
+        labels = new.select("id", "class_id")
+        if done:
+            dropped(both)
+            return labels
