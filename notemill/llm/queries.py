@@ -10,11 +10,15 @@ from .bpe import op10_byte_bpe
 from .html_main import op9_html_main
 from .near_dup import op8_near_dup
 from .order_minhash import op5_order_minhash
+from .packing import op4_best_fit
+from .sentence_spans import op7_sentence_spans
 from .toxicity import op3_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
+    "op4_best_fit": op4_best_fit,
     "op5_order_minhash": op5_order_minhash,
+    "op7_sentence_spans": op7_sentence_spans,
     "op8_near_dup": op8_near_dup,
     "op9_html_main": op9_html_main,
     "op10_byte_bpe": op10_byte_bpe,
