@@ -11,6 +11,7 @@ from .html_main import op9_html_main
 from .near_dup import op8_near_dup
 from .order_minhash import op5_order_minhash
 from .packing import op4_best_fit
+from .quality import op6_quality
 from .sentence_spans import op7_sentence_spans
 from .toxicity import op3_toxicity
 
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_best_fit": op4_best_fit,
     "op5_order_minhash": op5_order_minhash,
+    "op6_quality": op6_quality,
     "op7_sentence_spans": op7_sentence_spans,
     "op8_near_dup": op8_near_dup,
     "op9_html_main": op9_html_main,
