@@ -7,15 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op10_byte_bpe
+from .hamming_search import OP2_SQL, op2_hamming_top_k
 from .html_main import op9_html_main
 from .near_dup import op8_near_dup
 from .order_minhash import op5_order_minhash
 from .packing import op4_best_fit
 from .quality import op6_quality
 from .sentence_spans import op7_sentence_spans
+from .substring_dedup import op1_suffix_dedup
 from .toxicity import op3_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_hamming_top_k": op2_hamming_top_k,
     "op3_toxicity": op3_toxicity,
     "op4_best_fit": op4_best_fit,
     "op5_order_minhash": op5_order_minhash,
@@ -26,4 +30,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_byte_bpe": op10_byte_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_hamming_top_k": OP2_SQL}
