@@ -1,10 +1,435 @@
-"""Queries over the driver's tables, by name, and the SQL that gives the same rows."""
+"""Queries over the driver's tables, by name, and the SQL that gives the same rows.
+
+Each query maps a table to what an operator takes: pages to fetched pages; documents of a source to a deck's pages, lines of documents to slides, and first words to
+concepts; conversations to transcripts; benchmark to seeds; events to calls and view events; orders to log records. All run over whole tables.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from notemill.functions import text as T
+from notemill.operators import calls, chunk, concepts, extract, log, merge, notes, relevance
+from notemill.sources.files import table
+from notemill.streaming import events as view
+
+HOSTS = ("www.thering.example.org", "m.therat.example.com", "blog.therat.example.com", "thther.example.org")
+GAP_MS = 600_000
+DELAY_US = 60_000_000
+N_KEYS = 3
+TRUNCATED, CHUNK_TOKENS = 1000, 256
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Callable[[SparkSession, str], DataFrame]], Callable[[SparkSession, str], DataFrame]]:
+    """Register a query under its function's name, with its SQL."""
+
+    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _sql_trim(x: str) -> str:
+    return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+
+
+def _sql_sanitized(x: str) -> str:
+    return _sql_trim(rf"""regexp_replace(regexp_replace({x}, '[<>:"/\\|?*\x00-\x1f]', '', 'g'), '\.+$', '')""")
+
+
+def _sql_key(x: str) -> str:
+    return rf"regexp_replace(lower({_sql_sanitized(x)}), '[\s_-]+', '', 'g')"
+
+
+def _sql_page_text(x: str) -> str:
+    return _sql_trim(rf"regexp_replace(regexp_replace({x}, '\s+', ' ', 'g'), '([A-Za-z])-\s+([A-Za-z])', '\1\2', 'g')")
+
+
+_HOST_LIST = ", ".join(f"'{h}'" for h in HOSTS)
+
+
+@query(
+    rf"""
+SELECT page_id, title, host, host IN ({_HOST_LIST}) AS allowed, note_id, CASE WHEN title <> '' THEN 'full' ELSE 'partial' END AS quality
+FROM (SELECT page_id,
+  {_sql_trim("replace(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39))")} AS title,
+  regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) AS host,
+  coalesce(nullif(list_extract(string_split(url, '/'), -1), ''), 'unknown') AS note_id FROM pages)
+"""
+)
+def page_fields(spark: SparkSession, d: str) -> DataFrame:
+    title = T.trimmed(T.decoded(F.regexp_extract("html", "<title>([^<]*)</title>", 1)))
+    host = F.try_parse_url("url", F.lit("HOST"))
+    df = table(spark, d, "pages").select("page_id", title.alias("title"), host.alias("host"), T.allowed_host(F.col("url"), HOSTS).alias("allowed"), T.id_from_url(F.col("url")).alias("note_id"))
+    return df.withColumn("quality", F.when(F.col("title") != "", "full").otherwise("partial"))
+
+
+@query("SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS link FROM pages")
+def page_links(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1)))).alias("link"))
+
+
+@query()
+def page_notes(spark: SparkSession, d: str) -> DataFrame:
+    """The full resolution of pages; the table's pages have no payload, so one is put before each from its title."""
+    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    payload = F.concat(F.lit('<meta property="og:title" content="'), F.replace(title, F.lit('"'), F.lit("")), F.lit(' | Notes"><script>self.__next_f.push([1,"{\\"noteTitle\\":\\"'), F.regexp_replace(title, r'["\\\]]', ""), F.lit('\\",\\"memo\\":\\"kept\\"}"])</script>'))
+    return extract.resolve(table(spark, d, "pages").select("url", F.concat(payload, "html").alias("html")))
+
+
+@query(
+    r"""
+SELECT p_partkey, CASE WHEN code <> '' THEN upper(regexp_replace(code, '\s+', '', 'g')) ELSE regexp_extract(title, '^([^\s_-]*)', 1) END AS subject
+FROM (SELECT p_partkey, title, regexp_extract(title, '(?i)([A-Z]{2,}[\s-]?[0-9]{2,})', 1) AS code FROM (SELECT p_partkey, replace(p_brand, '#', ' ') AS title FROM part))
+"""
+)
+def subject_code(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select("p_partkey", T.suggested_subject(F.replace("p_brand", F.lit("#"), F.lit(" "))).alias("subject"))
+
+
+@query(f"SELECT p_partkey, {_sql_sanitized('p_name')} AS file_name, {_sql_key('p_name')} AS key FROM part")
+def concept_key(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select("p_partkey", T.sanitized(F.col("p_name")).alias("file_name"), T.concept_key(F.col("p_name")).alias("key"))
+
+
+@query("SELECT doc_id, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens FROM documents")
+def token_estimate(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", T.token_estimate(F.col("text")).alias("tokens"))
+
+
+@query(
+    """
+SELECT doc_id, CASE WHEN t.conv_id IS NULL THEN 'keep' WHEN length(text) < 500 THEN 'generate' WHEN length(text) >= 2500 THEN 'skip' ELSE 'enhance' END AS action
+FROM documents LEFT JOIN (SELECT DISTINCT conv_id FROM conversations) t ON doc_id = t.conv_id
+"""
+)
+def summary_action(spark: SparkSession, d: str) -> DataFrame:
+    has = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.lit("there").alias("transcript")).distinct()
+    return table(spark, d, "documents").join(has, "doc_id", "left").select("doc_id", T.summary_action(F.col("text"), F.col("transcript")).alias("action"))
+
+
+@query(
+    f"""
+SELECT doc_id, length(cut) AS n_chars, md5(cut) AS digest FROM (SELECT doc_id, CASE WHEN length(text) <= {TRUNCATED} THEN text
+  ELSE substring(text, 1, {int(TRUNCATED * 0.7)}) || chr(10) || chr(10) || '[...]' || chr(10) || chr(10) || right(text, {int(TRUNCATED * 0.3)}) END AS cut FROM documents)
+"""
+)
+def head_tail_truncate(spark: SparkSession, d: str) -> DataFrame:
+    cut = table(spark, d, "documents").select("doc_id", T.head_and_tail(F.col("text"), TRUNCATED).alias("cut"))
+    return cut.select("doc_id", F.length("cut").cast("long").alias("n_chars"), F.md5(F.col("cut").cast("binary")).alias("digest"))
+
+
+@query(
+    rf"""
+SELECT doc_id, length(cut) AS n_chars, md5(cut) AS digest FROM (SELECT doc_id, CASE WHEN length(text) <= {TRUNCATED} THEN text
+  WHEN length(whole) - 1 > 0.6 * {TRUNCATED} THEN {_sql_trim("whole")} ELSE {_sql_trim("part")} END AS cut
+  FROM (SELECT doc_id, text, substring(text, 1, {TRUNCATED}) AS part, regexp_extract(substring(text, 1, {TRUNCATED}), '(?s)^(.*[.?!]) ', 1) AS whole FROM documents))
+"""
+)
+def sentence_truncate(spark: SparkSession, d: str) -> DataFrame:
+    cut = table(spark, d, "documents").select("doc_id", T.at_sentence(F.col("text"), TRUNCATED).alias("cut"))
+    return cut.select("doc_id", F.length("cut").cast("long").alias("n_chars"), F.md5(F.col("cut").cast("binary")).alias("digest"))
+
+
+@query(
+    """
+SELECT source, doc_id, n_chars FROM (SELECT source, doc_id, length(text) AS n_chars, row_number() OVER (PARTITION BY source ORDER BY length(text) DESC, doc_id) AS n
+  FROM documents WHERE length(text) > 200 AND (contains(text, '##') OR contains(text, '**'))) WHERE n = 1
+"""
+)
+def longest_candidate(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").where((F.length("text") > 200) & (F.contains("text", F.lit("##")) | F.contains("text", F.lit("**"))))
+    best = docs.groupBy("source").agg(F.max(F.struct(F.length("text").alias("n"), (-F.col("doc_id")).alias("id"))).alias("b"))
+    return best.select("source", (-F.col("b.id")).alias("doc_id"), F.col("b.n").cast("long").alias("n_chars"))
+
+
+def _transcripts(spark: SparkSession, d: str) -> DataFrame:
+    said = table(spark, d, "conversations").withColumn("text", T.trimmed(F.col("text"))).where(F.col("text") != "")
+    return said.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), " ").alias("transcript"), F.count(F.lit(1)).cast("int").alias("n"))
+
+
+_TRANSCRIPTS = f"SELECT conv_id, string_agg(t, ' ' ORDER BY turn, t) AS transcript, count(*) AS n FROM (SELECT conv_id, turn, {_sql_trim('text')} AS t FROM conversations) WHERE t <> '' GROUP BY conv_id"
+
+
+@query(f"SELECT conv_id, transcript FROM ({_TRANSCRIPTS})")
+def transcript_concat(spark: SparkSession, d: str) -> DataFrame:
+    return _transcripts(spark, d).select("conv_id", "transcript")
+
+
+@query(
+    f"""
+SELECT conv_id, CAST(i AS INTEGER) AS slide, nullif({_sql_trim("substring(transcript, CAST(i * size + 1 AS BIGINT), size)")}, '') AS slice
+FROM (SELECT conv_id, transcript, CAST(ceil(length(transcript) / n) AS BIGINT) AS size, unnest(range(n)) AS i FROM ({_TRANSCRIPTS}))
+"""
+)
+def transcript_even_split(spark: SparkSession, d: str) -> DataFrame:
+    return _transcripts(spark, d).select("conv_id", F.posexplode(chunk.even_slices(F.col("transcript"), F.col("n"))).alias("slide", "slice"))
+
+
+_TERMS = """(SELECT item_id, list(t ORDER BY pos)[1:40] AS terms FROM (SELECT item_id, t, min(i) AS pos FROM (SELECT item_id, unnest(found) AS t, generate_subscripts(found, 1) AS i FROM (
+  SELECT item_id, list_transform(regexp_extract_all(text, '([A-Za-z][A-Za-z0-9-]{3,}|[가-힣]{3,})', 1), lambda x: lower(x)) AS found FROM benchmark)) WHERE length(t) >= 4 GROUP BY item_id, t) GROUP BY item_id)"""
+
+
+@query(f"SELECT item_id, array_to_string(terms, ',') AS terms FROM {_TERMS}")
+def seed_terms(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "benchmark").select("item_id", relevance.seed_terms(F.col("text")).alias("terms")).where(F.size("terms") > 0)
+    return rows.select("item_id", F.array_join("terms", ",").alias("terms"))
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "documents").select(F.col("source").alias("deck_id"), F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("page_num"), "text")
+    seed = table(spark, d, "benchmark").where("item_id = 0").select(F.col("text").alias("seed"))
+    seeds = table(spark, d, "documents").select(F.col("source").alias("deck_id")).distinct().join(F.broadcast(seed))  # one row on the right
+    return relevance.scored_pages(pages, seeds)
+
+
+_SCORED = rf"""(SELECT source AS deck_id, page_num, text, least(length(text) / 80, 20.0) + 4 * len(list_filter(terms, lambda t: contains(lower(text), t)))
+  + CASE WHEN regexp_matches(lower(text), '{relevance.KEYWORDS}') THEN 8 ELSE 0 END + CASE WHEN page_num <= 3 THEN 5 ELSE 0 END AS score
+  FROM (SELECT source, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INTEGER) AS page_num, {_sql_page_text("text")} AS text FROM documents) p,
+  (SELECT terms FROM {_TERMS} WHERE item_id = 0) s WHERE text <> '')"""
+
+
+@query(f"SELECT deck_id, page_num, CAST(score AS DOUBLE) AS score FROM {_SCORED}")
+def page_score(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d).select("deck_id", "page_num", F.col("score").cast("double").alias("score"))
+
+
+@query(
+    f"""
+SELECT deck_id, page_num, score FROM (SELECT deck_id, page_num, score, row_number() OVER (PARTITION BY deck_id ORDER BY page_num) AS place FROM (
+  SELECT deck_id, page_num, CAST(score AS DOUBLE) AS score, row_number() OVER (PARTITION BY deck_id ORDER BY score DESC, page_num) AS best FROM {_SCORED}) WHERE best <= 14 OR page_num <= 3) WHERE place <= 14
+"""
+)
+def page_select(spark: SparkSession, d: str) -> DataFrame:
+    return relevance.selected_pages(_scored(spark, d)).select("deck_id", "page_num", F.col("score").cast("double").alias("score"))
+
+
+@query()
+def context_pack(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "documents").select(F.col("source").alias("deck_id"), F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("page_num"), "text")
+    return relevance.packed_context(relevance.selected_pages(_scored(spark, d)), relevance.deck_totals(pages))
+
+
+@query()
+def greedy_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return chunk.chunk_rows(table(spark, d, "documents"), "doc_id", "text", CHUNK_TOKENS, paragraph="\n", gap="\n")
+
+
+def _lines(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ord", "line"))
+    return rows.select("doc_id", "ord", (F.col("ord") + 1).alias("slide_num"), T.content_hash(F.col("line")).alias("hash"))
+
+
+_LINES = "(SELECT doc_id, CAST(i - 1 AS INTEGER) AS ord, CAST(i AS INTEGER) AS slide_num, left(sha1(line), 8) AS hash FROM (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents)))"
+
+
+@query(f"SELECT doc_id, slide_num, hash, left(sha1(doc_id || ':' || slide_num), 8) AS numbered FROM {_LINES}")
+def slide_hash(spark: SparkSession, d: str) -> DataFrame:
+    return _lines(spark, d).select("doc_id", "slide_num", "hash", T.numbered_hash(F.col("doc_id").cast("string"), F.col("slide_num")).alias("numbered"))
+
+
+def _matches(spark: SparkSession, d: str) -> DataFrame:
+    """A document's lines as the old deck, those of the document with the next id as the new one."""
+    lines = _lines(spark, d)
+    return merge.matched_sections(lines.withColumnRenamed("doc_id", "note"), lines.withColumn("note", F.col("doc_id") - 1))
+
+
+_MATCHES = f"""(WITH l AS (FROM {_LINES}),
+o AS (SELECT doc_id AS note, ord AS old_ord, slide_num AS old_slide, hash AS old_hash, row_number() OVER (PARTITION BY doc_id, hash ORDER BY ord) AS k FROM l),
+n AS (SELECT doc_id - 1 AS note, ord AS new_ord, slide_num AS new_slide, hash AS new_hash, row_number() OVER (PARTITION BY doc_id, hash ORDER BY ord) AS k FROM l),
+h AS (SELECT o.note, old_ord, old_slide, old_hash, new_ord, new_slide, new_hash FROM o JOIN n ON o.note = n.note AND old_hash = new_hash AND o.k = n.k),
+ro AS (SELECT *, row_number() OVER (PARTITION BY note, old_slide ORDER BY old_ord) AS j FROM o WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.note = o.note AND h.old_ord = o.old_ord)),
+rn AS (SELECT *, row_number() OVER (PARTITION BY note, new_slide ORDER BY new_ord) AS j FROM n WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.note = n.note AND h.new_ord = n.new_ord)),
+f AS (SELECT coalesce(ro.note, rn.note) AS note, old_ord, old_slide, old_hash, new_ord, new_slide, new_hash FROM ro FULL JOIN rn ON ro.note = rn.note AND old_slide = new_slide AND ro.j = rn.j)
+SELECT CASE WHEN old_slide <> new_slide THEN 'reorder' ELSE 'same' END AS kind, * FROM h UNION ALL
+SELECT CASE WHEN old_ord IS NULL THEN 'insertion' WHEN new_ord IS NULL THEN 'deletion' ELSE 'drift' END AS kind, * FROM f)"""
+
+
+@query(f"SELECT * FROM {_MATCHES}")
+def slide_match(spark: SparkSession, d: str) -> DataFrame:
+    return _matches(spark, d)
+
+
+@query(
+    f"""
+SELECT *, n_old > 0 AND n_deletion > 0.5 * n_old AS replaced FROM (SELECT note, count(old_ord) AS n_old, count(new_ord) AS n_new, count(*) FILTER (kind = 'same') AS n_same, count(*) FILTER (kind = 'reorder') AS n_reorder,
+  count(*) FILTER (kind = 'drift') AS n_drift, count(*) FILTER (kind = 'insertion') AS n_insertion, count(*) FILTER (kind = 'deletion') AS n_deletion FROM {_MATCHES} GROUP BY note)
+"""
+)
+def deck_replaced(spark: SparkSession, d: str) -> DataFrame:
+    return merge.deck_changes(_matches(spark, d))
+
+
+@query(
+    f"""
+WITH l AS (SELECT doc_id, {_sql_trim("line")} AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)),
+c AS (SELECT DISTINCT doc_id AS note, line FROM l), n AS (SELECT doc_id - 1 AS note, line FROM l WHERE line <> '')
+SELECT d.note, count(x.line) AS changed FROM (SELECT doc_id - 1 AS note FROM documents) d LEFT JOIN (SELECT * FROM n WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.note = n.note AND c.line = n.line)) x ON x.note = d.note GROUP BY d.note
+"""
+)
+def line_changes(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return merge.changed_lines(docs.select(F.col("doc_id").alias("note"), "text"), docs.select((F.col("doc_id") - 1).alias("note"), "text"))
+
+
+def _concepts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """First words of documents as concepts that relate to the next seven, and those of benchmark as existing names."""
+    words = F.split("text", r"[ \n]")
+    docs = table(spark, d, "documents").select(F.lit("all").alias("subject"), F.col("doc_id").alias("ord"), F.get(words, 0).alias("name"), F.when(F.length("text") > 500, F.col("source")).otherwise("").alias("definition"), F.slice(words, 2, 7).alias("related_concepts"), F.nullif(F.col("lang"), F.lit("en")).alias("example"), F.lit("").alias("caution"), F.lit(None).cast("string").alias("lecture_context"))
+    existing = table(spark, d, "benchmark").select(F.lit("all").alias("subject"), F.col("item_id").alias("ord"), F.get(words, 0).alias("name"))
+    return docs, existing
+
+
+_CONCEPTS = f"""existing AS (SELECT item_id AS ord, regexp_extract(text, '^([^ \n]*)', 1) AS name FROM benchmark),
+canon AS (SELECT {_sql_key("name")} AS k, arg_max(name, ord) AS canonical FROM existing GROUP BY 1),
+raw AS (SELECT doc_id AS ord, {_sql_trim("regexp_extract(text, '^([^ \n]*)', 1)")} AS raw, regexp_split_to_array(text, '[ \n]')[2:8] AS rel, CASE WHEN length(text) > 500 THEN source ELSE '' END AS definition, nullif(lang, 'en') AS example FROM documents),
+named AS (SELECT coalesce(canonical, raw) AS name, ord, rel, definition, example FROM raw LEFT JOIN canon ON {_sql_key("raw")} = k WHERE raw <> ''),
+merged AS (SELECT name, min(ord) AS first, coalesce(arg_min(definition, ord) FILTER (definition <> ''), '') AS definition, arg_min(example, ord) FILTER (example <> '') AS example, flatten(list(rel ORDER BY ord)) AS rel FROM named GROUP BY name)"""
+
+
+@query(f"WITH {_CONCEPTS} SELECT name, first AS ord, definition, example, md5(array_to_string(rel, ' ')) AS related FROM merged")
+def concept_merge(spark: SparkSession, d: str) -> DataFrame:
+    merged = concepts.merged_concepts(*_concepts(spark, d))
+    return merged.select("name", "ord", "definition", "example", F.md5(F.array_join("related_concepts", " ").cast("binary")).alias("related"))
+
+
+_REL_KEY = _sql_key("related")
+_ALLOWED = f"SELECT lower(name) FROM names UNION SELECT lower({_sql_sanitized('name')}) FROM names UNION SELECT {_sql_key('name')} FROM names"
+
+
+@query(
+    f"""
+WITH {_CONCEPTS},
+each AS (SELECT name, r, min(i) AS place FROM (SELECT name, unnest(rel) AS r, generate_subscripts(rel, 1) AS i FROM merged) GROUP BY name, r),
+named2 AS (SELECT name, CAST(row_number() OVER (PARTITION BY name ORDER BY place) - 1 AS INTEGER) AS pos, coalesce(canonical, r) AS related FROM each LEFT JOIN canon ON {_sql_key("r")} = k),
+names AS (SELECT name FROM merged UNION SELECT name FROM existing), allowed AS ({_ALLOWED})
+SELECT name, pos, related FROM named2 WHERE {_REL_KEY} <> {_sql_key("name")} AND (lower(related) IN (FROM allowed) OR lower({_sql_sanitized("related")}) IN (FROM allowed) OR {_REL_KEY} IN (FROM allowed))
+"""
+)
+def relation_filter(spark: SparkSession, d: str) -> DataFrame:
+    docs, existing = _concepts(spark, d)
+    return concepts.filtered_relations(concepts.merged_concepts(docs, existing), existing).select("name", "pos", "related")
+
+
+@query("SELECT o_orderkey AS seq, o_custkey AS path FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) ORDER BY o_orderkey DESC LIMIT 20")
+def valid_recent(spark: SparkSession, d: str) -> DataFrame:
+    files = table(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("path"))
+    return log.still_there(table(spark, d, "orders").select(F.col("o_orderkey").alias("seq"), F.col("o_custkey").alias("path")), files)
+
+
+@query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS n FROM events) WHERE n = 1 ORDER BY ts DESC LIMIT 50")
+def latest_by_key(spark: SparkSession, d: str) -> DataFrame:
+    return log.latest(table(spark, d, "events"), "user_id", "ts").orderBy(F.desc("ts")).limit(log.LOG_MOST).select("user_id", "event_id", "event_type")
+
+
+@query(
+    """
+SELECT seq, path, was_update FROM (SELECT o_orderkey AS seq, CAST(o_custkey AS VARCHAR) AS path, o_orderpriority = '1-URGENT' AND row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) > 1 AS was_update,
+  row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS n FROM orders) WHERE n = 1 ORDER BY seq DESC LIMIT 50
+"""
+)
+def log_upsert(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("seq"), F.lit("").alias("alt_id"), F.lit(None).cast("string").alias("url"), F.col("o_custkey").cast("string").alias("path"), "o_orderpriority")
+    urgent = F.col("o_orderpriority") == "1-URGENT"
+    return log.upserted_log(rows.where(~urgent), rows.where(urgent)).select("seq", "path", "was_update")
+
+
+@query("SELECT o_orderpriority AS subject, count(*) FILTER (o_orderstatus = 'F') AS F, count(*) FILTER (o_orderstatus = 'O') AS O, count(*) FILTER (o_orderstatus NOT IN ('F', 'O')) AS none FROM orders GROUP BY 1")
+def period_counts(spark: SparkSession, d: str) -> DataFrame:
+    return log.period_counts(table(spark, d, "orders").withColumnRenamed("o_orderpriority", "subject"), period="o_orderstatus", first="F", second="O")
+
+
+@query("SELECT doc_id FROM documents WHERE lang = 'en'")
+def tag_filter(spark: SparkSession, d: str) -> DataFrame:
+    content = F.concat(F.lit("---\ntags: [x, "), F.col("lang"), F.lit(", "), F.col("source"), F.lit("]\n---\n"), F.col("text"))
+    return table(spark, d, "documents").where(notes.in_period(content, "en")).select("doc_id")
+
+
+@query()
+def link_inject(spark: SparkSession, d: str) -> DataFrame:
+    names = F.array(F.lit("and the"), F.lit("the"), F.lit("thtion"))
+    return table(spark, d, "documents").select("doc_id", notes.linked(F.col("text"), names).alias("text")).withColumn("links", F.size(notes.links(F.col("text"))))
+
+
+def _calls(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.col("event_type")
+    outcome = F.when(kind == "error", "rate_limit").when(kind == "purchase", "success").otherwise("other")
+    return table(spark, d, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("arrival"), outcome.alias("outcome"))
+
+
+_CALLS = "(SELECT user_id, event_id, epoch_us(ts) AS arrival, CASE event_type WHEN 'error' THEN 'rate_limit' WHEN 'purchase' THEN 'success' ELSE 'other' END AS outcome FROM events)"
+
+
+@query(
+    f"""
+SELECT user_id, event_id, outcome, stop IS NOT NULL AS stopped FROM (SELECT *, min(CASE WHEN n >= 3 THEN arrival END) OVER (PARTITION BY user_id) AS stop FROM (
+  SELECT *, sum(CAST(outcome = 'rate_limit' AS INTEGER)) OVER (PARTITION BY user_id, run ORDER BY arrival) AS n FROM (
+    SELECT *, sum(CAST(outcome = 'success' AS INTEGER)) OVER (PARTITION BY user_id ORDER BY arrival) AS run FROM {_CALLS}))) WHERE stop IS NULL OR arrival <= stop
+"""
+)
+def breaker(spark: SparkSession, d: str) -> DataFrame:
+    return calls.until_break(_calls(spark, d), "user_id", "arrival").select("user_id", "event_id", "outcome", "stopped")
+
+
+@query(
+    f"""
+SELECT user_id, event_id, CAST(i * {DELAY_US} + max(arrival - i * {DELAY_US}) OVER (PARTITION BY user_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS BIGINT) AS start
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY arrival, event_id) - 1 AS i FROM {_CALLS})
+"""
+)
+def rate_spacing(spark: SparkSession, d: str) -> DataFrame:
+    return calls.spaced(_calls(spark, d), "user_id", "arrival", DELAY_US, "event_id").select("user_id", "event_id", "start")
+
+
+@query(
+    f"""
+SELECT user_id, event_id, CAST(coalesce(sum(CAST(outcome = 'rate_limit' AS INTEGER)) OVER (PARTITION BY user_id ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % {N_KEYS} AS INTEGER) AS key_index FROM {_CALLS}
+"""
+)
+def key_rotation(spark: SparkSession, d: str) -> DataFrame:
+    return calls.rotated(_calls(spark, d), "user_id", "arrival", N_KEYS).select("user_id", "event_id", "key_index")
+
+
+@query(f"SELECT user_id, event_id FROM (SELECT *, epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) - epoch_us(ts) AS gap FROM events) WHERE gap IS NULL OR gap >= {GAP_MS * 1000}")
+def debounce(spark: SparkSession, d: str) -> DataFrame:
+    return view.debounced(table(spark, d, "events"), ["user_id"], "ts", "event_id", GAP_MS).select("user_id", "event_id")
+
+
+@query()
+def debounce_suppress(spark: SparkSession, d: str) -> DataFrame:
+    import os
+
+    env = spark.sparkContext.environment
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env["PYTHONPATH"] = os.pathsep.join(dict.fromkeys(filter(None, [*env.get("PYTHONPATH", "").split(os.pathsep), root])))
+    page = table(spark, d, "events").select("user_id", "event_id", "ts", (F.col("value").cast("int") % 7).alias("page"))
+    return view.suppressed(view.debounced(page, ["user_id"], "ts", "event_id", GAP_MS), ["user_id"], "ts", "page", "event_id", 3 * GAP_MS)
+
+
+@query(
+    "SELECT source, count(*) AS n_lectures, md5(string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY doc_id)) AS digest, CAST(ceil(sum(length(text)) / 4.0) AS BIGINT) AS tokens FROM documents GROUP BY source"
+)
+def subject_rollup_text(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select(F.col("source").alias("subject"), F.col("doc_id").alias("ord"), F.col("text").alias("content"))
+    rolled = notes.exam_text(docs)
+    sizes = docs.groupBy("subject").agg(F.ceil(F.sum(F.length("content")) / 4).alias("tokens"))
+    return rolled.join(sizes, "subject").select(F.col("subject").alias("source"), "n_lectures", F.md5(F.col("text").cast("binary")).alias("digest"), "tokens")
+
+
+@query(
+    """
+SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL
+"""
+)
+def platform_pricing(spark: SparkSession, d: str) -> DataFrame:
+    """A smoke test of the platform's aggregation; no operator of this engine."""
+    return table(spark, d, "lineitem").where("l_shipdate <= timestamp_ntz '1998-09-02'").groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.count(F.lit(1)).alias("n"))
