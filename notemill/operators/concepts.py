@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,8 +99,6 @@ def updated_note(content: str, lecture: str, context: str | None, example: str |
 def upserted_concept_notes(current: DataFrame, incoming: DataFrame, labels: Labels = LABELS) -> DataFrame:
     """SNK-3, JOIN-11: a full join of current notes (path, content) and incoming ones (path, fresh, lecture, lecture_context, example, caution, related_concepts): what is
     new is inserted as fresh, what is there is updated in Arrow batches, the rest stays."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def update(content: pd.Series, lecture: pd.Series, context: pd.Series, example: pd.Series, caution: pd.Series, related: pd.Series) -> pd.Series:
         return pd.Series([updated_note(c, t, a, b, d, r, labels) if c is not None and t is not None else None for c, t, a, b, d, r in zip(content, lecture, context, example, caution, related, strict=True)])

@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -112,8 +113,6 @@ def sections_of(content: str | None, labels: Labels = LABELS) -> dict[str, objec
 
 def with_sections(notes: DataFrame, content: str = "content", labels: Labels = LABELS) -> DataFrame:
     """notes with frontmatter, preamble and sections (array) of each. Pairing needs a scan with state, so it runs in Arrow batches."""
-    import pandas as pd
-
     @F.pandas_udf(SECTIONS)
     def split(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([sections_of(t, labels) for t in texts], columns=["frontmatter", "preamble", "sections"])

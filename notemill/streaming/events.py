@@ -23,9 +23,11 @@ def debounced(events: DataFrame, keys: list[str], ts: str, order: str, wait_ms:
 
 
 def debounced_stream(events: DataFrame, keys: list[str], ts: str, value: str, wait_ms: int = WAIT_MS, lateness: str = LATENESS) -> DataFrame:
-    """STR-1 on a stream: the last value of each burst, when the watermark has passed the burst."""
+    """STR-1 on a stream: the last value of each burst, when the watermark has passed the burst.
+
+    Sessions that touch are merged, so the gap is a microsecond less than the wait: an event exactly at the wait starts a new burst, as in debounced()."""
     rows = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, lateness)
-    return rows.groupBy(*keys, F.session_window(ts, f"{wait_ms} milliseconds").alias("burst")).agg(F.max_by(value, ts).alias(value), F.max(ts).alias(ts)).drop("burst")
+    return rows.groupBy(*keys, F.session_window(ts, f"{wait_ms * 1000 - 1} microseconds").alias("burst")).agg(F.max_by(value, ts).alias(value), F.max(ts).alias(ts)).drop("burst")
 
 
 def accepted(stamps: list[int], values: list[Any], last: Any = None, quiet_until: int = -(1 << 62), quiet_us: int = QUIET_MS * 1000) -> tuple[list[bool], Any, int]:
