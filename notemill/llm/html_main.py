@@ -163,6 +163,8 @@ def main_text(html: str | None, sigma: float = SIGMA, level: float = LEVEL) -> s
         return ""
     page = _Lines()
     page.feed(html)
+    if re.match(r"<[a-zA-Z/!?]", page.rawdata):  # a tag or comment that the page's end cut off
+        page.rawdata = ""
     page.close()
     page.end_line()
     texts, under, holders = page.texts, page.under, page.holders

@@ -39,6 +39,7 @@ def pack(sizes: list[int], sources: list[object], clusters: list[object], capaci
     for item, size in enumerate(sizes):
         while size > capacity:
             placed.append((item, capacity, len(in_sources)))
+            insort(order, (0, len(in_sources)))
             in_sources.append(source_bit[item])
             in_clusters.append(cluster_bit[item])
             size -= capacity
@@ -86,7 +87,7 @@ def packed(rows: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_RO
 
 def measured(docs: DataFrame) -> DataFrame:
     """(doc_id, source, cluster, n_tokens): words as tokens, and a hash of the words in lower case as the cluster of copies."""
-    text = F.trim(F.coalesce("text", F.lit("")))
+    text = F.btrim(F.coalesce("text", F.lit("")), F.lit(" \n\t\r\f\v"))
     rows = docs.select("doc_id", "source", F.split(F.lower(text), r"\s+").alias("words"), (text == "").alias("empty"))
     return rows.select("doc_id", "source", F.xxhash64("words").alias("cluster"), F.when(F.col("empty"), 0).otherwise(F.size("words")).alias("n_tokens"))
 
