@@ -10,8 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of a batch that a Python worker gets at once, where the session doesn't say: texts are decoded whole, so batches bound a worker's memory.
+BATCH_BYTES = f"{8 << 20}b"
+
+
 def reachable(spark: SparkSession) -> None:
-    """Let this session's Python workers import this package from where the driver has it, if it wasn't shipped otherwise."""
+    """Let this session's Python workers import this package from where the driver has it, if it wasn't shipped otherwise, and get batches of a bounded size."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") in ("64MB", f"{64 << 20}b"):  # the default
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):

@@ -40,7 +40,7 @@ class _Shapes(dict):
     """Word to the slot of its shape."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         shape = _SIGNS.sub(r"\1\1", _LOWER.sub("a", _UPPER.sub("A", _DIGITS.sub("0", word)))) if word.isascii() else _SIGNS.sub(r"\1\1", _LOWER.sub("a", word if not word.isupper() else "A"))
         slot = self[word] = zlib.crc32(shape[:12].encode("utf-8", "surrogatepass")) % SHAPES
@@ -187,7 +187,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_
 
     got = rows.mapInArrow(featured, "doc_id long, label int, content array<double>, metadata array<double>").toArrow().sort_by("doc_id")
     label = got.column("label").to_numpy()
-    views = [np.array(got.column(c).to_pylist(), float).reshape(len(label), -1) for c in ("content", "metadata")]
+    views = [got.column(c).combine_chunks().flatten().to_numpy().reshape(len(label), -1) for c in ("content", "metadata")]
     learn = label >= 0
     return CoTrained().fit([v[learn] for v in views], label[learn].astype(float), [v[~learn] for v in views])
 

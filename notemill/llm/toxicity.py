@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import table, texts
 
 #: Rows of each label that are learnt from, at most: those whose ids have the smallest hashes.
-SAMPLE_PER_LABEL = 3000
+SAMPLE_PER_LABEL = 2500
 HASH_BITS, FACTORS, EPOCHS, RATE, DECAY, SEED = 18, 4, 30, 0.1, 2e-4, 7
 #: Training rows that must have a term, standard errors by which its odds must differ between the labels, and the score from which on a text counts as toxic.
 LEAST_ROWS, LEAST_Z, THRESHOLD = 3, 2.5, 0.7
@@ -42,7 +42,7 @@ def terms_of(word: str, bits: int = HASH_BITS) -> tuple[int, ...]:
 class _Terms(dict):
     """Word to slots; keep tells which slots count. Starts anew when it holds many words."""
 
-    def __init__(self, keep: np.ndarray | None = None, most: int = 400_000):
+    def __init__(self, keep: np.ndarray | None = None, most: int = 150_000):
         super().__init__()
         self.keep, self.most = keep, most
 
@@ -71,7 +71,7 @@ class FactorizationMachine:
     def fit(self, rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, decay: float = DECAY, batch: int = 32, least: int = LEAST_ROWS, seed: int = SEED) -> FactorizationMachine:
         """Adaptive gradient steps on small batches, in an order fixed by the seed."""
         slots = len(self.weights)
-        with_term = [np.bincount(np.concatenate([*(r for r, y in zip(rows, labels, strict=True) if y == k), np.zeros(0, np.int64)]), minlength=slots) for k in (0, 1)]
+        with_term = [np.bincount(np.concatenate([*(r for r, y in zip(rows, labels, strict=True) if y == k), np.zeros(0, np.int32)]), minlength=slots) for k in (0, 1)]
         # a term must be in enough rows and differ between the labels by more than chance would have it
         odds = [np.log((n + 0.5) / (max(1, (labels == k).sum()) + 1.0)) for k, n in enumerate(with_term)]
         self.seen = (with_term[0] + with_term[1] >= least) & (np.abs(odds[1] - odds[0]) >= LEAST_Z * np.sqrt(1 / (with_term[0] + 0.5) + 1 / (with_term[1] + 0.5)))
@@ -143,7 +143,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(slots, pa.list_(pa.int32()))], ["doc_id", "label", "slots"])
 
     sample = labelled_sample(docs, labels, "toxic", per_label).select("doc_id", "text", "label").mapInArrow(featured, "doc_id long, label int, slots array<int>").toArrow().sort_by("doc_id")
-    rows = [np.asarray(x.values, np.int64) for x in sample.column("slots")]
+    rows = [np.asarray(x.values, np.int32) for x in sample.column("slots")]
     return FactorizationMachine(1 << HASH_BITS).fit(rows, sample.column("label").to_numpy().astype(np.float32))
 
 
