@@ -1,5 +1,6 @@
 """Operators 2, 3, 4, 6, 7, 8 and the pipeline against brute force and held-out accuracy."""
 
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -165,7 +166,8 @@ def test_sentences_lose_nothing_and_runs_reach_the_ends():
 def near_by_force(rows, threshold=0.8):
     def shingled(t):
         w = (t or "").lower().split()
-        return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
+        times = Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else {}
+        return Counter({k: 1 + math.log(n) for k, n in times.items()})
 
     def alike(a, b):
         both = a.keys() & b.keys()
