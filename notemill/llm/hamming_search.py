@@ -67,7 +67,8 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         asking = probes[0]
         for p in probes[1:]:
             asking = asking.unionByName(p)
-        new = asking.join(each, ["part", "key"]).select("code", "found", "held", F.bit_count(F.col("code").bitwiseXOR(F.col("found"))).alias("distance"))
+        # probes are many more than the queries that they are made from, which Spark's estimate doesn't see: never broadcast them
+        new = asking.join(each.hint("merge"), ["part", "key"]).select("code", "found", "held", F.bit_count(F.col("code").bitwiseXOR(F.col("found"))).alias("distance"))
         best = (new if best is None else new.unionByName(best.join(waiting, "code", "left_semi"))).groupBy("code", "found").agg(F.first("held").alias("held"), F.first("distance").alias("distance"))
         # codes that k ids at least don't come before
         nearer = Window.partitionBy("code").orderBy("distance", "found")
