@@ -10,7 +10,8 @@ THRESHOLD or more. Classes are the connected components of links.
 Skew. Equal texts are one representative, found by a pre-aggregated minimum. Within a band's bucket of up to SMALL representatives all pairs are
 candidates. In a larger one each member is paired with one leader, the member that meets most others, which in a group of copies is what they were copied from. The members of
 larger buckets are banded once more, finely, with the same two rules; then, as long as a round finds links, what is outside a bucket's largest component gets another leader. So a
-bucket of copies costs its size in each round, not its square.
+bucket of copies costs its size in each round, not its square. What then stands in different components of one large bucket is joined exactly, on the shingles that two like texts can
+share first (`across`), so no link between texts that meet in a band is lost.
 
 Defined results: a null text is the empty text. Texts without words are linked only to equal texts; texts of one to four words have one
 shingle, all their words. Rows of equal doc_id are one document. Rows without doc_id have no class (null). The class id is the
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import components, kept, rows_with_ids, table, texts
@@ -37,6 +38,8 @@ REGISTERS, BANDS = 128, 32
 FINE_BANDS, FINE_ROWS = 64, 10
 #: Representatives in a bucket of which all pairs are candidates.
 SMALL = 12
+#: What rounding may take from a bound.
+SLACK = 1e-6
 #: Characters of text that are handled at a time in a worker.
 CHUNK = 1 << 20
 
@@ -252,6 +255,90 @@ def stars(members: DataFrame, every: DataFrame) -> DataFrame:
     return every.join(leaders, "bucket").where("rep <> leader").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
 
 
+def texts_shingled(docs: DataFrame) -> DataFrame:
+    """(rep, text_id, shingles, weights): the different shingles of each different text of an id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            ids = batch.column(0).to_pylist()
+            for part in chunks(batch.column(1).to_pylist()):
+                of, runs, times = weighted(part)
+                edge = np.searchsorted(of, np.arange(len(part) + 1))
+                for i, t in enumerate(part):
+                    own = slice(edge[i], edge[i + 1])
+                    digest = hashlib.md5(t.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest()
+                    rows.append((ids[len(rows)], int.from_bytes(digest[:8], "big", signed=True), runs[own].view(np.int64), times[own]))
+            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64())]
+            columns = zip(*rows, strict=True) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["rep", "text_id", "shingles", "weights"])
+            gc.collect()
+
+    rows_of = texts(docs)
+    every = rows_of.withColumn("doc_id", rows_of.doc_id.cast("long")).mapInArrow(run, "rep long, text_id long, shingles array<long>, weights array<double>")
+    return every.dropDuplicates(["rep", "text_id"])
+
+
+def openings(ordered: DataFrame, threshold: float) -> DataFrame:
+    """Of texts (rep, s: an array of times, shingle, weight in one order for all): the shingles that can be the first which a text shares with a text like it.
+
+    before and weight_before are what the text has before the shingle, n and weight all that it has. A shingle that stands in one text only is shared with none.
+    """
+    kinds = [("rep", pa.int64()), ("shingle", pa.int64()), ("before", pa.int64()), ("n", pa.int64()), ("weight_before", pa.float64()), ("weight", pa.float64())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            edge = batch.column(1).offsets.to_numpy()
+            times, shingle, weight = (x.to_numpy(zero_copy_only=False) for x in batch.column(1).flatten().flatten())
+            parts = []
+            for rep, lo, hi in zip(batch.column(0).to_pylist(), edge[:-1] - edge[0], edge[1:] - edge[0], strict=True):
+                n, total, place = hi - lo, weight[lo:hi].sum(), np.arange(hi - lo)
+                before = np.cumsum(weight[lo:hi]) - weight[lo:hi]
+                at = np.flatnonzero((times[lo:hi] > 1) & ((before <= (1 - threshold) * total + SLACK) | (place <= (1 - threshold) * n + SLACK)))
+                parts.append((np.full(len(at), rep), shingle[lo + at], place[at], np.full(len(at), n), before[at], np.full(len(at), total)))
+            columns = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, kinds, strict=True)], [k for k, _ in kinds])
+
+    return ordered.mapInArrow(run, "rep long, shingle long, before long, n long, weight_before double, weight double")
+
+
+def can_be_alike(x: str, y: str, threshold: float) -> Column:
+    """Whether texts x and y, whose first common shingle stands where `openings` says, can be as similar as threshold by either measure.
+
+    At most s shingles are common, the lesser of what is left in x and in y; the plain similarity is then s / (nx + ny - s) at most. Of weights, at most what is left is
+    common in x (a), and no more than what is left in y and the excess over 1 that is left in x; likewise in y (b). With the weights before (px, py) the probability Jaccard similarity is at
+    most 1 / (wx / a + py / b), as x / (c x + d) sums are concave, and the same with x and y changed.
+    """
+    col = lambda t, c: F.col(f"{t}.{c}")
+    left = {t: col(t, "n") - col(t, "before") for t in (x, y)}
+    weight = {t: col(t, "weight") - col(t, "weight_before") for t in (x, y)}
+    s = F.least(left[x], left[y])
+    a, b = (F.least(weight[t], weight[o] + weight[t] - left[t]) for t, o in ((x, y), (y, x)))
+    plain = s >= threshold * (col(x, "n") + col(y, "n") - s) - SLACK
+    both = [threshold * (col(t, "weight") / u + col(o, "weight_before") / v) <= 1 + SLACK for t, o, u, v in ((x, y, a, b), (y, x, b, a))]
+    return plain | (both[0] & both[1])
+
+
+def across(members: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): all pairs of members (rep, c) of different components c that can be as similar as threshold.
+
+    An exact join: in an order that is the same for all texts, the first shingle that two like texts share has little before it in either. The rarest come first, so texts that
+    share a template meet in what few of them have. No pair is left out, however large a group is.
+    """
+    own = texts_shingled(rows_with_ids(docs.select("doc_id", "text"), kept(members.select(F.col("rep").alias("doc_id")).distinct(), "across-ids")))
+    each = kept(own.select("rep", "text_id", F.explode(F.arrays_zip("shingles", "weights")).alias("z")).select("rep", "text_id", F.col("z.shingles").alias("shingle"), F.col("z.weights").alias("weight")), "across-shingles")
+    times = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("times"))
+    ordered = each.join(times, "shingle").groupBy("rep", "text_id").agg(F.sort_array(F.collect_list(F.struct("times", "shingle", "weight"))).alias("s")).select("rep", "s")
+    first = kept(openings(ordered, threshold).join(members, "rep"), "across-openings")
+    # a pair of two components has a member outside the shingle's largest one
+    sizes = first.groupBy("shingle", "c").agg(F.count(F.lit(1)).alias("size"))
+    main = sizes.groupBy("shingle").agg(F.max(F.struct("size", "c")).alias("m"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("shingle", F.col("m.c").alias("main"))
+    live = kept(first.join(main, "shingle"), "across-live")
+    x, y = live.where("c <> main").alias("x"), live.alias("y")
+    met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.c") != F.col("y.c")) & ((F.col("y.c") == F.col("y.main")) | (F.col("x.rep") < F.col("y.rep"))) & can_be_alike("x", "y", threshold))
+    return met.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+
+
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD, small: int = SMALL) -> DataFrame:
     """One row per input row: doc_id and the class_id of its near-duplicates."""
     rows = kept(banded(docs), "bands")
@@ -259,6 +346,7 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, small: int = SMA
     copies = known.groupBy("digest").agg(F.min(F.struct("doc_id", "bands")).alias("r")).select("digest", F.col("r.doc_id").alias("rep"), F.col("r.bands").alias("bands"))
     copies = kept(copies, "copies")
     pairs, large = bucketed(copies, small, "first")
+    met = large
     links = kept(verified(kept(pairs.unionByName(stars(large, large)).distinct(), "pairs"), docs, threshold), "links")
     if large.limit(1).count():
         fine = banded(rows_with_ids(docs.select("doc_id", "text"), kept(large.select(F.col("rep").alias("doc_id")).distinct(), "fine")), FINE_BANDS, FINE_ROWS, 1)
@@ -279,6 +367,14 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, small: int = SMA
                 break
             found = stars(outside, outside)
     classes = components(links)
+    # large buckets that hold several components: all pairs across components that can be links
+    placed = kept(met.join(classes.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("class_id", "rep").alias("c")), "placed")
+    mixed = placed.groupBy("bucket").agg(F.min("c").alias("least"), F.max("c").alias("last")).where("least < last").select("bucket")
+    apart = kept(placed.join(mixed, "bucket").select("rep", "c").distinct(), "apart")
+    if apart.limit(1).count():
+        more = kept(verified(kept(across(apart, docs, threshold), "pairs"), docs, threshold), "more")
+        if more.limit(1).count():
+            classes = components(links.unionByName(more))
     by_text = copies.join(classes.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("class_id", "rep").alias("class_id"))
     found = rows.select("doc_id", "digest").join(by_text, "digest", "left")
     return found.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"))

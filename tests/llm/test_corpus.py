@@ -210,6 +210,41 @@ def test_near_classes(spark, small):
     assert got == near_by_force(sorted(rows))
 
 
+def test_near_classes_of_templated_texts(spark):
+    rng = random.Random(9)
+    texts = []
+    for k in range(300):  # 0.79 alike by a template, and pairs of 0.801
+        w = [f"t{i}" for i in range(100)] + [f"own{k}x{i}" for i in range(13)]
+        if k % 3 == 2:
+            w = texts[-1].split()
+            w[-12] = w[-7] = w[-2] = f"new{k}"
+        texts.append(" ".join(w))
+    rng.shuffle(texts)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    want = {k: min(m for m, b in enumerate(sets) if len(a & b) >= 0.8 * len(a | b)) for k, a in enumerate(sets)}
+    assert len(set(want.values())) == 200
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.class_id for r in near_dup.near_classes(df).collect()} == want
+
+
+def test_exact_join_finds_what_force_finds(spark):
+    rng = random.Random(10)
+    rows = []
+    for _ in range(90):
+        w = [f"t{i}" for i in range(60)]
+        for _ in range(rng.randrange(0, 5)):
+            w[rng.randrange(60)] = f"x{rng.randrange(12)}"
+        rows.append((len(rows), " ".join(w + rng.choice([[], ["a b c d e f"] * rng.randrange(1, 9), [f"e{i}" for i in range(rng.randrange(12))]]))))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    members = df.select(F.col("doc_id").alias("rep"), F.col("doc_id").alias("c"))
+    every = members.alias("x").join(members.alias("y"), F.col("x.rep") < F.col("y.rep")).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+    alike = {tuple(r) for r in near_dup.verified(every, df).collect()}
+    met = near_dup.across(members, df, 0.8)
+    found = {tuple(r) for r in near_dup.verified(met, df).collect()}
+    n_met = met.count()
+    assert 20 < len(alike) <= n_met < every.count() and found == alike
+
+
 def test_near_classes_of_odd_tables(odd_docs, no_docs):
     got = near_dup.near_classes(odd_docs).collect()
     assert len(got) == odd_docs.count()
