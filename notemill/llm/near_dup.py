@@ -8,10 +8,9 @@ are candidates, and candidates are verified on their shingles: linked if the pro
 THRESHOLD or more. Classes are the connected components of links.
 
 Skew. Equal texts are one representative, found by a pre-aggregated minimum. Within a band's bucket of up to SMALL representatives all pairs are
-candidates. In a larger one each member is paired with one leader, the member that meets most others, which in a group of copies is what they were copied from. The members of
-larger buckets are banded once more, finely, with the same two rules; then, as long as a round finds links, what is outside a bucket's largest component gets another leader. So a
-bucket of copies costs its size in each round, not its square. What then stands in different components of one large bucket is joined exactly, on the shingles that two like texts can
-share first (`across`), so no link between texts that meet in a band is lost.
+candidates. In a larger one each member is paired with one leader, the member that meets most others, which in a group of copies is what they were copied from. So a bucket of copies
+costs its size, not its square. There are no further leaders: all that then stands in different components of one large bucket is joined exactly, on the shingles that two
+like texts can share first (`across`), so no link between texts that meet in a band is lost, whether their leader is like anything or not.
 
 Defined results: a null text is the empty text. Texts without words are linked only to equal texts; texts of one to four words have one
 shingle, all their words. Rows of equal doc_id are one document. Rows without doc_id have no class (null). The class id is the
@@ -34,8 +33,6 @@ from .common import components, kept, rows_with_ids, table, texts
 WORDS, THRESHOLD = 5, 0.8
 #: 32 bands of 4: two texts of similarity 0.8 share none with a probability of 5e-8.
 REGISTERS, BANDS = 128, 32
-#: What stands in larger buckets is banded again: 64 bands of 10, of which texts of similarity 0.8 share none with a probability of 7e-4, those of 0.5 with one of 0.94.
-FINE_BANDS, FINE_ROWS = 64, 10
 #: Representatives in a bucket of which all pairs are candidates.
 SMALL = 12
 #: What rounding may take from a bound.
@@ -178,8 +175,8 @@ def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) ->
     return max(plain, total)
 
 
-def banded(docs: DataFrame, bands: int = BANDS, rows: int = REGISTERS // BANDS, seed: int = 0) -> DataFrame:
-    """(doc_id, digest, bands): the MD5 of the text and a key for each band of so many registers (null for a text without words)."""
+def banded(docs: DataFrame) -> DataFrame:
+    """(doc_id, digest, bands): the MD5 of the text and a key for each band (null for a text without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,8 +184,7 @@ def banded(docs: DataFrame, bands: int = BANDS, rows: int = REGISTERS // BANDS,
             for part in chunks(batch.column(1).to_pylist()):
                 of, shingled, n = weighted(part)
                 has = np.bincount(of, minlength=len(part)) > 0
-                shingled = mixed(shingled + np.uint64(seed)) if seed else shingled
-                found = band_keys(prob_minhash(of, shingled, n, len(part), bands * rows), bands)
+                found = band_keys(prob_minhash(of, shingled, n, len(part)))
                 keys += [k if h else None for k, h in zip(found, has, strict=True)]
                 digests += [hashlib.md5(t.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest() for t in part]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "digest", "bands"])
@@ -232,27 +228,27 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) ->
     return both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long").distinct()
 
 
-def bucketed(signed: DataFrame, small: int, name: str) -> tuple[DataFrame, DataFrame]:
-    """(pairs, inside) of representatives (rep, bands): all pairs of small buckets; the members (bucket, rep, rank) of larger ones.
+def bucketed(signed: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs, large) of representatives (rep, bands): all pairs of small buckets; the members (bucket, rep, rank) of larger ones.
 
     rank is how many representatives a member meets in all its buckets: what most others are copies of has the highest.
     """
-    member = kept(signed.where("bands is not null").select("rep", F.explode("bands").alias("bucket")), f"{name}-members")
-    buckets = kept(member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("least"), F.max("rep").alias("last")).where("n > 1"), f"{name}-buckets")
-    inside = kept(member.join(buckets.where("n > 2").select("bucket", "n"), "bucket"), f"{name}-inside")
+    member = kept(signed.where("bands is not null").select("rep", F.explode("bands").alias("bucket")), "members")
+    buckets = kept(member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("least"), F.max("rep").alias("last")).where("n > 1"), "buckets")
+    inside = kept(member.join(buckets.where("n > 2").select("bucket", "n"), "bucket"), "inside")
     two = buckets.where("n = 2").select(F.col("least").alias("a"), F.col("last").alias("b"))
     # at most `small` members are gathered here
     groups = inside.where(F.col("n") <= small).groupBy("bucket").agg(F.sort_array(F.collect_set("rep")).alias("r")).select("r").distinct()
     each = groups.select(F.explode(F.transform("r", lambda x: F.struct(x.alias("a"), F.filter("r", lambda y: y > x).alias("bs")))).alias("p")).select("p.a", F.explode("p.bs").alias("b"))
     large = inside.where(F.col("n") > small)
     rank = large.groupBy("rep").agg(F.sum("n").alias("rank"))
-    return two.unionByName(each).where("a < b").distinct(), kept(large.select("bucket", "rep").join(rank, "rep"), f"{name}-large")
+    return two.unionByName(each).where("a < b").distinct(), kept(large.select("bucket", "rep").join(rank, "rep"), "large")
 
 
-def stars(members: DataFrame, every: DataFrame) -> DataFrame:
-    """(a, b): each of every (bucket, rep) with the bucket's member of the highest rank (the smallest id of equal ones) among members (bucket, rep, rank)."""
+def stars(members: DataFrame) -> DataFrame:
+    """(a, b): each of members (bucket, rep, rank) with the bucket's member of the highest rank (the smallest id of equal ones)."""
     leaders = members.groupBy("bucket").agg(F.max(F.struct("rank", (-F.col("rep")).alias("r"))).alias("m")).select("bucket", (-F.col("m.r")).alias("leader"))
-    return every.join(leaders, "bucket").where("rep <> leader").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
+    return members.join(leaders, "bucket").where("rep <> leader").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
 
 
 def texts_shingled(docs: DataFrame) -> DataFrame:
@@ -345,30 +341,11 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, small: int = SMA
     known = rows.where("doc_id is not null")
     copies = known.groupBy("digest").agg(F.min(F.struct("doc_id", "bands")).alias("r")).select("digest", F.col("r.doc_id").alias("rep"), F.col("r.bands").alias("bands"))
     copies = kept(copies, "copies")
-    pairs, large = bucketed(copies, small, "first")
-    met = large
-    links = kept(verified(kept(pairs.unionByName(stars(large, large)).distinct(), "pairs"), docs, threshold), "links")
-    if large.limit(1).count():
-        fine = banded(rows_with_ids(docs.select("doc_id", "text"), kept(large.select(F.col("rep").alias("doc_id")).distinct(), "fine")), FINE_BANDS, FINE_ROWS, 1)
-        pairs, large = bucketed(fine.select(F.col("doc_id").alias("rep"), "bands").dropDuplicates(["rep"]), small, "fine")
-        found = pairs.unionByName(stars(large, large)).distinct()
-        while True:
-            more = kept(verified(kept(found, "pairs"), docs, threshold).join(links, ["a", "b"], "left_anti"), "more")
-            if not more.limit(1).count():
-                break
-            links = kept(links.unionByName(more), "links")
-            # another leader for what is outside a bucket's largest component, among what is outside
-            placed = large.join(components(links).withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "rep", "rank", F.coalesce("class_id", "rep").alias("c"))
-            sizes = placed.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("size"))
-            main = sizes.groupBy("bucket").agg(F.max(F.struct("size", "c")).alias("m"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("bucket", F.col("m.c").alias("main"))
-            outside = placed.join(main, "bucket").where("c <> main")
-            outside = kept(outside.select("bucket", "rep", "rank"), "outside")
-            if not outside.limit(1).count():
-                break
-            found = stars(outside, outside)
+    pairs, large = bucketed(copies, small)
+    links = kept(verified(kept(pairs.unionByName(stars(large)).distinct(), "pairs"), docs, threshold), "links")
     classes = components(links)
     # large buckets that hold several components: all pairs across components that can be links
-    placed = kept(met.join(classes.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("class_id", "rep").alias("c")), "placed")
+    placed = kept(large.join(classes.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("class_id", "rep").alias("c")), "placed")
     mixed = placed.groupBy("bucket").agg(F.min("c").alias("least"), F.max("c").alias("last")).where("least < last").select("bucket")
     apart = kept(placed.join(mixed, "bucket").select("rep", "c").distinct(), "apart")
     if apart.limit(1).count():

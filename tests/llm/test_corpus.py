@@ -227,6 +227,26 @@ def test_near_classes_of_templated_texts(spark):
     assert {r.doc_id: r.class_id for r in near_dup.near_classes(df).collect()} == want
 
 
+def test_near_classes_around_a_leader_that_links_with_none(spark, monkeypatch):
+    """One bucket of 21: a leader that is like none, and ten separate pairs around it."""
+    base = [f"h{i}" for i in range(100)]
+    texts = [" ".join(base)]
+    for k in range(10):
+        w = list(base)
+        for i in range(3):
+            w[(9 * k + 31 * i) % 100] = f"x{k}y{i}"
+        w[(9 * k + 15) % 100] = f"z{k}"
+        texts.append(" ".join(w))
+        w[(9 * k + 16) % 100] = f"v{k}"
+        texts.append(" ".join(w))
+    rows = list(enumerate(texts))
+    want = near_by_force(rows)
+    assert want == {0: 0} | {k: k - (k + 1) % 2 for k in range(1, 21)}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(near_dup, "banded", lambda docs, *_: docs.select("doc_id", F.md5("text").cast("binary").alias("digest"), F.array(F.lit(7).cast("long")).alias("bands")))
+    assert {r.doc_id: r.class_id for r in near_dup.near_classes(df).collect()} == want
+
+
 def test_exact_join_finds_what_force_finds(spark):
     rng = random.Random(10)
     rows = []
