@@ -3,8 +3,8 @@
 A text's shingles are its runs of five words (lower case, cut at white space), weighted by 1 + ln(how often they occur). Each shingle
 sends arrivals of a Poisson process whose rate is its weight; an arrival falls into one of REGISTERS registers, and a register keeps the
 shingle that arrived first. A shingle stops when its arrivals come later than all registers' first ones. Two texts agree in a register with the
-probability Jaccard similarity of their weighted shingles. Registers are cut into bands; texts that agree in a whole band
-are candidates, and candidates are verified on their shingles: linked if the probability Jaccard similarity, or the plain one of the sets, is
+probability Jaccard similarity of their weighted shingles. Registers are cut into bands, and so are those of the same shingles without weights, which agree with the
+plain Jaccard similarity; texts that agree in a whole band of either kind are candidates, and candidates are verified on their shingles: linked if the probability Jaccard similarity, or the plain one of the sets, is
 THRESHOLD or more. Classes are the connected components of links.
 
 Skew. Equal texts are one representative, found by a pre-aggregated minimum. Within a band's bucket of up to SMALL representatives all pairs are
@@ -176,7 +176,7 @@ def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) ->
 
 
 def banded(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, bands): the MD5 of the text and a key for each band (null for a text without words)."""
+    """(doc_id, digest, bands): the MD5 of the text and a key for each band of either kind (null for a text without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,7 +184,13 @@ def banded(docs: DataFrame) -> DataFrame:
             for part in chunks(batch.column(1).to_pylist()):
                 of, shingled, n = weighted(part)
                 has = np.bincount(of, minlength=len(part)) > 0
-                found = band_keys(prob_minhash(of, shingled, n, len(part)))
+                found = list(band_keys(prob_minhash(of, shingled, n, len(part))))
+                # the same hashes without weights, for pairs that only the plain similarity links; where nothing is repeated they are the same bands
+                repeats = np.unique(of[n > 1])
+                own = np.isin(of, repeats)
+                plain = band_keys(prob_minhash(np.searchsorted(repeats, of[own]), shingled[own], np.ones(int(own.sum())), len(repeats)))
+                for i, k in zip(repeats, plain, strict=True):
+                    found[i] = np.unique(np.concatenate([found[i], k]))
                 keys += [k if h else None for k, h in zip(found, has, strict=True)]
                 digests += [hashlib.md5(t.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest() for t in part]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "digest", "bands"])
