@@ -36,9 +36,8 @@ def suffix_array(text: Sequence[int] | bytes) -> list[int]:
     at = len(members) - 1
     while at >= 0:
         step = size[at]
-        current = [i for i in members[at] if own[i] == at]
+        current = [i for i in members[at] if own[i] == at]  # ascending, as every group is made
         if current:
-            current.sort()
             members[at] = current
             order.append(at)
             times: dict[int, int] = {}
@@ -49,25 +48,22 @@ def suffix_array(text: Sequence[int] | bytes) -> list[int]:
                 pointer[i] = j
                 if j >= 0:
                     times[j] = times.get(j, 0) + 1
-            moved: dict[tuple[int, int], list[int]] = {}
+            moved: dict[int, dict[int, list[int]]] = {}  # by how often, then by old group
             for j, k in times.items():
-                key = (own[j], k)
-                if key in moved:
-                    moved[key].append(j)
-                else:
-                    moved[key] = [j]
-            # from the most often lengthened on, so that each new group goes directly above the old one
-            for old, k in sorted(moved, key=_falling) if len(moved) > 1 else moved:
-                new, up, who = len(members), above[old], moved[old, k]
-                members.append(who)
-                size.append(size[old] + k * step)
-                below.append(old)
-                above.append(up)
-                above[old] = new
-                if up < len(below):
-                    below[up] = new
-                for j in who:
-                    own[j] = new
+                moved.setdefault(k, {}).setdefault(own[j], []).append(j)
+            # from the most often lengthened on, so that each new group goes directly above the old one; all counts together are no more than the members
+            for k in range(max(moved, default=0), 0, -1):
+                for old, who in moved.get(k, {}).items():
+                    new, up = len(members), above[old]
+                    members.append(who)
+                    size.append(size[old] + k * step)
+                    below.append(old)
+                    above.append(up)
+                    above[old] = new
+                    if up < len(below):
+                        below[up] = new
+                    for j in who:
+                        own[j] = new
         at = below[at]
     # second phase: the next free place of each group
     place = [0] * len(members)
@@ -92,6 +88,3 @@ def suffix_array(text: Sequence[int] | bytes) -> list[int]:
         ends = out[taken]
         taken += 1
 
-
-def _falling(key: tuple[int, int]) -> tuple[int, int]:
-    return (key[0], -key[1])

@@ -50,18 +50,19 @@ def test_dedup_bytes(odd_docs, no_docs):
     assert dedup.dedup_bytes(no_docs).collect() == []
 
 
-@pytest.mark.parametrize("hot,piece", [(0, 1 << 21), (2, 900), (2500, 300)])
-def test_dedup_hot_keys_and_pieces(spark, monkeypatch, hot, piece):
+@pytest.mark.parametrize("hot,piece,split,again", [(0, 1 << 21, 256, False), (2, 900, 256, True), (2500, 300, 256, False), (2500, 1 << 21, 2, False), (3, 1 << 21, 1, True), (2500, 1 << 21, 256, True)])
+def test_dedup_hot_keys_and_pieces(spark, monkeypatch, hot, piece, split, again):
     monkeypatch.setattr(dedup, "PIECE", piece)
     rng = random.Random(hot)
     blocks = ["".join(rng.choice("abc é") for _ in range(rng.randrange(30, 140))) for _ in range(25)]
     rows = [(k, "".join(rng.choice(blocks) if rng.random() < 0.5 else "".join(rng.choice("xyz") for _ in range(rng.randrange(50))) for _ in range(rng.randrange(12)))) for k in rng.sample(range(1000), 60)]
+    if again:  # ids that several texts have
+        rows = [(k // 60, t) for k, t in rows] + rows[:3] * 2
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    runs = {}
-    for r in dedup.removed_runs(df, share_bytes=2000, hot=hot).collect():
-        runs.setdefault(r.doc_id, []).append((r.start, r.stop))
-    got = [(k, len(t.encode()), *dedup.finished(t.encode(), runs.get(k, []))) for k, t in rows]
-    assert sorted(got, key=repr) == removed_by_force(rows)
+    whole = dedup.removed_runs
+    monkeypatch.setattr(dedup, "removed_runs", lambda docs: whole(docs, share_bytes=2000, hot=hot, split=split, unit=4000))
+    monkeypatch.setattr(dedup, "CHUNK", 1500)
+    assert collected(dedup.dedup_bytes(df)) == removed_by_force(rows)
 
 
 def test_fingerprints(odd_docs, no_docs, spark):
