@@ -7,11 +7,13 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from notemill.llm import near_dup, packing, quality, sentence_spans, toxicity
 from notemill.llm.common import components
-from notemill.llm.hamming_search import OP2_SQL, op2_hamming_top_k, top_k
+from notemill.llm.hamming_search import OP2_SQL, nearest, op2_hamming_top_k, sign_code, top_k
 from tests.oracle import assert_same
 
 
@@ -19,15 +21,44 @@ def test_top_k_same_as_sql(spark, sf):
     assert_same(op2_hamming_top_k, OP2_SQL, spark, sf)
 
 
-@pytest.mark.parametrize("n,k", [(0, 3), (2, 5), (400, 4)])
-def test_top_k_with_copies(spark, n, k):
+@pytest.mark.parametrize("n,k,block,most", [(0, 3, 100, 100), (2, 5, 100, 100), (400, 4, 1000, 1000), (400, 4, 50, 7)])
+def test_top_k_with_copies(spark, n, k, block, most):
     rng = random.Random(n)
     common = rng.getrandbits(63)
     rows = [(i, common if rng.random() < 0.4 else common ^ (1 << rng.randrange(63)) if rng.random() < 0.3 else rng.getrandbits(63)) for i in range(n)]
     df = spark.createDataFrame([*rows, (None, 5), (9999, None)], "id long, code long")
     queries = df.where("id % 7 = 0")
     want = {(q, r): (i, d) for q, c in rows if q % 7 == 0 for r, (d, i) in enumerate(sorted((bin(c ^ x).count("1"), i) for i, x in rows)[:k], 1)}
-    assert {(r.query_id, r.rank): (r.id, r.distance) for r in top_k(df, queries, k).collect()} == want
+    assert {(r.query_id, r.rank): (r.id, r.distance) for r in top_k(df, queries, k, block, most).collect()} == want
+
+
+def test_top_k_of_odd_vectors(spark):
+    rows = [(1, [1.0, None, -1.0], "x"), (2, [], "x"), (3, None, "x"), (None, [1.0], "x"), (100, [1.0] * 80, "x"), (200, [0.0] * 64, "x"), (300, [0.0] * 64, "x")]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>, distance string")
+    codes = df.select("id", sign_code(F.col("embedding")).alias("code"), "distance")
+    got = sorted(tuple(r) for r in top_k(codes, codes.where("id % 100 = 0"), 3).collect())
+    assert got == [(100, 1, 100, 0), (100, 2, 1, 63), (100, 3, 2, 64), (200, 1, 2, 0), (200, 2, 200, 0), (200, 3, 300, 0), (300, 1, 2, 0), (300, 2, 200, 0), (300, 3, 300, 0)]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 1 << 30), st.integers(1, 300), st.integers(1, 6), st.integers(1, 64))
+def test_nearest_is_brute_force(seed, n, k, bits):
+    rng = np.random.default_rng(seed)
+    high = np.uint64((1 << bits) - 1)
+    codes = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) & high)
+    ids = [sorted(rng.choice(10_000, rng.integers(1, k + 1), replace=False).tolist()) for _ in codes]
+    queries = np.concatenate([codes[:5], rng.integers(0, 1 << 63, 5, dtype=np.uint64), [np.uint64((1 << 64) - 1)]])
+    want = [(q, x, d) for q, c in enumerate(queries) for d, x in sorted((int(c ^ o).bit_count(), x) for o, own in zip(codes, ids, strict=True) for x in own)[:k]]
+    assert list(nearest(codes, ids, queries, k)) == want
+
+
+def test_a_query_far_from_a_million_codes():
+    codes = np.unique(np.random.default_rng(3).integers(0, 1 << 40, 1 << 20, dtype=np.uint64))
+    queries = np.array([(1 << 64) - 1, (1 << 64) - (1 << 40)], np.uint64)
+    got = list(nearest(codes, [[i] for i in range(len(codes))], queries, 3))
+    for q in (0, 1):
+        far = np.bitwise_count(codes ^ queries[q])
+        assert [(x, d) for i, x, d in got if i == q] == [(int(i), int(far[i])) for i in np.lexsort((np.arange(len(codes)), far))[:3]]
 
 
 def test_toxicity_on_held_out_rows(spark):
