@@ -1,10 +1,12 @@
 """Operators 1, 5, 9 and 10 against brute force and round trips."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -12,7 +14,7 @@ from hypothesis import strategies as st
 
 from notemill.llm import substring_dedup as dedup
 from notemill.llm.bpe import BytePairEncoder, encode_texts
-from notemill.llm.html_main import extract_main, main_text
+from notemill.llm.html_main import clusters, extract_main, main_text, smoothed
 from notemill.llm.order_minhash import fingerprints, with_next
 from notemill.llm.suffix_groups import suffix_array
 
@@ -243,6 +245,65 @@ def test_main_text(holder):
     assert main_text(PAGE % body) == "Head & é\nFirst bold paragraph that says a good deal of things.\nSecond, linked text, and some more words.\nx\none\ntwo"
 
 
+ARTICLE = "<h1>Headline</h1><p>The first paragraph of an article, and it says a good deal.</p><p>x</p><p>The second one says rather more than the first one did.</p>"
+TEXT = "Headline\nThe first paragraph of an article, and it says a good deal.\nx\nThe second one says rather more than the first one did."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<article class="post has-sidebar">%s</article>',
+        '<article class="post comments-open">%s</article>',
+        '<article class="entry no-sidebar">%s</article>',
+        '<div id="page" class="site has-sidebar">%s</div>',
+        '<div class="site sidebar-right"><div id="content">%s</div></div>',
+        '<article><div class="article-header"><span>By X</span><h1>Headline</h1></div>%s</article>',
+        "<article><header><p>By X</p><h1>Headline</h1></header>%s</article>",
+        '<form id="aspnet"><div class="body">%s</div></form>',
+        '<div class="form-page">%s</div>',
+    ],
+)
+def test_names_that_only_mention_other_parts(page):
+    body = ARTICLE.replace("<h1>Headline</h1>", "") if "Headline" in page else ARTICLE
+    around = '<div class="site-header">Site</div><div class="mainNav"><a>Menu</a></div>%s<div class="related-posts"><p>Other</p></div><div id="sidebar-left">Left</div><div class="comment-list"><p>A reader says something here.</p></div><footer>End</footer>'
+    assert main_text(f"<html><body>{around % (page % body)}</body></html>") == TEXT
+
+
+def test_comments_stay_out_however_long():
+    talk = "".join(f"<p>Comment number {k} says quite a lot, and more than the article.</p>" for k in range(40))
+    assert main_text(f'<body><div class="main">{ARTICLE}</div><div id="comments">{talk}</div></body>') == TEXT
+    assert main_text(f'<body><div class="main">{ARTICLE}</div><form class="search"><p>Search</p></form></body>') == TEXT
+
+
+def test_smoothing_and_clusters_by_hand():
+    rng = random.Random(3)
+    for _ in range(50):
+        n = rng.randrange(1, 30)
+        sizes, tags, on = [[rng.randrange(k, m) for _ in range(n)] for k, m in ((1, 200), (0, 5), (0, 2))]
+        ratio = [s / max(1, t) * o for s, t, o in zip(sizes, tags, on, strict=True)]
+        weight = {d: math.exp(-(d**2) / 2) for d in range(-3, 4)}
+        want = [sum(w * ratio[k + d] for d, w in weight.items() if 0 <= k + d < n) / sum(weight.values()) for k in range(n)]
+        got = smoothed(np.array(sizes, float), np.array(tags, float), np.array(on, bool))
+        assert np.allclose(got, want)
+        runs, best = [], []
+        for k in range(n):
+            if on[k] and (k == 0 or not on[k - 1]):
+                runs.append([])
+            if on[k]:
+                runs[-1].append(k)
+        most = max((sum(sizes[k] for k in r) for r in runs), default=0)
+        best = [k for r in runs if sum(sizes[k] for k in r) >= 0.1 * most for k in r]
+        assert np.flatnonzero(clusters(np.array(on, bool), np.array(sizes, float))).tolist() == best
+
+
+def test_main_text_of_long_and_repeated_pages(spark):
+    long = "<html><body><nav>Menu</nav><article>" + "".join(f"<p>Paragraph {k} of a very long page.</p>" for k in range(30_000)) + "</article></body></html>"
+    df = spark.createDataFrame([(1, "u", long), (1, "u", long), (2, "u", "<p>a</p>")], "page_id long, url string, html string")
+    got = sorted(tuple(r) for r in extract_main(df).collect())
+    want = "\n".join(f"Paragraph {k} of a very long page." for k in range(30_000))
+    assert got == [(1, "u", want, len(want))] * 2 + [(2, "u", "a", 1)]
+
+
 def test_main_text_of_odd_pages(spark):
     odd = [None, "", "plain", "<p>unclosed <b>text", "<html><body></body></html>", "<article><p>cut &am", "</div></p><p>x</p>", "<![if x]><p>y</p><!-- c", "<article>" + "<div>" * 3000 + "deep"]
     df = spark.createDataFrame([(k, "u", h, "clash") for k, h in enumerate(odd)] + [(None, None, "<p>z</p>", "c")], "page_id long, url string, html string, text string")
