@@ -3,16 +3,16 @@
 A text's terms are its words in lower case and their beginnings of 3 to 8 letters, each hashed to one of 2**HASH_BITS slots and counted
 once. The machine has a weight and a short vector for each slot; its score is the logistic function of the weights' sum and of all
 products of two terms' vectors, so that pairs of terms tell what no sum of weights can. It learns from a bounded
-sample of labelled rows and scores every text whole, in one pass without a shuffle.
+sample of labelled rows and scores every text whole, in one pass without a shuffle. Of the terms in that sample, those have vectors that tell something of the label alone, or together with
+another one (telling_pairs); with vectors for all, a few hundred toxic rows teach it chance (README).
 
 Defined results: a null text is the empty text; it has no terms and gets the score of the bias. Without labels of both kinds every
 score is the share of toxic labels (0 if none). A null doc_id is not held out. Repeated rows give repeated results; of differing labels of
-one id the larger counts. Columns of documents other than doc_id and text are never read.
+one id the larger counts, and of differing texts of one id the least is learnt from. Columns of documents other than doc_id and text are never read.
 """
 
 from __future__ import annotations
 
-import gc
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -29,6 +29,8 @@ SAMPLE_PER_LABEL = 2500
 HASH_BITS, FACTORS, EPOCHS, RATE, DECAY, SEED = 18, 4, 30, 0.1, 2e-4, 7
 #: Training rows that must have a term, standard errors by which its odds must differ between the labels, and the score from which on a text counts as toxic.
 LEAST_ROWS, LEAST_Z, THRESHOLD = 3, 2.5, 0.7
+#: Most common terms whose pairs are looked at, and standard errors by which a pair's odds must differ from what its terms have alone.
+PAIRED, PAIR_Z = 2048, 5.0
 WORDS = re.compile(r"\w+")
 
 
@@ -59,6 +61,37 @@ class _Terms(dict):
         return set().union(*map(self.__getitem__, set(WORDS.findall(text.lower()))))
 
 
+def telling_pairs(rows: list[np.ndarray], labels: np.ndarray, n_rows: np.ndarray, most: int = PAIRED, least_z: float = PAIR_Z, block: int = 256) -> np.ndarray:
+    """The terms, of the most common ones, that say something of the label together with another and not by themselves: the logarithm of the odds with both, less that with either, plus
+    that with neither, is least_z standard errors from 0."""
+    either = np.minimum(n_rows, len(rows) - n_rows)
+    terms = np.argsort(-either, kind="stable")[:most]
+    terms = np.sort(terms[either[terms] > 0])
+    place = np.full(len(n_rows), -1)
+    place[terms] = np.arange(len(terms))
+    told = np.zeros(len(terms), bool)
+    matrices = []
+    for k in (0, 1):
+        x = np.zeros((int((labels == k).sum()), len(terms)), np.float32)
+        for i, r in enumerate(r for r, y in zip(rows, labels, strict=True) if y == k):
+            own = place[r]
+            x[i, own[own >= 0]] = 1
+        matrices.append((x, x.sum(0)))
+    for at in range(0, len(terms), block):
+        effect, spread = 0.0, 0.0
+        for k, (x, n) in enumerate(matrices):
+            both = x[:, at : at + block].T @ x
+            one, other = n[at : at + block, None], n[None, :]
+            cells = [both, one - both, other - both, len(x) - one - other + both]
+            effect = effect + (1 if k else -1) * sum(sign * np.log(c + 0.5) for sign, c in zip((1, -1, -1, 1), cells, strict=True))
+            spread = spread + sum(1 / (c + 0.5) for c in cells)
+        z = np.abs(effect) / np.sqrt(spread)
+        z[np.arange(len(z)), np.arange(at, at + len(z))] = 0
+        told[at : at + len(z)] |= (z >= least_z).any(1)
+        told |= (z >= least_z).any(0)
+    return terms[told]
+
+
 class FactorizationMachine:
     """Logistic factorization machine of degree two over sets of slots."""
 
@@ -72,11 +105,13 @@ class FactorizationMachine:
         """Adaptive gradient steps on small batches, in an order fixed by the seed."""
         slots = len(self.weights)
         with_term = [np.bincount(np.concatenate([*(r for r, y in zip(rows, labels, strict=True) if y == k), np.zeros(0, np.int32)]), minlength=slots) for k in (0, 1)]
-        # a term must be in enough rows and differ between the labels by more than chance would have it
+        # a term must be in enough rows, and differ between the labels by more than chance would have it, alone or with another
         odds = [np.log((n + 0.5) / (max(1, (labels == k).sum()) + 1.0)) for k, n in enumerate(with_term)]
         self.seen = (with_term[0] + with_term[1] >= least) & (np.abs(odds[1] - odds[0]) >= LEAST_Z * np.sqrt(1 / (with_term[0] + 0.5) + 1 / (with_term[1] + 0.5)))
-        rows = [r[self.seen[r]] for r in rows]
         share = labels.mean() if len(labels) else 0.0
+        if 0 < share < 1:
+            self.seen[telling_pairs(rows, labels, with_term[0] + with_term[1])] = True
+        rows = [r[self.seen[r]] for r in rows]
         if not 0 < share < 1:
             self.bias, self.seen[:] = (-30.0 if share == 0 else 30.0), False
             return self
@@ -130,7 +165,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_label: i
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("label").alias("label"))
     parts = [known.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label) for k in (0, 1)]
-    return texts(docs).join(F.broadcast(parts[0].unionByName(parts[1])), "doc_id")
+    return one_row_each(texts(docs).join(F.broadcast(parts[0].unionByName(parts[1])), "doc_id"))
+
+
+def one_row_each(rows: DataFrame) -> DataFrame:
+    """Of rows (doc_id, text, ...) of a bounded sample of ids, one for each id: that of the least text, chosen before the shuffle as well."""
+    others = [c for c in rows.columns if c not in ("doc_id", "text")]
+    best = rows.groupBy("doc_id").agg(F.min(F.struct("text", *others)).alias("__row"))
+    return best.select("doc_id", *[F.col(f"__row.{c}").alias(c) for c in ("text", *others)])
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> FactorizationMachine:
@@ -167,7 +209,6 @@ def scored(docs: DataFrame, machine: FactorizationMachine, threshold: float = TH
     model = docs.sparkSession.sparkContext.broadcast(machine)  # of a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()
         score = text_scorer(model.value)()
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([score(t.as_py()) for t in batch.column(1)], pa.float64())], ["doc_id", "score"])
@@ -183,7 +224,6 @@ def without_toxic(docs: DataFrame, machine: FactorizationMachine, threshold: flo
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()
         score = text_scorer(model.value)()
         for batch in batches:
             yield batch.filter(pa.array([score(t.as_py() or "") < threshold for t in batch.column(at)], pa.bool_()))

@@ -61,16 +61,18 @@ def test_a_query_far_from_a_million_codes():
         assert [(x, d) for i, x, d in got if i == q] == [(int(i), int(far[i])) for i in np.lexsort((np.arange(len(codes)), far))[:3]]
 
 
-def test_toxicity_on_held_out_rows(spark):
+@pytest.mark.parametrize("toxic", [lambda a, b: a and b, lambda a, b: a != b], ids=["both", "exactly one"])
+def test_toxicity_on_held_out_rows(spark, toxic):
+    """Neither word tells anything alone where exactly one of them is toxic."""
     rng = random.Random(2)
-    insults, groups = ["clod", "oaf"], ["gulls", "terns"]
+    insults, groups = (["clod", "oaf"], ["gulls", "terns"]) if toxic(True, True) else (["clod"], ["gulls"])
     filler = [f"w{i}" for i in range(300)]
     rows = []
     for k in range(1500):
         words = [rng.choice(filler) for _ in range(25)]
         a, b = rng.random() < 0.5, rng.random() < 0.5
         words[3:3] = [rng.choice(insults)] * a + [rng.choice(groups)] * b
-        rows.append((k, " ".join(words), int(a and b)))
+        rows.append((k, " ".join(words), int(toxic(a, b))))
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     machine = toxicity.fit_toxicity(df, df)
     got = {r.doc_id: r for r in toxicity.scored(df, machine).collect()}
@@ -81,6 +83,28 @@ def test_toxicity_on_held_out_rows(spark):
     assert all((r.score >= 0.7) == (r.predicted == 1) for r in got.values())
 
 
+def test_telling_pairs_by_force():
+    rng = np.random.default_rng(5)
+    x = rng.random((400, 30)) < 0.4
+    y = (x[:, 3] ^ x[:, 17]).astype(np.float32)
+    rows = [np.flatnonzero(r).astype(np.int32) for r in x]
+    told = set()
+    for i in range(30):
+        for j in range(i):
+            n = [[((x[:, i] == a) & (x[:, j] == b) & (y == k)).sum() + 0.5 for k in (0, 1)] for a, b in ((1, 1), (1, 0), (0, 1), (0, 0))]
+            odds = [math.log(c[1] / c[0]) for c in n]
+            if abs(odds[0] - odds[1] - odds[2] + odds[3]) / math.sqrt(sum(1 / c for r in n for c in r)) >= 5:
+                told |= {i, j}
+    assert set(toxicity.telling_pairs(rows, y, x.sum(0), block=7).tolist()) == told == {3, 17}
+
+
+def test_samples_have_one_row_for_each_id(spark):
+    df = spark.createDataFrame([(1, f"t{k}", 1) for k in range(50)] + [(2, None, 1), (3, "x", 0)], "doc_id long, text string, toxic int")
+    got = toxicity.labelled_sample(df, df.union(df), "toxic", 10).collect()
+    assert sorted(tuple(r) for r in got if r.doc_id == 1) in ([], [(1, "t0", 1)]) and len(got) == len({r.doc_id for r in got})
+    assert len(got) == sum(zlib.crc32(str(k).encode()) % 3 != 1 for k in (1, 2, 3))
+
+
 def test_toxicity_of_odd_tables(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(k, int(k % 5 == 0)) for k in range(1, 80)] + [(1, 1), (None, 1), (2, None)], "doc_id long, toxic int")
     machine = toxicity.fit_toxicity(odd_docs, labels)
