@@ -6,13 +6,12 @@ labelled rows. Then, round by round, each labels the texts of a bounded unlabell
 are calibrated on labelled rows kept apart, and a logistic combination of the two calibrated views scores every text whole.
 
 Defined results: a null text is the empty text; null metadata is a value of its own, as is that of a missing column. Without labels of both kinds every score is 1: nothing is known
-against any text. Repeated rows give repeated results; of differing labels of one id the larger counts. Labelled rows that `held_out`
-sets apart are never learnt from.
+against any text. Repeated rows give repeated results; of differing labels of one id the larger counts, and of differing rows of one id one is learnt from. Labelled rows that `held_out`
+sets apart are never learnt from, nor are they in the pool.
 """
 
 from __future__ import annotations
 
-import gc
 import re
 import zlib
 from collections import Counter
@@ -25,13 +24,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import reachable, table
-from .toxicity import held_out
+from .toxicity import held_out, one_row_each
 
 #: Labelled rows of each kind, and unlabelled rows of the pool, that are learnt from at most: those with the smallest hashes of ids.
 SAMPLE_PER_LABEL, POOL = 2000, 4000
 #: Rounds of co-training, and texts that a view labels in each as good and as bad, at most.
-ROUNDS, SURE_GOOD, SURE_BAD, SURE = 4, 150, 150, 0.95
-SHAPES, RIDGE, THRESHOLD = 192, 1.0, 0.2
+ROUNDS, SURE_GOOD, SURE_BAD, SURE = 4, 150, 50, 0.99
+SHAPES, RIDGE, THRESHOLD = 192, 1.0, 0.3
 METADATA = ("lang", "source")
 _LOWER, _UPPER, _DIGITS, _SIGNS = re.compile(r"[^\W\d_A-Z]+"), re.compile(r"[A-Z]{2,}"), re.compile(r"\d+"), re.compile(r"([^\w\s])\1+")
 
@@ -171,10 +170,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_
     may = known.where(~held_out(F.col("doc_id")))
     parts = [may.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label) for k in (0, 1)]
     sample = parts[0].unionByName(parts[1])
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
-    others = ids.orderBy(F.xxhash64("doc_id", F.lit("pool")), "doc_id").limit(pool).join(known.select("doc_id"), "doc_id", "left_anti").withColumn("label", F.lit(-1))
-    # a bounded number of ids
-    rows = _slim(docs).join(F.broadcast(sample.unionByName(others)), "doc_id")
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().join(known.select("doc_id"), "doc_id", "left_anti")
+    others = ids.orderBy(F.xxhash64("doc_id", F.lit("pool")), "doc_id").limit(pool).withColumn("label", F.lit(-1))
+    # a bounded number of ids, and one row of each
+    rows = one_row_each(_slim(docs).withColumn("text", F.coalesce("text", F.lit(""))).join(F.broadcast(sample.unionByName(others)), "doc_id"))
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shapes = _Shapes()
@@ -207,7 +206,6 @@ def scored(docs: DataFrame, model: CoTrained, threshold: float = THRESHOLD) -> D
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()
         score = _batch_scorer(shared.value)
         for batch in batches:
             meta = list(zip(*[batch.column(2 + k).to_pylist() for k in range(len(METADATA))], strict=True))
@@ -224,7 +222,6 @@ def with_quality(docs: DataFrame, model: CoTrained, threshold: float = THRESHOLD
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()
         score = _batch_scorer(shared.value)
         for batch in batches:
             value = lambda v: None if v is None else str(v)
