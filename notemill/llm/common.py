@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -33,13 +34,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's spark.checkpoint.dir.
 
-    Where the session names none (tests on one machine) a folder of this machine's own is set.
+    Where the session names none and runs on one machine (tests), a folder of this machine's own is set; on a cluster that is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not folder:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = jdir.get() if jdir.isDefined() else ""
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="notemill-")
         spark.sparkContext.setCheckpointDir(folder)
     elif not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -83,10 +86,20 @@ def rows_with_ids(rows: DataFrame, ids: DataFrame, how: str = "left_semi", most:
     return rows.join(F.broadcast(ids) if few else ids, "doc_id", how)
 
 
+#: Parts that the rows of a key are dealt in where the key may be that of most rows.
+SALTS = 16
+
+
+def to_salts(df: DataFrame) -> DataFrame:
+    """df with a row for each salt."""
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(id, class_id): for each id in edges (a, b), the smallest id that it is connected with.
 
-    Each round takes the smallest label among a node and its neighbours and then the label of that label, until none changes.
+    Each round takes the smallest label among a node and its neighbours and then the label of that label, until none changes. Only labels that have changed themselves are looked up, and they are sent to
+    every salt, as a label may be that of most nodes.
     Every round's labels are written to the shared folder, so lineage stays short and lost executors cost one round.
     """
     both = kept(edges.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("id"), F.col("a").alias("other"))).distinct(), name)
@@ -94,8 +107,9 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     while True:
         near = both.join(labels.select(F.col("id").alias("other"), F.col("class_id").alias("c")), "other").groupBy("id").agg(F.min("c").alias("c"))
         best = labels.join(near, "id").select("id", "class_id", F.least("class_id", "c").alias("c"))
-        jump = labels.select(F.col("id").alias("c"), F.col("class_id").alias("d"))
-        new = kept(best.join(jump, "c").select("id", F.least("c", "d").alias("class_id"), (F.least("c", "d") != F.col("class_id")).alias("changed")), name)
+        jump = labels.select(F.col("id").alias("c"), F.col("class_id").alias("d")).where("d < c").join(best.select("c").distinct(), "c")
+        salted = best.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(to_salts(jump), ["c", "salt"], "left")
+        new = kept(salted.select("id", F.least("c", "d").alias("class_id"), (F.least("c", "d") != F.col("class_id")).alias("changed")), name)
         done = new.where("changed").limit(1).count() == 0
         dropped(labels)
         labels = new.select("id", "class_id")

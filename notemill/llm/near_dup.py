@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, kept, rows_with_ids, table, texts
+from .common import SALTS, components, kept, rows_with_ids, table, texts, to_salts
 
 WORDS, THRESHOLD = 5, 0.8
 #: 32 bands of 4: two texts of similarity 0.8 share none with a probability of 5e-8.
@@ -230,7 +230,10 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) ->
 
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     rows = rows_with_ids(texts(docs), kept(ids, "paired"))
-    both = pairs.join(rows.select(F.col("doc_id").alias("a"), F.col("text").alias("left")), "a").join(rows.select(F.col("doc_id").alias("b"), F.col("text").alias("right")), "b")
+    both = pairs
+    for own, name in (("a", "left"), ("b", "right")):
+        text = rows.select(F.col("doc_id").alias(own), F.col("text").alias(name))
+        both = both.join(text, own)  # a leader is in many pairs: adaptive execution splits its partition, as the other side has few rows for it
     return both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long").distinct()
 
 
@@ -251,10 +254,15 @@ def bucketed(signed: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
     return two.unionByName(each).where("a < b").distinct(), kept(large.select("bucket", "rep").join(rank, "rep"), "large")
 
 
+def by_salt(df: DataFrame, column: str) -> DataFrame:
+    """df with a salt from a hash of column."""
+    return df.withColumn("salt", F.pmod(F.xxhash64(column), F.lit(SALTS)).cast("int"))
+
+
 def stars(members: DataFrame) -> DataFrame:
     """(a, b): each of members (bucket, rep, rank) with the bucket's member of the highest rank (the smallest id of equal ones)."""
     leaders = members.groupBy("bucket").agg(F.max(F.struct("rank", (-F.col("rep")).alias("r"))).alias("m")).select("bucket", (-F.col("m.r")).alias("leader"))
-    return members.join(leaders, "bucket").where("rep <> leader").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
+    return by_salt(members, "rep").join(to_salts(leaders), ["bucket", "salt"]).where("rep <> leader").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
 
 
 def texts_shingled(docs: DataFrame) -> DataFrame:
@@ -353,7 +361,7 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, small: int = SMA
     # large buckets that hold several components: all pairs across components that can be links
     placed = kept(large.join(classes.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("class_id", "rep").alias("c")), "placed")
     mixed = placed.groupBy("bucket").agg(F.min("c").alias("least"), F.max("c").alias("last")).where("least < last").select("bucket")
-    apart = kept(placed.join(mixed, "bucket").select("rep", "c").distinct(), "apart")
+    apart = kept(by_salt(placed, "rep").join(to_salts(mixed), ["bucket", "salt"]).select("rep", "c").distinct(), "apart")
     if apart.limit(1).count():
         more = kept(verified(kept(across(apart, docs, threshold), "pairs"), docs, threshold), "more")
         if more.limit(1).count():

@@ -5,8 +5,8 @@ one of its clusters of copies. A document goes to the tightest bin that holds it
 successor of its size and goes on to the next bin until one is compatible; if none is, a new bin is opened. A document longer than a bin fills bins of its own, and
 what is left of it is packed like any other.
 
-Packing is done in shards of about SHARD_ROWS documents, dealt by a hash of doc_id, so that a hot source or cluster is dealt evenly and a
-shard's size stays the same whatever the input's. Only ids, sizes, sources and clusters move, no texts.
+Packing is done in shards of about SHARD_ROWS documents, dealt by a hash of all that is known of a document and of which of its equal rows it is, so that a hot source, cluster or id is dealt evenly and a
+shard's size stays the same whatever the input's. Equal rows are counted before they are dealt. Only ids, sizes, sources and clusters move, no texts.
 
 Defined results: a null text is empty; empty texts have no tokens and still get a bin. A null source is a source, and a null doc_id an id, like any
 other. Repeated rows are packed one by one, and as members of one cluster into different bins. Ties in size go by doc_id, then source, then cluster.
@@ -69,7 +69,9 @@ def packed(rows: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_RO
     reachable(rows.sparkSession)
     shards = max(1, -(-rows.count() // shard_rows))
     dealt = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("cluster").cast("long").alias("cluster"), F.col("n_tokens").cast("long").alias("n_tokens"))
-    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
+    equal = dealt.groupBy(*dealt.columns).agg(F.count(F.lit(1)).alias("n"))
+    dealt = equal.select(*dealt.columns, F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("copy"))
+    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64(*dealt.columns), F.lit(shards))).drop("copy")
 
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by([("n_tokens", "descending"), ("doc_id", "ascending"), ("source", "ascending"), ("cluster", "ascending")])

@@ -186,7 +186,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_
 
     got = rows.mapInArrow(featured, "doc_id long, label int, content array<double>, metadata array<double>").toArrow().sort_by("doc_id")
     label = got.column("label").to_numpy()
-    views = [got.column(c).combine_chunks().flatten().to_numpy().reshape(len(label), -1) for c in ("content", "metadata")]
+    views = [got.column(c).combine_chunks().flatten().to_numpy().reshape(len(label), -1 if len(label) else 1) for c in ("content", "metadata")]
     learn = label >= 0
     return CoTrained().fit([v[learn] for v in views], label[learn].astype(float), [v[~learn] for v in views])
 

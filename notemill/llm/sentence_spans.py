@@ -1,8 +1,9 @@
 """Substring deduplication by sliding spans of sentences (operator 7).
 
-A text is cut into sentences: at a full stop, question or exclamation mark with white space after it, and at line ends. From each sentence forwards, and up to each
-sentence backwards, the shortest run is taken that has several sentences (two at least) and LEAST_WORDS words, or that is one sentence of
-LONG_SENTENCE words. Each run is hashed (lower case, white space as one space). The hashes are joined globally: a run's first place is the
+A text is cut into sentences: at a full stop, question or exclamation mark with white space after it, and at line ends. Runs of several consecutive sentences with LEAST_WORDS words at least count, and so does a
+sentence of LONG_SENTENCE words by itself; shorter runs ("Yes. No.") stand in many texts by chance. From each sentence forwards, and up to each
+sentence backwards, the shortest run that counts is hashed to 128 bits (lower case, white space as one space). These cover every longer run: where one of those is repeated, so are the
+shortest ones in it, the first from its first sentence on and the last up to its last. The hashes are joined globally: a run's first place is the
 smallest doc_id that has it, and within a document its first position. Every sentence that a run at any other place covers is removed; what is left keeps its
 characters as they were, white space included.
 
@@ -11,7 +12,7 @@ costs as much as any other. Repeats within one document are found where the docu
 
 Defined results: a null text is the empty text and stays empty. Rows of equal doc_id are one document: only repeats within each row, or of documents
 with smaller ids, are removed from them. Rows without doc_id neither lend nor lose sentences to others. Columns other than the
-id and the text are ignored (drop_repeats keeps them).
+id and the text are ignored (drop_repeats keeps them; its counts take the place of columns that have their names).
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import BROADCAST_IDS, kept, reachable, table
 
@@ -37,7 +39,7 @@ def sentences(text: str) -> list[str]:
     return _SENTENCE.findall(text)
 
 
-def runs(parts: list[str], least: int = LEAST_WORDS, long: int = LONG_SENTENCE) -> list[tuple[int, int, int]]:
+def runs(parts: list[str], least: int = LEAST_WORDS, long: int = LONG_SENTENCE) -> list[tuple[bytes, int, int]]:
     """(hash, first, last) of the runs of a text's sentences, each once."""
     words = [p.lower().split() for p in parts]
     at = [k for k, w in enumerate(words) if w]  # sentences that aren't only white space
@@ -68,14 +70,14 @@ def runs(parts: list[str], least: int = LEAST_WORDS, long: int = LONG_SENTENCE)
         if first < 0:
             break
         spans.add((first, last))
-    digest = xxhash.xxh3_64_intdigest
-    return [(digest(" ".join(lines[a : b + 1]).encode("utf-8", "surrogatepass")) - (1 << 63), at[a], at[b]) for a, b in sorted(spans)]
+    digest = xxhash.xxh3_128_digest
+    return [(digest(" ".join(lines[a : b + 1]).encode("utf-8", "surrogatepass")), at[a], at[b]) for a, b in sorted(spans)]
 
 
-def without(parts: list[str], found: list[tuple[int, int, int]], elsewhere: set[int]) -> list[bool]:
+def without(parts: list[str], found: list[tuple[bytes, int, int]], elsewhere: set[bytes]) -> list[bool]:
     """For each sentence, whether a run covers it that stands elsewhere before, or earlier in this text."""
     gone = [False] * len(parts)
-    seen: set[int] = set()
+    seen: set[bytes] = set()
     for h, a, b in found:
         if h in elsewhere or h in seen:
             gone[a : b + 1] = [True] * (b + 1 - a)
@@ -89,9 +91,9 @@ def repeated_runs(docs: DataFrame, least: int = LEAST_WORDS, long: int = LONG_SE
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashes = [list({h for h, _, _ in runs(sentences(t.as_py() or ""), least, long)}) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.list_(pa.int64()))], ["doc_id", "runs"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.list_(pa.binary()))], ["doc_id", "runs"])
 
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, runs array<long>")
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, runs array<binary>")
     each = kept(rows, "runs").select("doc_id", F.explode("runs").alias("run"))
     shared = kept(each.groupBy("run").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("run", "first"), "shared")
     few = shared.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
@@ -99,27 +101,35 @@ def repeated_runs(docs: DataFrame, least: int = LEAST_WORDS, long: int = LONG_SE
     return later.groupBy("doc_id").agg(F.collect_set("run").alias("repeated"))  # at most a document's own runs
 
 
-def drop_repeats(docs: DataFrame, least: int = LEAST_WORDS, long: int = LONG_SENTENCE) -> DataFrame:
-    """docs with its columns, their texts without repeated runs, and with n_sentences and n_removed."""
+def drop_repeats(docs: DataFrame, least: int = LEAST_WORDS, long: int = LONG_SENTENCE, counts: bool = True) -> DataFrame:
+    """docs with its columns, their texts without repeated runs, and with n_sentences and n_removed if counts."""
     reachable(docs.sparkSession)
-    found = repeated_runs(docs, least, long).withColumnRenamed("doc_id", "__id").withColumnRenamed("repeated", "__repeated")
-    rows = docs.join(found, F.col("doc_id") == F.col("__id"), "left").drop("__id")
-    at, names = docs.columns.index("text"), [*docs.columns, "n_sentences", "n_removed"]
+    docs = docs.drop("n_sentences", "n_removed") if counts else docs
+    own, repeated = (_unused(name, docs.columns) for name in ("own_id", "own_runs"))
+    found = repeated_runs(docs, least, long).select(F.col("doc_id").alias(own), F.col("repeated").alias(repeated))
+    rows = docs.join(found, docs["doc_id"].cast("long") == found[own], "left").drop(own)
+    at, names = docs.columns.index("text"), [*docs.columns, *["n_sentences", "n_removed"] * counts]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, n, removed = [], [], []
-            for text, repeated in zip(batch.column(at), batch.column(len(names) - 2), strict=True):
+            for text, gone_runs in zip(batch.column(at), batch.column(batch.num_columns - 1), strict=True):
                 parts = sentences(text.as_py() or "")
-                gone = without(parts, runs(parts, least, long), set(repeated.as_py() or ()))
+                gone = without(parts, runs(parts, least, long), set(gone_runs.as_py() or ()))
                 left.append("".join(p for p, g in zip(parts, gone, strict=True) if not g))
                 n.append(len(parts))
                 removed.append(sum(gone))
             columns = [pa.array(left, pa.string()) if k == at else c for k, c in enumerate(batch.columns[:-1])]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(removed, pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([*columns, *[pa.array(c, pa.int64()) for c in (n, removed) if counts]], names)
 
-    schema = docs.schema
-    return rows.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", n_sentences long, n_removed long")
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(c, T.LongType()) for c in ("n_sentences", "n_removed") if counts]])
+    return rows.mapInArrow(run, schema)
+
+
+def _unused(name: str, columns: list[str]) -> str:
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
 
 
 def op7_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from notemill.llm import near_dup, packing, quality, sentence_spans, toxicity
-from notemill.llm.common import components
+from notemill.llm.common import components, kept
 from notemill.llm.hamming_search import OP2_SQL, nearest, op2_hamming_top_k, sign_code, top_k
 from tests.oracle import assert_same
 
@@ -196,20 +196,68 @@ def test_packed_table(odd_docs, no_docs):
     for r in got:
         fill[r.bin_id] += r.n_tokens
     assert max(fill.values()) <= 100
+    members = defaultdict(set)
+    for r in got:
+        members[r.bin_id].add(r.doc_id)
+    of = defaultdict(set)
+    for r in sized.collect():
+        of[r.doc_id].add((r.source, r.cluster))
+    for ids in members.values():
+        one = [next(iter(of[i])) for i in ids if len(of[i]) == 1]
+        assert len({s for s, _ in one}) == len({c for _, c in one}) == len(one)  # no two of a source or cluster in a bin
     assert packing.packed(packing.measured(no_docs)).collect() == []
 
 
+def test_packed_rows_without_ids_are_dealt_evenly(spark, no_docs):
+    df = spark.range(9000).select(F.lit(None).cast("long").alias("doc_id"), F.when(F.col("id") % 3 == 0, "s").otherwise(F.col("id").cast("string")).alias("source"), F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id")).alias("cluster"), F.lit(5).alias("n_tokens"))
+    got = packing.packed(df, shard_rows=1000)
+    shards = {r.shard: r["count"] for r in got.groupBy(F.shiftright("bin_id", 32).alias("shard")).count().collect()}
+    assert sum(shards.values()) == 9000 and len(shards) == 9 and max(shards.values()) < 1200
+
+
+def cut_by_hand(text):
+    """Sentences, character by character: they end with the white space after a stop, or with a line."""
+    out, now, at = [], "", 0
+    while at < len(text):
+        now += text[at]
+        stop = text[at] in ".!?" and at + 1 < len(text) and text[at + 1].isspace() and "\n" not in now
+        if stop or text[at] == "\n" or at + 1 < len(text) and text[at + 1] == "\n" and now.strip("\n"):
+            while at + 1 < len(text) and text[at + 1].isspace():
+                at += 1
+                now += text[at]
+            out.append(now)
+            now = ""
+        at += 1
+    return [*out, now] if now else out
+
+
+def runs_by_hand(parts):
+    """(text, sentences) of every shortest run that counts, from each sentence on and up to each."""
+    words = [(k, p.lower().split()) for k, p in enumerate(parts) if p.split()]
+    size = lambda a, b: sum(len(w) for _, w in words[a : b + 1])
+    counts = lambda a, b: size(a, b) >= (40 if a == b else 20)
+    n = len(words)
+    found = set()
+    for k in range(n):
+        found.add(next(((k, b) for b in range(k, n) if counts(k, b)), None))
+        found.add(next(((a, k) for a in range(k, -1, -1) if counts(a, k)), None))
+    return [(" ".join(x for _, w in words[a : b + 1] for x in w), range(words[a][0], words[b][0] + 1)) for a, b in sorted(found - {None})]
+
+
 def spans_by_force(rows):
     first = {}
-    found = {k: sentence_spans.runs(sentence_spans.sentences(t or "")) for k, t in rows}
-    for k, r in found.items():
-        for h, _, _ in r:
-            first[h] = min(first.get(h, k), k)
+    cut = {k: cut_by_hand(t or "") for k, t in rows}
+    for k, parts in cut.items():
+        for text, _ in runs_by_hand(parts):
+            first[text] = min(first.get(text, k), k)
     out = {}
-    for k, t in rows:
-        parts = sentence_spans.sentences(t or "")
-        gone = sentence_spans.without(parts, found[k], {h for h, _, _ in found[k] if first[h] < k})
-        out[k] = "".join(p for p, g in zip(parts, gone, strict=True) if not g)
+    for k, parts in cut.items():
+        gone, seen = set(), set()
+        for text, covered in runs_by_hand(parts):
+            if first[text] < k or text in seen:
+                gone |= set(covered)
+            seen.add(text)
+        out[k] = "".join(p for i, p in enumerate(parts) if i not in gone)
     return out
 
 
@@ -223,6 +271,25 @@ def test_sentence_spans(odd_docs, no_docs):
     assert sentence_spans.drop_repeats(no_docs).collect() == []
 
 
+def test_sentence_spans_of_clashing_columns(odd_docs):
+    clash = odd_docs.select("*", *[F.lit(7).alias(c) for c in ("n_sentences", "n_removed", "own_id", "own_runs", "__id", "repeated", "run", "first")])
+    plain = {r.doc_id: (r.text, r.n_sentences, r.n_removed) for r in sentence_spans.drop_repeats(odd_docs).collect()}
+    assert {r.doc_id: (r.text, r.n_sentences, r.n_removed) for r in sentence_spans.drop_repeats(clash).collect()} == plain
+    kept = sentence_spans.drop_repeats(clash, counts=False)
+    assert kept.columns == clash.columns
+    assert {r.doc_id: (r.text, r.n_sentences) for r in kept.collect()} == {k: (t, 7) for k, (t, *_) in plain.items()}
+
+
+def test_a_repeated_longer_run_is_gone_whole(spark):
+    rng = random.Random(12)
+    sentence = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n)) + ". "
+    for _ in range(5):
+        shared = "".join(sentence(rng.choice([1, 2, 5, 12, 45])) for _ in range(8)) + sentence(20)
+        texts = [sentence(9) + shared + sentence(7), sentence(6) + sentence(30) + shared + sentence(8)]
+        got = sentence_spans.drop_repeats(spark.createDataFrame(enumerate(texts), "doc_id long, text string"))
+        assert {r.doc_id: r.text for r in got.collect()} == {0: texts[0], 1: texts[1].replace(shared, "")}
+
+
 def test_sentences_lose_nothing_and_runs_reach_the_ends():
     rng = random.Random(6)
     for _ in range(300):
@@ -405,5 +472,21 @@ def test_pipeline(spark, sf):
     assert p.run(spark, sf).count() == stages["best-fit packing"].count()
 
 
+@pytest.mark.parametrize("kind", ["odd", "empty"])
+def test_pipeline_of_odd_documents(spark, odd_docs, no_docs, tmp_path, kind):
+    import corpus_pipeline as p
+
+    docs = (odd_docs if kind == "odd" else no_docs).select("*", *[F.lit(7).alias(c) for c in ("n_sentences", "label", "__row", "class", "toxic", "quality")])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(k, int(k % 4 != 0), int(k % 5 == 0)) for k in range(1, 80)] + [(None, 1, 1), (3, None, None)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    seen = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in p.STAGES[:4]:
+        seen = kept(stage(spark, seen, str(tmp_path)), "odd")
+        assert seen.columns == docs.columns, name
+    n = p.run(spark, str(tmp_path)).count()
+    assert n > 0 if kind == "odd" else n == 0
+
+
 def near_dup_classes(df):
     return {r.doc_id: r.class_id for r in near_dup.near_classes(df).collect()}
