@@ -13,6 +13,7 @@ MEMO_ENTITIES = (("&amp;#x20;", " "), ("&#x20;", " "), ("&amp;", "&"), ("&lt;",
 CHARS_PER_TOKEN = 4
 HEAD_SHARE, TAIL_SHARE = 0.7, 0.3
 SENTENCE_SHARE = 0.6
+TRANSCRIPT_MOST = 15_000
 RATE_DELAY_DEFAULT, RATE_DELAY_LEAST = 4000, 1000
 
 
@@ -155,6 +156,11 @@ def summary_action(summary: Column, transcript: Column, short: int = 500, long:
     return F.when(F.coalesce(transcript, F.lit("")) == "", "keep").when(n < short, "generate").when(n >= long, "skip").otherwise("enhance")
 
 
+def capped_transcript(transcript: Column, most: int = TRANSCRIPT_MOST) -> Column:
+    """PRJ-2: what of a transcript is put in a prompt."""
+    return F.substring(transcript, 1, most)
+
+
 def allowed_host(url: Column, hosts: tuple[str, ...]) -> Column:
     """FLT-1: whether the URL's host is exactly one of hosts; false for what isn't a URL."""
     return F.coalesce(F.lower(F.try_parse_url(url, F.lit("HOST"))).isin(*hosts), F.lit(False))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 from typing import Any, Protocol
 
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 BREAK_AFTER, JSON_ATTEMPTS = 3, 3
 RATE_LIMIT_WAIT_S, OVERLOAD_WAIT_S = 65.0, 8.0
 CHUNK_FROM, CHUNK_TO = 0.8, 0.6
-INPUT_LIMITS = {"gemini": 1_000_000, "claude": 200_000, "openai": 128_000, "ollama": 8_192}
+CHARS_PER_TOKEN = 4
 
 
 def until_break(calls: DataFrame, key: str, order: str, limited: str = "rate_limit", success: str = "success", after: int = BREAK_AFTER) -> DataFrame:
@@ -50,6 +50,8 @@ class Provider(Protocol):
 
     max_input_tokens: int
 
+    def estimate_tokens(self, text: str) -> int: ...
+
     def generate_text(self, prompt: str, system: str = "") -> str: ...
 
     def generate_multimodal(self, prompt: str, images: list[bytes], system: str = "") -> str: ...
@@ -70,6 +72,9 @@ class OfflineProvider:
     max_input_tokens: int = 8192
     words: int = 24
 
+    def estimate_tokens(self, text: str) -> int:
+        return -(-len(text) // CHARS_PER_TOKEN)
+
     def generate_text(self, prompt: str, system: str = "") -> str:
         digest = hashlib.sha1(f"{system}\0{prompt}".encode()).hexdigest()[:8]
         return f"{' '.join(prompt.split()[: self.words])} #{digest}"
@@ -138,27 +143,75 @@ class RotatingKeys:
         raise RateLimited
 
 
-def generated(prompts: DataFrame, model: Provider, id_cols: list[str], prompt_col: str = "prompt") -> DataFrame:
-    """SRC-10: (ids, answer, error): one call for each row, in batches; a failing call is an error in its row and doesn't fail the task, so a retried task repeats few calls.
-
-    The result should be written before it is used twice: answers needn't be the same when asked for again.
+def generated(
+    prompts: DataFrame,
+    model: Provider | Callable[[str], Provider],
+    id_cols: list[str],
+    prompt_col: str = "prompt",
+    images_col: str | None = None,
+    validate: Callable[[Any], Any] | None = None,
+    keys: Sequence[str] = (),
+    delay_s: float = 4.0,
+) -> DataFrame:
+    """SRC-10, SRC-11: (ids, answer, error, wall_ms): one call for each row, in batches; a failing call is an error in its row and doesn't fail the task, so a retried task repeats few calls.
+
+    images_col is an array of bytes that goes with the prompt. validate makes the answer a checked one, kept as JSON (EXT-4). With keys, model makes a provider from a key, and a worker's calls rotate
+    among them (EXT-6). The result should be written before it is used twice: answers needn't be the same when asked for again.
     """
     types = {c: prompts.schema[c].dataType.simpleString() for c in id_cols}
+    images = [images_col] if images_col else []
+
+    def answer(own: Provider, prompt: str, pictures: list[bytes]) -> str:
+        if validate is not None:
+            return json.dumps(generate_json(own, prompt, validate), ensure_ascii=False)
+        return own.generate_multimodal(prompt, pictures) if pictures else own.generate_text(prompt)
 
     def run(batches: Iterator[Any]) -> Iterator[Any]:
+        rotating = RotatingKeys(list(keys), delay_s) if keys else None
         for frame in batches:
-            answers: list[str | None] = []
-            errors: list[str | None] = []
-            for p in frame[prompt_col]:
+            out: list[tuple[str | None, str | None, int]] = []
+            for p, pictures in zip(frame[prompt_col], frame[images_col] if images_col else [None] * len(frame), strict=True):
+                began = time.monotonic()
+                ask = lambda own, p=p, x=pictures: answer(own, p or "", [bytes(b) for b in x] if x is not None else [])
                 try:
-                    answers.append(with_retry(lambda p=p: model.generate_text(p or "")))
-                    errors.append(None)
+                    text, error = (rotating.call(lambda key, ask=ask: ask(model(key))) if rotating else with_retry(lambda ask=ask: ask(model))), None
                 except Exception as e:  # an error of the model is data
-                    answers.append(None)
-                    errors.append(str(e))
-            yield frame[id_cols].assign(answer=answers, error=errors)
+                    text, error = None, str(e) or type(e).__name__
+                out.append((text, error, int(1000 * (time.monotonic() - began))))
+            answers, errors, took = zip(*out, strict=True) if out else ((), (), ())
+            yield frame[id_cols].assign(answer=list(answers), error=list(errors), wall_ms=list(took))
 
-    return prompts.select(*id_cols, prompt_col).mapInPandas(run, ", ".join(f"`{c}` {t}" for c, t in types.items()) + ", answer string, error string")
+    return prompts.select(*id_cols, prompt_col, *images).mapInPandas(run, ", ".join(f"`{c}` {t}" for c, t in types.items()) + ", answer string, error string, wall_ms long")
+
+
+def slide_run(prompts: DataFrame, model: Provider | Callable[[str], Provider], deck: str = "deck_id", slide: str = "slide_num", **how: Any) -> tuple[DataFrame, DataFrame]:
+    """The run over decks' slides: (slides, totals).
+
+    slides: (deck, slide, answer, error, outcome, wall_ms), up to the call that breaks a deck's run (WIN-3). totals (AGG-14): (deck, n_slides, errors: array of slide and reason,
+    per_slide_wall_time_ms in order, total_wall_time_ms). Calls of one deck may run in different tasks, so a deck's break hides what came after it and saves no calls. Both are read from what slides is made
+    of: write prompts' answers first (generated) where the model isn't deterministic.
+    """
+    from notemill.functions.text import error_kind
+
+    said = generated(prompts, model, [deck, slide], **how)
+    said = said.withColumn("outcome", F.when(F.col("error").isNull(), "success").otherwise(error_kind(F.col("error"))))
+    slides = until_break(said, deck, slide).drop("stopped")
+    in_order = lambda x, on=None: F.transform(F.sort_array(F.collect_list(F.struct(slide, x.alias("x")) if on is None else F.when(on, F.struct(slide, x.alias("x"))))), lambda s: s)
+    totals = slides.groupBy(deck).agg(
+        F.count("answer").cast("int").alias("n_slides"),
+        F.transform(in_order(F.col("error"), F.col("error").isNotNull()), lambda s: F.struct(s[slide].alias("slide_num"), s["x"].alias("reason"))).alias("errors"),
+        F.transform(in_order(F.col("wall_ms")), lambda s: s["x"]).alias("per_slide_wall_time_ms"),
+        F.sum("wall_ms").alias("total_wall_time_ms"),
+    )
+    return slides, totals
+
+
+def observed(rows: DataFrame, name: str) -> tuple[DataFrame, Any]:
+    """EXT-8: rows, and an observation of how many were made and failed (column error), which is there when an action on rows has run."""
+    from pyspark.sql import Observation
+
+    seen = Observation(name)
+    return rows.observe(seen, F.count(F.lit(1)).alias("done"), F.count("error").alias("failed")), seen
 
 
 def summarized(texts: DataFrame, model: Provider, key: str, text: str = "text", gap: str = "\n\n") -> DataFrame:

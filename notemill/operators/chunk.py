@@ -15,24 +15,35 @@ def chunks(text: Column, most: Column | int, paragraph: str = PARAGRAPH, sentenc
     """CHK-1: an array of chunks of at most so many tokens (a token is four characters; gaps don't count).
 
     Paragraphs are added while they fit; one that is too long by itself is added sentence by sentence, and a sentence that is too long is a chunk. A text that fits is
-    one chunk as it is; other chunks are trimmed. One fold over an array: no shuffle, no Python.
+    one chunk as it is; other chunks are trimmed. One fold over sizes finds where chunks begin, and texts are put together once: no shuffle, no Python.
     """
     most = F.lit(most) if isinstance(most, int) else most
     tokens = lambda x: F.ceil(F.length(x) / CHARS_PER_TOKEN)
     piece = lambda x, end: F.struct(x.alias("text"), tokens(x).alias("tokens"), F.lit(end).alias("gap"))
     pieces = F.flatten(F.transform(F.split(text, paragraph), lambda p: F.when(tokens(p) > most, F.transform(F.split(p, sentence), lambda s: piece(s, " "))).otherwise(F.array(piece(p, gap)))))
-    start = F.struct(F.lit("").alias("now"), F.lit(0).cast("long").alias("tokens"), F.array().cast("array<string>").alias("out"))
+    numbered = F.transform(pieces, lambda p, i: F.struct(i.alias("i"), p["tokens"].alias("tokens")))
+    start = F.struct(F.lit(0).cast("long").alias("tokens"), F.array(F.lit(0)).alias("begins"))
 
     def add(acc: Column, p: Column) -> Column:
-        full = (acc["tokens"] + p["tokens"] > most) & (acc["now"] != "")
-        return F.struct(
-            F.concat(F.when(full, F.lit("")).otherwise(acc["now"]), p["text"], p["gap"]).alias("now"),
-            (F.when(full, F.lit(0).cast("long")).otherwise(acc["tokens"]) + p["tokens"]).alias("tokens"),
-            F.when(full, F.concat(acc["out"], F.array(trimmed(acc["now"])))).otherwise(acc["out"]).alias("out"),
-        )
-
-    finish = lambda acc: F.when(trimmed(acc["now"]) != "", F.concat(acc["out"], F.array(trimmed(acc["now"])))).otherwise(acc["out"])
-    return F.when(tokens(text) <= most, F.array(text)).otherwise(F.aggregate(pieces, start, add, finish))
+        full = (acc["tokens"] + p["tokens"] > most) & (p["i"] > F.element_at(acc["begins"], -1))
+        return F.struct((F.when(full, F.lit(0).cast("long")).otherwise(acc["tokens"]) + p["tokens"]).alias("tokens"), F.when(full, F.concat(acc["begins"], F.array(p["i"]))).otherwise(acc["begins"]).alias("begins"))
+
+    def cut(acc: Column) -> Column:
+        begins = acc["begins"]
+        stop = lambda k: F.coalesce(F.get(begins, k + 1), F.size(pieces))
+        whole = lambda b, k: trimmed(F.array_join(F.transform(F.slice(pieces, b + 1, stop(k) - b), lambda p: F.concat(p["text"], p["gap"])), ""))
+        return F.transform(begins, whole)
+
+    made = F.transform(F.array(F.aggregate(numbered, start, add)), cut)
+    last = lambda a: F.when(F.element_at(a, -1) == "", F.slice(a, 1, F.size(a) - 1)).otherwise(a)
+    return F.when(tokens(text) <= most, F.array(text)).otherwise(F.get(F.transform(made, last), 0))
+
+
+def with_transcript(slides: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """JOIN-10: slides (deck_id, slide_num, ...) with the even slice of their deck's transcript (deck_id, transcript) that has their place; null where there is none."""
+    n = slides.groupBy("deck_id").agg(F.max("slide_num").alias("n"))
+    cut = transcripts.join(n, "deck_id").select("deck_id", F.posexplode(even_slices(F.col("transcript"), F.col("n"))).alias("__at", "slice"))
+    return slides.join(cut.select("deck_id", (F.col("__at") + 1).alias("slide_num"), "slice"), ["deck_id", "slide_num"], "left")
 
 
 def chunk_rows(docs: DataFrame, id_col: str, text_col: str, most: int, **how: str) -> DataFrame:

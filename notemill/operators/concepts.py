@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,48 +63,55 @@ def normalized_concepts(concepts: DataFrame, existing: DataFrame) -> DataFrame:
     return merged.join(related, ["subject", "name"], "left").withColumn("related_concepts", F.coalesce("__r", F.array().cast("array<string>"))).drop("__r")
 
 
-def updated_note(content: str, lecture: str, context: str | None, example: str | None, caution: str | None, related: Sequence[str] | None, labels: Labels = LABELS) -> str:
-    """MRG-2 for one note: the lecture's link, missing fields and missing related links are added; nothing is taken away."""
+def _line(label: str, text: Column) -> tuple[Column, Column, Column, Column]:
+    """(whether a line begins with label, what stands before the first such line, what follows the label there, what stands after the line)."""
+    start = F.regexp_instr(text, F.lit(rf"(?m)^{re.escape(label)}"))
+    rest = F.substring(text, start, F.length(text))
+    whole = F.regexp_extract(rest, rf"^{re.escape(label)}\s*[^\n]*", 0)
+    return start > 0, F.substring(text, F.lit(1), start - 1), F.substring(whole, len(label) + 1, F.length(whole)), F.substring(rest, F.length(whole) + 1, F.length(rest))
 
-    def put(text: str, line: re.Match[str], new: str) -> str:
-        return text[: line.start()] + new + text[line.end() :]
 
-    def line_of(label: str, text: str) -> re.Match[str] | None:
-        return re.search(rf"^({re.escape(label)}\s*)(.*)$", text, re.MULTILINE)
+def _with_links(label: str, text: Column, links: Column, otherwise: Column) -> Column:
+    """text with links (an array) that the label's line lacks put at its end, or what otherwise is if no line has the label."""
+    there, before, now, after = _line(label, text)
+    new = F.filter(links, lambda x: ~F.contains(now, x))
+    parts = F.filter(F.array(trimmed(now), F.array_join(new, ", ")), lambda x: x != "")
+    return F.when(~there, otherwise).when(F.size(new) == 0, text).otherwise(F.concat(before, F.lit(f"{label} "), F.array_join(parts, ", "), after))
 
-    link = f"[[{lecture}]]"
-    if link not in content:
-        line = line_of(labels.lectures, content)
-        if line:
-            content = put(content, line, f"{labels.lectures} " + ", ".join(filter(None, [line.group(2).strip(), link])))
-        else:
-            content += f"\n{labels.lectures} {link}\n"
+
+def _trimmed_end(x: Column) -> Column:
+    return F.regexp_replace(x, r"(?U)\s+$", "")
+
+
+def _with_field(lectures: str, label: str, value: Column) -> Callable[[Column], Column]:
+    """Puts a labelled value before the line of lectures, or at the end, unless the value is empty or the label is there."""
+
+    def put(x: Column) -> Column:
+        at, line = F.locate(lectures, x), F.concat(F.lit(f"{label} "), value)
+        before = F.concat(F.substring(x, F.lit(1), at - 1), line, F.lit("\n\n"), F.substring(x, at, F.length(x)))
+        return F.when((F.coalesce(value, F.lit("")) == "") | F.contains(x, F.lit(label)), x).when(at > 0, before).otherwise(F.concat(_trimmed_end(x), F.lit("\n\n"), line, F.lit("\n")))
+
+    return put
+
+
+def updated_note(content: Column, lecture: Column, context: Column, example: Column, caution: Column, related: Column, labels: Labels = LABELS) -> Column:
+    """MRG-2: the lecture's link, missing fields and missing related links are added; nothing is taken away. Each step's text is bound once, as an array of one."""
+    step = lambda text, f: F.get(F.transform(F.array(text), f), 0)
+    link = F.concat(F.lit("[["), lecture, F.lit("]]"))
+    text = step(content, lambda x: F.when(F.contains(x, link), x).otherwise(_with_links(labels.lectures, x, F.array(link), F.concat(x, F.lit(f"\n{labels.lectures} "), link, F.lit("\n")))))
     for label, value in ((labels.context, context), (labels.example, example), (labels.caution, caution)):
-        if value and label not in content:
-            before, found, after = content.partition(labels.lectures)
-            content = f"{before}{label} {value}\n\n{found}{after}" if found else f"{content.rstrip()}\n\n{label} {value}\n"
-    links = [f"[[{r}]]" for r in related or ()]
-    if links:
-        line = line_of(labels.related, content)
-        if not line:
-            return f"{content.rstrip()}\n{labels.related} {', '.join(links)}\n"
-        now = line.group(2).strip()
-        new = [x for x in links if x not in now]
-        if new:
-            content = put(content, line, f"{labels.related} " + ", ".join(filter(None, [now, ", ".join(new)])))
-    return content
+        text = step(text, _with_field(labels.lectures, label, value))
+    links = F.transform(F.coalesce(related, F.array().cast("array<string>")), lambda r: F.concat(F.lit("[["), r, F.lit("]]")))
+    return step(text, lambda x: F.when(F.size(links) == 0, x).otherwise(_with_links(labels.related, x, links, F.concat(_trimmed_end(x), F.lit(f"\n{labels.related} "), F.array_join(links, ", "), F.lit("\n")))))
 
 
 def upserted_concept_notes(current: DataFrame, incoming: DataFrame, labels: Labels = LABELS) -> DataFrame:
     """SNK-3, JOIN-11: a full join of current notes (path, content) and incoming ones (path, fresh, lecture, lecture_context, example, caution, related_concepts): what is
-    new is inserted as fresh, what is there is updated in Arrow batches, the rest stays."""
-    @F.pandas_udf("string")
-    def update(content: pd.Series, lecture: pd.Series, context: pd.Series, example: pd.Series, caution: pd.Series, related: pd.Series) -> pd.Series:
-        return pd.Series([updated_note(c, t, a, b, d, r, labels) if c is not None and t is not None else None for c, t, a, b, d, r in zip(content, lecture, context, example, caution, related, strict=True)])
-
+    new is inserted as fresh, what is there is updated, the rest stays."""
     both = current.join(incoming, "path", "full")
     there, new = F.col("content").isNotNull(), F.col("fresh").isNotNull()
-    merged = F.when(there & new, update("content", "lecture", "lecture_context", "example", "caution", "related_concepts")).when(there, F.col("content")).otherwise(F.col("fresh"))
+    update = updated_note(*[F.col(c) for c in ("content", "lecture", "lecture_context", "example", "caution", "related_concepts")], labels)
+    merged = F.when(there & new, update).when(there, F.col("content")).otherwise(F.col("fresh"))
     return both.select("path", merged.alias("content"), F.when(there & new, "updated").when(there, "kept").otherwise("inserted").alias("action"))
 
 

@@ -14,7 +14,7 @@ CHUNK = r'^\[\s*\d+\s*,\s*"([\s\S]*)"\s*\]$'
 BUILD = r"/_next/static/([^/]+)/"
 TITLE = r'"noteTitle"\s*:\s*"([^"]+)"'
 CREATED = r'"createdAt"\s*:\s*"(\d{4}-[^"]+)"'
-MEMO = r'"memo"\s*:\s*"((?:[^"\\]|\\.)+)"'
+MEMO = r'"memo"\s*:\s*"((?:[^"\\]|\\.)++)"'
 SLIDES = r'"slides_url"\s*:\s*"([^"]+)"'
 SLIDES_HOSTS = r"""(https?://(?:[a-z0-9-]+\.supabase\.co/storage/v1/object/sign|[a-z0-9-]+\.r2\.cloudflarestorage\.com)/[^\s"'\\]+)"""
 NOTE_ID = r'"token"\s*:\s*"([0-9a-f-]{36})"'
@@ -72,6 +72,29 @@ def long_strings(payload: Column) -> Column:
     return F.transform(ranked, lambda s: s["text"])
 
 
+def longest(texts: DataFrame, key: str, order: str, text: str = "text") -> DataFrame:
+    """PAR-10, AGG-6 over a table: (key, order, n_chars) of each key's longest text that can be a summary, the first of equal ones."""
+    rows = texts.where(may_be_summary(F.col(text)))
+    best = rows.groupBy(key).agg(F.max(F.struct(F.length(text).alias("n"), (-F.col(order)).alias("at"))).alias("b"))
+    return best.select(key, (-F.col("b.at")).alias(order), F.col("b.n").cast("long").alias("n_chars"))
+
+
+def may_be_summary(x: Column) -> Column:
+    """PAR-10: whether a text is long and marked up enough to be a summary."""
+    return (F.length(x) > SUMMARY_LEAST) & (F.contains(x, F.lit("##")) | F.contains(x, F.lit("**")))
+
+
+def joined_texts(rows: DataFrame, key: str, order: str, text: str = "text", gap: str = " ") -> DataFrame:
+    """AGG-5: (key, transcript, n): a key's trimmed texts that aren't empty, in order, as one. A key's texts meet in one row: keys are talks."""
+    said = rows.withColumn("__t", trimmed(F.col(text))).where(F.col("__t") != "")
+    return said.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, "__t"))), lambda x: x["__t"]), gap).alias("transcript"), F.count(F.lit(1)).cast("int").alias("n"))
+
+
+def linked_pages(html: Column) -> Column:
+    """The different addresses that a page links to, in order."""
+    return F.array_distinct(F.regexp_extract_all(html, F.lit('href="([^"]*)"'), F.lit(1)))
+
+
 def transcript_of(chunks: Column) -> Column:
     """PAR-11: the texts of all transcript chunks, joined by a space; null if there are none."""
     is_transcript = lambda c: c.startswith("[{") & F.contains(c, F.lit('"segments"')) & F.contains(c, F.lit('"text"'))
@@ -102,7 +125,7 @@ def parse_payload(pages: DataFrame) -> DataFrame:
     df = df.withColumn("__chunks", F.transform("__raw", unescaped_chunk))
     df = df.withColumn("__payload", F.array_join("__chunks", "\n")).withColumn("__raw", F.array_join("__raw", "\n"))
     payload = F.col("__payload")
-    candidates = F.filter(long_strings(payload), lambda c: (F.length(c) > SUMMARY_LEAST) & (F.contains(c, F.lit("##")) | F.contains(c, F.lit("**"))))
+    candidates = F.filter(long_strings(payload), may_be_summary)
     raw_memo = first(MEMO, payload)
     memo = decoded(F.coalesce(json_string(raw_memo), _replaced(raw_memo, ("\\n", "\n"), ('\\"', '"'))), MEMO_ENTITIES)
     df = df.withColumn("summary", F.get(candidates, 0))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from notemill.functions.text import blank_to_null
@@ -11,13 +11,14 @@ LOG_MOST, SHOWN_MOST = 50, 20
 
 
 def log_key(df: DataFrame) -> DataFrame:
-    """df with the key by which its records are one: alt_id, else url, else path."""
-    return df.withColumn("key", F.coalesce(blank_to_null(F.col("alt_id")), blank_to_null(F.col("url")), F.col("path")))
+    """df with the key by which its records are one: record_id, else url, else path."""
+    return df.withColumn("key", F.coalesce(blank_to_null(F.col("record_id")), blank_to_null(F.col("url")), F.col("path")))
 
 
 def latest(df: DataFrame, key: str, seq: str) -> DataFrame:
-    """WIN-2: the newest row of each key."""
-    return df.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(seq)))).where(F.col("__n") == 1).drop("__n")
+    """WIN-2: the newest row of each key; a maximum, so that a key's rows are reduced before they are shuffled."""
+    newest = df.groupBy(F.col(key).alias("__key")).agg(F.max_by(F.struct(*df.columns), seq).alias("__row"))
+    return newest.select(*[F.col(f"__row.{c}").alias(c) for c in df.columns])
 
 
 def upserted_log(history: DataFrame, records: DataFrame, most: int = LOG_MOST) -> DataFrame:
@@ -26,9 +27,10 @@ def upserted_log(history: DataFrame, records: DataFrame, most: int = LOG_MOST) -
     Both have seq, which rises from record to record.
     """
     rows = log_key(history).withColumn("__new", F.lit(False)).unionByName(log_key(records).withColumn("__new", F.lit(True)), allowMissingColumns=True)
-    w = Window.partitionBy("key").orderBy("seq")
-    rows = rows.withColumn("was_update", F.col("__new") & (F.row_number().over(w) > 1))
-    return latest(rows, "key", "seq").drop("__new", "key").orderBy(F.desc("seq")).limit(most)
+    # the newest of several is an update
+    newest = rows.groupBy(F.col("key").alias("__key")).agg(F.max_by(F.struct(*rows.columns), "seq").alias("__row"), (F.count(F.lit(1)) > 1).alias("__again"))
+    kept = newest.select(*[F.col(f"__row.{c}").alias(c) for c in rows.columns], "__again").withColumn("was_update", F.col("__new") & F.col("__again"))
+    return kept.drop("__new", "__again", "key").orderBy(F.desc("seq")).limit(most)
 
 
 def still_there(log: DataFrame, files: DataFrame, most: int = SHOWN_MOST) -> DataFrame:

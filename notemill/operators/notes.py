@@ -20,6 +20,8 @@ class Labels:
     """What a note's dialect calls things. The words of headings and fields are fixed values of the note format."""
 
     tag: str = "note"
+    id_field: str = "note_id"
+    created_field: str = "note_created"
     slide: str = "📚 슬라이드"
     memo: str = "내 메모"
     orphans: str = "🗑️ 삭제된 슬라이드 (orphan)"
@@ -112,18 +114,37 @@ def sections_of(content: str | None, labels: Labels = LABELS) -> dict[str, objec
 
 
 def with_sections(notes: DataFrame, content: str = "content", labels: Labels = LABELS) -> DataFrame:
-    """notes with frontmatter, preamble and sections (array) of each. Pairing needs a scan with state, so it runs in Arrow batches."""
+    """notes with frontmatter, preamble and sections (array) of each.
+
+    Where each start is directly followed by its own end, as in all notes that nobody has cut up, what is between the markers is split in the JVM. Only notes with odd markers go
+    to Python, in Arrow batches, as pairing these needs a scan with state.
+    """
     @F.pandas_udf(SECTIONS)
     def split(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([sections_of(t, labels) for t in texts], columns=["frontmatter", "preamble", "sections"])
-
-    return notes.withColumn("__s", split(F.col(content))).select(*notes.columns, "__s.frontmatter", "__s.preamble", "__s.sections")
-
-
-def well_formed_sections(content: Column, labels: Labels = LABELS) -> Column:
-    """The managed texts of a note whose markers are all in order, in the JVM alone."""
-    tag = re.escape(labels.tag)
-    return F.regexp_extract_all(content, F.lit(rf"<!-- {tag}:slide:(\d+) hash:([0-9a-f]{{8}}) start -->([\s\S]*?)<!-- {tag}:slide:\1 hash:\2 end -->"), F.lit(3))
+        return pd.DataFrame([sections_of(t, labels) if t is not None else (None, None, None) for t in texts], columns=["frontmatter", "preamble", "sections"])
+
+    text = F.coalesce(F.col(content), F.lit(""))
+    df = notes.withColumn("__front", frontmatter(text)).withColumn("__body", F.substring(text, F.length("__front") + 1, F.length(text)))
+    df = df.withColumn("__marks", F.regexp_extract_all("__body", F.lit(f"({labels.marker})"), F.lit(1)))
+    marks, starts = F.col("__marks"), F.sequence(F.lit(0), F.size("__marks") - 1, F.lit(2))
+    paired = F.forall(starts, lambda k: F.get(marks, k).endswith(" start -->") & (F.regexp_replace(F.get(marks, k), " start -->$", " end -->") == F.get(marks, k + 1)))
+    df = df.withColumn("__orderly", F.when(F.size(marks) == 0, True).otherwise((F.size(marks) % 2 == 0) & F.coalesce(paired, F.lit(False))))
+    df = df.withColumn("__parts", F.when(F.col("__orderly") & (F.size(marks) > 0), F.split("__body", labels.marker)))
+    until_heading = lambda x: F.when(x.rlike(labels.heading), F.regexp_extract(x, rf"^([\s\S]*?(^|\n))(?=## {re.escape(labels.slide)} \d)", 1)).otherwise(x)
+    field = lambda k, group: F.regexp_extract(F.get(marks, k), labels.marker, group)
+    part = lambda k: F.get("__parts", k)
+    section = lambda k, i: F.struct(
+        i.alias("ord"),
+        field(k, 1).cast("int").alias("slide_num"),
+        field(k, 2).alias("hash"),
+        blank_to_null(field(k, 3)).cast("int").alias("dup"),
+        part(k + 1).alias("managed"),
+        until_heading(part(k + 2)).alias("after"),
+    )
+    none = F.array().cast("array<struct<ord:int,slide_num:int,hash:string,dup:int,managed:string,after:string>>")
+    orderly = F.struct(F.col("__front").alias("frontmatter"), F.when(F.size(marks) == 0, F.col("__body")).otherwise(until_heading(part(F.lit(0)))).alias("preamble"), F.when(F.size(marks) == 0, none).otherwise(F.transform(starts, section)).alias("sections"))
+    df = df.withColumn("__odd", split(F.when(~F.col("__orderly"), text))).withColumn("__s", F.when(F.col("__orderly"), orderly).otherwise(F.col("__odd")))
+    return df.select(*notes.columns, "__s.frontmatter", "__s.preamble", "__s.sections")
 
 
 def headings(body: Column) -> Column:
@@ -184,7 +205,7 @@ def page_anchored_note(notes: DataFrame, slides: DataFrame, errors: DataFrame, s
     df = notes.join(s, "note_id").join(e, "note_id", "left")
     body = F.array_join(F.transform("slides", lambda x: slide_section(x["slide_num"], x["hash"], x["commentary"], F.col("names"), labels)), "\n\n")
     failed = F.concat(F.lit(f"\n\n## {labels.failed}\n\n"), F.array_join(F.transform("errors", lambda x: F.concat(F.lit(f"- {labels.failed_item} "), x["slide_num"].cast("string"), F.lit(": "), x["reason"])), "\n"), F.lit("\n"))
-    front = _frontmatter_lines([_field("title", F.col("title")), _field("subject", F.col("subject")), _tags(F.col("subject"), F.col("tags")), _field("date", F.col("date")), F.lit(f'source: "{source}"'), F.concat(F.lit("slide_count: "), F.size("slides").cast("string")), _field("alt_created", F.col("created_at")), _field("alt_id", F.col("note_id"))])
+    front = _frontmatter_lines([_field("title", F.col("title")), _field("subject", F.col("subject")), _tags(F.col("subject"), F.col("tags")), _field("date", F.col("date")), F.lit(f'source: "{source}"'), F.concat(F.lit("slide_count: "), F.size("slides").cast("string")), _field(labels.created_field, F.col("created_at")), _field(labels.id_field, F.col("note_id"))])
     return df.select("note_id", F.concat(front, F.lit("# "), F.col("title"), F.lit("\n\n"), body, F.coalesce(failed, F.lit("")), F.lit("\n")).alias("content"))
 
 
@@ -192,7 +213,7 @@ def single_block_note(notes: DataFrame, source: str = "notemill", labels: Labels
     """PRJ-7: (note_id, content) of full and partial notes (note_id, title, subject, tags, names, date, created_at, summary, processed, parse_quality)."""
     partial = F.col("parse_quality") == "partial"
     head = [_field("title", F.col("title")), _field("subject", F.col("subject"))]
-    full_front = _frontmatter_lines([*head, _tags(F.col("subject"), F.col("tags")), _field("date", F.col("date")), F.lit(f'source: "{source}"'), _field("alt_created", F.col("created_at")), _field("alt_id", F.col("note_id"))])
+    full_front = _frontmatter_lines([*head, _tags(F.col("subject"), F.col("tags")), _field("date", F.col("date")), F.lit(f'source: "{source}"'), _field(labels.created_field, F.col("created_at")), _field(labels.id_field, F.col("note_id"))])
     partial_front = _frontmatter_lines([*head, _tags(F.col("subject"), None), _field("date", F.col("date")), F.lit(f'source: "{source}"'), F.lit('parse_quality: "partial"')])
     text = trimmed(linked(F.coalesce(blank_to_null(F.col("processed")), F.col("summary")), F.col("names")))
     warning = "> [!warning] Partial import\n> The page's format may have changed. Only title and description were extracted.\n\n"

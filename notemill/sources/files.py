@@ -88,17 +88,22 @@ def save_version(df: DataFrame, folder: str, version: str, partition: str | None
 
 
 def save_files(df: DataFrame, folder: str) -> None:
-    """SNK-1, SNK-4: files (path below folder; content, text or bytes) written by the executors to a folder that all share; folders are made as needed."""
+    """SNK-1, SNK-4: files (path below folder; content, text or bytes) written by the executors to a folder that all share, in any store that Arrow knows (a path or an
+    address); folders are made as needed. Files appear whole: they are written under a name of their own and moved, and a retried task writes the same ones again."""
 
     def write(rows: Any) -> None:
+        import uuid
+
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{os.path.abspath(folder)}")
         for row in rows:
-            target = os.path.join(folder, row.path)
-            os.makedirs(os.path.dirname(target), exist_ok=True)
-            data = row.content if isinstance(row.content, bytes | bytearray) else (row.content or "").encode()
-            part = f"{target}.part{os.getpid()}"
-            with open(part, "wb") as f:
-                f.write(data)
-            os.replace(part, target)  # a retried task writes the same file again
+            target = f"{root.rstrip('/')}/{row.path}"
+            store.create_dir(os.path.dirname(target), recursive=True)
+            part = f"{os.path.dirname(target)}/.{uuid.uuid4().hex}"
+            with store.open_output_stream(part) as f:
+                f.write(row.content if isinstance(row.content, bytes | bytearray) else (row.content or "").encode())
+            store.move(part, target)
 
     df.select("path", "content").foreachPartition(write)
 

@@ -115,7 +115,7 @@ def test_built_notes(spark):
     s = spark.createDataFrame([("id", 2, B, "a graph"), ("id", 1, A, "one")], "note_id string, slide_num int, hash string, commentary string")
     e = spark.createDataFrame([("id", 3, "429")], "note_id string, slide_num int, reason string")
     got = notes.page_anchored_note(n, s, e).first().content
-    assert got.startswith('---\ntitle: "T"\nsubject: "CS"\ntags: [cs, t]\n') and "alt_created" not in got and "slide_count: 2" in got
+    assert got.startswith('---\ntitle: "T"\nsubject: "CS"\ntags: [cs, t]\n') and "note_created" not in got and "slide_count: 2" in got
     assert got.index(A) < got.index(B) and "[[graph]]" in got and got.rstrip().endswith("3: 429")
     single = {r.note_id: r.content for r in notes.single_block_note(n).collect()}
     assert "Partial import" in single["p"] and L.no_summary in single["p"] and single["id"].count(L.start) == 1
@@ -137,9 +137,13 @@ def test_normalized_concepts(spark):
 
 def test_concept_note_update(spark):
     text = f"# N\n{L.lectures} [[a]]\n{L.related} [[x]]"
-    got = concepts.updated_note(text, "b$1", "ctx", None, "", ["x", "y"])
+    column = lambda v: F.array(*map(F.lit, v)) if isinstance(v, list) else F.lit(v)
+    update = lambda *a: spark.range(1).select(concepts.updated_note(*map(column, a))).first()[0]
+    got = update(text, "b$1", "ctx", None, "", ["x", "y"])
     assert got == f"# N\n{L.context} ctx\n\n{L.lectures} [[a]], [[b$1]]\n{L.related} [[x]], [[y]]"
-    assert concepts.updated_note(got, "b$1", "other", None, "", ["x"]) == got
+    assert update(got, "b$1", "other", None, "", ["x"]) == got
+    assert update("# N \n", "b", "c", None, "", ["y"]) == f"# N \n\n{L.context} c\n\n{L.lectures} [[b]]\n\n{L.related} [[y]]\n".replace("\n\n" + L.related, "\n" + L.related)
+    assert update(f"x {L.lectures} inside\n{L.lectures}\nnext", "b", None, None, None, []) == f"x {L.lectures} inside\n{L.lectures} next, [[b]]"
     cur = spark.createDataFrame([("p", text), ("k", "keep")], "path string, content string")
     new = spark.createDataFrame([("p", "fresh", "b", None, None, None, ["y"]), ("n", "fresh", "b", None, None, None, ["y"])], "path string, fresh string, lecture string, lecture_context string, example string, caution string, related_concepts array<string>")
     got = {r.path: (r.action, r.content) for r in concepts.upserted_concept_notes(cur, new).collect()}
@@ -147,7 +151,7 @@ def test_concept_note_update(spark):
 
 
 def test_log(spark):
-    schema = "seq long, url string, alt_id string, path string"
+    schema = "seq long, url string, record_id string, path string"
     old = spark.createDataFrame([(1, "u", "", "p"), (2, "v", "i", "q")], schema)
     new = spark.createDataFrame([(3, "u", None, "z"), (4, "w", "i", "q"), (5, "", "", "r")], schema)
     got = [(r.seq, r.was_update) for r in log.upserted_log(old, new).collect()]
@@ -198,6 +202,10 @@ def test_providers(spark):
 
     assert calls.with_retry(ask, slept.append) == "ok" and slept == [65.0]
 
+    pictures = spark.createDataFrame([(1, "p", [bytearray(b"x")]), (2, "p", [])], "id long, prompt string, images array<binary>")
+    said = {r.id: r.answer for r in calls.generated(pictures, model, ["id"], images_col="images").collect()}
+    assert said == {1: model.generate_multimodal("p", [b"x"]), 2: model.generate_text("p")}
+
     class Flaky:
         max_input_tokens, n = 10, 0
 
