@@ -26,14 +26,24 @@ def page_score(text: Column, terms: Column, page: Column) -> Column:
     return F.least(F.length(text) / 80, F.lit(20.0)) + words + F.when(page <= FIRST_PAGES, 5).otherwise(0)
 
 
+def page_rows(pages: DataFrame) -> DataFrame:
+    """SRC-3: pages (deck_id, page_num, text) with their text normalised; empty pages are dropped."""
+    return pages.withColumn("text", page_text(F.col("text"))).where(F.col("text") != "")
+
+
+def with_page_texts(selected: DataFrame, pages: DataFrame) -> DataFrame:
+    """The few selected pages (deck_id, page_num) with their texts, which needn't be carried through the ranking."""
+    return page_rows(pages.join(selected.select("deck_id", "page_num"), ["deck_id", "page_num"], "left_semi"))
+
+
 def scored_pages(pages: DataFrame, seeds: DataFrame) -> DataFrame:
-    """pages (deck_id, page_num, text) with text normalised and score; empty pages are dropped. seeds: (deck_id, seed).
+    """pages (deck_id, page_num, text) with text normalised and score; empty pages are dropped. seeds: (deck_id, seed); a deck without one has no terms.
 
     Terms are made once for each deck, before the join.
     """
     terms = seeds.select("deck_id", seed_terms(F.col("seed")).alias("terms"))
-    rows = pages.withColumn("text", page_text(F.col("text"))).where(F.col("text") != "")
-    return rows.join(terms, "deck_id").withColumn("score", page_score(F.col("text"), F.col("terms"), F.col("page_num"))).drop("terms")
+    none = F.array().cast("array<string>")
+    return page_rows(pages).join(terms, "deck_id", "left").withColumn("score", page_score(F.col("text"), F.coalesce("terms", none), F.col("page_num"))).drop("terms")
 
 
 def selected_pages(scored: DataFrame, most: int = PAGES_MOST) -> DataFrame:

@@ -1,18 +1,19 @@
-"""Queries over the driver's tables, by name, and the SQL that gives the same rows.
+"""Queries over the driver's tables, by name, and the SQL that gives the same rows. Those over payloads, notes and single functions are in modules of their own.
 
-Each query maps a table to what an operator takes: pages to fetched pages; documents of a source to a deck's pages, lines of documents to slides, and first words to
-concepts; conversations to transcripts; benchmark to seeds; events to calls and view events; orders to log records. All run over whole tables.
+Each query maps a table to what an operator takes: pages to fetched pages; documents to the pages of as many decks as benchmark has seeds, lines of documents to slides and to concepts with their
+relations; conversations to transcripts; events to calls and view events; orders to log records. All run over whole tables.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import os
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notemill.functions import text as T
 from notemill.operators import calls, chunk, concepts, extract, log, merge, notes, relevance
+from notemill.plans.registry import ORACLE_SQL, QUERIES, query, sql_at_sentence, sql_key, sql_linked, sql_page_text, sql_sanitized, sql_trim
 from notemill.sources.files import table
 from notemill.streaming import events as view
 
@@ -22,38 +23,6 @@ DELAY_US = 60_000_000
 N_KEYS = 3
 TRUNCATED, CHUNK_TOKENS = 1000, 256
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Callable[[SparkSession, str], DataFrame]], Callable[[SparkSession, str], DataFrame]]:
-    """Register a query under its function's name, with its SQL."""
-
-    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def _sql_trim(x: str) -> str:
-    return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
-
-
-def _sql_sanitized(x: str) -> str:
-    return _sql_trim(rf"""regexp_replace(regexp_replace({x}, '[<>:"/\\|?*\x00-\x1f]', '', 'g'), '\.+$', '')""")
-
-
-def _sql_key(x: str) -> str:
-    return rf"regexp_replace(lower({_sql_sanitized(x)}), '[\s_-]+', '', 'g')"
-
-
-def _sql_page_text(x: str) -> str:
-    return _sql_trim(rf"regexp_replace(regexp_replace({x}, '\s+', ' ', 'g'), '([A-Za-z])-\s+([A-Za-z])', '\1\2', 'g')")
-
-
 _HOST_LIST = ", ".join(f"'{h}'" for h in HOSTS)
 
 
@@ -61,7 +30,7 @@ _HOST_LIST = ", ".join(f"'{h}'" for h in HOSTS)
     rf"""
 SELECT page_id, title, host, host IN ({_HOST_LIST}) AS allowed, note_id, CASE WHEN title <> '' THEN 'full' ELSE 'partial' END AS quality
 FROM (SELECT page_id,
-  {_sql_trim("replace(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39))")} AS title,
+  {sql_trim("replace(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39))")} AS title,
   regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) AS host,
   coalesce(nullif(list_extract(string_split(url, '/'), -1), ''), 'unknown') AS note_id FROM pages)
 """
@@ -75,15 +44,7 @@ def page_fields(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS link FROM pages")
 def page_links(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").select("page_id", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1)))).alias("link"))
-
-
-@query()
-def page_notes(spark: SparkSession, d: str) -> DataFrame:
-    """The full resolution of pages; the table's pages have no payload, so one is put before each from its title."""
-    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
-    payload = F.concat(F.lit('<meta property="og:title" content="'), F.replace(title, F.lit('"'), F.lit("")), F.lit(' | Notes"><script>self.__next_f.push([1,"{\\"noteTitle\\":\\"'), F.regexp_replace(title, r'["\\\]]', ""), F.lit('\\",\\"memo\\":\\"kept\\"}"])</script>'))
-    return extract.resolve(table(spark, d, "pages").select("url", F.concat(payload, "html").alias("html")))
+    return table(spark, d, "pages").select("page_id", F.explode(extract.linked_pages(F.col("html"))).alias("link"))
 
 
 @query(
@@ -96,9 +57,11 @@ def subject_code(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", T.suggested_subject(F.replace("p_brand", F.lit("#"), F.lit(" "))).alias("subject"))
 
 
-@query(f"SELECT p_partkey, {_sql_sanitized('p_name')} AS file_name, {_sql_key('p_name')} AS key FROM part")
+@query(f"SELECT name, {sql_sanitized('name')} AS file_name, {sql_key('name')} AS key FROM (SELECT p_name AS name FROM part UNION SELECT unnest(regexp_split_to_array(text, '[ \n]')) FROM documents)")
 def concept_key(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").select("p_partkey", T.sanitized(F.col("p_name")).alias("file_name"), T.concept_key(F.col("p_name")).alias("key"))
+    words = table(spark, d, "documents").select(F.explode(F.split("text", r"[ \n]")).alias("name"))
+    names = table(spark, d, "part").select(F.col("p_name").alias("name")).unionByName(words).distinct()
+    return names.select("name", T.sanitized(F.col("name")).alias("file_name"), T.concept_key(F.col("name")).alias("key"))
 
 
 @query("SELECT doc_id, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens FROM documents")
@@ -131,7 +94,7 @@ def head_tail_truncate(spark: SparkSession, d: str) -> DataFrame:
 @query(
     rf"""
 SELECT doc_id, length(cut) AS n_chars, md5(cut) AS digest FROM (SELECT doc_id, CASE WHEN length(text) <= {TRUNCATED} THEN text
-  WHEN length(whole) - 1 > 0.6 * {TRUNCATED} THEN {_sql_trim("whole")} ELSE {_sql_trim("part")} END AS cut
+  WHEN length(whole) - 1 > 0.6 * {TRUNCATED} THEN {sql_trim("whole")} ELSE {sql_trim("part")} END AS cut
   FROM (SELECT doc_id, text, substring(text, 1, {TRUNCATED}) AS part, regexp_extract(substring(text, 1, {TRUNCATED}), '(?s)^(.*[.?!]) ', 1) AS whole FROM documents))
 """
 )
@@ -147,17 +110,14 @@ SELECT source, doc_id, n_chars FROM (SELECT source, doc_id, length(text) AS n_ch
 """
 )
 def longest_candidate(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where((F.length("text") > 200) & (F.contains("text", F.lit("##")) | F.contains("text", F.lit("**"))))
-    best = docs.groupBy("source").agg(F.max(F.struct(F.length("text").alias("n"), (-F.col("doc_id")).alias("id"))).alias("b"))
-    return best.select("source", (-F.col("b.id")).alias("doc_id"), F.col("b.n").cast("long").alias("n_chars"))
+    return extract.longest(table(spark, d, "documents"), "source", "doc_id")
 
 
 def _transcripts(spark: SparkSession, d: str) -> DataFrame:
-    said = table(spark, d, "conversations").withColumn("text", T.trimmed(F.col("text"))).where(F.col("text") != "")
-    return said.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), " ").alias("transcript"), F.count(F.lit(1)).cast("int").alias("n"))
+    return extract.joined_texts(table(spark, d, "conversations"), "conv_id", "turn")
 
 
-_TRANSCRIPTS = f"SELECT conv_id, string_agg(t, ' ' ORDER BY turn, t) AS transcript, count(*) AS n FROM (SELECT conv_id, turn, {_sql_trim('text')} AS t FROM conversations) WHERE t <> '' GROUP BY conv_id"
+_TRANSCRIPTS = f"SELECT conv_id, string_agg(t, ' ' ORDER BY turn, t) AS transcript, count(*) AS n FROM (SELECT conv_id, turn, {sql_trim('text')} AS t FROM conversations) WHERE t <> '' GROUP BY conv_id"
 
 
 @query(f"SELECT conv_id, transcript FROM ({_TRANSCRIPTS})")
@@ -167,7 +127,7 @@ def transcript_concat(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""
-SELECT conv_id, CAST(i AS INTEGER) AS slide, nullif({_sql_trim("substring(transcript, CAST(i * size + 1 AS BIGINT), size)")}, '') AS slice
+SELECT conv_id, CAST(i AS INTEGER) AS slide, nullif({sql_trim("substring(transcript, CAST(i * size + 1 AS BIGINT), size)")}, '') AS slice
 FROM (SELECT conv_id, transcript, CAST(ceil(length(transcript) / n) AS BIGINT) AS size, unnest(range(n)) AS i FROM ({_TRANSCRIPTS}))
 """
 )
@@ -185,41 +145,83 @@ def seed_terms(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("item_id", F.array_join("terms", ",").alias("terms"))
 
 
-def _scored(spark: SparkSession, d: str) -> DataFrame:
-    pages = table(spark, d, "documents").select(F.col("source").alias("deck_id"), F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("page_num"), "text")
-    seed = table(spark, d, "benchmark").where("item_id = 0").select(F.col("text").alias("seed"))
-    seeds = table(spark, d, "documents").select(F.col("source").alias("deck_id")).distinct().join(F.broadcast(seed))  # one row on the right
-    return relevance.scored_pages(pages, seeds)
+def _deck_pages(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Documents as pages of as many decks as benchmark has items, dealt round, and each deck's seed."""
+    seeds = table(spark, d, "benchmark").select(F.col("item_id").cast("long").alias("deck_id"), F.col("text").alias("seed"))
+    n = max(1, seeds.count())
+    docs = table(spark, d, "documents").select((F.col("doc_id") % n).alias("deck_id"), F.floor(F.col("doc_id") / n).cast("int").alias("at"), "text")
+    return docs.select("deck_id", (F.col("at") + 1).alias("page_num"), "text"), seeds
+
+
+_PAGES = "(SELECT doc_id % n AS deck_id, CAST(doc_id // n + 1 AS INTEGER) AS page_num, text FROM documents, (SELECT count(*) AS n FROM benchmark))"
+
+
+def _scores(spark: SparkSession, d: str) -> DataFrame:
+    """Without the texts, which are long: they aren't needed to rank pages."""
+    return relevance.scored_pages(*_deck_pages(spark, d)).select("deck_id", "page_num", "score")
 
 
-_SCORED = rf"""(SELECT source AS deck_id, page_num, text, least(length(text) / 80, 20.0) + 4 * len(list_filter(terms, lambda t: contains(lower(text), t)))
+_SCORED = rf"""(SELECT p.deck_id, page_num, text, least(length(text) / 80, 20.0) + 4 * len(list_filter(coalesce(terms, []), lambda t: contains(lower(text), t)))
   + CASE WHEN regexp_matches(lower(text), '{relevance.KEYWORDS}') THEN 8 ELSE 0 END + CASE WHEN page_num <= 3 THEN 5 ELSE 0 END AS score
-  FROM (SELECT source, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INTEGER) AS page_num, {_sql_page_text("text")} AS text FROM documents) p,
-  (SELECT terms FROM {_TERMS} WHERE item_id = 0) s WHERE text <> '')"""
+  FROM (SELECT deck_id, page_num, {sql_page_text("text")} AS text FROM {_PAGES}) p LEFT JOIN {_TERMS} s ON s.item_id = p.deck_id WHERE text <> '')"""
 
 
 @query(f"SELECT deck_id, page_num, CAST(score AS DOUBLE) AS score FROM {_SCORED}")
 def page_score(spark: SparkSession, d: str) -> DataFrame:
-    return _scored(spark, d).select("deck_id", "page_num", F.col("score").cast("double").alias("score"))
+    return _scores(spark, d).select("deck_id", "page_num", F.col("score").cast("double").alias("score"))
+
+
+_SELECTED = f"""(SELECT deck_id, page_num, text, score FROM (SELECT deck_id, page_num, text, score, row_number() OVER (PARTITION BY deck_id ORDER BY page_num) AS place FROM (
+  SELECT deck_id, page_num, text, CAST(score AS DOUBLE) AS score, row_number() OVER (PARTITION BY deck_id ORDER BY score DESC, page_num) AS best FROM {_SCORED}) WHERE best <= 14 OR page_num <= 3) WHERE place <= 14)"""
+
+
+@query(f"SELECT deck_id, page_num, score FROM {_SELECTED}")
+def page_select(spark: SparkSession, d: str) -> DataFrame:
+    return relevance.selected_pages(_scores(spark, d)).select("deck_id", "page_num", F.col("score").cast("double").alias("score"))
+
+
+_LEFT = "greatest(least(900, 12000 - a.used), 0)"
 
 
 @query(
     f"""
-SELECT deck_id, page_num, score FROM (SELECT deck_id, page_num, score, row_number() OVER (PARTITION BY deck_id ORDER BY page_num) AS place FROM (
-  SELECT deck_id, page_num, CAST(score AS DOUBLE) AS score, row_number() OVER (PARTITION BY deck_id ORDER BY score DESC, page_num) AS best FROM {_SCORED}) WHERE best <= 14 OR page_num <= 3) WHERE place <= 14
+SELECT deck_id, array_to_string(f.lines, chr(10)) AS text, f.used AS used_chars, page_count, extracted_chars, extracted_chars > f.used AS truncated
+FROM (SELECT deck_id, list_reduce(list({{'p': page_num, 't': text}} ORDER BY page_num), lambda a, x: CASE
+    WHEN 12000 - a.used > 0 AND {sql_at_sentence("x.t", _LEFT)} <> '' THEN {{'used': CAST(a.used + length('[p.' || x.p || '] ' || {sql_at_sentence("x.t", _LEFT)}) AS INTEGER), 'lines': list_append(a.lines, '[p.' || x.p || '] ' || {sql_at_sentence("x.t", _LEFT)})}}
+    ELSE a END, {{'used': CAST(0 AS INTEGER), 'lines': []::VARCHAR[]}}) AS f FROM {_SELECTED} GROUP BY deck_id)
+JOIN (SELECT deck_id, max(page_num) AS page_count, sum(length({sql_page_text("text")})) AS extracted_chars FROM {_PAGES} GROUP BY deck_id) USING (deck_id)
 """
 )
-def page_select(spark: SparkSession, d: str) -> DataFrame:
-    return relevance.selected_pages(_scored(spark, d)).select("deck_id", "page_num", F.col("score").cast("double").alias("score"))
+def context_pack(spark: SparkSession, d: str) -> DataFrame:
+    pages, _ = _deck_pages(spark, d)
+    chosen = relevance.with_page_texts(relevance.selected_pages(_scores(spark, d)), pages)
+    return relevance.packed_context(chosen, relevance.deck_totals(pages))
 
 
-@query()
-def context_pack(spark: SparkSession, d: str) -> DataFrame:
-    pages = table(spark, d, "documents").select(F.col("source").alias("deck_id"), F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("page_num"), "text")
-    return relevance.packed_context(relevance.selected_pages(_scored(spark, d)), relevance.deck_totals(pages))
+@query(f"SELECT deck_id, max(page_num) AS page_count, CAST(sum(length({sql_page_text('text')})) AS BIGINT) AS extracted_chars FROM {_PAGES} GROUP BY deck_id")
+def deck_totals(spark: SparkSession, d: str) -> DataFrame:
+    return relevance.deck_totals(_deck_pages(spark, d)[0])
+
+
+@query(f"SELECT deck_id, page_num, md5(t) AS digest FROM (SELECT deck_id, page_num, {sql_page_text('text')} AS t FROM {_PAGES}) WHERE t <> ''")
+def page_texts(spark: SparkSession, d: str) -> DataFrame:
+    return relevance.page_rows(_deck_pages(spark, d)[0]).select("deck_id", "page_num", F.md5(F.col("text").cast("binary")).alias("digest"))
+
 
+_PIECES = rf"""flatten(list_transform(string_split(text, chr(10)), lambda p: CASE WHEN ceil(length(p) / 4.0) > {CHUNK_TOKENS}
+    THEN list_transform(string_split(regexp_replace(p, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: {{'t': s, 'g': ' '}}) ELSE [{{'t': p, 'g': chr(10)}}] END))"""
 
-@query()
+
+@query(
+    f"""
+SELECT doc_id, CAST(i - 1 AS INTEGER) AS chunk, c AS text FROM (SELECT doc_id, unnest(chunks) AS c, generate_subscripts(chunks, 1) AS i FROM (
+  SELECT doc_id, CASE WHEN ceil(length(text) / 4.0) <= {CHUNK_TOKENS} THEN [text] WHEN {sql_trim("f.now")} <> '' THEN list_append(f.out, {sql_trim("f.now")}) ELSE f.out END AS chunks FROM (
+    SELECT doc_id, text, list_reduce({_PIECES}, lambda a, p: CASE WHEN a.tokens + ceil(length(p.t) / 4.0) > {CHUNK_TOKENS} AND a.now <> ''
+        THEN {{'now': p.t || p.g, 'tokens': CAST(ceil(length(p.t) / 4.0) AS BIGINT), 'out': list_append(a.out, {sql_trim("a.now")})}}
+        ELSE {{'now': a.now || p.t || p.g, 'tokens': CAST(a.tokens + ceil(length(p.t) / 4.0) AS BIGINT), 'out': a.out}} END,
+      {{'now': '', 'tokens': CAST(0 AS BIGINT), 'out': []::VARCHAR[]}}) AS f FROM documents)))
+"""
+)
 def greedy_chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunk.chunk_rows(table(spark, d, "documents"), "doc_id", "text", CHUNK_TOKENS, paragraph="\n", gap="\n")
 
@@ -271,7 +273,7 @@ def deck_replaced(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""
-WITH l AS (SELECT doc_id, {_sql_trim("line")} AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)),
+WITH l AS (SELECT doc_id, {sql_trim("line")} AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)),
 c AS (SELECT DISTINCT doc_id AS note, line FROM l), n AS (SELECT doc_id - 1 AS note, line FROM l WHERE line <> '')
 SELECT d.note, count(x.line) AS changed FROM (SELECT doc_id - 1 AS note FROM documents) d LEFT JOIN (SELECT * FROM n WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.note = n.note AND c.line = n.line)) x ON x.note = d.note GROUP BY d.note
 """
@@ -282,17 +284,19 @@ def line_changes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _concepts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """First words of documents as concepts that relate to the next seven, and those of benchmark as existing names."""
-    words = F.split("text", r"[ \n]")
-    docs = table(spark, d, "documents").select(F.lit("all").alias("subject"), F.col("doc_id").alias("ord"), F.get(words, 0).alias("name"), F.when(F.length("text") > 500, F.col("source")).otherwise("").alias("definition"), F.slice(words, 2, 7).alias("related_concepts"), F.nullif(F.col("lang"), F.lit("en")).alias("example"), F.lit("").alias("caution"), F.lit(None).cast("string").alias("lecture_context"))
-    existing = table(spark, d, "benchmark").select(F.lit("all").alias("subject"), F.col("item_id").alias("ord"), F.get(words, 0).alias("name"))
+    """The first word of each line of documents as a concept that relates to the line's other words, and first words of benchmark as existing names."""
+    lines = table(spark, d, "documents").select("doc_id", "source", "lang", F.posexplode(F.split("text", "\n")).alias("line", "said"))
+    words = F.split("said", " ")
+    docs = lines.select(F.lit("all").alias("subject"), (F.col("doc_id") * (1 << 20) + F.col("line")).alias("ord"), F.get(words, 0).alias("name"), F.when(F.length("said") > 100, F.col("source")).otherwise("").alias("definition"), F.slice(words, 2, F.size(words)).alias("related_concepts"), F.nullif(F.col("lang"), F.lit("en")).alias("example"), F.lit("").alias("caution"), F.lit(None).cast("string").alias("lecture_context"))
+    existing = table(spark, d, "benchmark").select(F.lit("all").alias("subject"), F.col("item_id").alias("ord"), F.get(F.split("text", r"[ \n]"), 0).alias("name"))
     return docs, existing
 
 
 _CONCEPTS = f"""existing AS (SELECT item_id AS ord, regexp_extract(text, '^([^ \n]*)', 1) AS name FROM benchmark),
-canon AS (SELECT {_sql_key("name")} AS k, arg_max(name, ord) AS canonical FROM existing GROUP BY 1),
-raw AS (SELECT doc_id AS ord, {_sql_trim("regexp_extract(text, '^([^ \n]*)', 1)")} AS raw, regexp_split_to_array(text, '[ \n]')[2:8] AS rel, CASE WHEN length(text) > 500 THEN source ELSE '' END AS definition, nullif(lang, 'en') AS example FROM documents),
-named AS (SELECT coalesce(canonical, raw) AS name, ord, rel, definition, example FROM raw LEFT JOIN canon ON {_sql_key("raw")} = k WHERE raw <> ''),
+canon AS (SELECT {sql_key("name")} AS k, arg_max(name, ord) AS canonical FROM existing GROUP BY 1),
+lines AS (SELECT doc_id * 1048576 + i - 1 AS ord, source, lang, said, string_split(said, ' ') AS words FROM (SELECT doc_id, source, lang, unnest(l) AS said, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, source, lang, string_split(text, chr(10)) AS l FROM documents))),
+raw AS (SELECT ord, {sql_trim("words[1]")} AS raw, words[2:] AS rel, CASE WHEN length(said) > 100 THEN source ELSE '' END AS definition, nullif(lang, 'en') AS example FROM lines),
+named AS (SELECT coalesce(canonical, raw) AS name, ord, rel, definition, example FROM raw LEFT JOIN canon ON {sql_key("raw")} = k WHERE raw <> ''),
 merged AS (SELECT name, min(ord) AS first, coalesce(arg_min(definition, ord) FILTER (definition <> ''), '') AS definition, arg_min(example, ord) FILTER (example <> '') AS example, flatten(list(rel ORDER BY ord)) AS rel FROM named GROUP BY name)"""
 
 
@@ -302,17 +306,17 @@ def concept_merge(spark: SparkSession, d: str) -> DataFrame:
     return merged.select("name", "ord", "definition", "example", F.md5(F.array_join("related_concepts", " ").cast("binary")).alias("related"))
 
 
-_REL_KEY = _sql_key("related")
-_ALLOWED = f"SELECT lower(name) FROM names UNION SELECT lower({_sql_sanitized('name')}) FROM names UNION SELECT {_sql_key('name')} FROM names"
+_REL_KEY = sql_key("related")
+_ALLOWED = f"SELECT lower(name) FROM names UNION SELECT lower({sql_sanitized('name')}) FROM names UNION SELECT {sql_key('name')} FROM names"
 
 
 @query(
     f"""
 WITH {_CONCEPTS},
 each AS (SELECT name, r, min(i) AS place FROM (SELECT name, unnest(rel) AS r, generate_subscripts(rel, 1) AS i FROM merged) GROUP BY name, r),
-named2 AS (SELECT name, CAST(row_number() OVER (PARTITION BY name ORDER BY place) - 1 AS INTEGER) AS pos, coalesce(canonical, r) AS related FROM each LEFT JOIN canon ON {_sql_key("r")} = k),
+named2 AS (SELECT name, CAST(row_number() OVER (PARTITION BY name ORDER BY place) - 1 AS INTEGER) AS pos, coalesce(canonical, r) AS related FROM each LEFT JOIN canon ON {sql_key("r")} = k),
 names AS (SELECT name FROM merged UNION SELECT name FROM existing), allowed AS ({_ALLOWED})
-SELECT name, pos, related FROM named2 WHERE {_REL_KEY} <> {_sql_key("name")} AND (lower(related) IN (FROM allowed) OR lower({_sql_sanitized("related")}) IN (FROM allowed) OR {_REL_KEY} IN (FROM allowed))
+SELECT name, pos, related FROM named2 WHERE {_REL_KEY} <> {sql_key("name")} AND (lower(related) IN (FROM allowed) OR lower({sql_sanitized("related")}) IN (FROM allowed) OR {_REL_KEY} IN (FROM allowed))
 """
 )
 def relation_filter(spark: SparkSession, d: str) -> DataFrame:
@@ -338,7 +342,7 @@ SELECT seq, path, was_update FROM (SELECT o_orderkey AS seq, CAST(o_custkey AS V
 """
 )
 def log_upsert(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("seq"), F.lit("").alias("alt_id"), F.lit(None).cast("string").alias("url"), F.col("o_custkey").cast("string").alias("path"), "o_orderpriority")
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("seq"), F.lit("").alias("record_id"), F.lit(None).cast("string").alias("url"), F.col("o_custkey").cast("string").alias("path"), "o_orderpriority")
     urgent = F.col("o_orderpriority") == "1-URGENT"
     return log.upserted_log(rows.where(~urgent), rows.where(urgent)).select("seq", "path", "was_update")
 
@@ -354,10 +358,15 @@ def tag_filter(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where(notes.in_period(content, "en")).select("doc_id")
 
 
-@query()
+_FIRST_WORD = "regexp_extract(text, '^([^ \n]*)', 1)"
+
+
+@query(f"SELECT doc_id, {sql_linked('text', _FIRST_WORD)} AS text, CAST(1 AS INTEGER) AS links FROM documents WHERE {_FIRST_WORD} <> ''")
 def link_inject(spark: SparkSession, d: str) -> DataFrame:
-    names = F.array(F.lit("and the"), F.lit("the"), F.lit("thtion"))
-    return table(spark, d, "documents").select("doc_id", notes.linked(F.col("text"), names).alias("text")).withColumn("links", F.size(notes.links(F.col("text"))))
+    """Each document's first word is a name that is linked wherever it stands."""
+    word = F.regexp_extract("text", r"^([^ \n]*)", 1)
+    docs = table(spark, d, "documents").where(word != "")
+    return docs.select("doc_id", notes.linked(F.col("text"), F.array(word)).alias("text")).withColumn("links", F.size(notes.links(F.col("text"))))
 
 
 def _calls(spark: SparkSession, d: str) -> DataFrame:
@@ -404,10 +413,18 @@ def debounce(spark: SparkSession, d: str) -> DataFrame:
     return view.debounced(table(spark, d, "events"), ["user_id"], "ts", "event_id", GAP_MS).select("user_id", "event_id")
 
 
-@query()
-def debounce_suppress(spark: SparkSession, d: str) -> DataFrame:
-    import os
+_DEBOUNCED = f"(SELECT user_id, event_id, ts, CAST(value AS INTEGER) % 7 AS page FROM (SELECT *, epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) - epoch_us(ts) AS gap FROM (SELECT user_id, event_id, ts, CAST(trunc(value) AS INTEGER) AS value FROM events)) WHERE gap IS NULL OR gap >= {GAP_MS * 1000})"
+
 
+@query(
+    f"""
+SELECT user_id, x.id AS event_id, x.ts AS ts, x.page AS page FROM (SELECT user_id, unnest(f.out) AS x FROM (
+  SELECT user_id, list_reduce(list({{'us': epoch_us(ts), 'id': event_id, 'ts': ts, 'page': page}} ORDER BY ts, event_id), lambda a, e: CASE
+      WHEN e.us >= a.quiet AND e.page IS NOT NULL AND e.page <> 0 AND e.page IS DISTINCT FROM a.last THEN {{'last': e.page, 'quiet': e.us + {3 * GAP_MS * 1000}, 'out': list_append(a.out, e)}} ELSE a END,
+    {{'last': CAST(NULL AS INTEGER), 'quiet': CAST(-4611686018427387904 AS BIGINT), 'out': []::STRUCT(us BIGINT, id BIGINT, ts TIMESTAMP, page INTEGER)[]}}) AS f FROM {_DEBOUNCED} GROUP BY user_id))
+"""
+)
+def debounce_suppress(spark: SparkSession, d: str) -> DataFrame:
     env = spark.sparkContext.environment
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env["PYTHONPATH"] = os.pathsep.join(dict.fromkeys(filter(None, [*env.get("PYTHONPATH", "").split(os.pathsep), root])))
@@ -425,11 +442,4 @@ def subject_rollup_text(spark: SparkSession, d: str) -> DataFrame:
     return rolled.join(sizes, "subject").select(F.col("subject").alias("source"), "n_lectures", F.md5(F.col("text").cast("binary")).alias("digest"), "tokens")
 
 
-@query(
-    """
-SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL
-"""
-)
-def platform_pricing(spark: SparkSession, d: str) -> DataFrame:
-    """A smoke test of the platform's aggregation; no operator of this engine."""
-    return table(spark, d, "lineitem").where("l_shipdate <= timestamp_ntz '1998-09-02'").groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.count(F.lit(1)).alias("n"))
+from notemill.plans import notebooks, payloads, scalars  # noqa: E402,F401  they add their queries
