@@ -1,0 +1,124 @@
+"""Queries over serialized pages: documents are put in payloads, as a site would send them, and what is extracted must be what was put in."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from notemill.operators import extract
+from notemill.plans.registry import query, sql_trim
+from notemill.sources.files import table
+
+#: Documents by what their page has: all fields, a memo in place of a summary, tags only, nothing.
+_FULL, _MEMO, _TAGS = "doc_id % 4 = 0", "doc_id % 4 = 1", "doc_id % 4 = 2"
+_ID = "lower(substring(md5(CAST(doc_id AS VARCHAR)), 1, 8) || '-aaaa-bbbb-cccc-' || substring(md5(CAST(doc_id AS VARCHAR)), 1, 12))"
+
+
+def _push(number: int, inner: Column) -> Column:
+    """A call that hands a string over."""
+    quoted = F.to_json(F.array(inner))  # ["..."]
+    return F.concat(F.lit(f"<script>self.__next_f.push([{number},"), F.substring(quoted, F.lit(2), F.length(quoted) - 2), F.lit("])</script>"))
+
+
+def _text() -> Column:
+    """A document's text without what a payload's end would look like."""
+    return F.translate("text", "[]", "()")
+
+
+_SQL_TEXT = "translate(text, '[]', '()')"
+
+
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    said = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), "turn", F.translate("text", "[]", "()").alias("said"))
+    said = said.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "said"))), lambda x: F.struct(x["said"].alias("text"))).alias("segments"))
+    docs = table(spark, d, "documents").join(said, "doc_id", "left")
+    i = F.col("doc_id")
+    digest = F.md5(i.cast("string").cast("binary"))
+    token = F.concat(F.substring(digest, 1, 8), F.lit("-aaaa-bbbb-cccc-"), F.substring(digest, 1, 12))
+    address = F.concat(F.lit("https://x1.supabase.co/storage/v1/object/sign/slides/"), i.cast("string"), F.lit(".pdf?a=1&b=2"))
+    summary = F.when(F.expr(_FULL), F.concat(F.lit("# Head "), i.cast("string"), F.lit("\n## Part\n"), F.repeat(F.lit("words "), 40), F.col("lang")))
+    memo = F.when(F.expr(f"{_FULL} OR {_MEMO}"), F.concat(F.lit("memo &amp;lt; &lt;b&gt; "), F.substring(_text(), 1, 50)))
+    fields = F.struct(
+        F.when(i % 8 != 0, F.concat(F.lit("Title "), i.cast("string"))).alias("noteTitle"),
+        F.lit("2026-01-02T03:04:05Z").alias("createdAt"),
+        memo.alias("memo"),
+        F.when(i % 3 == 0, address).alias("slides_url"),
+        F.when(i % 3 == 1, F.concat(F.lit("see https://x1.supabase.co/storage/v1/object/sign/other.png and "), address)).alias("links"),
+        token.alias("token"),
+        summary.alias("content"),
+    )
+    speech = F.to_json(F.array(F.struct("segments")))
+    payload = F.concat(_push(1, F.to_json(fields)), F.when(F.col("segments").isNotNull(), _push(2, speech)).otherwise(F.lit("")))
+    meta = F.concat(F.lit('<meta property="og:title" content="Doc &quot;'), i.cast("string"), F.lit('&quot; | Notes"><meta property="og:description" content="About &amp;#39;'), F.col("source"), F.lit('&amp;#39;"/>'))
+    html = F.concat(F.lit('<html><script src="/_next/static/b'), i.cast("string"), F.lit('/x.js"></script>'), F.when(i % 4 != 3, meta).otherwise(F.lit("")), F.when(F.expr(f"{_FULL} OR {_MEMO}"), payload).otherwise(F.lit("")), F.lit("</html>"))
+    return docs.select("doc_id", F.concat(F.lit("https://site.example/note/"), i.cast("string")).alias("url"), html.alias("html"))
+
+
+_SAID = f"(SELECT conv_id AS doc_id, string_agg(t, ' ' ORDER BY turn, t) AS transcript FROM (SELECT conv_id, turn, {sql_trim('translate(text, chr(91) || chr(93), chr(40) || chr(41))')} AS t FROM conversations) WHERE t <> '' GROUP BY conv_id)"
+_ADDRESS = "'https://x1.supabase.co/storage/v1/object/sign/slides/' || doc_id || '.pdf?a=1&b=2'"
+_SUMMARY = f"CASE WHEN {_FULL} THEN '# Head ' || doc_id || chr(10) || '## Part' || chr(10) || repeat('words ', 40) || lang END"
+_MEMO_TEXT = f"'memo < <b> ' || substring({_SQL_TEXT}, 1, 50)"
+
+
+@query(
+    f"""
+SELECT doc_id, {_SUMMARY} AS summary, CASE doc_id % 3 WHEN 0 THEN {_ADDRESS} WHEN 1 THEN {_ADDRESS} END AS pdf_url, md5(transcript) AS transcript, {_MEMO_TEXT} AS memo,
+  CASE WHEN doc_id % 8 <> 0 THEN 'Title ' || doc_id ELSE 'Head ' || doc_id END AS title, '2026-01-02T03:04:05Z' AS created_at, {_ID} AS note_id
+FROM documents LEFT JOIN {_SAID} USING (doc_id) WHERE {_FULL} OR {_MEMO}
+UNION ALL SELECT doc_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM documents WHERE NOT ({_FULL} OR {_MEMO})
+"""
+)
+def payload_fields(spark: SparkSession, d: str) -> DataFrame:
+    rows = extract.parse_payload(_pages(spark, d))
+    return rows.select("doc_id", "summary", "pdf_url", F.md5(F.col("transcript").cast("binary")).alias("transcript"), "memo", "title", "created_at", "note_id")
+
+
+@query(
+    f"""
+SELECT doc_id, CASE WHEN doc_id % 4 <> 3 THEN 'Doc "' || doc_id || '" | Notes' END AS og_title, CASE WHEN doc_id % 4 <> 3 THEN 'About ''' || source || '''' END AS og_summary, {_FULL} OR {_MEMO} AS has_push, 'b' || doc_id AS build_id FROM documents
+"""
+)
+def page_meta(spark: SparkSession, d: str) -> DataFrame:
+    return extract.parse_meta(_pages(spark, d)).select("doc_id", "og_title", "og_summary", "has_push", "build_id")
+
+
+@query(
+    f"""
+SELECT 'https://site.example/note/' || doc_id AS url, CASE WHEN payload THEN {_ID} ELSE CAST(doc_id AS VARCHAR) END AS note_id, CASE WHEN payload THEN 'Doc "' || doc_id || '"' WHEN {_TAGS} THEN 'Doc "' || doc_id || '" | Notes' END AS title,
+  CASE WHEN payload THEN coalesce({_SUMMARY}, {_MEMO_TEXT}) WHEN {_TAGS} THEN 'About ''' || source || '''' END AS summary, CASE WHEN payload AND doc_id % 3 < 2 THEN {_ADDRESS} END AS pdf_url,
+  CASE WHEN payload THEN md5(transcript) END AS transcript, CASE WHEN payload THEN '2026-01-02T03:04:05Z' END AS created_at, CAST(NULL AS VARCHAR) AS visibility, CASE WHEN payload THEN 'full' WHEN {_TAGS} THEN 'partial' END AS parse_quality,
+  CASE WHEN NOT payload AND NOT {_TAGS} THEN 'no note data on the page' END AS error
+FROM (SELECT *, {_FULL} OR {_MEMO} AS payload FROM documents LEFT JOIN {_SAID} USING (doc_id))
+"""
+)
+def resolved_notes(spark: SparkSession, d: str) -> DataFrame:
+    rows = extract.resolve(_pages(spark, d))
+    return rows.withColumn("transcript", F.md5(F.col("transcript").cast("binary")))
+
+
+@query(
+    f"""
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY length(t) DESC, i) - 1 AS INTEGER) AS place, md5(t) AS digest
+FROM (SELECT doc_id, unnest(l) AS t, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, string_split({_SQL_TEXT}, chr(10)) AS l FROM documents))
+WHERE length(replace(replace(t, chr(34), 'xx'), chr(9), 'xx')) >= 100
+"""
+)
+def long_strings(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of documents as strings of a payload, the longest first; raw length counts what JSON escapes twice."""
+    payload = F.to_json(F.split(_text(), "\n"))
+    rows = table(spark, d, "documents").select("doc_id", F.posexplode(extract.long_strings(payload)).alias("place", "t"))
+    return rows.select("doc_id", "place", F.md5(F.col("t").cast("binary")).alias("digest"))
+
+
+@query(
+    f"""
+SELECT doc_id, i AS chunk, CASE i WHEN 0 THEN md5({_SQL_TEXT}) WHEN 1 THEN md5('a "b"' || chr(10) || chr(9) || 'c\\' || source || '\\x') ELSE md5('[3,' || doc_id || ']') END AS digest FROM documents, (SELECT unnest([0, 1, 2]) AS i)
+"""
+)
+def payload_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks that are JSON, that only look like it and are mended by hand, and that are none."""
+    broken = F.concat(F.lit('<script>self.__next_f.push( [7, "a \\"b\\"\\n\\tc\\\\'), F.col("source"), F.lit('\\x"] )</script>'))
+    html = F.concat(_push(1, _text()), broken, F.lit("<script>self.__next_f.push([3,"), F.col("doc_id").cast("string"), F.lit("])</script>"))
+    chunks = F.transform(F.regexp_extract_all(html, F.lit(extract.PUSH), F.lit(1)), extract.unescaped_chunk)
+    rows = table(spark, d, "documents").select("doc_id", F.posexplode(chunks).alias("chunk", "t"))
+    return rows.select("doc_id", "chunk", F.md5(F.col("t").cast("binary")).alias("digest"))
