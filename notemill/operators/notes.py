@@ -6,6 +6,7 @@ Marker names and headings are parameters in Labels, so that any note dialect of
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
@@ -113,10 +114,41 @@ def sections_of(content: str | None, labels: Labels = LABELS) -> dict[str, objec
     return {"frontmatter": front, "preamble": cut(body[: found[0][0].start()]), "sections": sections}
 
 
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is made once; a column of its own would be put in wherever it is used when a filter is pushed down."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
+def orderly_sections(content: Column, labels: Labels = LABELS) -> Column:
+    """PAR-20 in the JVM, for a note in which each start is directly followed by its own end: a struct as of sections_of; null for other notes."""
+    until_heading = lambda x: F.when(x.rlike(labels.heading), F.regexp_extract(x, rf"^([\s\S]*?(^|\n))(?=## {re.escape(labels.slide)} \d)", 1)).otherwise(x)
+    none = F.array().cast("array<struct<ord:int,slide_num:int,hash:string,dup:int,managed:string,after:string>>")
+
+    def split(front: Column, body: Column, marks: Column, parts: Column) -> Column:
+        starts = F.when(F.size(marks) >= 2, F.sequence(F.lit(0), F.size(marks) - 2, F.lit(2))).otherwise(F.array().cast("array<int>"))
+        paired = F.forall(starts, lambda k: F.get(marks, k).endswith(" start -->") & (F.regexp_replace(F.get(marks, k), " start -->$", " end -->") == F.get(marks, k + 1)))
+        field = lambda k, group: F.regexp_extract(F.get(marks, k), labels.marker, group)
+        section = lambda k, i: F.struct(
+            i.alias("ord"),
+            field(k, 1).cast("int").alias("slide_num"),
+            field(k, 2).alias("hash"),
+            blank_to_null(field(k, 3)).cast("int").alias("dup"),
+            F.get(parts, k + 1).alias("managed"),
+            until_heading(F.get(parts, k + 2)).alias("after"),
+        )
+        whole = F.struct(front.alias("frontmatter"), F.when(F.size(marks) == 0, body).otherwise(until_heading(F.get(parts, 0))).alias("preamble"), F.when(F.size(marks) == 0, none).otherwise(F.transform(starts, section)).alias("sections"))
+        return F.when((F.size(marks) % 2 == 0) & paired, whole)
+
+    rest = lambda front: F.substring(content, F.length(front) + 1, F.length(content))
+    marks_of = lambda body: F.regexp_extract_all(body, F.lit(f"({labels.marker})"), F.lit(1))
+    with_marks = lambda front, body: _let(marks_of(body), lambda marks: _let(F.split(body, labels.marker), lambda parts: split(front, body, marks, parts)))
+    return _let(frontmatter(content), lambda front: _let(rest(front), lambda body: with_marks(front, body)))
+
+
 def with_sections(notes: DataFrame, content: str = "content", labels: Labels = LABELS) -> DataFrame:
     """notes with frontmatter, preamble and sections (array) of each.
 
-    Where each start is directly followed by its own end, as in all notes that nobody has cut up, what is between the markers is split in the JVM. Only notes with odd markers go
+    Notes whose markers are in order, as all are that nobody has cut up, are split in the JVM. Only those with odd markers go
     to Python, in Arrow batches, as pairing these needs a scan with state.
     """
     @F.pandas_udf(SECTIONS)
@@ -124,27 +156,9 @@ def with_sections(notes: DataFrame, content: str = "content", labels: Labels = L
         return pd.DataFrame([sections_of(t, labels) if t is not None else (None, None, None) for t in texts], columns=["frontmatter", "preamble", "sections"])
 
     text = F.coalesce(F.col(content), F.lit(""))
-    df = notes.withColumn("__front", frontmatter(text)).withColumn("__body", F.substring(text, F.length("__front") + 1, F.length(text)))
-    df = df.withColumn("__marks", F.regexp_extract_all("__body", F.lit(f"({labels.marker})"), F.lit(1)))
-    marks, starts = F.col("__marks"), F.sequence(F.lit(0), F.size("__marks") - 1, F.lit(2))
-    paired = F.forall(starts, lambda k: F.get(marks, k).endswith(" start -->") & (F.regexp_replace(F.get(marks, k), " start -->$", " end -->") == F.get(marks, k + 1)))
-    df = df.withColumn("__orderly", F.when(F.size(marks) == 0, True).otherwise((F.size(marks) % 2 == 0) & F.coalesce(paired, F.lit(False))))
-    df = df.withColumn("__parts", F.when(F.col("__orderly") & (F.size(marks) > 0), F.split("__body", labels.marker)))
-    until_heading = lambda x: F.when(x.rlike(labels.heading), F.regexp_extract(x, rf"^([\s\S]*?(^|\n))(?=## {re.escape(labels.slide)} \d)", 1)).otherwise(x)
-    field = lambda k, group: F.regexp_extract(F.get(marks, k), labels.marker, group)
-    part = lambda k: F.get("__parts", k)
-    section = lambda k, i: F.struct(
-        i.alias("ord"),
-        field(k, 1).cast("int").alias("slide_num"),
-        field(k, 2).alias("hash"),
-        blank_to_null(field(k, 3)).cast("int").alias("dup"),
-        part(k + 1).alias("managed"),
-        until_heading(part(k + 2)).alias("after"),
-    )
-    none = F.array().cast("array<struct<ord:int,slide_num:int,hash:string,dup:int,managed:string,after:string>>")
-    orderly = F.struct(F.col("__front").alias("frontmatter"), F.when(F.size(marks) == 0, F.col("__body")).otherwise(until_heading(part(F.lit(0)))).alias("preamble"), F.when(F.size(marks) == 0, none).otherwise(F.transform(starts, section)).alias("sections"))
-    df = df.withColumn("__odd", split(F.when(~F.col("__orderly"), text))).withColumn("__s", F.when(F.col("__orderly"), orderly).otherwise(F.col("__odd")))
-    return df.select(*notes.columns, "__s.frontmatter", "__s.preamble", "__s.sections")
+    df = notes.withColumn("__s", orderly_sections(text, labels))
+    df = df.withColumn("__odd", split(F.when(F.col("__s").isNull(), text)))
+    return df.withColumn("__s", F.coalesce("__s", "__odd")).select(*notes.columns, "__s.frontmatter", "__s.preamble", "__s.sections")
 
 
 def headings(body: Column) -> Column:

@@ -1,0 +1,340 @@
+"""Queries over notes: documents as decks, their lines as slides, and notes built from them, parsed, merged and summed up."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from notemill.functions import text as T
+from notemill.operators import calls, chunk, concepts, extract, log, merge, notes, prompts
+from notemill.operators.notes import LABELS as L
+from notemill.plans.registry import query, sql_end, sql_linked, sql_ordered_distinct, sql_sanitized, sql_trim
+from notemill.sources.files import note_path, table
+from notemill.streaming.events import page_of_heading
+
+NL = "chr(10)"
+_WORD = r"regexp_extract(text, '^([^ \n]*)', 1)"
+
+
+def _digest(x: Column, name: str = "digest") -> Column:
+    return F.md5(x.cast("binary")).alias(name)
+
+
+def _sql(text: str) -> str:
+    """A text with line ends as an SQL expression."""
+    return "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+# --- notes anchored to slides -------------------------------------------------------------------
+
+
+def _slide_notes(spark: SparkSession, d: str) -> DataFrame:
+    """A note for each document: a slide for each line; in every third the slide after the last has failed."""
+    docs = table(spark, d, "documents")
+    i = F.col("doc_id").cast("string")
+    word = F.regexp_extract("text", r"^([^ \n]*)", 1)
+    about = docs.select(F.concat(F.lit("n"), i).alias("note_id"), F.concat(F.lit("Doc "), i).alias("title"), F.col("source").alias("subject"), F.array("lang").alias("tags"), F.array(word).alias("names"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 365).cast("int")).cast("string").alias("date"), F.lit("2024-01-01T00:00:00Z").alias("created_at"))
+    lines = docs.select(F.concat(F.lit("n"), i).alias("note_id"), F.posexplode(F.split("text", "\n")).alias("at", "commentary"))
+    slides = lines.select("note_id", (F.col("at") + 1).alias("slide_num"), T.content_hash(F.col("commentary")).alias("hash"), "commentary")
+    errors = docs.where("doc_id % 3 = 0").select(F.concat(F.lit("n"), i).alias("note_id"), (F.size(F.split("text", "\n")) + 1).alias("slide_num"), F.lit("429").alias("reason"))
+    return notes.page_anchored_note(about, slides, errors)
+
+
+_SLIDES = f"""(SELECT doc_id, i, n, left(sha1(line), 8) AS hash, CASE WHEN word = '' THEN line ELSE {sql_linked("line", "word")} END AS body
+  FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i, len(l) AS n, word FROM (SELECT doc_id, string_split(text, {NL}) AS l, {_WORD} AS word FROM documents)))"""
+_MARK = "'<!-- note:slide:' || i || ' hash:' || hash || ' {} -->'"
+_SECTION = f"'## 📚 슬라이드 ' || i || {NL} || {NL} || {_MARK.format('start')} || {NL} || body || {NL} || {_MARK.format('end')} || {NL} || {NL} || '> [!note] 내 메모' || {NL} || '> '"
+_FAILED = f"CASE WHEN doc_id % 3 = 0 THEN {NL} || {NL} || '## ⚠️ 처리 실패 슬라이드' || {NL} || {NL} || '- 슬라이드 ' || (n + 1) || ': 429' || {NL} ELSE '' END"
+_DATE = "CAST(CAST(DATE '2024-01-01' + CAST(doc_id % 365 AS INTEGER) AS DATE) AS VARCHAR)"
+_HEAD = f"""'---' || {NL} || 'title: "Doc ' || doc_id || '"' || {NL} || 'subject: "' || source || '"' || {NL} || 'tags: [' || lower(source) || ', ' || lang || ']' || {NL} || 'date: "' || {_DATE} || '"' || {NL} || 'source: "notemill"' || {NL}"""
+_FOOT = f"""'note_created: "2024-01-01T00:00:00Z"' || {NL} || 'note_id: "n' || doc_id || '"' || {NL} || '---' || {NL}"""
+_FRONT = f"{_HEAD} || 'slide_count: ' || n || {NL} || {_FOOT}"
+
+
+@query(
+    f"""
+SELECT 'n' || doc_id AS note_id, length(c) AS n_chars, md5(c) AS digest FROM (SELECT doc_id, {_FRONT} || '# Doc ' || doc_id || {NL} || {NL} || body || {_FAILED} || {NL} AS c
+  FROM documents JOIN (SELECT doc_id, max(n) AS n, string_agg({_SECTION}, {NL} || {NL} ORDER BY i) AS body FROM {_SLIDES} GROUP BY doc_id) USING (doc_id))
+"""
+)
+def slide_notes(spark: SparkSession, d: str) -> DataFrame:
+    return _slide_notes(spark, d).select("note_id", F.length("content").cast("long").alias("n_chars"), _digest(F.col("content")))
+
+
+@query(
+    f"""
+SELECT 'n' || doc_id AS note_id, md5({_FRONT}) AS frontmatter, md5('# Doc ' || doc_id || {NL} || {NL}) AS preamble, CAST(i - 1 AS INTEGER) AS ord, CAST(i AS INTEGER) AS slide_num, hash, CAST(NULL AS INTEGER) AS dup, md5({NL} || body || {NL}) AS managed,
+  md5({NL} || {NL} || '> [!note] 내 메모' || {NL} || '> ' || CASE WHEN i < n THEN {NL} || {NL} ELSE {_FAILED} || {NL} END) AS after
+FROM {_SLIDES} JOIN (SELECT doc_id, source, lang FROM documents) USING (doc_id)
+"""
+)
+def note_sections(spark: SparkSession, d: str) -> DataFrame:
+    rows = notes.with_sections(_slide_notes(spark, d).where(notes.has_sections(F.col("content"))))
+    each = rows.select("note_id", _digest(F.col("frontmatter"), "frontmatter"), _digest(F.col("preamble"), "preamble"), F.explode("sections").alias("s"))
+    return each.select("note_id", "frontmatter", "preamble", "s.ord", "s.slide_num", "s.hash", "s.dup", _digest(F.col("s.managed"), "managed"), _digest(F.col("s.after"), "after"))
+
+
+@query(f"SELECT 'n' || doc_id AS note_id, i AS place, CAST(i AS INTEGER) AS page FROM {_SLIDES}")
+def heading_pages(spark: SparkSession, d: str) -> DataFrame:
+    """The pages that a note's headings name, but for headings in the text itself."""
+    rows = _slide_notes(spark, d).select("note_id", F.explode(F.regexp_extract_all("content", F.lit(rf"(?m)^(## {L.slide} \d+)$"), F.lit(1))).alias("heading"))
+    page = page_of_heading(F.col("heading"))
+    return rows.select("note_id", page.cast("long").alias("place"), page.alias("page"))
+
+
+# --- notes of one block -------------------------------------------------------------------------
+
+
+@query(
+    f"""
+SELECT 'n' || doc_id AS note_id, md5(CASE WHEN doc_id % 5 = 0 THEN partial_front ELSE full_front END || '<!-- note:start -->' || {NL} || '# Doc ' || doc_id || {NL} || {NL} || body || {NL} || '<!-- note:end -->' || {NL} || {NL} || '## 내 메모' || {NL}) AS digest
+FROM (SELECT doc_id, {_HEAD} || {_FOOT} AS full_front, '---' || {NL} || 'title: "Doc ' || doc_id || '"' || {NL} || 'subject: "' || source || '"' || {NL} || 'tags: [' || lower(source) || ']' || {NL} || 'date: "' || {_DATE} || '"' || {NL} || 'source: "notemill"' || {NL} || 'parse_quality: "partial"' || {NL} || '---' || {NL} AS partial_front,
+  CASE WHEN doc_id % 5 = 0 THEN {_sql("> [!warning] Partial import" + chr(10) + "> The page" + chr(39) + "s format may have changed. Only title and description were extracted." + chr(10) + chr(10))} || CASE WHEN doc_id % 2 = 0 THEN 'S ' || text ELSE '내용을 추출할 수 없습니다.' END
+    ELSE {sql_trim(f"CASE WHEN word = '' THEN t ELSE {sql_linked('t', 'word')} END")} END AS body
+  FROM (SELECT *, {_WORD} AS word, CASE WHEN doc_id % 3 = 0 THEN text WHEN doc_id % 2 = 0 THEN 'S ' || text ELSE '' END AS t FROM documents))
+"""
+)
+def single_notes(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("doc_id")
+    word = F.regexp_extract("text", r"^([^ \n]*)", 1)
+    rows = table(spark, d, "documents").select(
+        F.concat(F.lit("n"), i.cast("string")).alias("note_id"), F.concat(F.lit("Doc "), i.cast("string")).alias("title"), F.col("source").alias("subject"), F.array("lang").alias("tags"), F.array(word).alias("names"),
+        F.date_add(F.lit("2024-01-01").cast("date"), (i % 365).cast("int")).cast("string").alias("date"), F.lit("2024-01-01T00:00:00Z").alias("created_at"),
+        F.when(i % 2 == 0, F.concat(F.lit("S "), "text")).otherwise("").alias("summary"), F.when(i % 3 == 0, F.col("text")).otherwise("").alias("processed"), F.when(i % 5 == 0, "partial").otherwise("full").alias("parse_quality"),
+    )
+    return notes.single_block_note(rows).select("note_id", _digest(F.col("content")))
+
+
+_BODY = f"'# H1 ' || source || {NL} || text || {NL} || '##  H2 ' || {NL} || '[[' || source || '|alias]] and [[ ' || lang || ' ]] and [[x#y]] and [[' || source || ']]' || {NL} || '####### no' || {NL} || '# H1 ' || source"
+_CONTENT = f"'---' || {NL} || 'title: t' || {NL} || '---' || {NL} || {NL} || 'own ' || lang || {NL} || CASE WHEN doc_id % 4 = 1 THEN '' ELSE '<!-- note:start -->' END || {_BODY} || CASE WHEN doc_id % 4 = 2 THEN '' ELSE '<!-- note:end -->' END || ' mine '"
+
+
+@query(
+    f"""
+SELECT doc_id, '---' || {NL} || 'title: t' || {NL} || '---' AS frontmatter, CASE WHEN whole THEN 'own ' || lang || {NL} ELSE '' END AS before, md5(CASE WHEN whole THEN '<!-- note:start -->' || {_BODY} || '<!-- note:end -->' ELSE '' END) AS managed, CASE WHEN whole THEN ' mine ' ELSE '' END AS after,
+  array_to_string({sql_ordered_distinct(f"list_transform(list_filter(string_split(content, {NL}), lambda x: regexp_matches(x, '^#{{1,6}}[ ]+.+$')), lambda x: {sql_trim("regexp_extract(x, '^#{1,6}[ ]+(.+)$', 1)")})")}, '/') AS headings,
+  array_to_string([source, lang], '/') AS links, lang AS cited
+FROM (SELECT *, doc_id % 4 NOT IN (1, 2) AS whole, {_CONTENT} AS content FROM documents)
+"""
+)
+def note_parts(spark: SparkSession, d: str) -> DataFrame:
+    i, lang, source = F.col("doc_id"), F.col("lang"), F.col("source")
+    body = F.concat(F.lit("# H1 "), source, F.lit("\n"), "text", F.lit("\n##  H2 \n[["), source, F.lit("|alias]] and [[ "), lang, F.lit(" ]] and [[x#y]] and [["), source, F.lit("]]\n####### no\n# H1 "), source)
+    content = F.concat(F.lit("---\ntitle: t\n---\n\nown "), lang, F.lit("\n"), F.when(i % 4 == 1, "").otherwise(L.start), body, F.when(i % 4 == 2, "").otherwise(L.end), F.lit(" mine "))
+    rows = table(spark, d, "documents").select("doc_id", "lang", content.alias("content")).withColumn("s", notes.split_managed(F.col("content")))
+    joined = lambda x: F.array_join(x, "/")
+    return rows.select("doc_id", "s.frontmatter", "s.before", _digest(F.col("s.managed"), "managed"), "s.after", joined(notes.headings(F.col("content"))).alias("headings"), joined(notes.links(F.col("content"))).alias("links"), joined(notes.cited(F.col("content"), F.array("lang"))).alias("cited"))
+
+
+@query(
+    f"""
+SELECT p_partkey, '---' || {NL} || 'tags: [concept]' || {NL} || '---' || {NL} || '# ' || p_name || {NL} || '**정의:** ' || p_type || CASE WHEN p_size % 2 = 0 THEN {NL} || '**강의 맥락:** ' || p_brand ELSE '' END
+  || CASE WHEN p_size % 3 = 0 THEN {NL} || '**예시:** ' || p_size ELSE '' END || {NL} || '**관련 강의:** [[L' || p_size || ']], [[M]]' || CASE WHEN p_size % 5 = 0 THEN {NL} || '**관련 개념:** [[' || p_brand || ']]' ELSE '' END AS content,
+  'N/Concepts/' || {sql_sanitized("p_name")} || '.md' AS path FROM part
+"""
+)
+def concept_notes(spark: SparkSession, d: str) -> DataFrame:
+    size = F.col("p_size")
+    none = F.array().cast("array<string>")
+    note = notes.concept_note(F.col("p_name"), F.col("p_type"), F.when(size % 5 == 0, F.array("p_brand")).otherwise(none), F.array(F.concat(F.lit("L"), size.cast("string")), F.lit("M")), F.when(size % 2 == 0, F.col("p_brand")), F.when(size % 3 == 0, size.cast("string")).otherwise(""), F.lit(None).cast("string"))
+    return table(spark, d, "part").select("p_partkey", note.alias("content"), concepts.path_of(F.col("p_name"), "N/Concepts").alias("path"))
+
+
+@query(
+    f"""
+SELECT path, md5('---' || {NL} || 'title: "' || title || '"' || {NL} || 'subject: "' || source || '"' || {NL} || 'tags: [exam' || CASE WHEN source < 'src2' THEN ', final' ELSE '' END || ']' || {NL} || 'date: "2026-01-01"' || {NL} || 'source: "notemill"' || {NL} || 'lecture_count: ' || n || {NL} || '---' || {NL} || '# ' || title || {NL} || {NL} || langs || {NL}) AS digest
+FROM (SELECT source, 'Exam ' || source AS title, 'Exam/Exam ' || source || '.md' AS path, count(*) AS n, max(lang) AS langs FROM documents GROUP BY source)
+"""
+)
+def exam_notes(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents").groupBy(F.col("source").alias("subject")).agg(F.count(F.lit(1)).alias("n_lectures"), F.max("lang").alias("body"))
+    rows = rows.select("subject", F.concat(F.lit("Exam "), "subject").alias("title"), F.when(F.col("subject") < "src2", "final").alias("period"), "n_lectures", F.lit("2026-01-01").alias("date"), "body")
+    return notes.exam_note(rows).select("path", _digest(F.col("content")))
+
+
+# --- merging ------------------------------------------------------------------------------------
+
+_NEXT = f"'---' || {NL} || 'title: new' || {NL} || '---' || {NL} || {NL} || '<!-- note:start -->' || {NL} || text || {NL} || '<!-- note:end -->' || {NL} || {NL} || '## 내 메모' || {NL}"
+
+
+@query(
+    f"""
+SELECT doc_id, md5(CASE doc_id % 4 WHEN 0 THEN '---' || {NL} || 'title: new' || {NL} || '---' || {NL} || {NL} || 'mine' || {NL} || {NL} || '<!-- note:start -->' || {NL} || text || {NL} || '<!-- note:end -->' || CASE WHEN doc_id % 8 = 0 THEN {NL} || {NL} || 'after ' || lang ELSE '' END || {NL}
+  WHEN 1 THEN {sql_end(_NEXT)} || {_sql(chr(10) + chr(10) + "## " + L.backup + chr(10) + chr(10) + "> [!note]" + chr(10) + "> " + L.backup_note + chr(10) + chr(10))} || {sql_trim("'old ' || text")} || {NL} ELSE {_NEXT} END) AS digest FROM documents
+"""
+)
+def block_merge(spark: SparkSession, d: str) -> DataFrame:
+    """Notes with a block, without one, with a backup already, and new ones."""
+    i = F.col("doc_id")
+    following = F.concat(F.lit("---\ntitle: new\n---\n\n<!-- note:start -->\n"), "text", F.lit("\n<!-- note:end -->\n\n## 내 메모\n"))
+    block = F.concat(F.lit("---\ntitle: old\n---\n\n mine \n<!-- note:start -->gone<!-- note:end -->\n"), F.when(i % 8 == 0, F.concat(F.lit("\n\nafter "), "lang", F.lit(" \n"))).otherwise(""))
+    current = F.when(i % 4 == 0, block).when(i % 4 == 1, F.concat(F.lit("old "), "text")).when(i % 4 == 2, F.concat("text", F.lit(f"\n## {L.backup}\nolder")))
+    rows = table(spark, d, "documents").select(i.cast("string").alias("note_path"), current.alias("current"), following.alias("next"))
+    return merge.merged_notes(rows).select(F.col("note_path").cast("long").alias("doc_id"), _digest(F.col("merged")))
+
+
+def _decks(spark: SparkSession, d: str) -> DataFrame:
+    """(note, old and new text) of each document and the one with the next id."""
+    docs = table(spark, d, "documents").select("doc_id", "text", "source", "lang")
+    new = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("new_text"))
+    return docs.join(new, "doc_id")
+
+
+def _deck_note(text: Column, title: str, own: bool) -> Column:
+    """A text's lines as sections; where own, even slides have words of their own after them."""
+
+    def section(line: Column, k: Column) -> Column:
+        number = k + 1
+        none = F.lit(None).cast("int")
+        words = F.when((number % 2 == 0) & F.lit(own), F.concat(F.lit("\n\n> own "), number.cast("string"), F.lit("\n\n"))).otherwise("\n\n")
+        return F.concat(F.lit(f"## {L.slide} "), number.cast("string"), F.lit("\n\n"), notes.marker(number, T.content_hash(line), none, "start"), F.lit("\n"), line, F.lit("\n"), notes.marker(number, T.content_hash(line), none, "end"), words)
+
+    return F.concat(F.lit(f"---\nv: {title}\n---\n# {title}\n\n"), F.array_join(F.transform(F.split(text, "\n"), section), ""))
+
+
+def _old_note(own: bool = True) -> Column:
+    """Every seventh note is from before there were sections, every eleventh wasn't there."""
+    i = F.col("doc_id")
+    return F.when(i % 11 == 0, F.lit(None).cast("string")).when(i % 7 == 0, F.concat(F.lit("legacy "), "text")).otherwise(_deck_note(F.col("text"), "old", own))
+
+
+def _sql_deck(text: str, title: str, own: bool) -> str:
+    words = f"CASE WHEN k % 2 = 0 THEN {NL} || {NL} || '> own ' || k || {NL} || {NL} ELSE {NL} || {NL} END" if own else f"{NL} || {NL}"
+    mark = "'<!-- note:slide:' || k || ' hash:' || left(sha1(x), 8) || ' {} -->'"
+    return f"""{_sql("---" + chr(10) + "v: " + title + chr(10) + "---" + chr(10) + "# " + title + chr(10) + chr(10))} || array_to_string(list_transform(string_split({text}, {NL}), lambda x, k: '## 📚 슬라이드 ' || k || {NL} || {NL} || {mark.format("start")} || {NL} || x || {NL} || {mark.format("end")} || {words}), '')"""
+
+
+_PAIRS = "(SELECT a.doc_id, a.text, a.source, a.lang, b.text AS new_text FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1)"
+_MATCHED = """(WITH l AS (SELECT doc_id, CAST(i AS INTEGER) AS i, line, left(sha1(line), 8) AS hash FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))),
+o AS (SELECT doc_id AS note, i AS old_slide, hash AS old_hash, row_number() OVER (PARTITION BY doc_id, hash ORDER BY i) AS k FROM l),
+n AS (SELECT doc_id - 1 AS note, i AS new_slide, hash AS new_hash, line, row_number() OVER (PARTITION BY doc_id, hash ORDER BY i) AS k FROM l),
+h AS (SELECT o.note, old_slide, old_hash, new_slide, new_hash, line FROM o JOIN n ON o.note = n.note AND old_hash = new_hash AND o.k = n.k),
+ro AS (SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.note = o.note AND h.old_slide = o.old_slide)),
+rn AS (SELECT * FROM n WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.note = n.note AND h.new_slide = n.new_slide))
+SELECT CASE WHEN old_slide <> new_slide THEN 'reorder' ELSE 'same' END AS kind, * FROM h UNION ALL
+SELECT CASE WHEN old_slide IS NULL THEN 'insertion' WHEN new_slide IS NULL THEN 'deletion' ELSE 'drift' END, coalesce(ro.note, rn.note), old_slide, old_hash, new_slide, new_hash, line FROM ro FULL JOIN rn ON ro.note = rn.note AND old_slide = new_slide)"""
+_OWN = f"CASE WHEN old_slide % 2 = 0 THEN {NL} || '> own ' || old_slide || {NL} || {NL} ELSE {NL} || '> [!note] 내 메모' || {NL} || '> ' || {NL} || {NL} END"
+_NEW_MARK = "'<!-- note:slide:' || new_slide || ' hash:' || new_hash || ' {} -->'"
+_MERGED = f"'## 📚 슬라이드 ' || new_slide || {NL} || {NL} || {_NEW_MARK.format('start')} || {NL} || {sql_trim('line')} || {NL} || {_NEW_MARK.format('end')} || {NL} || coalesce({_OWN}, {NL} || '> [!note] 내 메모' || {NL} || '> ' || {NL} || {NL})"
+_ORPHAN = f"'<!-- note:orphan slide:' || old_slide || ' hash:' || old_hash || ' -->' || {NL} || CASE WHEN old_slide % 2 = 0 THEN '> own ' || old_slide ELSE '' END"
+
+
+@query(
+    f"""
+SELECT doc_id, md5(CASE WHEN doc_id % 11 = 0 THEN following WHEN doc_id % 7 = 0 THEN {sql_end("following")} || {_sql(chr(10) + chr(10) + "## " + L.backup + chr(10) + chr(10))} || {sql_trim("'legacy ' || text")} || {NL}
+  ELSE {_sql("---" + chr(10) + "v: new" + chr(10) + "---" + chr(10) + "# new" + chr(10) + chr(10))} || body || CASE WHEN orphans IS NULL THEN '' ELSE {_sql(chr(10) + chr(10) + "## " + L.orphans + chr(10) + chr(10))} || orphans || {NL} END END) AS digest
+FROM (SELECT *, {_sql_deck("new_text", "new", False)} AS following FROM {_PAIRS}) JOIN (SELECT note AS doc_id, string_agg({_MERGED}, {NL} ORDER BY new_slide) FILTER (new_slide IS NOT NULL) AS body, string_agg({_ORPHAN}, {NL} || {NL} ORDER BY old_slide) FILTER (kind = 'deletion') AS orphans FROM {_MATCHED} GROUP BY note) USING (doc_id)
+"""
+)
+def slide_merge(spark: SparkSession, d: str) -> DataFrame:
+    """Own words follow their slide, or its number, or go to the orphans."""
+    rows = _decks(spark, d).select(F.col("doc_id").cast("string").alias("note_path"), _old_note().alias("current"), _deck_note(F.col("new_text"), "new", False).alias("next"))
+    return merge.merged_notes(rows).select(F.col("note_path").cast("long").alias("doc_id"), _digest(F.col("merged")))
+
+
+_HEADINGS = lambda x: sql_ordered_distinct(f"list_transform(list_filter(string_split({x}, {NL}), lambda x: regexp_matches(x, '^#{{1,6}}\\s+.+$')), lambda x: {sql_trim(chr(114) + 'egexp_extract(x, ' + chr(39) + '^#{1,6}' + chr(92) + 's+(.+)$' + chr(39) + ', 1)')})")
+_LINES_OF = lambda x: f"list_filter(list_transform(string_split({x}, {NL}), lambda x: {sql_trim('x')}), lambda x: x <> '')"
+_LESS = lambda a, b: f"array_to_string(list_filter({a}, lambda x: NOT list_contains({b}, x))[1:8], '/')"
+_LISTED = lambda kind, by, x: f"coalesce(string_agg({x}, ',' ORDER BY {by}) FILTER (kind = '{kind}'), '')"
+
+
+@query(
+    f"""
+SELECT doc_id, cur IS NOT NULL AS is_update, CASE WHEN cur IS NULL THEN '' ELSE {_LESS(_HEADINGS("nxt"), _HEADINGS("cur"))} END AS added_sections, CASE WHEN cur IS NULL THEN '' ELSE {_LESS(_HEADINGS("cur"), _HEADINGS("nxt"))} END AS removed_sections,
+  source || '/' || lang AS added_concepts, '' AS removed_concepts, CASE WHEN cur IS NULL THEN 0 ELSE len(list_filter({_LINES_OF("nxt")}, lambda x: NOT list_contains({_LINES_OF("cur")}, x))) END AS changed_line_count, cur IS NOT NULL AND doc_id % 7 = 0 AS becomes_sectioned,
+  CASE WHEN cur IS NULL THEN NULL WHEN doc_id % 7 = 0 THEN '' ELSE reorders END AS reorders, CASE WHEN cur IS NULL THEN NULL WHEN doc_id % 7 = 0 THEN every ELSE insertions END AS insertions, CASE WHEN cur IS NULL THEN NULL WHEN doc_id % 7 = 0 THEN '' ELSE deletions END AS deletions,
+  CASE WHEN cur IS NULL THEN NULL WHEN doc_id % 7 = 0 THEN '' ELSE drifts END AS drifts, CASE WHEN cur IS NULL THEN NULL WHEN doc_id % 7 = 0 THEN false ELSE replaced END AS replaced
+FROM (SELECT *, CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 7 = 0 THEN 'legacy ' || text ELSE {_sql_deck("text", "old", True)} END AS cur, {_sql_deck("new_text", "new", False)} AS nxt FROM {_PAIRS})
+JOIN (SELECT note AS doc_id, {_LISTED("reorder", "new_slide", "old_slide || '>' || new_slide || ':' || new_hash")} AS reorders, {_LISTED("insertion", "new_slide", "CAST(new_slide AS VARCHAR)")} AS insertions, {_LISTED("deletion", "old_slide", "old_slide || ':' || old_hash")} AS deletions,
+  {_LISTED("drift", "new_slide", "new_slide || ':' || old_hash || '>' || new_hash")} AS drifts, string_agg(CAST(new_slide AS VARCHAR), ',' ORDER BY new_slide) FILTER (new_slide IS NOT NULL) AS every, count(*) FILTER (kind = 'deletion') > 0.5 * count(old_slide) AS replaced FROM {_MATCHED} GROUP BY note) USING (doc_id)
+"""
+)
+def update_summaries(spark: SparkSession, d: str) -> DataFrame:
+    """What a re-import would change: the plan that is shown before it is applied."""
+    rows = _decks(spark, d).select(F.col("doc_id").cast("string").alias("note_path"), _old_note().alias("current"), _deck_note(F.col("new_text"), "new", False).alias("next"), F.array("source", "lang").alias("concept_names"))
+    got = merge.update_summary(rows)
+    text = lambda *c: F.concat(*[x if isinstance(x, Column) else F.lit(x) for x in c])
+    number = lambda x: x.cast("string")
+    listed = lambda c, f: F.array_join(F.transform(c, f), ",")
+    return got.select(
+        F.col("note_path").cast("long").alias("doc_id"), "is_update", *[F.array_join(c, "/").alias(c) for c in ("added_sections", "removed_sections", "added_concepts", "removed_concepts")], F.col("changed_line_count").cast("long").alias("changed_line_count"), "becomes_sectioned",
+        listed("slide_reorders", lambda s: text(number(s["from"]), ">", number(s["to"]), ":", s["hash"])).alias("reorders"), listed("slide_insertions", number).alias("insertions"),
+        listed("slide_deletions", lambda s: text(number(s["slide_num"]), ":", s["hash"])).alias("deletions"), listed("slide_drifts", lambda s: text(number(s["slide_num"]), ":", s["old_hash"], ">", s["new_hash"])).alias("drifts"), F.col("confirm_deck_replacement").alias("replaced"),
+    )
+
+
+_CURRENT = f"""'---' || {NL} || 'tags: [concept]' || {NL} || '---' || {NL} || '# C' || doc_id || {NL} || '**정의:** ' || source || CASE WHEN doc_id % 5 = 0 THEN {NL} || '**예시:** e' ELSE '' END || CASE WHEN doc_id % 2 = 0 THEN {NL} || '**관련 강의:** [[L0]]' ELSE '' END || CASE WHEN lang <> 'en' THEN {NL} || '**관련 개념:** [[' || lang || ']]' ELSE '' END"""
+_FRESH = f"'---' || {NL} || 'tags: [concept]' || {NL} || '---' || {NL} || '# C' || doc_id || {NL} || '**정의:** new'"
+
+
+def _field_sql(text: str, label: str, value: str) -> str:
+    return f"CASE WHEN {value} IS NULL OR contains({text}, '{label}') THEN {text} ELSE replace({text}, '**관련 강의:**', '{label} ' || {value} || {NL} || {NL} || '**관련 강의:**') END"
+
+
+@query(
+    f"""
+SELECT path, action, CASE action WHEN 'kept' THEN cur WHEN 'inserted' THEN {_FRESH} ELSE d END AS content FROM (
+SELECT *, CASE WHEN NOT contains(c, '**관련 개념:**') THEN {sql_end("c")} || {NL} || '**관련 개념:** [[' || source || ']], [[' || lang || ']]' || {NL} WHEN lang <> 'en' THEN replace(c, '**관련 개념:** [[' || lang || ']]', '**관련 개념:** [[' || lang || ']], [[' || source || ']]') END AS d FROM (
+SELECT *, {_field_sql("b2", "**주의:**", "care")} AS c FROM (
+SELECT *, {_field_sql("b1", "**예시:**", "'ex'")} AS b2 FROM (
+SELECT *, {_field_sql("a", "**강의 맥락:**", "'ctx'")} AS b1 FROM (
+SELECT *, CASE WHEN contains(cur, '[[' || lecture || ']]') THEN cur WHEN doc_id % 2 = 0 THEN replace(cur, '[[L0]]', '[[L0]], [[' || lecture || ']]') ELSE cur || {NL} || '**관련 강의:** [[' || lecture || ']]' || {NL} END AS a FROM (
+SELECT *, 'N/Concepts/C' || doc_id || '.md' AS path, {_CURRENT} AS cur, 'L' || doc_id % 3 AS lecture, CASE WHEN doc_id % 7 = 0 THEN 'care' END AS care, CASE WHEN doc_id % 3 = 0 AND doc_id % 4 = 0 THEN NULL WHEN doc_id % 3 = 0 THEN 'inserted' WHEN doc_id % 4 = 0 THEN 'kept' ELSE 'updated' END AS action FROM documents))))))
+WHERE action IS NOT NULL
+"""
+)
+def concept_upserts(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("doc_id")
+    name = F.concat(F.lit("C"), i.cast("string"))
+    none, null = F.array().cast("array<string>"), F.lit(None).cast("string")
+    docs = table(spark, d, "documents").withColumn("path", concepts.path_of(name, "N/Concepts"))
+    there = notes.concept_note(name, F.col("source"), F.when(F.col("lang") != "en", F.array("lang")).otherwise(none), F.when(i % 2 == 0, F.array(F.lit("L0"))).otherwise(none), null, F.when(i % 5 == 0, "e"), null)
+    fresh = notes.concept_note(name, F.lit("new"), none, none, null, null, null)
+    current = docs.where(i % 3 != 0).select("path", there.alias("content"))
+    incoming = docs.where(i % 4 != 0).select("path", fresh.alias("fresh"), F.concat(F.lit("L"), (i % 3).cast("string")).alias("lecture"), F.lit("ctx").alias("lecture_context"), F.lit("ex").alias("example"), F.when(i % 7 == 0, "care").alias("caution"), F.array("source", "lang").alias("related_concepts"))
+    return concepts.upserted_concept_notes(current, incoming)
+
+
+# --- decks, talks and runs ----------------------------------------------------------------------
+
+
+@query(f"SELECT doc_id, 'N/' || source || '/' || {sql_sanitized('doc_id || chr(58) || lang')} || '.md' AS path, CASE WHEN doc_id % 3 = 0 THEN 'N/' || source || '/' || doc_id || lang || '.pdf' END AS deck_path FROM documents")
+def note_decks(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    rows = docs.select("doc_id", note_path("N", F.col("source"), F.concat(F.col("doc_id").cast("string"), F.lit(":"), "lang")).alias("path"))
+    decks = docs.where("doc_id % 3 = 0").select(F.concat(F.lit("N/"), "source", F.lit("/"), F.col("doc_id").cast("string"), "lang", F.lit(".pdf")).alias("path"))
+    return log.with_deck(rows, decks)
+
+
+_TALK = f"(SELECT conv_id, string_agg(t, ' ' ORDER BY turn, t) AS transcript FROM (SELECT conv_id, turn, {sql_trim('text')} AS t FROM conversations) WHERE t <> '' GROUP BY conv_id)"
+
+
+@query(
+    f"""
+SELECT doc_id AS deck_id, CAST(i AS INTEGER) AS slide_num, nullif({sql_trim("substring(transcript, CAST((i - 1) * size + 1 AS BIGINT), size)")}, '') AS slice
+FROM (SELECT doc_id, transcript, CAST(ceil(length(transcript) / len(l)) AS BIGINT) AS size, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, string_split(text, {NL}) AS l, transcript FROM documents LEFT JOIN {_TALK} ON conv_id = doc_id))
+"""
+)
+def transcript_slides(spark: SparkSession, d: str) -> DataFrame:
+    slides = table(spark, d, "documents").select(F.col("doc_id").alias("deck_id"), F.posexplode(F.split("text", "\n")).alias("at", "line")).select("deck_id", (F.col("at") + 1).alias("slide_num"))
+    talks = extract.joined_texts(table(spark, d, "conversations"), "conv_id", "turn").select(F.col("conv_id").alias("deck_id"), "transcript")
+    return chunk.with_transcript(slides, talks).select("deck_id", "slide_num", "slice")
+
+
+_PROMPT = f"'Explain this slide to a student in a few sentences.' || {NL} || 'Lecture: ' || source || {NL} || 'Slide ' || i || ' of ' || n || {NL} || 'Known concepts: ' || lang || CASE WHEN line = '' THEN '' ELSE {NL} || 'Said: ' || line END"
+_ANSWER = rf"array_to_string(list_filter(regexp_split_to_array(prompt, '\s+'), lambda w: w <> '')[1:24], ' ') || ' #' || left(sha1(chr(0) || prompt), 8)"
+
+
+@query(
+    f"""
+SELECT doc_id AS deck_id, CAST(count(*) AS INTEGER) AS n_slides, 0 AS n_errors, CAST(count(*) AS INTEGER) AS n_times, md5(string_agg({_ANSWER}, {NL} ORDER BY i)) AS digest FROM (SELECT doc_id, i, {_PROMPT} AS prompt
+  FROM (SELECT doc_id, source, lang, unnest(l) AS line, generate_subscripts(l, 1) AS i, len(l) AS n FROM (SELECT *, string_split(text, {NL}) AS l FROM documents))) GROUP BY doc_id
+"""
+)
+def slide_runs(spark: SparkSession, d: str) -> DataFrame:
+    """A prompt for each slide, the offline provider's answers, and each deck's totals."""
+    lines = table(spark, d, "documents").withColumn("l", F.split("text", "\n")).select(F.col("doc_id").alias("deck_id"), "source", "lang", F.size("l").alias("n"), F.posexplode("l").alias("at", "line"))
+    rows = lines.select("deck_id", (F.col("at") + 1).alias("slide_num"), prompts.slide_prompt(F.col("source"), F.col("at") + 1, F.col("n"), F.col("line"), F.array("lang")).alias("prompt"))
+    slides, totals = calls.slide_run(rows, calls.provider("offline"))
+    said = slides.groupBy("deck_id").agg(_digest(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("slide_num", "answer"))), lambda x: x["answer"]), "\n")))
+    return totals.join(said, "deck_id").select("deck_id", "n_slides", F.size("errors").alias("n_errors"), F.size("per_slide_wall_time_ms").alias("n_times"), "digest")
