@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_IDS, kept, reachable, table
+from .common import kept, reachable, table
 
 #: A run must have two sentences and so many words, or be one sentence of so many.
 LEAST_WORDS, LONG_SENTENCE = 20, 40
@@ -96,8 +96,8 @@ def repeated_runs(docs: DataFrame, least: int = LEAST_WORDS, long: int = LONG_SE
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, runs array<binary>")
     each = kept(rows, "runs").select("doc_id", F.explode("runs").alias("run"))
     shared = kept(each.groupBy("run").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("run", "first"), "shared")
-    few = shared.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    later = each.join(F.broadcast(shared) if few else shared, "run").where("doc_id > first")
+    # one plan for all sizes: never broadcast; the partition of a run that many documents have is split by adaptive execution, as shared has one row for it
+    later = each.join(shared.hint("merge"), "run").where("doc_id > first")
     return later.groupBy("doc_id").agg(F.collect_set("run").alias("repeated"))  # at most a document's own runs
 
 
