@@ -9,6 +9,7 @@ from notemill.functions import text as T
 from notemill.operators import calls, chunk, concepts, extract, log, merge, notes, prompts
 from notemill.operators.notes import LABELS as L
 from notemill.plans.registry import query, sql_end, sql_linked, sql_ordered_distinct, sql_sanitized, sql_trim
+from notemill.sources import files
 from notemill.sources.files import note_path, table
 from notemill.streaming.events import page_of_heading
 
@@ -338,3 +339,42 @@ def slide_runs(spark: SparkSession, d: str) -> DataFrame:
     slides, totals = calls.slide_run(rows, calls.provider("offline"))
     said = slides.groupBy("deck_id").agg(_digest(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("slide_num", "answer"))), lambda x: x["answer"]), "\n")))
     return totals.join(said, "deck_id").select("deck_id", "n_slides", F.size("errors").alias("n_errors"), F.size("per_slide_wall_time_ms").alias("n_times"), "digest")
+
+
+# --- files --------------------------------------------------------------------------------------
+
+
+@query(
+    """
+SELECT 'note' AS kind, source AS subject, CAST(doc_id AS VARCHAR) AS name, md5(text) AS digest FROM documents
+UNION ALL SELECT 'concept', NULL, 'C' || doc_id, NULL FROM documents WHERE doc_id % 10 = 0
+UNION ALL SELECT DISTINCT 'subject', source, NULL, NULL FROM documents
+UNION ALL SELECT 'deck', NULL, doc_id || '.pdf', CASE WHEN doc_id % 10 = 0 THEN 'pdf' ELSE 'other' END FROM documents WHERE doc_id % 5 = 0
+"""
+)
+def note_files(spark: SparkSession, d: str) -> DataFrame:
+    """A folder of notes, concepts, decks and an exam written by the executors, and read again."""
+    folder = files.work_folder(spark)
+    docs, i = table(spark, d, "documents"), F.col("doc_id").cast("string")
+    file = lambda rows, path, content: rows.select(path.alias("path"), content.cast("binary").alias("content"))
+    made = file(docs, F.concat("source", F.lit("/"), i, F.lit(".md")), F.col("text"))
+    made = made.unionByName(file(docs.where("doc_id % 10 = 0"), F.concat("source", F.lit("/Concepts/C"), i, F.lit(".md")), F.lit("c")))
+    made = made.unionByName(file(docs.where("doc_id % 5 = 0"), F.concat("source", F.lit("/"), i, F.lit(".pdf")), F.concat(F.when(F.col("doc_id") % 10 == 0, "%PDF").otherwise("PK"), i)))
+    files.save_files(made.unionByName(file(docs.where("doc_id = 0"), F.lit("Exam/E.md"), F.lit("e"))), folder)
+    name = F.element_at(F.split("path", "/"), -1)
+    null = F.lit(None).cast("string")
+    row = lambda df, kind, subject, name, digest: df.select(F.lit(kind).alias("kind"), subject.alias("subject"), name.alias("name"), digest.alias("digest"))
+    there = files.notes(spark, folder, "*").withColumn("subject", F.element_at(F.split("path", "/"), -2)).where("subject <> 'Exam'")
+    rows = row(there, "note", F.col("subject"), F.col("name"), F.md5(F.col("content").cast("binary")))
+    rows = rows.unionByName(row(files.concept_names(spark, folder, "*"), "concept", null, F.col("name"), null))
+    rows = rows.unionByName(row(files.subjects(spark, folder), "subject", F.col("subject"), null, null))
+    return rows.unionByName(row(files.decks(spark, folder), "deck", null, name, F.when(F.col("is_pdf"), "pdf").otherwise("other")))
+
+
+@query("SELECT p_partkey, p_name, CASE WHEN p_size % 2 = 0 THEN p_size END AS p_size FROM part")
+def saved_state(spark: SparkSession, d: str) -> DataFrame:
+    """A state that lacks some fields, saved and loaded; a missing one is empty."""
+    path = files.work_folder(spark)
+    schema = "p_partkey long, p_name string, p_size long"
+    files.save_state(table(spark, d, "part").select("p_partkey", "p_name", F.when(F.col("p_size") % 2 == 0, F.col("p_size")).alias("p_size")), path)
+    return files.load_state(spark, path, schema).unionByName(files.load_state(spark, f"{path}-none", schema))

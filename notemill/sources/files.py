@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from dataclasses import asdict, dataclass, fields
 from typing import Any
 
@@ -19,6 +21,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def work_folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: below spark.checkpoint.dir, or on this machine where the session names none and has no other."""
+    base = spark.conf.get("spark.checkpoint.dir", "") or ""
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = f"file://{tempfile.gettempdir()}"
+    return f"{base.rstrip('/')}/notemill-{uuid.uuid4().hex}"
+
+
 def fetched_pages(pages: DataFrame, hosts: tuple[str, ...]) -> DataFrame:
     """SRC-1: pages (url, html) with error; html is null where the host isn't allowed."""
     ok = allowed_host(F.col("url"), hosts)
@@ -33,7 +45,7 @@ def decks(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> DataFrame
 
 def notes(spark: SparkSession, folder: str, subject: str) -> DataFrame:
     """SRC-6: (path, name, content) of the Markdown files directly in a subject's folder."""
-    rows = spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").text(f"{folder}/{subject}")
+    rows = spark.read.option("pathGlobFilter", "*.md").text(f"{folder}/{subject}", wholetext=True)
     path = F.col("_metadata.file_path")
     return rows.select(path.alias("path"), F.regexp_replace(F.element_at(F.split(F.url_decode(path), "/"), -1), r"\.md$", "").alias("name"), F.col("value").alias("content"))
 
@@ -92,8 +104,6 @@ def save_files(df: DataFrame, folder: str) -> None:
     address); folders are made as needed. Files appear whole: they are written under a name of their own and moved, and a retried task writes the same ones again."""
 
     def write(rows: Any) -> None:
-        import uuid
-
         from pyarrow import fs
 
         store, root = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{os.path.abspath(folder)}")

@@ -23,7 +23,7 @@ def test_entry(spark):
 
 
 def test_filters_and_columns_reach_the_scan(spark, sf):
-    plan = QUERIES["platform_pricing"](spark, sf)._jdf.queryExecution().toString()
-    assert "PushedFilters: [IsNotNull(l_shipdate)" in plan and "l_comment" not in plan
+    plan = QUERIES["valid_recent"](spark, sf)._jdf.queryExecution().toString()
+    assert "GreaterThan(c_acctbal,0.0)" in plan and "c_mktsegment" not in plan.split("Physical Plan")[1]
     plan = QUERIES["token_estimate"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan and "Exchange" not in plan
