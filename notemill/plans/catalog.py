@@ -361,7 +361,7 @@ def tag_filter(spark: SparkSession, d: str) -> DataFrame:
 _FIRST_WORD = "regexp_extract(text, '^([^ \n]*)', 1)"
 
 
-@query(f"SELECT doc_id, {sql_linked('text', _FIRST_WORD)} AS text, CAST(1 AS INTEGER) AS links FROM documents WHERE {_FIRST_WORD} <> ''")
+@query(rf"SELECT doc_id, {sql_linked('text', _FIRST_WORD)} AS text, CAST(regexp_matches('[[' || {_FIRST_WORD} || ']]', '\[\[[^\]|#\n]+(\|[^\]]+)?\]\]') AS INTEGER) AS links FROM documents WHERE {_FIRST_WORD} <> ''")
 def link_inject(spark: SparkSession, d: str) -> DataFrame:
     """Each document's first word is a name that is linked wherever it stands."""
     word = F.regexp_extract("text", r"^([^ \n]*)", 1)
