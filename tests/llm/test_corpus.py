@@ -427,6 +427,13 @@ def test_near_classes_of_odd_tables(odd_docs, no_docs):
     assert sorted(i for i in ids if i is not None) == sorted({r.class_id for r in got if r.class_id is not None}) and ids.count(None) == 1
 
 
+def test_near_classes_of_documents_are_those_of_force(spark, sf):
+    """Every class of the given documents: none is split or joined otherwise."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want = near_by_force(sorted((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()))
+    assert {r.doc_id: r.class_id for r in near_dup.near_classes(docs).collect()} == want
+
+
 def test_registers_estimate_the_similarity():
     rng = random.Random(1)
     words = [str(i) for i in range(500)]
