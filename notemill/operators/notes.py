@@ -153,7 +153,8 @@ def with_sections(notes: DataFrame, content: str = "content", labels: Labels = L
     """
     @F.pandas_udf(SECTIONS)
     def split(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([sections_of(t, labels) if t is not None else (None, None, None) for t in texts], columns=["frontmatter", "preamble", "sections"])
+        none = dict.fromkeys(("frontmatter", "preamble", "sections"))
+        return pd.DataFrame([sections_of(t, labels) if t is not None else none for t in texts], columns=list(none))
 
     text = F.coalesce(F.col(content), F.lit(""))
     df = notes.withColumn("__s", orderly_sections(text, labels))

@@ -227,3 +227,30 @@ def test_providers(spark):
     long = spark.createDataFrame([("s", "para one.\n\n" * 4000), ("t", "short")], "subject string, text string")
     got = {r.subject: r.summary for r in calls.summarized(long, model, "subject").collect()}
     assert set(got) == {"s", "t"} and all(got.values())
+
+
+def test_sections_in_the_jvm_are_those_of_the_scan(spark):
+    """Orderly and odd notes alike: pairs in order, crossed, repeated, cut off, headings anywhere."""
+    import random
+
+    rng = random.Random(13)
+    mark = lambda k, h, dup, kind: f"<!-- note:slide:{k} hash:{h}{f' dup:{dup}' if dup else ''} {kind} -->"
+    texts = ["", "---\na: b\n---\n\n", "plain", f"\n## {L.slide} 3\nx", None]
+    for _ in range(150):
+        parts = [rng.choice(["", "---\na: b\n---\n\n", "---\nopen\n"])]
+        for k in range(rng.randrange(5)):
+            identity = (k, rng.choice([A, B]), rng.choice([None, None, 2]))
+            body = [mark(*identity, "start"), rng.choice(["\nbody\n", "", f"\n## {L.slide} 9\n"]), mark(*identity, "end"), rng.choice(["\n\n> own\n", "", f"tail\n\n## {L.slide} {k + 1}\nhead\n", f"## {L.slide} x\n", f"a\n## {L.slide} 1\nb\n## {L.slide} 2\n"])]
+            if rng.random() < 0.15:
+                body.pop(rng.randrange(len(body)))
+            if rng.random() < 0.1:
+                body.reverse()
+            parts += [rng.choice(["pre\n", "", f"\n## {L.slide} {k}\n\n"]), *body]
+        texts.append("".join(parts))
+    df = spark.createDataFrame(enumerate(texts), "i int, content string")
+    got = {r.i: r.asDict(recursive=True) for r in notes.with_sections(df).collect()}
+    for i, t in enumerate(texts):
+        want = notes.sections_of(t)
+        assert {k: got[i][k] for k in ("frontmatter", "preamble", "sections")} == want, t
+    odd = df.select(F.count_if(notes.orderly_sections(F.coalesce("content", F.lit(""))).isNull())).first()[0]
+    assert 20 < odd < 100
