@@ -226,6 +226,30 @@ def greedy_chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunk.chunk_rows(table(spark, d, "documents"), "doc_id", "text", CHUNK_TOKENS, paragraph="\n", gap="\n")
 
 
+MODEL_TOKENS = 400
+_LONG_PIECES = rf"""string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))"""
+
+
+def _sql_answer(prompt: str) -> str:
+    return rf"array_to_string(list_filter(regexp_split_to_array({prompt}, '\s+'), lambda w: w <> '')[1:24], ' ') || ' #' || left(sha1(chr(0) || {prompt}), 8)"
+
+
+@query(
+    f"""
+SELECT doc_id, {_sql_answer("said")} AS summary FROM (SELECT doc_id, string_agg({_sql_answer("c")}, chr(10) || chr(10) ORDER BY i) AS said FROM (SELECT doc_id, unnest(chunks) AS c, generate_subscripts(chunks, 1) AS i FROM (
+  SELECT doc_id, CASE WHEN ceil(length(text) / 4.0) <= {int(0.8 * MODEL_TOKENS)} THEN [text] WHEN {sql_trim("f.now")} <> '' THEN list_append(f.out, {sql_trim("f.now")}) ELSE f.out END AS chunks FROM (
+    SELECT doc_id, text, list_reduce({_LONG_PIECES}, lambda a, p: CASE WHEN a.tokens + ceil(length(p) / 4.0) > {int(0.6 * MODEL_TOKENS)} AND a.now <> ''
+        THEN {{'now': p || ' ', 'tokens': CAST(ceil(length(p) / 4.0) AS BIGINT), 'out': list_append(a.out, {sql_trim("a.now")})}}
+        ELSE {{'now': a.now || p || ' ', 'tokens': CAST(a.tokens + ceil(length(p) / 4.0) AS BIGINT), 'out': a.out}} END,
+      {{'now': '', 'tokens': CAST(0 AS BIGINT), 'out': []::VARCHAR[]}}) AS f FROM (SELECT doc_id, replace(text, chr(10), ' ') AS text FROM documents)))) GROUP BY doc_id)
+"""
+)
+def summarized_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Texts on one line, so that only sentences part them; the offline provider summarises chunks, and then their summaries."""
+    rows = table(spark, d, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit(" ")).alias("text"))
+    return calls.summarized(rows, calls.OfflineProvider(max_input_tokens=MODEL_TOKENS), "doc_id").select("doc_id", "summary")
+
+
 def _lines(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ord", "line"))
     return rows.select("doc_id", "ord", (F.col("ord") + 1).alias("slide_num"), T.content_hash(F.col("line")).alias("hash"))
@@ -337,12 +361,12 @@ def latest_by_key(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """
-SELECT seq, path, was_update FROM (SELECT o_orderkey AS seq, CAST(o_custkey AS VARCHAR) AS path, o_orderpriority = '1-URGENT' AND row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) > 1 AS was_update,
+SELECT seq, path, was_update FROM (SELECT o_orderkey AS seq, CASE WHEN o_custkey % 3 = 2 THEN CAST(o_custkey AS VARCHAR) ELSE 'any' END AS path, o_orderpriority = '1-URGENT' AND row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) > 1 AS was_update,
   row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS n FROM orders) WHERE n = 1 ORDER BY seq DESC LIMIT 50
 """
 )
 def log_upsert(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("seq"), F.lit("").alias("record_id"), F.lit(None).cast("string").alias("url"), F.col("o_custkey").cast("string").alias("path"), "o_orderpriority")
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("seq"), F.when(F.col("o_custkey") % 3 == 0, F.concat(F.lit("i"), "o_custkey")).otherwise("").alias("record_id"), F.when(F.col("o_custkey") % 3 == 1, F.concat(F.lit("u"), "o_custkey")).alias("url"), F.when(F.col("o_custkey") % 3 == 2, F.col("o_custkey").cast("string")).otherwise("any").alias("path"), "o_orderpriority")
     urgent = F.col("o_orderpriority") == "1-URGENT"
     return log.upserted_log(rows.where(~urgent), rows.where(urgent)).select("seq", "path", "was_update")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from dataclasses import asdict, dataclass, fields
@@ -106,7 +107,7 @@ def save_files(df: DataFrame, folder: str) -> None:
     def write(rows: Any) -> None:
         from pyarrow import fs
 
-        store, root = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{os.path.abspath(folder)}")
+        store, root = fs.FileSystem.from_uri(folder if re.match(r"[A-Za-z][\w+.-]*:/", folder) else f"file://{os.path.abspath(folder)}")
         for row in rows:
             target = f"{root.rstrip('/')}/{row.path}"
             store.create_dir(os.path.dirname(target), recursive=True)
