@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op10_byte_bpe
 from .clustered_layout import OP12_SQL, op12_clustered_layout
+from .conversation_repair import op11_conversation_repair
 from .hamming_search import OP2_SQL, op2_hamming_top_k
 from .html_main import op9_html_main
 from .near_dup import op8_near_dup
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dup": op8_near_dup,
     "op9_html_main": op9_html_main,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_clustered_layout": op12_clustered_layout,
     "op13_sentence_pieces": op13_sentence_pieces,
 }
