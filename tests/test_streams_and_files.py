@@ -1,6 +1,9 @@
 import datetime as dt
 import os
+import random
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from notemill.sources import files
@@ -34,23 +37,136 @@ def run_stream(spark, df, name):
     return spark.table(name).collect()
 
 
-def test_streams(spark, tmp_path):
+def test_streams(spark, rocks, tmp_path):
     spark.createDataFrame([*ROWS, ("l", 6, at(3_600_000), 7)], SCHEMA).coalesce(1).write.parquet(str(tmp_path / "in"))
     source = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
     got = run_stream(spark, events.debounced_stream(source, ["side"], "ts", "page"), "bursts")
     assert sorted(r.page for r in got if r.page != 7) == [3, 4, 5, 9]
     got = run_stream(spark, events.suppressed_stream(source, "side", "ts", "page"), "taken")
-    assert sorted(r.page for r in got) == [1, 5, 7, 9]
+    assert sorted(r.page for r in got if r.page != 7) == [1, 5, 9]
+
+
+@pytest.fixture
+def rocks(spark):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    yield
+    spark.conf.set(name, before)
+
+
+def viewed(rows, wait, quiet):
+    """Each session's events one by one, with the clock of a viewer: [(session, n, fired at)]."""
+    out = []
+    for session in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == session), key=lambda r: (r[3], r[2]))
+        current, quiet_until, waits = None, 0, {}
+        for clock in range(0, max(r[3] for r in own) + wait + 1):
+            for side in sorted(waits):
+                due, page, n = waits[side]
+                if due == clock:
+                    del waits[side]
+                    if page != current:
+                        out.append((session, n, clock))
+                        current, quiet_until = page, clock + quiet
+            for _, side, n, t, page in own:
+                if t == clock and clock >= quiet_until and page and page != current:
+                    waits[side] = (clock + wait, page, n)
+    return sorted(out)
+
+
+def events_of(seed, sessions=4, n=60):
+    rng = random.Random(seed)
+    rows = [(f"s{k}", rng.choice("lr"), i, rng.randrange(3000), rng.choice([None, 0, 1, 2, 3, 4])) for i in range(n) for k in [rng.randrange(sessions)]]
+    once = {(r[0], r[1], r[3]): r for r in rows}  # two events of one side and time have no order of their own here
+    return sorted(once.values())
+
+
+VIEW = "session string, side string, n int, ms int, page int"
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_synced_is_the_viewer(spark, seed):
+    rows = events_of(seed)
+    df = spark.createDataFrame(rows, VIEW).withColumn("ts", F.timestamp_millis(F.col("ms").cast("long"))).repartition(3)
+    got = events.synced(df, ["session"], "side", "ts", "page", "n", 40, 100).collect()
+    assert sorted((r.session, r.n, r.fired_at // 1000) for r in got) == viewed(rows, 40, 100)
+    assert got[0].asDict().keys() == {*df.columns, "fired_at"}
+
+
+@pytest.mark.parametrize("seed,side", [(0, "side"), (1, None)])
+def test_stream_of_shuffled_batches_is_the_table(spark, rocks, tmp_path, seed, side):
+    rows = events_of(seed + 10, n=90)
+    last = [(f"s{k}", "l", 1000 + k, 10**9 + 10**8 * j, 9 + j) for k in range(4) for j in range(2)]
+    df = spark.createDataFrame([*rows, *last], VIEW).withColumn("ts", F.timestamp_millis(F.col("ms").cast("long")))
+    wait = 40 if side else 0
+    want = {(r.session, r.n, r.fired_at) for r in events.synced(df, ["session"], side, "ts", "page", "n", wait, 100).collect() if r.n < 1000}
+    random.Random(seed).shuffle(rows)
+    for i in range(0, len(rows), 30):  # files are batches, in order of their names
+        spark.createDataFrame(rows[i : i + 30], VIEW).coalesce(1).write.parquet(str(tmp_path / f"a{i:03}"))
+    for j in range(2):
+        spark.createDataFrame(last[j::2], VIEW).coalesce(1).write.parquet(str(tmp_path / f"b{j}"))
+    for k, folder in enumerate(sorted(tmp_path.iterdir())):
+        for f in folder.glob("*.parquet"):
+            os.utime(f, (1_000_000 + k, 1_000_000 + k))
+    source = spark.readStream.schema(VIEW).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(str(tmp_path))
+    source = source.withColumn("ts", F.timestamp_millis(F.col("ms").cast("long")))
+    got = run_stream(spark, events.synced_stream(source, "session", side, "ts", "page", "n", wait, 100, "1 hour"), f"synced{seed}")
+    assert sorted((r.session, r.n, r.fired_at) for r in got if r.n < 1000) == sorted(want)
+
+
+def test_a_repeat_of_the_current_page_stays_out_after_days(spark, rocks, tmp_path):
+    rows = [("a", "l", k, (k + 1) * 86_400_000, 1) for k in range(3)] + [("a", "l", 9, 9 * 86_400_000, 2)]
+    for k, r in enumerate(rows):
+        spark.createDataFrame([r], VIEW).coalesce(1).write.parquet(str(tmp_path / f"a{k}"))
+    source = spark.readStream.schema(VIEW).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path))
+    source = source.withColumn("ts", F.timestamp_millis(F.col("ms").cast("long")))
+    assert [r.n for r in run_stream(spark, events.suppressed_stream(source, "session", "ts", "page", order="n", lateness="1 second"), "days")] == [0]
+
+
+def files_seen(spark, folder, checkpoint, out, **options):
+    stream = events.changed_files(spark, str(folder), **options)
+    q = stream.writeStream.format("parquet").option("checkpointLocation", str(checkpoint)).option("path", str(out)).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return sorted((r.name, r.content) for r in spark.read.parquet(str(out)).collect()) if any(out.glob("*.parquet")) else []
 
 
 def test_file_stream(spark, tmp_path):
-    (tmp_path / "a.md").write_text("# A\nx")
-    (tmp_path / "b.txt").write_text("no")
-    got = run_stream(spark, events.changed_files(spark, str(tmp_path)), "changed")
-    assert [r.content for r in got] == ["# A\nx"]
+    folder, checkpoint, out = tmp_path / "notes", tmp_path / "state", tmp_path / "out"
+    (folder / "sub").mkdir(parents=True)
+    out.mkdir()
+    (folder / "a.md").write_text("# A\nx")
+    (folder / "sub/c.md").write_text("c")
+    (folder / "b.txt").write_text("no")
+    seen = lambda **how: files_seen(spark, folder, checkpoint, out, settle_ms=20, **how)
+    time.sleep(0.1)
+    assert seen() == [("a.md", "# A\nx"), ("sub/c.md", "c")]
+    for text in ("second", "third"):  # each change is a row, and a restart repeats none
+        (folder / "a.md").write_text(text)
+        time.sleep(0.1)
+        seen()
+    want = sorted([("a.md", "# A\nx"), ("a.md", "second"), ("a.md", "third"), ("sub/c.md", "c")])
+    assert seen() == want
+    (folder / "sub/c.md").unlink()
+    (folder / "d.md").write_text("new")
+    (folder / "a.md").write_bytes(b"\xff not text")
+    time.sleep(0.1)
+    assert seen() == sorted([*want, ("d.md", "new"), ("a.md", "\ufffd not text")])
     assert spark.createDataFrame([("슬라이드 12",), ("x",)], "x string").select(events.page_of_heading(F.col("x"))).collect()[0][0] == 12
 
 
+def test_file_changes_of_few_paths_and_odd_folders(spark, tmp_path):
+    from notemill.streaming.files import listed, planned
+
+    for k in range(7):
+        (tmp_path / f"n{k}.md").write_text(str(k))
+        os.utime(tmp_path / f"n{k}.md", ns=(10**18 + k, 10**18 + k))
+    assert [n for n, *_ in listed(str(tmp_path), "*.md", 0, 10**18 + 3)] == ["n0.md", "n1.md", "n2.md", "n3.md"]
+    assert [len(p) for p in planned(listed(str(tmp_path), "*.md", 10**18 + 1, 2 * 10**18), 2)] == [2, 2, 1]
+    assert listed(str(tmp_path / "missing"), "*.md", 0, 2 * 10**18) == []
+    assert [n for n, *_ in listed(f"file://{tmp_path}", "n[12].md", 0, 2 * 10**18)] == ["n1.md", "n2.md"]
+
+
 def test_folders(spark, tmp_path):
     base = tmp_path / "vault"
     for p in ("CS/a.md", "CS/deck.pdf", "CS/Concepts/Graph Theory.md", "Math/b.md", "Exam/x.md", "Concepts/y.md"):
