@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ FORBIDDEN_IN_NAMES = r'[<>:"/\\|?*\x00-\x1f]'
 FORBIDDEN_IN_SLUGS = r'[<>:"/\\|?*]'
 ENTITIES = (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"))
 MEMO_ENTITIES = (("&amp;#x20;", " "), ("&#x20;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"))
+ERROR_KINDS = (("rate_limit", "429|quota|한도 초과"), ("overload", "502|503|overload|UNAVAILABLE"), ("fatal", "401|403|404"))
 CHARS_PER_TOKEN = 4
 HEAD_SHARE, TAIL_SHARE = 0.7, 0.3
 SENTENCE_SHARE = 0.6
@@ -106,12 +109,15 @@ def escaped_replacement(text: Column) -> Column:
 
 def error_kind(message: Column) -> Column:
     """SCL-16: what a provider's error message is about."""
-    return (
-        F.when(message.rlike("429|quota|한도 초과"), "rate_limit")
-        .when(message.rlike("502|503|overload|UNAVAILABLE"), "overload")
-        .when(message.rlike("401|403|404"), "fatal")
-        .otherwise("other")
-    )
+    found = F.lit("other")
+    for kind, pattern in reversed(ERROR_KINDS):
+        found = F.when(message.rlike(pattern), kind).otherwise(found)
+    return found
+
+
+def kind_of_error(message: str) -> str:
+    """SCL-16 for a message that Python holds."""
+    return next((kind for kind, pattern in ERROR_KINDS if re.search(pattern, message)), "other")
 
 
 def rate_delay(text: Column) -> Column:

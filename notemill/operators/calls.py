@@ -4,19 +4,30 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
+import sys
 import time
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 from typing import Any, Protocol
 
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from notemill.functions import text as texts
+from notemill.functions.text import error_kind, kind_of_error
+
+for module in (sys.modules[__name__], texts):
+    cloudpickle.register_pickle_by_value(module)  # workers needn't have this package
+
 # Retries, waits, limits and shares.
 BREAK_AFTER, JSON_ATTEMPTS = 3, 3
 RATE_LIMIT_WAIT_S, OVERLOAD_WAIT_S = 65.0, 8.0
 CHUNK_FROM, CHUNK_TO = 0.8, 0.6
 CHARS_PER_TOKEN = 4
+CODES = {"rate_limit": 429, "overload": 503}
 
 
 def until_break(calls: DataFrame, key: str, order: str, limited: str = "rate_limit", success: str = "success", after: int = BREAK_AFTER) -> DataFrame:
@@ -57,13 +68,32 @@ class Provider(Protocol):
     def generate_multimodal(self, prompt: str, images: list[bytes], system: str = "") -> str: ...
 
 
-class RateLimited(Exception):
+class CallFailed(RuntimeError):
+    """A call that the provider didn't answer; kind says why, else its message does."""
+
+    kind: str | None = None
+
+
+class RateLimited(CallFailed):
     """The provider refuses for now."""
 
+    kind = "rate_limit"
+
 
-class Overloaded(Exception):
+class Overloaded(CallFailed):
     """The provider fails for now."""
 
+    kind = "overload"
+
+
+#: What becomes an error in a row: a failed call, an unreachable provider, an answer that isn't valid. Other exceptions are errors of the code and fail the task.
+DATA_ERRORS = (OSError, ValueError, RuntimeError)
+
+
+def kind_of(error: Exception) -> str:
+    """rate_limit, overload, fatal or other."""
+    return getattr(error, "kind", None) or kind_of_error(str(error))
+
 
 @dataclass(frozen=True)
 class OfflineProvider:
@@ -109,10 +139,11 @@ def with_retry(call: Callable[[], str], sleep: Callable[[float], None] = time.sl
     """EXT-5: one more try after a wait that fits the error."""
     try:
         return call()
-    except RateLimited:
-        sleep(RATE_LIMIT_WAIT_S)
-    except Overloaded:
-        sleep(OVERLOAD_WAIT_S)
+    except DATA_ERRORS as e:
+        waits = {"rate_limit": RATE_LIMIT_WAIT_S, "overload": OVERLOAD_WAIT_S}
+        if kind_of(e) not in waits:
+            raise
+        sleep(waits[kind_of(e)])
     return call()
 
 
@@ -130,19 +161,42 @@ class RotatingKeys:
     def call(self, ask: Callable[[str], str]) -> str:
         for turn in range(len(self.keys)):
             key = self.keys[self.at]
-            wait = self.last.get(key, -self.delay_s) + self.delay_s - self.clock()
+            wait = self.last.get(key, -math.inf) + self.delay_s - self.clock()
             if wait > 0:
                 self.sleep(wait)
             self.last[key] = self.clock()
             try:
                 return ask(key)
-            except RateLimited:
-                if len(self.keys) == 1 or turn == len(self.keys) - 1:
+            except DATA_ERRORS as e:
+                if kind_of(e) != "rate_limit" or turn == len(self.keys) - 1:
                     raise
                 self.at = (self.at + 1) % len(self.keys)
         raise RateLimited
 
 
+@dataclass
+class Breaker:
+    """WIN-3 while calls are made: one deck's calls stop at so many refusals without a success between them; other errors don't count."""
+
+    after: int = BREAK_AFTER
+    deck: Any = None
+    refusals: int = 0
+
+    def open_for(self, deck: Any) -> bool:
+        """Whether a call for deck may be made; a deck's calls come one after the other."""
+        if deck != self.deck:
+            self.deck, self.refusals = deck, 0
+        return self.refusals < self.after
+
+    def saw(self, outcome: str) -> None:
+        self.refusals = 0 if outcome == "success" else self.refusals + (outcome == "rate_limit")
+
+
+def lane_of(df: DataFrame, by: Sequence[str], lanes: int) -> DataFrame:
+    """df dealt to so many partitions, rows of one value of by to one of them; the partition's number is in lane."""
+    return df.withColumn("lane", F.pmod(F.xxhash64(*by), F.lit(lanes)).cast("int")).repartitionById(lanes, F.col("lane"))
+
+
 def generated(
     prompts: DataFrame,
     model: Provider | Callable[[str], Provider],
@@ -152,14 +206,28 @@ def generated(
     validate: Callable[[Any], Any] | None = None,
     keys: Sequence[str] = (),
     delay_s: float = 4.0,
+    lanes: int | None = None,
+    in_order: tuple[str, str] | None = None,
+    after: int = BREAK_AFTER,
+    sleep: Callable[[float], None] = time.sleep,
+    stamps: bool = False,
 ) -> DataFrame:
     """SRC-10, SRC-11: (ids, answer, error, wall_ms): one call for each row, in batches; a failing call is an error in its row and doesn't fail the task, so a retried task repeats few calls.
 
-    images_col is an array of bytes that goes with the prompt. validate makes the answer a checked one, kept as JSON (EXT-4). With keys, model makes a provider from a key, and a worker's calls rotate
-    among them (EXT-6). The result should be written before it is used twice: answers needn't be the same when asked for again.
+    images_col is an array of bytes that goes with the prompt. validate makes the answer a checked one, kept as JSON (EXT-4). A refused or overloaded call is tried once more after a wait (EXT-5).
+
+    With keys, model makes a provider from a key (EXT-6). A key belongs to one lane, and a lane is one partition with one clock, so a key's calls are delay_s apart in every plan; a refused call goes on to the lane's next
+    key. lanes is how many calls may be made side by side, one for each key where it isn't given; with one lane all keys rotate. Rows are dealt to lanes by the hash of their ids.
+    (A task that Spark starts twice, by speculation or after a loss, has a clock of its own.)
+
+    in_order = (deck, slide) makes each deck's calls in one task, in order, and stops a deck's calls at the refusal that breaks it (WIN-3): later slides have no row. A deck is then in one lane.
+
+    stamps adds calls: key and called_at (seconds since the epoch) of each attempt. The result should be written before it is used twice: answers needn't be the same when asked for again.
     """
     types = {c: prompts.schema[c].dataType.simpleString() for c in id_cols}
     images = [images_col] if images_col else []
+    names = [*id_cols, "answer", "error", "wall_ms", *(["calls"] if stamps else [])]
+    count = max(1, min(lanes or len(keys), len(keys))) if keys else None
 
     def answer(own: Provider, prompt: str, pictures: list[bytes]) -> str:
         if validate is not None:
@@ -167,35 +235,64 @@ def generated(
         return own.generate_multimodal(prompt, pictures) if pictures else own.generate_text(prompt)
 
     def run(batches: Iterator[Any]) -> Iterator[Any]:
-        rotating = RotatingKeys(list(keys), delay_s) if keys else None
-        for frame in batches:
-            out: list[tuple[str | None, str | None, int]] = []
-            for p, pictures in zip(frame[prompt_col], frame[images_col] if images_col else [None] * len(frame), strict=True):
-                began = time.monotonic()
-                ask = lambda own, p=p, x=pictures: answer(own, p or "", [bytes(b) for b in x] if x is not None else [])
+        rotating: dict[int, RotatingKeys] = {}
+        breaker = Breaker(after)
+        for batch in batches:
+            out: list[tuple[Any, ...]] = []
+            asked: list[int] = []
+            values = lambda c, batch=batch: batch.column(c).to_pylist() if c else [None] * batch.num_rows
+            decks, lane = values(in_order and in_order[0]), values(count and "lane")
+            for i, (p, pictures) in enumerate(zip(values(prompt_col), values(images_col), strict=True)):
+                if in_order and not breaker.open_for(decks[i]):
+                    continue
+                began, calls = time.monotonic(), []
+                shown = [bytes(b) for b in pictures] if pictures is not None else []
+
+                def ask(own: Provider, key: str | None = None, p: Any = p, shown: list[bytes] = shown, calls: list[Any] = calls) -> str:
+                    calls.append((key, time.time()))
+                    return answer(own, p or "", shown)
+
+                def with_key(key: str, ask: Callable[..., str] = ask) -> str:
+                    return ask(model(key), key)
+
+                if count is not None and lane[i] not in rotating:
+                    rotating[lane[i]] = RotatingKeys(list(keys[lane[i] :: count]), delay_s, sleep=sleep)
                 try:
-                    text, error = (rotating.call(lambda key, ask=ask: ask(model(key))) if rotating else with_retry(lambda ask=ask: ask(model))), None
-                except Exception as e:  # an error of the model is data
-                    text, error = None, str(e) or type(e).__name__
-                out.append((text, error, int(1000 * (time.monotonic() - began))))
-            answers, errors, took = zip(*out, strict=True) if out else ((), (), ())
-            yield frame[id_cols].assign(answer=list(answers), error=list(errors), wall_ms=list(took))
-
-    return prompts.select(*id_cols, prompt_col, *images).mapInPandas(run, ", ".join(f"`{c}` {t}" for c, t in types.items()) + ", answer string, error string, wall_ms long")
-
-
-def slide_run(prompts: DataFrame, model: Provider | Callable[[str], Provider], deck: str = "deck_id", slide: str = "slide_num", **how: Any) -> tuple[DataFrame, DataFrame]:
+                    text, error = with_retry((lambda r=rotating[lane[i]], f=with_key: r.call(f)) if count is not None else (lambda f=ask: f(model)), sleep), None
+                except DATA_ERRORS as e:
+                    text, error, kind = None, str(e) or type(e).__name__, kind_of(e)
+                    if kind != kind_of_error(error):  # a message that doesn't say what it is
+                        error = f"{CODES.get(kind, kind)} {error}"
+                breaker.saw("success" if error is None else kind)
+                asked.append(i)
+                out.append((text, error, int(1000 * (time.monotonic() - began)), calls))
+            columns = [batch.column(c).take(pa.array(asked, pa.int64())) for c in id_cols]
+            columns += [pa.array([o[k] for o in out], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))]
+            if stamps:
+                columns.append(pa.array([[{"key": k, "called_at": t} for k, t in o[3]] for o in out], pa.list_(pa.struct([("key", pa.string()), ("called_at", pa.float64())]))))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    rows = prompts.select(*id_cols, prompt_col, *images)
+    if count:
+        rows = lane_of(rows, [in_order[0]] if in_order else id_cols, count)
+    elif in_order:
+        rows = rows.repartition(in_order[0])
+    if in_order:
+        rows = rows.sortWithinPartitions(*in_order)
+    ddl = ", ".join(f"`{c}` {t}" for c, t in types.items()) + ", answer string, error string, wall_ms long" + ", calls array<struct<key: string, called_at: double>>" * stamps
+    return rows.mapInArrow(run, ddl)
+
+
+def slide_run(prompts: DataFrame, model: Provider | Callable[[str], Provider], deck: str = "deck_id", slide: str = "slide_num", keep: Callable[[DataFrame], DataFrame] | None = None, **how: Any) -> tuple[DataFrame, DataFrame]:
     """The run over decks' slides: (slides, totals).
 
-    slides: (deck, slide, answer, error, outcome, wall_ms), up to the call that breaks a deck's run (WIN-3). totals (AGG-14): (deck, n_slides, errors: array of slide and reason,
-    per_slide_wall_time_ms in order, total_wall_time_ms). Calls of one deck may run in different tasks, so a deck's break hides what came after it and saves no calls. Both are read from what slides is made
-    of: write prompts' answers first (generated) where the model isn't deterministic.
+    slides: (deck, slide, answer, error, outcome, wall_ms), up to the call that breaks a deck's run (WIN-3); a deck's calls are made in order by one task, and none is made after that one. totals (AGG-14): (deck, n_slides, errors:
+    array of slide and reason, per_slide_wall_time_ms in order, total_wall_time_ms). keep writes the answers and reads them back, so that both results rest on one run; without it each action asks anew.
     """
-    from notemill.functions.text import error_kind
-
-    said = generated(prompts, model, [deck, slide], **how)
+    said = generated(prompts, model, [deck, slide], in_order=(deck, slide), **how)
+    said = keep(said) if keep else said
     said = said.withColumn("outcome", F.when(F.col("error").isNull(), "success").otherwise(error_kind(F.col("error"))))
-    slides = until_break(said, deck, slide).drop("stopped")
+    slides = until_break(said, deck, slide, after=how.get("after", BREAK_AFTER)).drop("stopped")
     in_order = lambda x, on=None: F.transform(F.sort_array(F.collect_list(F.struct(slide, x.alias("x")) if on is None else F.when(on, F.struct(slide, x.alias("x"))))), lambda s: s)
     totals = slides.groupBy(deck).agg(
         F.count("answer").cast("int").alias("n_slides"),
