@@ -6,15 +6,13 @@ relations; conversations to transcripts; events to calls and view events; orders
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notemill.functions import text as T
 from notemill.operators import calls, chunk, concepts, extract, log, merge, notes, relevance
 from notemill.plans.registry import ORACLE_SQL, QUERIES, query, sql_at_sentence, sql_key, sql_linked, sql_page_text, sql_sanitized, sql_trim
-from notemill.sources.files import table
+from notemill.sources.files import kept, table
 from notemill.streaming import events as view
 
 HOSTS = ("www.thering.example.org", "m.therat.example.com", "blog.therat.example.com", "thther.example.org")
@@ -359,16 +357,34 @@ def latest_by_key(spark: SparkSession, d: str) -> DataFrame:
     return log.latest(table(spark, d, "events"), "user_id", "ts").orderBy(F.desc("ts")).limit(log.LOG_MOST).select("user_id", "event_id", "event_type")
 
 
+_RECORDS = """(SELECT o_orderkey AS seq, CASE WHEN (o_orderkey // 7) % 3 > 0 THEN 'i' || (o_custkey % 97) END AS record_id, CASE WHEN (o_orderkey // 11) % 4 = 0 THEN '' ELSE 'u' || (o_custkey % 61) END AS url,
+  'p' || (o_custkey % 83) AS path FROM orders)"""
+_SAME_KEY = "coalesce(e.record_id, nullif(e.url, ''), e.path) = coalesce(r.record_id, nullif(r.url, ''), r.path)"
+
+
 @query(
-    """
-SELECT seq, path, was_update FROM (SELECT o_orderkey AS seq, CASE WHEN o_custkey % 3 = 2 THEN CAST(o_custkey AS VARCHAR) ELSE 'any' END AS path, o_orderpriority = '1-URGENT' AND row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) > 1 AS was_update,
-  row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS n FROM orders) WHERE n = 1 ORDER BY seq DESC LIMIT 50
+    f"""
+WITH RECURSIVE records AS (SELECT *, row_number() OVER (ORDER BY seq) AS n FROM {_RECORDS}),
+log AS (
+  SELECT 0::BIGINT AS n, []::STRUCT(seq BIGINT, record_id VARCHAR, url VARCHAR, path VARCHAR)[] AS entries, NULL::BIGINT AS seq, NULL::BOOLEAN AS was_update
+  UNION ALL
+  SELECT n, ([r] || list_filter(entries, lambda e, i: i <> coalesce(hit, 0) AND NOT ({_SAME_KEY})))[1:50], r.seq, hit > 0 FROM (
+    SELECT records.n, entries, {{'seq': records.seq, 'record_id': records.record_id, 'url': records.url, 'path': records.path}} AS r,
+      coalesce(list_position(list_transform(entries, lambda e: CASE WHEN e.record_id IS NOT NULL AND records.record_id IS NOT NULL THEN e.record_id = records.record_id
+        WHEN e.url <> '' AND records.url <> '' THEN e.url = records.url ELSE e.path = records.path END), true), 0) AS hit
+    FROM log JOIN records ON records.n = log.n + 1)),
+last AS (SELECT list_transform(entries, lambda e: e.seq) AS seqs FROM log ORDER BY n DESC LIMIT 1)
+SELECT seq, was_update, list_position(seqs, seq) AS place FROM log, last WHERE seq IS NOT NULL
 """
 )
 def log_upsert(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("seq"), F.when(F.col("o_custkey") % 3 == 0, F.concat(F.lit("i"), "o_custkey")).otherwise("").alias("record_id"), F.when(F.col("o_custkey") % 3 == 1, F.concat(F.lit("u"), "o_custkey")).alias("url"), F.when(F.col("o_custkey") % 3 == 2, F.col("o_custkey").cast("string")).otherwise("any").alias("path"), "o_orderpriority")
-    urgent = F.col("o_orderpriority") == "1-URGENT"
-    return log.upserted_log(rows.where(~urgent), rows.where(urgent)).select("seq", "path", "was_update")
+    """Orders as records that have an id, a url or neither: which are updates, and their places in the last log."""
+    i, c = F.col("o_orderkey"), F.col("o_custkey")
+    part = lambda name, n: F.concat(F.lit(name), c % n)
+    rows = table(spark, d, "orders").select(i.alias("seq"), F.when(F.floor(i / 7) % 3 > 0, part("i", 97)).alias("record_id"), F.when(F.floor(i / 11) % 4 == 0, "").otherwise(part("u", 61)).alias("url"), part("p", 83).alias("path"))
+    updates, left = log.upserts(rows.limit(0), rows, kept)
+    places = F.array_position(F.array(*map(F.lit, left)).cast("array<long>"), F.col("seq"))
+    return updates.select("seq", "was_update", F.nullif(places.cast("int"), F.lit(0)).alias("place"))
 
 
 @query("SELECT o_orderpriority AS subject, count(*) FILTER (o_orderstatus = 'F') AS F, count(*) FILTER (o_orderstatus = 'O') AS O, count(*) FILTER (o_orderstatus NOT IN ('F', 'O')) AS none FROM orders GROUP BY 1")
@@ -449,9 +465,6 @@ SELECT user_id, x.id AS event_id, x.ts AS ts, x.page AS page FROM (SELECT user_i
 """
 )
 def debounce_suppress(spark: SparkSession, d: str) -> DataFrame:
-    env = spark.sparkContext.environment
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env["PYTHONPATH"] = os.pathsep.join(dict.fromkeys(filter(None, [*env.get("PYTHONPATH", "").split(os.pathsep), root])))
     page = table(spark, d, "events").select("user_id", "event_id", "ts", (F.col("value").cast("int") % 7).alias("page"))
     return view.suppressed(view.debounced(page, ["user_id"], "ts", "event_id", GAP_MS), ["user_id"], "ts", "page", "event_id", 3 * GAP_MS)
 

@@ -26,12 +26,19 @@ def work_folder(spark: SparkSession) -> str:
     """A new folder that driver and executors share: below spark.checkpoint.dir, or on this machine where the session names none and has no other."""
     base = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = f"file://{tempfile.gettempdir()}"
     return f"{base.rstrip('/')}/notemill-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df written to a folder that all share and read back: it is computed once, its lineage is cut, and it survives lost executors."""
+    path = work_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def fetched_pages(pages: DataFrame, hosts: tuple[str, ...]) -> DataFrame:
     """SRC-1: pages (url, html) with error; html is null where the host isn't allowed."""
     ok = allowed_host(F.col("url"), hosts)

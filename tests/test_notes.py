@@ -1,7 +1,10 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from notemill.operators import calls, concepts, log, merge, notes
+from notemill.sources.files import kept as files_kept
 
 L = notes.LABELS
 
@@ -150,18 +153,64 @@ def test_concept_note_update(spark):
     assert got["n"] == ("inserted", "fresh") and got["k"] == ("kept", "keep") and got["p"][0] == "updated" and "[[b]]" in got["p"][1]
 
 
+LOG = "seq long, url string, record_id string, path string"
+
+
 def test_log(spark):
-    schema = "seq long, url string, record_id string, path string"
-    old = spark.createDataFrame([(1, "u", "", "p"), (2, "v", "i", "q")], schema)
-    new = spark.createDataFrame([(3, "u", None, "z"), (4, "w", "i", "q"), (5, "", "", "r")], schema)
-    got = [(r.seq, r.was_update) for r in log.upserted_log(old, new).collect()]
-    assert got == [(5, False), (4, True), (3, True)]
+    keep = files_kept
+    old = spark.createDataFrame([(1, "u", "", "p"), (2, "v", "i", "q")], LOG)
+    new = spark.createDataFrame([(3, "u", None, "z"), (4, "w", "i", "q"), (5, "", "", "r")], LOG)
+    assert [(r.seq, r.was_update) for r in log.upserted_log(old, new, keep).collect()] == [(5, False), (4, True), (3, True)]
+    # a record with an id, and one without that has the same url: one entry, and the newest isn't merged with others by their keys alone
+    old = spark.createDataFrame([(1, "u1", "A", "p1")], LOG)
+    new = spark.createDataFrame([(2, "u1", None, "p2")], LOG)
+    assert [(r.seq, r.was_update) for r in log.upserted_log(old, new, keep).collect()] == [(2, True)]
     files = spark.createDataFrame([("q",)], "path string")
-    assert [r.seq for r in log.still_there(old, files).collect()] == [2]
+    assert [r.seq for r in log.still_there(spark.createDataFrame([(1, "p"), (2, "q")], "seq long, path string"), files).collect()] == [2]
     decks = spark.createDataFrame([("a.pdf",)], "path string")
     assert [r.deck_path for r in log.with_deck(spark.createDataFrame([("a.md",), ("b.md",)], "path string"), decks).orderBy("path").collect()] == ["a.pdf", None]
 
 
+def log_by_force(before, records, most):
+    """The log one record after the other: [(seq, was_update)], and the seqs that are left."""
+    entries, out = list(before), []
+    for r in records:
+        same = lambda e, r=r: e[2] == r[2] if e[2] and r[2] else e[1] == r[1] if e[1] and r[1] else e[3] == r[3]
+        at = next((i for i, e in enumerate(entries) if same(e)), None)
+        out.append((r[0], at is not None))
+        if at is not None:
+            entries.pop(at)
+        seen, left = set(), []
+        for e in [r, *entries]:
+            key = e[2] or e[1] or e[3]
+            if key not in seen:
+                seen.add(key)
+                left.append(e)
+        entries = left[:most]
+    return out, [e[0] for e in entries]
+
+
+@pytest.mark.parametrize("seed,most,n,kinds", [(1, 5, 200, 9), (2, 5, 150, 3), (3, 50, 900, 60), (4, 8, 300, 300), (5, 50, 120, 200), (6, 4, 260, 2), (7, 1, 40, 4)])
+def test_log_is_the_fold(spark, seed, most, n, kinds):
+    rng = random.Random(seed)
+    some = lambda name: rng.choice([None, "", *[f"{name}{rng.randrange(kinds)}"] * 3])
+    rows = [(i, some("u"), some("i"), f"p{rng.randrange(kinds)}") for i in range(n)]
+    before, after = rows[: n // 6], rows[n // 6 :]
+    _, seqs = log_by_force([], before, most)
+    history = [r for r in before if r[0] in seqs]
+    want, left = log_by_force(sorted(history, reverse=True), after, most)
+    updates, got = log.upserts(spark.createDataFrame(history, LOG), spark.createDataFrame(after, LOG).repartition(3), files_kept, most)
+    assert sorted((r.seq, r.was_update) for r in updates.collect()) == want and got == left
+
+
+def test_empty_logs(spark):
+    none = spark.createDataFrame([], LOG)
+    some = spark.createDataFrame([(1, "u", None, "p")], LOG)
+    assert log.upserted_log(none, none, files_kept).collect() == []
+    assert [r.seq for r in log.upserted_log(some, none, files_kept).collect()] == [1]
+    assert [(r.seq, r.was_update) for r in log.upserted_log(none, some, files_kept).collect()] == [(1, False)]
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_call_windows(spark, seed):
     import random
