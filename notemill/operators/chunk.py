@@ -2,41 +2,181 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notemill.functions.text import CHARS_PER_TOKEN, trimmed
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers needn't have this package
+
 PARAGRAPH = r"\n\n+"
 SENTENCE = r"(?<=[.!?])\s+"
 
 
+def _tokens(x: Column) -> Column:
+    return F.ceil(F.length(x) / CHARS_PER_TOKEN)
+
+
+def pieces(text: Column, most: Column | int, paragraph: str = PARAGRAPH, sentence: str = SENTENCE, gap: str = "\n\n") -> Column:
+    """What chunks are made of: array of (text, tokens, need, gap). Paragraphs, and the sentences of those that are too long; a piece goes into a chunk that has room for its need.
+
+    The first sentence of a long paragraph needs room for all of it, so it always begins a chunk.
+    """
+    most = F.lit(most) if isinstance(most, int) else most
+    piece = lambda x, need, end: F.struct(x.alias("text"), _tokens(x).alias("tokens"), need.alias("need"), F.lit(end).alias("gap"))
+    apart = lambda p: F.transform(F.split(p, sentence), lambda s, i: piece(s, F.when(i == 0, _tokens(p)).otherwise(_tokens(s)), " "))
+    return F.flatten(F.transform(F.split(text, paragraph), lambda p: F.when(_tokens(p) > most, apart(p)).otherwise(F.array(piece(p, _tokens(p), gap)))))
+
+
 def chunks(text: Column, most: Column | int, paragraph: str = PARAGRAPH, sentence: str = SENTENCE, gap: str = "\n\n") -> Column:
     """CHK-1: an array of chunks of at most so many tokens (a token is four characters; gaps don't count).
 
-    Paragraphs are added while they fit; one that is too long by itself is added sentence by sentence, and a sentence that is too long is a chunk. A text that fits is
-    one chunk as it is; other chunks are trimmed. One fold over sizes finds where chunks begin, and texts are put together once: no shuffle, no Python.
+    Paragraphs are added while they fit; one that is too long by itself begins a chunk and is added sentence by sentence, and a sentence that is too long is a chunk. A text that fits is
+    one chunk as it is; other chunks are trimmed. One fold over sizes finds where chunks begin, and texts are put together once: no shuffle, no Python, time in proportion to the text.
     """
     most = F.lit(most) if isinstance(most, int) else most
-    tokens = lambda x: F.ceil(F.length(x) / CHARS_PER_TOKEN)
-    piece = lambda x, end: F.struct(x.alias("text"), tokens(x).alias("tokens"), F.lit(end).alias("gap"))
-    pieces = F.flatten(F.transform(F.split(text, paragraph), lambda p: F.when(tokens(p) > most, F.transform(F.split(p, sentence), lambda s: piece(s, " "))).otherwise(F.array(piece(p, gap)))))
-    numbered = F.transform(pieces, lambda p, i: F.struct(i.alias("i"), p["tokens"].alias("tokens")))
     start = F.struct(F.lit(0).cast("long").alias("tokens"), F.array(F.lit(0)).alias("begins"))
 
     def add(acc: Column, p: Column) -> Column:
-        full = (acc["tokens"] + p["tokens"] > most) & (p["i"] > F.element_at(acc["begins"], -1))
+        full = (acc["tokens"] + p["need"] > most) & (p["i"] > F.element_at(acc["begins"], -1))
         return F.struct((F.when(full, F.lit(0).cast("long")).otherwise(acc["tokens"]) + p["tokens"]).alias("tokens"), F.when(full, F.concat(acc["begins"], F.array(p["i"]))).otherwise(acc["begins"]).alias("begins"))
 
-    def cut(acc: Column) -> Column:
-        begins = acc["begins"]
-        stop = lambda k: F.coalesce(F.get(begins, k + 1), F.size(pieces))
-        whole = lambda b, k: trimmed(F.array_join(F.transform(F.slice(pieces, b + 1, stop(k) - b), lambda p: F.concat(p["text"], p["gap"])), ""))
-        return F.transform(begins, whole)
+    # each of these binds what it is made of to a name, so that nothing is worked out again for each chunk
+    bound = lambda x, f: F.get(F.transform(F.array(x), f), 0)
+
+    def cut(all_pieces: Column) -> Column:
+        numbered = F.transform(all_pieces, lambda p, i: F.struct(i.alias("i"), p["tokens"].alias("tokens"), p["need"].alias("need")))
+        whole = F.transform(all_pieces, lambda p: F.concat(p["text"], p["gap"]))
+        begins = F.aggregate(numbered, start, add)["begins"]
+        return bound(F.struct(begins.alias("begins"), whole.alias("whole")), joined)
+
+    def joined(x: Column) -> Column:
+        stop = lambda k: F.coalesce(F.get(x["begins"], k + 1), F.size(x["whole"]))
+        return F.transform(x["begins"], lambda b, k: trimmed(F.array_join(F.slice(x["whole"], b + 1, stop(k) - b), "")))
 
-    made = F.transform(F.array(F.aggregate(numbered, start, add)), cut)
     last = lambda a: F.when(F.element_at(a, -1) == "", F.slice(a, 1, F.size(a) - 1)).otherwise(a)
-    return F.when(tokens(text) <= most, F.array(text)).otherwise(F.get(F.transform(made, last), 0))
+    made = bound(bound(pieces(text, most, paragraph, sentence, gap), cut), last)
+    return F.when(_tokens(text) <= most, F.array(text)).otherwise(made)
+
+
+class Fill:
+    """The greedy fold from every state at once. State 0 is no open chunk, s + 1 an open one of s tokens (or of more than fit).
+
+    exits and begun tell for each entry state the state after the pieces so far and how many chunks they begin. Runs from different states soon fall together; equal ones are folded once.
+    """
+
+    def __init__(self, most: int):
+        self.most = most
+        self.which = np.arange(most + 3)  # the run of each entry state
+        self.state = np.arange(most + 3)  # of each run
+        self.count = np.zeros(most + 3, np.int64)
+        self.before = np.zeros(most + 3, np.int64)  # chunks that an entry state had begun more than its run
+        self.added = 0
+
+    def add(self, tokens: int, need: int) -> None:
+        fresh = (self.state == 0) | (self.state - 1 + need > self.most)
+        self.state = np.minimum(np.where(fresh, 0, self.state - 1) + tokens, self.most + 1) + 1
+        self.count += fresh
+        self.added += 1
+        if len(self.state) > 1 and self.added % 8 == 0:
+            state, first, run = np.unique(self.state, return_index=True, return_inverse=True)
+            if len(state) < len(self.state):
+                self.before += (self.count - self.count[first][run])[self.which]
+                self.which, self.count, self.state = run[self.which], self.count[first], state
+
+    def exits(self) -> list[int]:
+        return self.state[self.which].tolist()
+
+    def begun(self) -> list[int]:
+        return (self.count[self.which] + self.before).tolist()
+
+
+def chunked_parts(parts: DataFrame, key: str, order: str, text: str, most: int, keep: Callable[[DataFrame], DataFrame], paragraph: str = PARAGRAPH, sentence: str = SENTENCE, gap: str = "\n\n") -> DataFrame:
+    """CHK-1 for texts whose parts are rows: (key, chunk, text), the chunks of each key's parts in order with a gap between them. Line ends next to such a gap belong to it, and a part of nothing else is left out.
+
+    No text is put together, and a key's pieces may be in many tasks: ranges of pieces are folded side by side from every state that a chunk can be in; the driver joins these tables, one for each range,
+    so that each range knows its state and its first chunk's number, and pieces are brought together by chunk. keep writes a table and reads it back.
+    """
+    spark = parts.sparkSession
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = parts.select(F.col(key).alias("key"), F.col(order).alias("ord"), F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"^\n+|\n+\z", "").alias("text"))
+    n = F.greatest(F.count_if(F.col("text") != "") - 1, F.lit(0))
+    sizes = rows.groupBy("key").agg((F.ceil((F.sum(F.length("text")) + F.lit(len(gap)) * n) / CHARS_PER_TOKEN) <= most).alias("fits"))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("ord", "text"), F.lit(16)).cast("int"))
+    right = sizes.select(F.col("key").alias("k"), "fits", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("s"))
+    rows = salted.join(right, salted.key.eqNullSafe(F.col("k")) & (F.col("salt") == F.col("s"))).select("key", "ord", "text", "fits")
+    short = rows.where("fits").groupBy("key").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "text"))), lambda x: F.nullif(x["text"], F.lit(""))), gap).alias("text")).select("key", F.lit(0).cast("long").alias("chunk"), "text")
+
+    cut = rows.where(~F.col("fits") & (F.col("text") != "")).select("key", "ord", F.posexplode(pieces(F.col("text"), most, paragraph, sentence, gap)).alias("i", "p"))
+    ordered = cut.select("key", "ord", "i", "p.*").repartitionByRange(ranges, "key", "ord", "i").sortWithinPartitions("key", "ord", "i")
+    at = F.monotonically_increasing_id()
+    ordered = keep(ordered.select("key", F.concat("text", "gap").alias("text"), "tokens", "need", at.alias("row")).withColumn("part", F.shiftright("row", 33).cast("int")))
+    narrow = ordered.select("part", "row", F.xxhash64("key").alias("key"), "tokens", "need").repartitionById(ranges, F.col("part")).sortWithinPartitions("part", "row")
+
+    def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row for each range: its first and last key, the first one's fold from every state, and the last one's fold from none."""
+        part, first, last, head, tail = None, None, None, Fill(most), Fill(0)
+        done = []
+        close = lambda: done.append((part, first, last, head.exits(), head.begun(), tail.exits()[0], tail.begun()[0]))
+        for batch in batches:
+            for p, k, tokens, need in zip(*(batch.column(c).to_pylist() for c in ("part", "key", "tokens", "need")), strict=True):
+                if p != part:
+                    if part is not None:
+                        close()
+                    part, first, last, head, tail = p, k, k, Fill(most), _fresh(most)
+                if k != last:
+                    last, tail = k, _fresh(most)
+                (head if k == first else tail).add(tokens, need)
+        if part is not None:
+            close()
+        columns = list(zip(*done, strict=True)) if done else [[]] * 7
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TABLE, strict=True)], names=list("pflebsn"))
+
+    entry: dict[int, tuple[int, int]] = {}
+    state, begun, open_key = 0, 0, None
+    for r in sorted(narrow.mapInArrow(tables, "p int, f long, l long, e array<int>, b array<long>, s int, n long").collect()):
+        entry[r.p] = (state, begun) if r.f == open_key else (0, 0)
+        s, b = entry[r.p]
+        state, begun = (r.e[s], b + r.b[s]) if r.f == r.l else (r.s, r.n)
+        open_key = r.l
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, key, fill, begun = None, None, _fresh(most), 0
+        for batch in batches:
+            out = []
+            for p, k, tokens, need in zip(*(batch.column(c).to_pylist() for c in ("part", "key", "tokens", "need")), strict=True):
+                if p != part:
+                    part, key, (state, begun) = p, k, entry[p]
+                    fill = _fresh(most, state)
+                elif k != key:
+                    key, fill, begun = k, _fresh(most), 0
+                fill.add(tokens, need)
+                out.append(begun + fill.begun()[0] - 1)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.int64())], names=["row", "chunk"])
+
+    numbered = narrow.mapInArrow(number, "row long, chunk long").join(ordered.select("row", "key", "text"), "row")
+    whole = trimmed(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("row", "text"))), lambda x: x["text"]), ""))
+    made = numbered.groupBy("key", "chunk").agg(whole.alias("text"))
+    ends = made.groupBy("key").agg(F.max("chunk").alias("last")).select(F.col("key").alias("k"), "last")
+    blank = made.where("text = ''").join(ends, F.col("key").eqNullSafe(F.col("k")) & (F.col("chunk") == F.col("last"))).select(F.col("key").alias("bk"), F.col("chunk").alias("bc"))
+    made = made.join(blank, F.col("key").eqNullSafe(F.col("bk")) & (F.col("chunk") == F.col("bc")), "left_anti")
+    return short.unionByName(made).withColumnRenamed("key", key)
+
+
+_TABLE = (pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int32(), pa.int64())
+
+
+def _fresh(most: int, state: int = 0) -> Fill:
+    """The fold from one state alone."""
+    fill = Fill(most)
+    fill.which, fill.state, fill.count, fill.before = np.zeros(1, int), np.array([state]), np.zeros(1, np.int64), np.zeros(1, np.int64)
+    return fill
 
 
 def with_transcript(slides: DataFrame, transcripts: DataFrame) -> DataFrame:

@@ -207,14 +207,14 @@ def page_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 _PIECES = rf"""flatten(list_transform(string_split(text, chr(10)), lambda p: CASE WHEN ceil(length(p) / 4.0) > {CHUNK_TOKENS}
-    THEN list_transform(string_split(regexp_replace(p, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: {{'t': s, 'g': ' '}}) ELSE [{{'t': p, 'g': chr(10)}}] END))"""
+    THEN list_transform(string_split(regexp_replace(p, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s, i: {{'t': s, 'g': ' ', 'need': ceil(length(CASE WHEN i = 1 THEN p ELSE s END) / 4.0)}}) ELSE [{{'t': p, 'g': chr(10), 'need': ceil(length(p) / 4.0)}}] END))"""
 
 
 @query(
     f"""
 SELECT doc_id, CAST(i - 1 AS INTEGER) AS chunk, c AS text FROM (SELECT doc_id, unnest(chunks) AS c, generate_subscripts(chunks, 1) AS i FROM (
   SELECT doc_id, CASE WHEN ceil(length(text) / 4.0) <= {CHUNK_TOKENS} THEN [text] WHEN {sql_trim("f.now")} <> '' THEN list_append(f.out, {sql_trim("f.now")}) ELSE f.out END AS chunks FROM (
-    SELECT doc_id, text, list_reduce({_PIECES}, lambda a, p: CASE WHEN a.tokens + ceil(length(p.t) / 4.0) > {CHUNK_TOKENS} AND a.now <> ''
+    SELECT doc_id, text, list_reduce({_PIECES}, lambda a, p: CASE WHEN a.tokens + p.need > {CHUNK_TOKENS} AND a.now <> ''
         THEN {{'now': p.t || p.g, 'tokens': CAST(ceil(length(p.t) / 4.0) AS BIGINT), 'out': list_append(a.out, {sql_trim("a.now")})}}
         ELSE {{'now': a.now || p.t || p.g, 'tokens': CAST(a.tokens + ceil(length(p.t) / 4.0) AS BIGINT), 'out': a.out}} END,
       {{'now': '', 'tokens': CAST(0 AS BIGINT), 'out': []::VARCHAR[]}}) AS f FROM documents)))
@@ -362,19 +362,16 @@ _RECORDS = """(SELECT o_orderkey AS seq, CASE WHEN (o_orderkey // 7) % 3 > 0 THE
 _SAME_KEY = "coalesce(e.record_id, nullif(e.url, ''), e.path) = coalesce(r.record_id, nullif(r.url, ''), r.path)"
 
 
+_HIT = """coalesce(list_position(list_transform(a.entries, lambda e: CASE WHEN e.record_id IS NOT NULL AND r.record_id IS NOT NULL THEN e.record_id = r.record_id
+  WHEN e.url <> '' AND r.url <> '' THEN e.url = r.url ELSE e.path = r.path END), true), 0)"""
+
+
 @query(
     f"""
-WITH RECURSIVE records AS (SELECT *, row_number() OVER (ORDER BY seq) AS n FROM {_RECORDS}),
-log AS (
-  SELECT 0::BIGINT AS n, []::STRUCT(seq BIGINT, record_id VARCHAR, url VARCHAR, path VARCHAR)[] AS entries, NULL::BIGINT AS seq, NULL::BOOLEAN AS was_update
-  UNION ALL
-  SELECT n, ([r] || list_filter(entries, lambda e, i: i <> coalesce(hit, 0) AND NOT ({_SAME_KEY})))[1:50], r.seq, hit > 0 FROM (
-    SELECT records.n, entries, {{'seq': records.seq, 'record_id': records.record_id, 'url': records.url, 'path': records.path}} AS r,
-      coalesce(list_position(list_transform(entries, lambda e: CASE WHEN e.record_id IS NOT NULL AND records.record_id IS NOT NULL THEN e.record_id = records.record_id
-        WHEN e.url <> '' AND records.url <> '' THEN e.url = records.url ELSE e.path = records.path END), true), 0) AS hit
-    FROM log JOIN records ON records.n = log.n + 1)),
-last AS (SELECT list_transform(entries, lambda e: e.seq) AS seqs FROM log ORDER BY n DESC LIMIT 1)
-SELECT seq, was_update, list_position(seqs, seq) AS place FROM log, last WHERE seq IS NOT NULL
+WITH folded AS (SELECT list_reduce(list({{'seq': seq, 'record_id': record_id, 'url': url, 'path': path}} ORDER BY seq),
+    lambda a, r: {{'entries': ([r] || list_filter(a.entries, lambda e, i: i <> {_HIT} AND NOT ({_SAME_KEY})))[1:50], 'updates': list_append(a.updates, {{'seq': r.seq, 'was_update': {_HIT} > 0}})}},
+    {{'entries': []::STRUCT(seq BIGINT, record_id VARCHAR, url VARCHAR, path VARCHAR)[], 'updates': []::STRUCT(seq BIGINT, was_update BOOLEAN)[]}}) AS f FROM {_RECORDS})
+SELECT u.seq AS seq, u.was_update AS was_update, list_position(seqs, u.seq) AS place FROM (SELECT unnest(f.updates) AS u, list_transform(f.entries, lambda e: e.seq) AS seqs FROM folded)
 """
 )
 def log_upsert(spark: SparkSession, d: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import Row
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from notemill.functions import text as T
 from notemill.operators import chunk, extract, relevance
+from notemill.sources import files
 
 
 def one(spark, expression, *rows, columns=("x",)):
@@ -85,6 +87,9 @@ def greedy(text, most):
     out, now, used = [], "", 0
     for p in re.split(r"\n\n+", text):
         whole = size(p) <= most
+        if used + size(p) > most and now:  # room for all of a paragraph, be it cut or not
+            out.append(now.strip())
+            now, used = "", 0
         for piece in [p] if whole else re.split(r"(?<=[.!?])\s+", p):
             if used + size(piece) > most and now:
                 out.append(now.strip())
@@ -101,6 +106,52 @@ def test_chunks(spark, most):
     assert one(spark, chunk.chunks(F.col("x"), most), *texts) == [greedy(t, most) for t in texts]
 
 
+def test_chunks_of_thousands_of_paragraphs(spark):
+    text = "\n\n".join(f"Paragraph {i} of a long text, with some words." for i in range(8000))
+    df = spark.createDataFrame([(text,)], "x string").select(chunk.chunks(F.col("x"), 100).alias("c"))
+    df.collect()
+    began = time.perf_counter()
+    assert df.first().c == greedy(text, 100)
+    assert time.perf_counter() - began < 5
+
+
+@pytest.mark.parametrize("most,ranges", [(1, 7), (3, 4), (8, 2), (40, 5)])
+def test_chunks_of_parts(spark, most, ranges):
+    rng = random.Random(most)
+    word = lambda: rng.choice(["ab", "c. ", "d! ", "\n\n", "\n\n\n", "efghij", " ", "k" * 30])
+    parts = [(k, i, "".join(word() for _ in range(rng.randrange(9)))) for k in ("a", "b", None) for i in range(rng.randrange(1, 12))]
+    parts += [("hot", i, "".join(word() for _ in range(12))) for i in range(120)] + [("short", 0, "x"), ("short", 1, "y"), ("void", 0, ""), ("null", 0, None)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", ranges)
+    try:
+        got = {}
+        for r in chunk.chunked_parts(spark.createDataFrame(parts, "subject string, at int, body string").repartition(3), "subject", "at", "body", most, files.kept).collect():
+            got.setdefault(r.subject, {})[r.chunk] = r.text
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    for k in {p[0] for p in parts}:
+        text = "\n\n".join(t.strip("\n") for key, _, t in sorted(parts, key=lambda p: p[1]) if key == k and (t or "").strip("\n"))
+        want = greedy(text, most)
+        assert [got.get(k, {}).get(i) for i in range(max(len(want), len(got.get(k, {}))))] == want, (k, text)
+
+
+def test_fill_is_the_fold_from_every_state():
+    rng = random.Random(1)
+    for most in (0, 1, 5, 30):
+        sizes = [(rng.randrange(8), 0) for _ in range(60)]
+        sizes = [(t, max(t, rng.choice([t, t, most + 1]))) for t, _ in sizes]
+        fill = chunk.Fill(most)
+        for piece in sizes:
+            fill.add(*piece)
+        for state, (exits, begun) in enumerate(zip(fill.exits(), fill.begun(), strict=True)):
+            n = 0
+            for t, need in sizes:
+                fresh = state == 0 or state - 1 + need > most
+                n += fresh
+                state = min((0 if fresh else state - 1) + t, most + 1) + 1
+            assert (state, n) == (exits, begun)
+
+
 def test_even_slices(spark):
     df = spark.createDataFrame([("abcdefg", 3), ("ab", 4), ("", 2), (None, 2), ("x", 0)], "t string, n int")
     assert [r[0] for r in df.select(chunk.even_slices(F.col("t"), F.col("n"))).collect()] == [["abc", "def", "g"], ["a", "b", None, None], [None, None], [None, None], []]
