@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from notemill.functions import text as texts
 from notemill.functions.text import error_kind, kind_of_error
+from notemill.operators.chunk import chunked_parts
 
 for module in (sys.modules[__name__], texts):
     cloudpickle.register_pickle_by_value(module)  # workers needn't have this package
@@ -321,3 +322,30 @@ def summarized(texts: DataFrame, model: Provider, key: str, text: str = "text",
     parts = generated(rows, model, [key, "chunk"])
     whole = parts.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk", "answer"))), lambda x: x["answer"]), gap).alias("prompt"))
     return generated(whole, model, [key]).select(key, F.col("answer").alias("summary"), "error")
+
+
+def summarized_parts(parts: DataFrame, model: Provider, key: str, order: str, keep: Callable[[DataFrame], DataFrame], text: str = "text", gap: str = "\n\n", levels: int = 8, **how: Any) -> DataFrame:
+    """AGG-5, AGG-13: (key, summary, error, n_levels, n_failed) for texts whose parts are rows, however long a text is.
+
+    As long as a key's parts fill the model's input to more than 8 tenths, they are cut to chunks of 6 tenths, which are summarised one by one; the summaries are the parts of the next level. No row holds more than
+    an input. n_failed counts the chunks without a summary, which are left out. Levels that don't make a text shorter end in an error.
+    """
+    limit = model.max_input_tokens
+    rows = parts.select(F.col(key).alias("key"), F.col(order).cast("long").alias("ord"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    counts = keep(rows.groupBy("key").agg(F.lit(0).alias("n_levels"), F.lit(0).cast("long").alias("n_failed")))
+    for _ in range(levels):
+        n = F.greatest(F.count_if(F.col("text") != "") - 1, F.lit(0))
+        sizes = keep(rows.groupBy("key").agg((F.ceil((F.sum(F.length("text")) + F.lit(len(gap)) * n) / CHARS_PER_TOKEN) > int(CHUNK_FROM * limit)).alias("long")).where("long").select(F.col("key").alias("k")))
+        if sizes.limit(1).count() == 0:
+            break
+        mine = F.col("key").eqNullSafe(F.col("k"))
+        cut = chunked_parts(rows.join(sizes, mine, "left_semi"), "key", "ord", "text", int(CHUNK_TO * limit), keep, gap=gap)
+        said = keep(generated(cut.withColumnRenamed("text", "prompt"), model, ["key", "chunk"], **how))
+        failed = said.groupBy("key").agg(F.count("error").alias("f")).select(F.col("key").alias("k"), "f")
+        counts = keep(counts.join(failed, mine, "left").select("key", (F.col("n_levels") + F.col("f").isNotNull().cast("int")).alias("n_levels"), (F.col("n_failed") + F.coalesce("f", F.lit(0))).alias("n_failed")))
+        rows = keep(rows.join(sizes, mine, "left_anti").unionByName(said.where("error IS NULL").select("key", F.col("chunk").alias("ord"), F.col("answer").alias("text"))))
+    else:
+        raise ValueError(f"texts are still too long after {levels} levels of summaries")
+    whole = rows.groupBy("key").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "text"))), lambda x: F.nullif(x["text"], F.lit(""))), gap).alias("prompt"))
+    answers = generated(whole, model, ["key"], **how).select(F.col("key").alias("k"), "answer", "error")
+    return counts.join(answers, F.col("key").eqNullSafe(F.col("k")), "left").select(F.col("key").alias(key), F.col("answer").alias("summary"), "error", "n_levels", "n_failed")

@@ -186,6 +186,43 @@ def linked(body: Column, names: Column, safe: bool = False) -> Column:
     return F.aggregate(names, body, lambda text, name: F.regexp_replace(text, F.concat(F.lit(r"(?iu)(?<!\[\[)"), escaped_pattern(name), F.lit(after)), F.concat(F.lit("[["), escaped_replacement(name), F.lit("]]"))))
 
 
+def folded_case(x: Column) -> Column:
+    """x with letters that match each other whatever their case made one. (Signs between the two steps also keep the optimizer from taking them for one.)"""
+    return F.replace(F.lower(F.translate(F.upper(F.translate(x, "ẞİ", "ßi")), "\u212a\u212b\u2126", "kåω")), F.lit("ς"), F.lit("σ"))
+
+
+def linked_texts(docs: DataFrame, names: DataFrame, doc: str, text: str, name: str, order: str) -> DataFrame:
+    """PRJ-8 for a dictionary of any size: docs with text linked as linked() does with all names in order, but each text is only searched for names that it may have.
+
+    A name's anchor is its longest run without white space and brackets: where the name stands, the anchor stands inside a word. Words are taken from all texts once; anchors are found in them by their rarest
+    run of three characters (an equi-join over the vocabulary, not over the texts), and the names come back to the texts by equal words. So the cost is that of the texts' words and of the hits. What has no
+    anchor (brackets and white space only) is no name. A null text stays null; rows that are alike in id and text get the same.
+    """
+    breaks = r"[\s\p{Z}\[\]]+"
+    run = lambda x: F.filter(F.split(folded_case(x), breaks), lambda w: w != "")
+    longest = lambda words: F.get(F.array_sort(words, lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).otherwise(0)), 0)
+    own = names.where(F.col(name) != "").groupBy(F.col(name).alias("__name")).agg(F.min(order).alias("__order")).withColumn("__anchor", longest(run(F.col("__name")))).where(F.col("__anchor").isNotNull())
+    grams = lambda w, size: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - size + 1, F.lit(1))), lambda i: F.substring(w, i, size)))
+    size = F.least(F.length("__anchor"), F.lit(3))
+
+    rows = docs.withColumn("__doc", F.xxhash64(doc, text))
+    words = rows.select("__doc", F.explode(F.array_distinct(run(F.col(text)))).alias("__word")).distinct()
+    vocabulary = words.select("__word").distinct()
+    anchors = own.select("__anchor").distinct()
+    # how many anchors have a run of characters tells how common it is; each anchor is looked up by its rarest one
+    each = anchors.select("__anchor", F.explode(grams(F.col("__anchor"), size)).alias("__gram"))
+    rarest = each.join(each.groupBy("__gram").agg(F.count(F.lit(1)).alias("n")), "__gram").groupBy("__anchor").agg(F.min_by("__gram", F.struct("n", "__gram")).alias("__gram"))
+    sizes = F.array(F.lit(1), F.lit(2), F.lit(3))
+    of_words = vocabulary.select("__word", F.explode(F.array_distinct(F.flatten(F.transform(sizes, lambda k: grams(F.col("__word"), k))))).alias("__gram"))
+    having = of_words.join(rarest, "__gram").where(F.contains("__word", "__anchor")).select("__word", "__anchor").join(own, "__anchor").select("__word", "__order", "__name")
+    found = words.join(having, "__word").select("__doc", F.struct("__order", "__name").alias("n"))
+    some = found.groupBy("__doc").agg(F.collect_set("n").alias("__some"))
+    bare = lambda x: folded_case(F.regexp_replace(x, r"[\[\]]", ""))  # noqa: E731  links that are made change nothing else
+    there = F.filter(F.sort_array("__some"), lambda n: F.contains("__bare", bare(n["__name"])))
+    out = rows.join(some, "__doc", "left").withColumn("__bare", bare(F.col(text)))
+    return out.withColumn(text, F.when(F.col("__some").isNull(), F.col(text)).otherwise(linked(F.col(text), F.transform(there, lambda n: n["__name"])))).select(*docs.columns)
+
+
 def marker(slide: Column, digest: Column, dup: Column, kind: str, labels: Labels = LABELS) -> Column:
     """PRJ-10."""
     return F.concat(F.lit(f"<!-- {labels.tag}:slide:"), slide.cast("string"), F.lit(" hash:"), digest, F.when(dup.isNotNull(), F.concat(F.lit(" dup:"), dup.cast("string"))).otherwise(""), F.lit(f" {kind} -->"))

@@ -248,6 +248,37 @@ def summarized_texts(spark: SparkSession, d: str) -> DataFrame:
     return calls.summarized(rows, calls.OfflineProvider(max_input_tokens=MODEL_TOKENS), "doc_id").select("doc_id", "summary")
 
 
+SUBJECT_TOKENS = 2000
+_PARTS = r"""(SELECT source, doc_id, regexp_replace(text, '^\n+|\n+$', '', 'g') AS t FROM documents)"""
+_PART_PIECES = rf"""flatten(list_transform(regexp_split_to_array(text, '\n\n+'), lambda p: CASE WHEN ceil(length(p) / 4.0) > {int(0.6 * SUBJECT_TOKENS)}
+    THEN list_transform(string_split(regexp_replace(p, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s, i: {{'t': s, 'g': ' ', 'need': ceil(length(CASE WHEN i = 1 THEN p ELSE s END) / 4.0)}})
+    ELSE [{{'t': p, 'g': chr(10) || chr(10), 'need': ceil(length(p) / 4.0)}}] END))"""
+
+
+def _sql_level(texts: str) -> str:
+    """A level of summaries over texts (source, text, n_levels): those that are too long become the joined summaries of their chunks."""
+    return f"""(SELECT source, string_agg({_sql_answer("c")}, chr(10) || chr(10) ORDER BY i) AS text, any_value(n_levels) + 1 AS n_levels FROM (SELECT source, n_levels, unnest(chunks) AS c, generate_subscripts(chunks, 1) AS i FROM (
+  SELECT source, n_levels, CASE WHEN {sql_trim("f.now")} <> '' THEN list_append(f.out, {sql_trim("f.now")}) ELSE f.out END AS chunks FROM (
+    SELECT source, n_levels, list_reduce({_PART_PIECES}, lambda a, p: CASE WHEN a.tokens + p.need > {int(0.6 * SUBJECT_TOKENS)} AND a.now <> ''
+        THEN {{'now': p.t || p.g, 'tokens': CAST(ceil(length(p.t) / 4.0) AS BIGINT), 'out': list_append(a.out, {sql_trim("a.now")})}}
+        ELSE {{'now': a.now || p.t || p.g, 'tokens': CAST(a.tokens + ceil(length(p.t) / 4.0) AS BIGINT), 'out': a.out}} END,
+      {{'now': '', 'tokens': CAST(0 AS BIGINT), 'out': []::VARCHAR[]}}) AS f FROM {texts} WHERE ceil(length(text) / 4.0) > {int(0.8 * SUBJECT_TOKENS)}))) GROUP BY source
+  UNION ALL SELECT source, text, n_levels FROM {texts} WHERE ceil(length(text) / 4.0) <= {int(0.8 * SUBJECT_TOKENS)})"""
+
+
+@query(
+    f"""
+WITH level0 AS (SELECT source, string_agg(t, chr(10) || chr(10) ORDER BY doc_id) AS text, 0 AS n_levels FROM {_PARTS} WHERE t <> '' GROUP BY source),
+level1 AS MATERIALIZED (FROM {_sql_level("level0")}), level2 AS MATERIALIZED (FROM {_sql_level("level1")}), level3 AS MATERIALIZED (FROM {_sql_level("level2")})
+SELECT source, {_sql_answer("text")} AS summary, CAST(n_levels AS INTEGER) AS n_levels FROM level3
+"""
+)
+def subject_summaries(spark: SparkSession, d: str) -> DataFrame:
+    """Each source's documents summarised by the offline provider in as many levels as they need, in chunks that are cut across documents."""
+    docs = table(spark, d, "documents").select("source", "doc_id", F.regexp_replace("text", r"^\n+|\n+\z", "").alias("text"))
+    return calls.summarized_parts(docs, calls.OfflineProvider(max_input_tokens=SUBJECT_TOKENS), "source", "doc_id", kept).select("source", "summary", "n_levels")
+
+
 def _lines(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ord", "line"))
     return rows.select("doc_id", "ord", (F.col("ord") + 1).alias("slide_num"), T.content_hash(F.col("line")).alias("hash"))
@@ -406,6 +437,24 @@ def link_inject(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", notes.linked(F.col("text"), F.array(word)).alias("text")).withColumn("links", F.size(notes.links(F.col("text"))))
 
 
+_BOOK = r"(SELECT name, min(ord) AS ord FROM (SELECT unnest(w) AS name, item_id * 1000 + generate_subscripts(w, 1) AS ord FROM (SELECT item_id, regexp_split_to_array(lower(text), '[^a-z]+') AS w FROM benchmark)) WHERE length(name) >= 7 GROUP BY name)"
+
+
+@query(
+    f"""
+WITH book AS MATERIALIZED (SELECT list({{'ord': ord, 'name': name}} ORDER BY ord) AS names FROM {_BOOK}),
+found AS (SELECT doc_id, text, list_transform(list_filter(names, lambda n: contains(lower(text), n.name)), lambda n: n.name) AS names FROM documents, book)
+SELECT doc_id, md5(list_reduce(names, lambda a, n: replace(replace(replace(replace(
+    regexp_replace(a, '(?i)' || n, chr(5) || n || chr(6), 'g'), '[[' || chr(5) || n || chr(6), '[[' || n), chr(5) || n || chr(6) || ']]', n || ']]'), chr(5), '[['), chr(6), ']]'), text)) AS digest FROM found
+"""
+)
+def link_dictionary(spark: SparkSession, d: str) -> DataFrame:
+    """The long words of all benchmark texts, linked wherever they stand in documents."""
+    words = table(spark, d, "benchmark").select("item_id", F.posexplode(F.split(F.lower("text"), "[^a-z]+")).alias("at", "name")).where("length(name) >= 7")
+    book = words.select("name", (F.col("item_id") * 1000 + F.col("at") + 1).alias("ord"))
+    return notes.linked_texts(table(spark, d, "documents").select("doc_id", "text"), book, "doc_id", "text", "name", "ord").select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
 def _calls(spark: SparkSession, d: str) -> DataFrame:
     kind = F.col("event_type")
     outcome = F.when(kind == "error", "rate_limit").when(kind == "purchase", "success").otherwise("other")

@@ -113,6 +113,38 @@ def test_links(spark):
     assert tuple(row) == (["A", "B"], ["x", "w"], ["w"])
 
 
+def test_links_of_a_large_dictionary_are_those_of_the_fold(spark):
+    rng = random.Random(8)
+    syllable = lambda: rng.choice(["gra", "ph", "the", "ory", "Ma", "x", "ß", "İ", "ſ", "Σας", "é", "K", "c++", "$1", "l(a)", "."])
+    word = lambda: "".join(syllable() for _ in range(rng.randrange(1, 4)))
+    names = [" ".join(word() for _ in range(rng.choice([1, 1, 2, 3]))) for _ in range(1500)] + ["a[b", "x]] y", "[[gra", "Graph Theory", "graph", "GRAPH", "th", "p", "[[", " "]
+    change = lambda w: rng.choice([w, w.upper(), w.lower(), w.title()])
+    texts = [" ".join(change(rng.choice([*names, word(), "[[graph]]", "para-graph", "\n\n"])) for _ in range(rng.randrange(12))) for _ in range(25)] + ["", None]
+    df = spark.createDataFrame([(i, t, 1, "o") for i, t in enumerate(texts)], "id int, text string, __n int, other string").repartition(3)
+    book = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "ord int, name string").repartition(2)
+    got = {r.id: r.text for r in notes.linked_texts(df, book, "id", "text", "name", "ord").collect()}
+    wanted = [n for n in names if n.strip(" []")]
+    want = {r.id: r.t for r in df.select("id", notes.linked(F.col("text"), F.array(*map(F.lit, wanted))).alias("t")).collect()}
+    assert got == want
+    assert notes.linked_texts(df, book.limit(0), "id", "text", "name", "ord").count() == len(texts)
+
+
+def test_summaries_in_levels(spark):
+    model = calls.OfflineProvider(max_input_tokens=60, words=4)
+    parts = [("long", i, f"Lecture {i}. " + "word " * 40) for i in range(90)] + [("short", 0, "a b"), ("short", 1, None), ("empty", 0, "")]
+    df = spark.createDataFrame(parts, "subject string, at int, body string").repartition(4)
+    got = {r.subject: r for r in calls.summarized_parts(df, model, "subject", "at", files_kept, "body").collect()}
+    assert got["short"].summary == model.generate_text("a b") and got["short"].n_levels == 0 and got["empty"].summary == model.generate_text("")
+    assert got["long"].n_levels > 1 and got["long"].error is None and got["long"].n_failed == 0
+
+    class Wordy(calls.OfflineProvider):
+        def generate_text(self, prompt, system=""):
+            return prompt + " and more"
+
+    with pytest.raises(ValueError, match="too long"):
+        calls.summarized_parts(df, Wordy(60), "subject", "at", files_kept, "body", levels=2)
+
+
 def test_built_notes(spark):
     n = spark.createDataFrame([("id", "T", "CS", ["t"], ["graph"], "2026-01-01", None, "sum", "", "full"), ("p", "P", "CS", ["t"], ["graph"], "2026-01-01", "c", "", "", "partial")], "note_id string, title string, subject string, tags array<string>, names array<string>, date string, created_at string, summary string, processed string, parse_quality string")
     s = spark.createDataFrame([("id", 2, B, "a graph"), ("id", 1, A, "one")], "note_id string, slide_num int, hash string, commentary string")
