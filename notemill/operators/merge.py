@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from notemill.functions.text import trimmed
 from notemill.operators.notes import LABELS, Labels, has_sections, headings, links, marker, split_managed, with_sections
+from notemill.sources.files import updated_table
 
 DIFF_MOST, REPLACED_SHARE = 8, 0.5
 
@@ -107,6 +108,26 @@ def merged_notes(notes: DataFrame, labels: Labels = LABELS, keep_legacy: bool =
     return fresh.unionByName(single).unionByName(merged_sections(there.where(sectioned), labels, keep_legacy))
 
 
+def reimported(spark: SparkSession, folder: str, incoming: DataFrame, labels: Labels = LABELS, keep_legacy: bool = True) -> tuple[int, DataFrame]:
+    """SNK-2: a table of notes (path, content) after incoming ones (one for each path) were merged into it: (number of its version, all rows, with came (in this import) and was_update).
+
+    Reads the newest version, merges, writes a new one and commits it; if another import was faster, it begins again with that one's notes. Notes that don't come in stay as they are.
+    """
+    flags = lambda df, came, there: df.withColumn("was_update", there).withColumn("came", F.lit(came))
+
+    def merge(current: DataFrame | None) -> DataFrame:
+        new = incoming.select(F.col("path").alias("note_path"), F.col("content").alias("next"))
+        if current is None:
+            return flags(new.select(F.col("note_path").alias("path"), F.col("next").alias("content")), True, F.lit(False))
+        old = current.select(F.col("path").alias("note_path"), F.col("content").alias("current"))
+        both = new.join(old, "note_path", "left")
+        made = merged_notes(both.select("note_path", "current", "next"), labels, keep_legacy).join(both.select("note_path", F.col("current").isNotNull().alias("there")), "note_path")
+        stay = current.join(incoming.select("path"), "path", "left_anti").select("path", "content")
+        return flags(made.select(F.col("note_path").alias("path"), F.col("merged").alias("content"), "there"), True, F.col("there")).drop("there").unionByName(flags(stay, False, F.lit(False)))
+
+    return updated_table(spark, folder, merge)
+
+
 def update_summary(notes: DataFrame, labels: Labels = LABELS) -> DataFrame:
     """MRG-6: what a re-import would change, for notes (note_path, current, next, concept_names)."""
     cur, nxt = F.col("current"), F.col("next")

@@ -9,7 +9,6 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,7 +57,6 @@ class Labels:
 LABELS = Labels()
 FRONTMATTER = r"^---\n[\s\S]*?\n---\n*"
 LINK = r"\[\[([^\]|#\n]+?)(?:\|[^\]]+)?\]\]"
-SECTIONS = "struct<frontmatter:string,preamble:string,sections:array<struct<ord:int,slide_num:int,hash:string,dup:int,managed:string,after:string>>>"
 
 
 def frontmatter(content: Column) -> Column:
@@ -86,42 +84,19 @@ def has_sections(content: Column, labels: Labels = LABELS) -> Column:
     return content.rlike(labels.marker)
 
 
-def sections_of(content: str | None, labels: Labels = LABELS) -> dict[str, object]:
-    """PAR-20 for one note: starts are paired with the first later free end of equal slide, hash and dup; what has no pair is dropped."""
-    content = content or ""
-    front = m.group() if (m := re.match(FRONTMATTER, content)) else ""
-    body = content[len(front) :]
-    marks = [(m, m.group(1, 2, 3)) for m in re.finditer(labels.marker, body, re.ASCII)]
-    free_ends: dict[tuple[str | None, ...], list[int]] = {}
-    for k, (m, identity) in enumerate(marks):
-        if m.group(4) == "end":
-            free_ends.setdefault(identity, []).append(k)
-    found = []
-    for k, (m, identity) in enumerate(marks):
-        if m.group(4) == "start":
-            ends = free_ends.get(identity, [])
-            at = next((e for e in ends if e > k), None)
-            if at is not None:
-                ends.remove(at)
-                found.append((m, marks[at][0]))
-    cut = lambda text: text[: h.start() + len(h.group(1))] if (h := re.search(labels.heading, text)) else text
-    if not found:
-        return {"frontmatter": front, "preamble": body, "sections": []}
-    sections = []
-    for k, (s, e) in enumerate(found):
-        stop = found[k + 1][0].start() if k + 1 < len(found) else len(body)
-        sections.append({"ord": k, "slide_num": int(s.group(1)), "hash": s.group(2), "dup": int(s.group(3)) if s.group(3) else None, "managed": body[s.end() : e.start()], "after": cut(body[e.end() : stop] if stop >= e.end() else "")})
-    return {"frontmatter": front, "preamble": cut(body[: found[0][0].start()]), "sections": sections}
-
-
 def _let(value: Column, f: Callable[[Column], Column]) -> Column:
     """f of a value that is made once; a column of its own would be put in wherever it is used when a filter is pushed down."""
     return F.get(F.transform(F.array(value), f), 0)
 
 
+def _until_heading(x: Column, labels: Labels) -> Column:
+    """x up to the first slide heading."""
+    return F.when(x.rlike(labels.heading), F.regexp_extract(x, rf"^([\s\S]*?(^|\n))(?=## {re.escape(labels.slide)} \d)", 1)).otherwise(x)
+
+
 def orderly_sections(content: Column, labels: Labels = LABELS) -> Column:
-    """PAR-20 in the JVM, for a note in which each start is directly followed by its own end: a struct as of sections_of; null for other notes."""
-    until_heading = lambda x: F.when(x.rlike(labels.heading), F.regexp_extract(x, rf"^([\s\S]*?(^|\n))(?=## {re.escape(labels.slide)} \d)", 1)).otherwise(x)
+    """PAR-20 in the JVM, for a note in which each start is directly followed by its own end: a struct as of paired_sections; null for other notes."""
+    until_heading = lambda x: _until_heading(x, labels)
     none = F.array().cast("array<struct<ord:int,slide_num:int,hash:string,dup:int,managed:string,after:string>>")
 
     def split(front: Column, body: Column, marks: Column, parts: Column) -> Column:
@@ -145,21 +120,66 @@ def orderly_sections(content: Column, labels: Labels = LABELS) -> Column:
     return _let(frontmatter(content), lambda front: _let(rest(front), lambda body: with_marks(front, body)))
 
 
-def with_sections(notes: DataFrame, content: str = "content", labels: Labels = LABELS) -> DataFrame:
-    """notes with frontmatter, preamble and sections (array) of each.
+def paired_sections(content: Column, labels: Labels = LABELS) -> Column:
+    """PAR-20 for any note: each start is paired with the first later free end of equal slide, hash and dup; what has no pair is dropped.
 
-    Notes whose markers are in order, as all are that nobody has cut up, are split in the JVM. Only those with odd markers go
-    to Python, in Arrow batches, as pairing these needs a scan with state.
+    An end is free for a start if fewer ends than starts of its identity came before, not counting ends that no start was open for: a running balance and how often it would have gone below nothing. The j-th start then
+    belongs to the j-th end that counts. One fold over the marks in order of identity, and two sorts.
     """
-    @F.pandas_udf(SECTIONS)
-    def split(texts: pd.Series) -> pd.DataFrame:
-        none = dict.fromkeys(("frontmatter", "preamble", "sections"))
-        return pd.DataFrame([sections_of(t, labels) if t is not None else none for t in texts], columns=list(none))
+    name = "struct<slide:string,hash:string,dup:string"
+    mark = lambda m, k: F.struct(*[F.regexp_extract(m, labels.marker, g).alias(c) for g, c in ((1, "slide"), (2, "hash"), (3, "dup"))], k.alias("k"), m.endswith(" end -->").alias("is_end"))
+    same = lambda x, y: (x["slide"] == y["slide"]) & (x["hash"] == y["hash"]) & (x["dup"] == y["dup"])
+    zero, no = F.lit(0), F.lit(None).cast("string")
+    start = F.struct(no.alias("slide"), no.alias("hash"), no.alias("dup"), zero.alias("s"), zero.alias("e"), zero.alias("u"), F.array().cast(f"array<{name},j:int,is_end:boolean,k:int>>").alias("out"))
+
+    def add(acc: Column, x: Column) -> Column:
+        s, e, u = (F.when(F.coalesce(same(acc, x), F.lit(False)), acc[c]).otherwise(0) for c in "seu")
+        free = x["is_end"] & (s - e + u <= 0)
+        j = F.when(x["is_end"], F.when(free, None).otherwise(e + 1 - u)).otherwise(s + 1).cast("int")
+        out = F.struct(x["slide"], x["hash"], x["dup"], j.alias("j"), x["is_end"].alias("is_end"), x["k"].alias("k"))
+        count = lambda c, more: (c + more.cast("int"))
+        return F.struct(x["slide"], x["hash"], x["dup"], count(s, ~x["is_end"]).alias("s"), count(e, x["is_end"]).alias("e"), count(u, free).alias("u"), F.when(free, acc["out"]).otherwise(F.concat(acc["out"], F.array(out))).alias("out"))
+
+    def pairs(marks: Column) -> Column:
+        folded = F.aggregate(F.sort_array(F.transform(marks, mark)), start, add)["out"]
+        nothing = F.array().cast("array<struct<start:int,end:int>>")
+        end = lambda all_, x, i: F.when(~x["is_end"] & F.get(all_, i + 1)["is_end"] & same(x, F.get(all_, i + 1)) & (x["j"] == F.get(all_, i + 1)["j"]), F.get(all_, i + 1)["k"])
+        both = lambda all_: F.filter(F.transform(all_, lambda x, i: F.struct(x["k"].alias("start"), end(all_, x, i).alias("end"))), lambda p: p["end"].isNotNull())
+        return F.when(F.size(marks) == 0, nothing).otherwise(F.sort_array(_let(F.sort_array(folded), both)))
+
+    def begins(marks: Column, parts: Column) -> Column:
+        """Where each mark begins."""
+        at = lambda acc, k: acc["at"] + F.length(F.get(parts, k))
+        step = lambda acc, k: F.struct((at(acc, k) + F.length(F.get(marks, k))).alias("at"), F.concat(acc["out"], F.array(at(acc, k))).alias("out"))
+        numbers = F.when(F.size(marks) > 0, F.sequence(F.lit(0), F.size(marks) - 1)).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(numbers, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), step)["out"]
+
+    def split(front: Column, body: Column, marks: Column, at: Column, found: Column) -> Column:
+        stop = lambda k: F.get(at, k) + F.length(F.get(marks, k))
+        field = lambda p, group: F.regexp_extract(F.get(marks, p["start"]), labels.marker, group)
+        until = lambda i: F.coalesce(F.get(at, F.get(found, i + 1)["start"]), F.length(body))
+        section = lambda p, i: F.struct(
+            i.alias("ord"),
+            field(p, 1).cast("int").alias("slide_num"),
+            field(p, 2).alias("hash"),
+            blank_to_null(field(p, 3)).cast("int").alias("dup"),
+            F.substring(body, stop(p["start"]) + 1, F.get(at, p["end"]) - stop(p["start"])).alias("managed"),
+            _until_heading(F.substring(body, stop(p["end"]) + 1, F.greatest(until(i) - stop(p["end"]), F.lit(0))), labels).alias("after"),
+        )
+        preamble = F.when(F.size(found) == 0, body).otherwise(_until_heading(F.substring(body, F.lit(1), F.get(at, F.get(found, 0)["start"])), labels))
+        return F.struct(front.alias("frontmatter"), preamble.alias("preamble"), F.transform(found, section).alias("sections"))
+
+    rest = lambda front: F.substring(content, F.length(front) + 1, F.length(content))
+    marks_of = lambda body: F.regexp_extract_all(body, F.lit(f"({labels.marker})"), F.lit(1))
+    placed = lambda front, body, marks: _let(begins(marks, F.split(body, labels.marker)), lambda at: _let(pairs(marks), lambda found: split(front, body, marks, at, found)))
+    return _let(frontmatter(content), lambda front: _let(rest(front), lambda body: _let(marks_of(body), lambda marks: placed(front, body, marks))))
+
 
+def with_sections(notes: DataFrame, content: str = "content", labels: Labels = LABELS) -> DataFrame:
+    """notes with frontmatter, preamble and sections (array) of each. Notes whose markers are in order, as all are that nobody has cut up, need no pairing."""
     text = F.coalesce(F.col(content), F.lit(""))
-    df = notes.withColumn("__s", orderly_sections(text, labels))
-    df = df.withColumn("__odd", split(F.when(F.col("__s").isNull(), text)))
-    return df.withColumn("__s", F.coalesce("__s", "__odd")).select(*notes.columns, "__s.frontmatter", "__s.preamble", "__s.sections")
+    both = F.coalesce(orderly_sections(text, labels), paired_sections(text, labels))
+    return notes.withColumn("__s", both).select(*notes.columns, "__s.frontmatter", "__s.preamble", "__s.sections")
 
 
 def headings(body: Column) -> Column:

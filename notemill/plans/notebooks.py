@@ -155,6 +155,21 @@ def exam_notes(spark: SparkSession, d: str) -> DataFrame:
 
 # --- merging ------------------------------------------------------------------------------------
 
+def _block_notes() -> tuple[Column, Column]:
+    """(old, new) note of a document; the old one is null for new documents."""
+    i = F.col("doc_id")
+    following = F.concat(F.lit("---\ntitle: new\n---\n\n<!-- note:start -->\n"), "text", F.lit("\n<!-- note:end -->\n\n## 내 메모\n"))
+    block = F.concat(F.lit("---\ntitle: old\n---\n\n mine \n<!-- note:start -->gone<!-- note:end -->\n"), F.when(i % 8 == 0, F.concat(F.lit("\n\nafter "), "lang", F.lit(" \n"))).otherwise(""))
+    return F.when(i % 4 == 0, block).when(i % 4 == 1, F.concat(F.lit("old "), "text")).when(i % 4 == 2, F.concat("text", F.lit(f"\n## {L.backup}\nolder"))), following
+
+
+def _old_sql() -> str:
+    """The old note as SQL."""
+    block = _sql("---\ntitle: old\n---\n\n mine \n<!-- note:start -->gone<!-- note:end -->\n")
+    after = "CASE WHEN doc_id % 8 = 0 THEN chr(10) || chr(10) || 'after ' || lang || ' ' || chr(10) ELSE '' END"
+    return f"CASE doc_id % 4 WHEN 0 THEN {block} || {after} WHEN 1 THEN 'old ' || text ELSE text || {_sql(chr(10) + '## ' + L.backup + chr(10) + 'older')} END"
+
+
 _NEXT = f"'---' || {NL} || 'title: new' || {NL} || '---' || {NL} || {NL} || '<!-- note:start -->' || {NL} || text || {NL} || '<!-- note:end -->' || {NL} || {NL} || '## 내 메모' || {NL}"
 
 
@@ -166,14 +181,32 @@ SELECT doc_id, md5(CASE doc_id % 4 WHEN 0 THEN '---' || {NL} || 'title: new' ||
 )
 def block_merge(spark: SparkSession, d: str) -> DataFrame:
     """Notes with a block, without one, with a backup already, and new ones."""
-    i = F.col("doc_id")
-    following = F.concat(F.lit("---\ntitle: new\n---\n\n<!-- note:start -->\n"), "text", F.lit("\n<!-- note:end -->\n\n## 내 메모\n"))
-    block = F.concat(F.lit("---\ntitle: old\n---\n\n mine \n<!-- note:start -->gone<!-- note:end -->\n"), F.when(i % 8 == 0, F.concat(F.lit("\n\nafter "), "lang", F.lit(" \n"))).otherwise(""))
-    current = F.when(i % 4 == 0, block).when(i % 4 == 1, F.concat(F.lit("old "), "text")).when(i % 4 == 2, F.concat("text", F.lit(f"\n## {L.backup}\nolder")))
-    rows = table(spark, d, "documents").select(i.cast("string").alias("note_path"), current.alias("current"), following.alias("next"))
+    current, following = _block_notes()
+    rows = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("note_path"), current.alias("current"), following.alias("next"))
     return merge.merged_notes(rows).select(F.col("note_path").cast("long").alias("doc_id"), _digest(F.col("merged")))
 
 
+_BLOCK_MERGED = f"""CASE doc_id % 4 WHEN 0 THEN '---' || {NL} || 'title: new' || {NL} || '---' || {NL} || {NL} || 'mine' || {NL} || {NL} || '<!-- note:start -->' || {NL} || text || {NL} || '<!-- note:end -->' || CASE WHEN doc_id % 8 = 0 THEN {NL} || {NL} || 'after ' || lang ELSE '' END || {NL}
+  WHEN 1 THEN {sql_end(_NEXT)} || {_sql(chr(10) + chr(10) + "## " + L.backup + chr(10) + chr(10) + "> [!note]" + chr(10) + "> " + L.backup_note + chr(10) + chr(10))} || {sql_trim("'old ' || text")} || {NL} ELSE {_NEXT} END"""
+
+
+@query(
+    f"""
+SELECT doc_id, doc_id % 4 <> 3 AS was_update, true AS came, md5({_BLOCK_MERGED}) AS digest FROM documents WHERE doc_id % 3 <> 2 OR doc_id % 4 = 3
+UNION ALL SELECT doc_id, false, false, md5({_old_sql()}) FROM documents WHERE doc_id % 3 = 2 AND doc_id % 4 <> 3
+"""
+)
+def note_reimport(spark: SparkSession, d: str) -> DataFrame:
+    """Notes of documents imported into a table, and most of them again as new versions: what is read back after both."""
+    current, following = _block_notes()
+    docs = table(spark, d, "documents").select("doc_id", current.alias("current"), following.alias("content"))
+    path = F.col("doc_id").cast("string").alias("path")
+    folder = files.work_folder(spark)
+    merge.reimported(spark, folder, docs.where("current IS NOT NULL").select(path, F.col("current").alias("content")))
+    _, rows = merge.reimported(spark, folder, docs.where("doc_id % 3 <> 2 OR current IS NULL").select(path, "content"))
+    return rows.select(F.col("path").cast("long").alias("doc_id"), "was_update", "came", _digest(F.col("content")))
+
+
 def _decks(spark: SparkSession, d: str) -> DataFrame:
     """(note, old and new text) of each document and the one with the next id."""
     docs = table(spark, d, "documents").select("doc_id", "text", "source", "lang")

@@ -6,9 +6,11 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, fields
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,19 +57,29 @@ def notes(spark: SparkSession, folder: str, subject: str) -> DataFrame:
     """SRC-6: (path, name, content) of the Markdown files directly in a subject's folder."""
     rows = spark.read.option("pathGlobFilter", "*.md").text(f"{folder}/{subject}", wholetext=True)
     path = F.col("_metadata.file_path")
-    return rows.select(path.alias("path"), F.regexp_replace(F.element_at(F.split(F.url_decode(path), "/"), -1), r"\.md$", "").alias("name"), F.col("value").alias("content"))
+    return rows.select(path.alias("path"), F.regexp_replace(F.element_at(F.split(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), "/"), -1), r"\.md$", "").alias("name"), F.col("value").alias("content"))
+
+
+def _statuses(spark: SparkSession, pattern: str) -> list[Any]:
+    """What a path with wildcards names in its store; nothing where it isn't there."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    return list(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or [])
 
 
 def concept_names(spark: SparkSession, folder: str, subject: str) -> DataFrame:
-    """SRC-7: (subject, name) of a subject's concept notes; only file names are read."""
-    return notes(spark, f"{folder}/{subject}", "Concepts").select(F.lit(subject).alias("subject"), "name")
+    """SRC-7: (subject, name) of a subject's concept notes (subject may be a wildcard); only file names are read, and a subject without a Concepts folder has none."""
+    schema = "subject string, name string"
+    there = [s.getPath().toString() for s in _statuses(spark, f"{folder}/{subject}/Concepts") if s.isDirectory()]
+    if not there:
+        return spark.createDataFrame([], schema)
+    rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").load(there).select(F.split("path", "/").alias("p"))
+    return rows.select(F.element_at("p", -3).alias("subject"), F.regexp_replace(F.element_at("p", -1), r"\.md$", "").alias("name"))
 
 
 def subjects(spark: SparkSession, folder: str) -> DataFrame:
-    """SRC-8: the subject folders that hold a note."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(folder).select("path")
-    parts = F.split(F.regexp_replace("path", "^.*" + os.path.basename(folder.rstrip("/")) + "/", ""), "/")
-    return rows.where(F.size(parts) > 1).select(F.get(parts, 0).alias("subject")).where(~F.col("subject").isin(*NOT_SUBJECTS)).distinct()
+    """SRC-8: the subject folders, with or without notes; one row for each folder directly below, so as few as a folder holds."""
+    names = [s.getPath().getName() for s in _statuses(spark, f"{folder}/*") if s.isDirectory()]
+    return spark.createDataFrame([(n,) for n in names if n not in NOT_SUBJECTS and not n.startswith(".")], "subject string")
 
 
 @dataclass(frozen=True)
@@ -107,6 +119,49 @@ def save_version(df: DataFrame, folder: str, version: str, partition: str | None
     return path
 
 
+def newest_version(spark: SparkSession, folder: str) -> tuple[int, str | None]:
+    """SNK-2: (number, path) of a table's newest version that was committed; 0 and None where there is none."""
+    numbers = [int(s.getPath().getName()) for s in _statuses(spark, f"{folder}/_newest/[0-9]*")]
+    if not numbers:
+        return 0, None
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    pointer = jvm.org.apache.hadoop.fs.Path(f"{folder}/_newest/{max(numbers):012d}")
+    stream = pointer.getFileSystem(conf).open(pointer)
+    try:
+        return max(numbers), f"{folder}/version={stream.readUTF()}"
+    finally:
+        stream.close()
+
+
+def commit_version(spark: SparkSession, folder: str, number: int, version: str) -> bool:
+    """SNK-2: make a version the newest one, if no other has the number yet: its pointer is a file that is created only where it is absent."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    pointer = jvm.org.apache.hadoop.fs.Path(f"{folder}/_newest/{number:012d}")
+    store = pointer.getFileSystem(conf)
+    try:
+        stream = store.create(pointer, False)
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" in e.java_exception.getClass().getName():
+            return False
+        raise
+    stream.writeUTF(version)
+    stream.close()
+    return True
+
+
+def updated_table(spark: SparkSession, folder: str, update: Callable[[DataFrame | None], DataFrame], attempts: int = 20) -> tuple[int, DataFrame]:
+    """SNK-2: (number, rows) of the table after update(its newest rows, or None) was written and committed. A writer that comes second to another reads again what that one wrote, so no update is lost."""
+    for _ in range(attempts):
+        number, path = newest_version(spark, folder)
+        version = uuid.uuid4().hex
+        written = save_version(update(spark.read.parquet(path) if path else None), folder, version)
+        if commit_version(spark, folder, number + 1, version):
+            return number + 1, spark.read.parquet(written)
+        out = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(written)
+        out.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(out, True)
+    raise RuntimeError(f"{folder} was changed by others {attempts} times")
+
+
 def save_files(df: DataFrame, folder: str) -> None:
     """SNK-1, SNK-4: files (path below folder; content, text or bytes) written by the executors to a folder that all share, in any store that Arrow knows (a path or an
     address); folders are made as needed. Files appear whole: they are written under a name of their own and moved, and a retried task writes the same ones again."""

@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,34 @@ from notemill.sources.files import kept as files_kept
 L = notes.LABELS
 
 
+def sections_of(content, labels=L):
+    """One note, mark by mark: starts are paired with the first later free end of equal slide, hash and dup; what has no pair is dropped."""
+    content = content or ""
+    front = m.group() if (m := re.match(notes.FRONTMATTER, content)) else ""
+    body = content[len(front) :]
+    marks = [(m, m.group(1, 2, 3)) for m in re.finditer(labels.marker, body, re.ASCII)]
+    free_ends = {}
+    for k, (m, identity) in enumerate(marks):
+        if m.group(4) == "end":
+            free_ends.setdefault(identity, []).append(k)
+    found = []
+    for k, (m, identity) in enumerate(marks):
+        if m.group(4) == "start":
+            ends = free_ends.get(identity, [])
+            at = next((e for e in ends if e > k), None)
+            if at is not None:
+                ends.remove(at)
+                found.append((m, marks[at][0]))
+    cut = lambda text: text[: h.start() + len(h.group(1))] if (h := re.search(labels.heading, text)) else text
+    if not found:
+        return {"frontmatter": front, "preamble": body, "sections": []}
+    sections = []
+    for k, (s, e) in enumerate(found):
+        stop = found[k + 1][0].start() if k + 1 < len(found) else len(body)
+        sections.append({"ord": k, "slide_num": int(s.group(1)), "hash": s.group(2), "dup": int(s.group(3)) if s.group(3) else None, "managed": body[s.end() : e.start()], "after": cut(body[e.end() : stop] if stop >= e.end() else "")})
+    return {"frontmatter": front, "preamble": cut(body[: found[0][0].start()]), "sections": sections}
+
+
 def block(n, digest, text, memo="", dup=""):
     m = f"<!-- {L.tag}:slide:{n} hash:{digest}{dup} "
     return f"## {L.slide} {n}\n\n{m}start -->\n{text}\n{m}end -->\n{memo}"
@@ -23,11 +52,11 @@ A, B, C, D = ("a" * 8, "b" * 8, "c" * 8, "d" * 8)
 
 def test_sections():
     text = note(block(1, A, "one", "mine\n"), block(2, B, "two"), "<!-- note:slide:9 hash:cccccccc start -->", block(3, C, "x", dup=" dup:2"))
-    got = notes.sections_of(text)
+    got = sections_of(text)
     assert [(s["slide_num"], s["hash"], s["dup"], s["managed"].strip()) for s in got["sections"]] == [(1, A, None, "one"), (2, B, None, "two"), (3, C, 2, "x")]
     assert got["preamble"] == "# T\n\n" and got["sections"][0]["after"].strip() == "mine"
-    assert notes.sections_of(None) == {"frontmatter": "", "preamble": "", "sections": []}
-    assert notes.sections_of("plain")["preamble"] == "plain"
+    assert sections_of(None) == {"frontmatter": "", "preamble": "", "sections": []}
+    assert sections_of("plain")["preamble"] == "plain"
 
 
 def merged(spark, current, following, **how):
@@ -40,7 +69,7 @@ def test_merge_keeps_own_text(spark):
     new = note(block(1, B, "two!"), block(2, D, "new"), head="# New\n\n")
     got = merged(spark, old, new)
     assert got.startswith("---\nt: 1\n---\n\n# New\n\n")
-    sections = notes.sections_of(got)["sections"]
+    sections = sections_of(got)["sections"]
     assert [(s["hash"], s["after"].strip().split("\n")[0]) for s in sections] == [(B, "memo of b"), (D, f"> [!note] {L.memo}")]
     assert "memo of a" in got and "memo of c" in got and L.orphans in got
     assert merged(spark, old, old).count("memo of a") == 1
@@ -331,7 +360,10 @@ def test_sections_in_the_jvm_are_those_of_the_scan(spark):
     df = spark.createDataFrame(enumerate(texts), "i int, content string")
     got = {r.i: r.asDict(recursive=True) for r in notes.with_sections(df).collect()}
     for i, t in enumerate(texts):
-        want = notes.sections_of(t)
+        want = sections_of(t)
         assert {k: got[i][k] for k in ("frontmatter", "preamble", "sections")} == want, t
+    assert "Python" not in notes.with_sections(df)._jdf.queryExecution().executedPlan().toString()
+    pairs = df.select("i", notes.paired_sections(F.coalesce("content", F.lit(""))).alias("s")).collect()
+    assert all(r.s.asDict(recursive=True) == sections_of(texts[r.i]) for r in pairs)
     odd = df.select(F.count_if(notes.orderly_sections(F.coalesce("content", F.lit(""))).isNull())).first()[0]
     assert 20 < odd < 100

@@ -173,8 +173,13 @@ def test_folders(spark, tmp_path):
         os.makedirs(base / os.path.dirname(p), exist_ok=True)
         (base / p).write_text("%PDF-1" if p.endswith("pdf") else p)
     assert [r.name for r in files.notes(spark, str(base), "CS").collect()] == ["a"]
-    assert [r.name for r in files.concept_names(spark, str(base), "CS").collect()] == ["Graph Theory"]
-    assert sorted(r.subject for r in files.subjects(spark, str(base)).collect()) == ["CS", "Math"]
+    (base / "CS/Concepts/C++ 100%.md").write_text("c")
+    (base / "CS/C++.md").write_text("c")
+    (base / "Empty").mkdir()
+    assert sorted(r.name for r in files.notes(spark, str(base), "CS").collect()) == ["C++", "a"]
+    assert sorted(r.name for r in files.concept_names(spark, str(base), "CS").collect()) == ["C++ 100%", "Graph Theory"]
+    assert files.concept_names(spark, str(base), "Math").collect() == files.concept_names(spark, str(base), "Nobody").collect() == []  # a subject without concepts
+    assert sorted(r.subject for r in files.subjects(spark, str(base)).collect()) == ["CS", "Empty", "Math"]
     assert [r.is_pdf for r in files.decks(spark, str(base)).collect()] == [True]
 
 
@@ -191,3 +196,87 @@ def test_sinks_and_state(spark, tmp_path):
     assert files.Settings.merged({"language": "en", "odd": 1, "provider": None}) == files.Settings(language="en")
     pages = spark.createDataFrame([("https://ok/1", "h"), ("https://no/1", "h")], "url string, html string")
     assert [r.html for r in files.fetched_pages(pages, ("ok",)).collect()] == ["h", None]
+
+
+def test_versions_lose_no_update(spark, tmp_path):
+    folder = f"file://{tmp_path}/t"
+    assert files.newest_version(spark, folder) == (0, None)
+    started = []
+
+    def add(name, meanwhile=None):
+        def update(current):
+            started.append(name)
+            if meanwhile is not None and started.count(name) == 1:
+                add(meanwhile)  # another writer is faster
+            rows = [] if current is None else [r.n for r in current.collect()]
+            return spark.createDataFrame([(n,) for n in [*rows, name]], "n string")
+
+        return files.updated_table(spark, folder, update)
+
+    assert add("a")[0] == 1
+    number, rows = add("b", meanwhile="c")
+    assert number == 3 and sorted(r.n for r in rows.collect()) == ["a", "b", "c"] and started.count("b") == 2
+    assert len(list((tmp_path / "t").glob("version=*"))) == 3  # what lost is gone
+    assert not files.commit_version(spark, folder, 3, "x") and files.newest_version(spark, folder)[0] == 3
+
+    def too_late(current):
+        number, path = files.newest_version(spark, folder)
+        assert files.commit_version(spark, folder, number + 1, path.split("version=")[1])
+        return rows
+
+    with pytest.raises(RuntimeError, match="changed by others"):
+        files.updated_table(spark, folder, too_late, attempts=2)
+
+
+def test_reimport(spark, tmp_path):
+    from notemill.operators import merge
+
+    folder = f"file://{tmp_path}/notes"
+    block = lambda text, before="", after="": f"---\nt: 1\n---\n\n{before}<!-- note:start -->\n{text}\n<!-- note:end -->\n{after}"
+    rows = lambda *r: spark.createDataFrame(r, "path string, content string")
+    number, first = merge.reimported(spark, folder, rows(("a", block("one", after="\nmine\n")), ("b", block("b"))))
+    assert number == 1 and not any(r.was_update for r in first.collect())
+    number, second = merge.reimported(spark, folder, rows(("a", block("two")), ("c", block("c"))))
+    got = {r.path: r for r in second.collect()}
+    assert number == 2 and {p: (r.came, r.was_update) for p, r in got.items()} == {"a": (True, True), "b": (False, False), "c": (True, False)}
+    assert "two" in got["a"].content and "one" not in got["a"].content and "mine" in got["a"].content and got["b"].content == block("b")
+
+
+@pytest.fixture
+def server():
+    import http.server
+    import threading
+
+    class Pages(http.server.BaseHTTPRequestHandler):
+        asked = []
+
+        def do_GET(self):
+            self.asked.append((self.path, self.headers["User-Agent"]))
+            body, kind = {"/page": ("<title>Ü</title>".encode(), "text/html; charset=utf-8"), "/latin": ("<title>ü</title>".encode("latin-1"), "text/html; charset=ISO-8859-1"), "/deck.pdf": (b"%PDF-1.7 x", "application/pdf"), "/fake.pdf": (b"PK", "application/pdf")}.get(self.path, (b"no", None))
+            self.send_response(200 if kind else 404)
+            self.send_header("Content-Type", kind or "text/plain")
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *a):
+            pass
+
+    made = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Pages)
+    threading.Thread(target=made.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{made.server_port}", Pages.asked
+    made.shutdown()
+
+
+def test_fetch(spark, server):
+    from notemill.sources import web
+
+    base, asked = server
+    rows = [(1, f"{base}/page"), (2, f"{base}/latin"), (3, f"{base}/missing"), (4, "http://localhost:1/x"), (5, "http://example.invalid/"), (6, None), (7, "nonsense"), (8, f"{base}/page?too=long" + "x" * 10)]
+    df = spark.createDataFrame(rows, "id int, url string").repartition(3)
+    got = {r.id: (r.html, r.status, r.error) for r in web.fetched_html(df, ("127.0.0.1", "localhost"), agent="tester", timeout_s=5.0).collect()}
+    assert got == {1: ("<title>Ü</title>", 200, None), 2: ("<title>ü</title>", 200, None), 3: (None, 404, web.NOT_FETCHED), 4: (None, None, web.NOT_FETCHED), 5: (None, None, web.NOT_ALLOWED), 6: (None, None, web.NOT_ALLOWED), 7: (None, None, web.NOT_ALLOWED), 8: (None, 404, web.NOT_FETCHED)}
+    assert sorted(asked) == sorted((u.removeprefix(base), "tester") for i, u in rows if i in (1, 2, 3, 8))  # no other was asked for
+    decks = spark.createDataFrame([(1, f"{base}/deck.pdf"), (2, f"{base}/fake.pdf"), (3, f"{base}/none.pdf"), (4, None)], "id int, pdf_url string")
+    assert {r.id: (r.content and bytes(r.content), r.is_pdf) for r in web.fetched_decks(decks).collect()} == {1: (b"%PDF-1.7 x", True), 2: (b"PK", False), 3: (None, None), 4: (None, None)}
+    small = web.fetched(decks.where("id = 1"), None, "pdf_url", most_bytes=3).first()
+    assert small.content is None and small.error == web.NOT_FETCHED
