@@ -6,6 +6,9 @@ relations; conversations to transcripts; events to calls and view events; orders
 
 from __future__ import annotations
 
+import sys
+
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +18,8 @@ from notemill.plans.registry import ORACLE_SQL, QUERIES, query, sql_at_sentence,
 from notemill.sources.files import kept, table
 from notemill.streaming import events as view
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers needn't have this package
+
 HOSTS = ("www.thering.example.org", "m.therat.example.com", "blog.therat.example.com", "thther.example.org")
 GAP_MS = 600_000
 DELAY_US = 60_000_000
@@ -437,6 +442,44 @@ def link_inject(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", notes.linked(F.col("text"), F.array(word)).alias("text")).withColumn("links", F.size(notes.links(F.col("text"))))
 
 
+class Moody(calls.OfflineProvider):
+    """Refuses, fails or answers as the prompt's length says."""
+
+    def generate_text(self, prompt: str, system: str = "") -> str:
+        if len(prompt) % 5 == 1:
+            raise calls.RateLimited("429")
+        if len(prompt) % 5 == 2:
+            raise calls.CallFailed("404")
+        return super().generate_text(prompt, system)
+
+
+@query(
+    """
+WITH l AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
+o AS (SELECT *, CASE length(line) % 5 WHEN 1 THEN 'rate_limit' WHEN 2 THEN 'fatal' ELSE 'success' END AS outcome FROM l),
+r AS (SELECT *, sum(CAST(outcome = 'success' AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM o),
+n AS (SELECT *, sum(CAST(outcome = 'rate_limit' AS INTEGER)) OVER (PARTITION BY doc_id, run ORDER BY i) AS hits FROM r),
+s AS (SELECT *, min(CASE WHEN hits >= 3 THEN i END) OVER (PARTITION BY doc_id) AS stop FROM n)
+SELECT doc_id AS deck_id, count(*) AS n_rows, count(*) FILTER (outcome = 'success') AS n_slides, sum(CASE WHEN outcome = 'rate_limit' THEN 2 ELSE 1 END)::BIGINT AS n_calls, max(stop)::INTEGER AS stopped_at FROM s WHERE stop IS NULL OR i <= stop GROUP BY doc_id
+"""
+)
+def stopped_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Runs over documents' lines with a provider that refuses some: how many calls were really made, and where a deck was stopped."""
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("deck_id"), F.posexplode(F.split("text", "\n")).alias("at", "prompt")).select("deck_id", (F.col("at") + 1).alias("slide_num"), "prompt")
+    said = calls.generated(rows, Moody(), ["deck_id", "slide_num"], in_order=("deck_id", "slide_num"), sleep=_no_wait, stamps=True)
+    kind = F.when(F.col("error").isNull(), "success").otherwise(T.error_kind(F.col("error")))
+    last = F.max_by(kind, "slide_num")
+    each = said.groupBy("deck_id").agg(F.count(F.lit(1)).alias("n_rows"), F.count("answer").alias("n_slides"), F.sum(F.size("calls")).alias("n_calls"), F.max("slide_num").alias("last"), last.alias("kind"))
+    whole = rows.groupBy("deck_id").agg(F.max("slide_num").alias("all"))
+    refused = F.transform(F.sort_array(F.collect_list(F.struct("slide_num", kind.alias("k")))), lambda x: x["k"])
+    runs = said.groupBy("deck_id").agg(F.aggregate(refused, F.lit(0), lambda n, k: F.when(k == "success", 0).otherwise(n + (k == "rate_limit").cast("int"))).alias("hits"))
+    return each.join(whole, "deck_id").join(runs, "deck_id").select("deck_id", "n_rows", "n_slides", "n_calls", F.when(F.col("hits") >= calls.BREAK_AFTER, F.col("last")).alias("stopped_at"))
+
+
+def _no_wait(seconds: float) -> None:
+    """The waits of a run that nobody has to wait for."""
+
+
 _BOOK = r"(SELECT name, min(ord) AS ord FROM (SELECT unnest(w) AS name, item_id * 1000 + generate_subscripts(w, 1) AS ord FROM (SELECT item_id, regexp_split_to_array(lower(text), '[^a-z]+') AS w FROM benchmark)) WHERE length(name) >= 7 GROUP BY name)"
 
 
@@ -515,6 +558,35 @@ def debounce_suppress(spark: SparkSession, d: str) -> DataFrame:
     return view.suppressed(view.debounced(page, ["user_id"], "ts", "event_id", GAP_MS), ["user_id"], "ts", "page", "event_id", 3 * GAP_MS)
 
 
+_SIDES = "CASE WHEN event_type IN ('click', 'view') THEN 'l' ELSE 'r' END"
+_FIRE = f"""CASE WHEN least(coalesce(a.ldue, {1 << 62}), coalesce(a.rdue, {1 << 62})) > e.us OR (a.ldue IS NULL AND a.rdue IS NULL) THEN a
+  WHEN coalesce(a.ldue, {1 << 62}) <= coalesce(a.rdue, {1 << 62}) THEN {{'cur': a.lpage, 'quiet': CASE WHEN a.lpage IS DISTINCT FROM a.cur THEN a.ldue + {3 * GAP_MS * 1000} ELSE a.quiet END, 'ldue': NULL, 'lpage': NULL, 'lid': NULL, 'rdue': a.rdue, 'rpage': a.rpage, 'rid': a.rid,
+    'out': CASE WHEN a.lpage IS DISTINCT FROM a.cur THEN list_append(a.out, {{'id': a.lid, 'due': a.ldue}}) ELSE a.out END}}
+  ELSE {{'cur': a.rpage, 'quiet': CASE WHEN a.rpage IS DISTINCT FROM a.cur THEN a.rdue + {3 * GAP_MS * 1000} ELSE a.quiet END, 'ldue': a.ldue, 'lpage': a.lpage, 'lid': a.lid, 'rdue': NULL, 'rpage': NULL, 'rid': NULL,
+    'out': CASE WHEN a.rpage IS DISTINCT FROM a.cur THEN list_append(a.out, {{'id': a.rid, 'due': a.rdue}}) ELSE a.out END}} END"""
+_TAKE = f"""CASE WHEN e.us < a.quiet OR e.page IS NULL OR e.page = 0 OR e.page IS NOT DISTINCT FROM a.cur THEN a
+  WHEN e.side = 'l' THEN {{'cur': a.cur, 'quiet': a.quiet, 'ldue': e.us + {GAP_MS * 1000}, 'lpage': e.page, 'lid': e.id, 'rdue': a.rdue, 'rpage': a.rpage, 'rid': a.rid, 'out': a.out}}
+  ELSE {{'cur': a.cur, 'quiet': a.quiet, 'ldue': a.ldue, 'lpage': a.lpage, 'lid': a.lid, 'rdue': e.us + {GAP_MS * 1000}, 'rpage': e.page, 'rid': e.id, 'out': a.out}} END"""
+
+
+@query(
+    f"""
+WITH e AS (SELECT user_id, epoch_us(ts) AS us, event_id AS id, {_SIDES} AS side, CAST(trunc(value) AS INTEGER) % 7 AS page FROM events),
+steps AS (SELECT *, 0 AS step FROM e UNION ALL SELECT *, 1 FROM e UNION ALL SELECT *, 2 FROM e
+  UNION ALL SELECT DISTINCT user_id, {1 << 61}::BIGINT, NULL, NULL, NULL, 0 FROM e UNION ALL SELECT DISTINCT user_id, {1 << 61}::BIGINT, NULL, NULL, NULL, 1 FROM e)
+SELECT user_id, x.id AS event_id, x.due AS fired_at FROM (SELECT user_id, unnest(f.out) AS x FROM (
+  SELECT user_id, list_reduce(list({{'us': us, 'id': id, 'side': side, 'page': page, 'step': step}} ORDER BY us, id, step), lambda a, e: CASE WHEN e.step < 2 THEN {_FIRE} ELSE {_TAKE} END,
+    {{'cur': CAST(NULL AS INTEGER), 'quiet': CAST(-4611686018427387904 AS BIGINT), 'ldue': CAST(NULL AS BIGINT), 'lpage': CAST(NULL AS INTEGER), 'lid': CAST(NULL AS BIGINT), 'rdue': CAST(NULL AS BIGINT), 'rpage': CAST(NULL AS INTEGER), 'rid': CAST(NULL AS BIGINT),
+      'out': []::STRUCT(id BIGINT, due BIGINT)[]}}) AS f FROM steps GROUP BY user_id))
+"""
+)
+def view_sync(spark: SparkSession, d: str) -> DataFrame:
+    """Events as those of a viewer with two sides: what becomes current, each side waiting for itself."""
+    side = F.when(F.col("event_type").isin("click", "view"), "l").otherwise("r")
+    rows = table(spark, d, "events").select("user_id", "event_id", "ts", side.alias("side"), (F.col("value").cast("int") % 7).alias("page"))
+    return view.synced(rows, ["user_id"], "side", "ts", "page", "event_id", GAP_MS, 3 * GAP_MS).select("user_id", "event_id", "fired_at")
+
+
 @query(
     "SELECT source, count(*) AS n_lectures, md5(string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY doc_id)) AS digest, CAST(ceil(sum(length(text)) / 4.0) AS BIGINT) AS tokens FROM documents GROUP BY source"
 )

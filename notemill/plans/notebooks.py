@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from notemill.operators.notes import LABELS as L
 from notemill.plans.registry import query, sql_end, sql_linked, sql_ordered_distinct, sql_sanitized, sql_trim
 from notemill.sources import files
 from notemill.sources.files import note_path, table
-from notemill.streaming.events import page_of_heading
+from notemill.streaming.events import changed_files, page_of_heading
 
 NL = "chr(10)"
 _WORD = r"regexp_extract(text, '^([^ \n]*)', 1)"
@@ -411,3 +413,21 @@ def saved_state(spark: SparkSession, d: str) -> DataFrame:
     schema = "p_partkey long, p_name string, p_size long"
     files.save_state(table(spark, d, "part").select("p_partkey", "p_name", F.when(F.col("p_size") % 2 == 0, F.col("p_size")).alias("p_size")), path)
     return files.load_state(spark, path, schema).unionByName(files.load_state(spark, f"{path}-none", schema))
+
+
+@query("SELECT source || '/' || doc_id || '.md' AS name, md5(text) AS digest FROM documents UNION ALL SELECT source || '/' || doc_id || '.md', md5(text || ' changed') FROM documents WHERE doc_id % 3 = 0")
+def changed_notes(spark: SparkSession, d: str) -> DataFrame:
+    """Note files that a stream has seen: all, and after a third was changed and the stream began again from its checkpoint, those once more."""
+    folder = files.work_folder(spark)
+    docs = table(spark, d, "documents").select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.col("text").alias("content"), "doc_id")
+
+    def seen() -> None:
+        time.sleep(0.3)  # what was just written hasn't settled
+        stream = changed_files(spark, f"{folder}/notes").writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/seen")
+        stream.trigger(availableNow=True).start().awaitTermination()
+
+    files.save_files(docs, f"{folder}/notes")
+    seen()
+    files.save_files(docs.where("doc_id % 3 = 0").withColumn("content", F.concat("content", F.lit(" changed"))), f"{folder}/notes")
+    seen()
+    return spark.read.parquet(f"{folder}/seen").select("name", _digest(F.col("content")))
