@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from notemill.functions.text import concept_key, sanitized, trimmed
 from notemill.operators.notes import LABELS, Labels
+from notemill.operators.ranks import numbered
 
 
 def canonical_names(existing: DataFrame) -> DataFrame:
@@ -17,49 +18,68 @@ def canonical_names(existing: DataFrame) -> DataFrame:
     return existing.groupBy("subject", concept_key(F.col("name")).alias("key")).agg(F.max_by("name", "ord").alias("canonical"))
 
 
-def merged_concepts(concepts: DataFrame, existing: DataFrame) -> DataFrame:
-    """AGG-1: concepts (subject, ord, name, definition, related_concepts, example, caution, lecture_context) merged under canonical names.
-
-    Relations are put together in order; each text is the first that isn't empty; ord is that of the first concept. New names that differ only in case stay apart.
-    """
+def named_concepts(concepts: DataFrame, existing: DataFrame) -> DataFrame:
+    """JOIN-6: concepts with names trimmed and made those of existing concepts of their key; nameless ones are left out."""
     named = concepts.withColumn("name", trimmed(F.col("name"))).where(F.col("name") != "").withColumn("__key", concept_key(F.col("name")))
     names = canonical_names(existing).select(F.col("subject").alias("__s"), F.col("key").alias("__k"), "canonical")
     named = named.join(names, (F.col("subject") == F.col("__s")) & (F.col("__key") == F.col("__k")), "left").withColumn("name", F.coalesce("canonical", "name"))
+    return named.drop("__s", "__k", "__key", "canonical")
+
+
+def merged_concepts(concepts: DataFrame, existing: DataFrame, relations: bool = True) -> DataFrame:
+    """AGG-1: concepts (subject, ord, name, definition, related_concepts, example, caution, lecture_context) merged under canonical names.
+
+    Relations are put together in order; each text is the first that isn't empty; ord is that of the first concept. New names that differ only in case stay apart. Without relations no row gathers a name's; relation_rows() has
+    them one by one.
+    """
     early = lambda c: F.expr(f"min_by({c}, ord) FILTER (WHERE {c} <> '')")
-    return named.groupBy("subject", "name").agg(
+    related = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("ord", "related_concepts"))), lambda x: x["related_concepts"])).alias("related_concepts")
+    return named_concepts(concepts, existing).groupBy("subject", "name").agg(
         F.min("ord").alias("ord"),
         F.coalesce(early("definition"), F.min_by("definition", "ord")).alias("definition"),
-        F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("ord", "related_concepts"))), lambda x: x["related_concepts"])).alias("related_concepts"),
+        *([related] if relations else []),
         *[early(c).alias(c) for c in ("example", "caution", "lecture_context")],
     )
 
 
 def allowed_names(concepts: DataFrame, existing: DataFrame) -> DataFrame:
     """(subject, form): the three forms of every name that a relation may have."""
-    names = concepts.select("subject", "name").unionByName(existing.select("subject", "name"))
+    names = concepts.select("subject", "name").unionByName(existing.select("subject", "name")).distinct()
     name = F.col("name")
     return names.select("subject", F.explode(F.array_distinct(F.array(F.lower(name), F.lower(sanitized(name)), concept_key(name)))).alias("form")).distinct()
 
 
-def filtered_relations(concepts: DataFrame, existing: DataFrame) -> DataFrame:
-    """JOIN-7, AGG-2: (subject, name, ord, pos, related): relations made distinct, then canonical, kept if they name a known concept that isn't the concept itself.
+def relation_rows(concepts: DataFrame, existing: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """AGG-1, AGG-2: (subject, name, key, raw, pos): the different relations of each merged name (and its key) as they were written, numbered in the order in which they first came."""
+    named = named_concepts(concepts, existing).withColumn("key", concept_key(F.col("name")))
+    each = named.select("subject", "name", "key", "ord", F.posexplode("related_concepts").alias("at", "raw"))
+    first = each.groupBy("subject", "name", "raw").agg(F.min(F.struct("ord", "at")).alias("first"), F.first("key").alias("key"))
+    return numbered(first, ["subject", "name"], ["first"], keep).select("subject", "name", "key", "raw", F.col("pos").cast("int").alias("pos"))
+
+
+def filtered_relations(concepts: DataFrame, existing: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """JOIN-7, AGG-2: (subject, name, pos, related): relations made distinct, then canonical, kept if they name a known concept that isn't the concept itself.
 
-    Distinct comes first, so two spellings of one concept both stay. One equi-join for the names and one for the forms; a relation's forms are exploded, not tested against an array.
+    Distinct comes first, so two spellings of one concept both stay. What becomes of a spelling is found once for each different one, not for each relation that has it: its canonical name, and whether one of its three forms
+    is allowed. concepts needn't be merged. keep writes a table and reads it back.
     """
-    each = concepts.select("subject", "name", "ord", F.posexplode(F.array_distinct("related_concepts")).alias("pos", "raw"))
-    each = each.withColumn("__key", concept_key(F.col("raw")))
+    rows = relation_rows(concepts, existing, keep)
+    spelled = rows.select("subject", "raw").distinct().withColumn("__key", concept_key(F.col("raw")))
     names = canonical_names(existing).select(F.col("subject").alias("__s"), F.col("key").alias("__k"), "canonical")
-    each = each.join(names, (F.col("subject") == F.col("__s")) & (F.col("__key") == F.col("__k")), "left").withColumn("related", F.coalesce("canonical", "raw")).select("subject", "name", "ord", "pos", "related")
+    related = F.coalesce("canonical", "raw")
+    spelled = spelled.join(names, (F.col("subject") == F.col("__s")) & (F.col("__key") == F.col("__k")), "left").select("subject", "raw", related.alias("related"))
     related = F.col("related")
-    each = each.where(concept_key(related) != concept_key(F.col("name")))
-    forms = each.withColumn("form", F.explode(F.array_distinct(F.array(F.lower(related), F.lower(sanitized(related)), concept_key(related)))))
-    return forms.join(allowed_names(concepts, existing), ["subject", "form"], "left_semi").drop("form").distinct()
+    forms = spelled.withColumn("form", F.explode(F.array_distinct(F.array(concept_key(related), F.lower(related), F.lower(sanitized(related))))))
+    known = forms.join(allowed_names(named_concepts(concepts, existing), existing), ["subject", "form"], "left_semi").groupBy("subject", "raw").agg(F.first("related").alias("related"))
+    known = known.select(F.col("subject").alias("__s"), F.col("raw").alias("__r"), "related", concept_key(F.col("related")).alias("__key"))
+    both = rows.join(known, (F.col("subject") == F.col("__s")) & (F.col("raw") == F.col("__r")))
+    return both.where(F.col("__key") != F.col("key")).select("subject", "name", "pos", "related")
 
 
-def normalized_concepts(concepts: DataFrame, existing: DataFrame) -> DataFrame:
+def normalized_concepts(concepts: DataFrame, existing: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The merged concepts with their filtered relations, in order."""
-    merged = merged_concepts(concepts, existing)
-    related = filtered_relations(merged, existing).groupBy("subject", "name").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "related"))), lambda x: x["related"]).alias("__r"))
+    merged = merged_concepts(concepts, existing, relations=False)
+    related = filtered_relations(concepts, existing, keep).groupBy("subject", "name").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "related"))), lambda x: x["related"]).alias("__r"))
     return merged.join(related, ["subject", "name"], "left").withColumn("related_concepts", F.coalesce("__r", F.array().cast("array<string>"))).drop("__r")
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from notemill.functions.text import trimmed
-from notemill.operators.notes import LABELS, Labels, has_sections, headings, links, marker, split_managed, with_sections
+from notemill.operators.notes import LABELS, Labels, has_sections, headings, let, links, marker, split_managed, with_sections
 from notemill.sources.files import updated_table
 
 DIFF_MOST, REPLACED_SHARE = 8, 0.5
@@ -73,30 +75,67 @@ def merged_single(current: Column, following: Column, labels: Labels = LABELS) -
     return F.when(old["managed"] != "", F.concat(end(F.array_join(parts, "\n\n")), F.lit("\n"))).when(current.rlike(rf"(^|\n)## {labels.backup}\s*\n"), following).otherwise(backup)
 
 
+def _ranked_pairs(old: Column, new: Column, by: str) -> Column:
+    """Array of (new, old) ords: the k-th section of new with a value of by takes the k-th of old that has it. One fold over the sections in order of the value, and two sorts."""
+    value = {"hash": "string", "slide_num": "int"}[by]
+    tagged = lambda a, is_new: F.transform(a, lambda x: F.struct(x[by].alias("v"), F.lit(is_new).alias("is_new"), x["ord"].alias("ord")))
+    kind = f"array<struct<v:{value},k:int,is_new:boolean,ord:int>>"
+    start = F.struct(F.lit(None).cast(value).alias("v"), F.lit(False).alias("is_new"), F.lit(0).alias("k"), F.array().cast(kind).alias("out"))
+
+    def add(acc: Column, x: Column) -> Column:
+        again = acc["v"].eqNullSafe(x["v"]) & (acc["is_new"] == x["is_new"]) & (F.size(acc["out"]) > 0)
+        k = F.when(again, acc["k"] + 1).otherwise(0)
+        return F.struct(x["v"], x["is_new"], k.alias("k"), F.concat(acc["out"], F.array(F.struct(x["v"], k.alias("k"), x["is_new"], x["ord"]))).alias("out"))
+
+    def pairs(all_: Column) -> Column:
+        after = lambda i: F.get(all_, i + 1)
+        taken = lambda x, i: F.when(~x["is_new"] & after(i)["is_new"] & x["v"].eqNullSafe(after(i)["v"]) & (x["k"] == after(i)["k"]), after(i)["ord"])
+        return F.filter(F.transform(all_, lambda x, i: F.struct(taken(x, i).alias("new"), x["ord"].alias("old"))), lambda p: p["new"].isNotNull())
+
+    return let(F.sort_array(F.aggregate(F.sort_array(F.concat(tagged(old, False), tagged(new, True))), start, add)["out"]), pairs)
+
+
+def _matched(old: Column, new: Column, then: Callable[[Column, Column], Column]) -> Column:
+    """then(for each section of new its old ord or null, ords of the old that nothing took): JOIN-1 to JOIN-4 within a row; first by hash, then what is left by slide."""
+    ords = lambda a: F.transform(a, lambda x: x["ord"])
+    left = lambda a, taken: F.filter(a, lambda x: ~F.array_contains(taken, x["ord"]))
+    side = lambda pairs, name: F.transform(pairs, lambda p: p[name])
+
+    def by_slide(first: Column) -> Column:
+        return let(left(old, side(first, "old")), lambda o: let(left(new, side(first, "new")), lambda n: let(_ranked_pairs(o, n, "slide_num"), lambda second: ended(F.concat(first, second)))))
+
+    def ended(pairs: Column) -> Column:
+        alone = F.transform(F.array_except(ords(new), side(pairs, "new")), lambda k: F.struct(k.alias("new"), F.lit(None).cast("int").alias("old")))
+        return let(side(F.sort_array(F.concat(pairs, alone)), "old"), lambda taken: then(taken, F.array_except(ords(old), side(pairs, "old"))))
+
+    return let(_ranked_pairs(old, new, "hash"), by_slide)
+
+
 def merged_sections(notes: DataFrame, labels: Labels = LABELS, keep_legacy: bool = True) -> DataFrame:
     """MRG-3, MRG-4: (note_path, merged) of notes (note_path, current, next) with sections: the next note with the matched sections' own text after them, and what no
-    section took at the end. With keep_legacy an old note without sections is kept as a backup at the end; without it, it is replaced.
+    section took at the end. With keep_legacy an old note without sections is kept as a backup at the end; without it, it is replaced. Both notes are in a row, and so is all that is made of them: nothing moves.
     """
-    old = with_sections(notes.select("note_path", "current"), "current", labels)
-    new = with_sections(notes.select("note_path", "next"), "next", labels)
-    each = lambda df: df.select(F.col("note_path").alias("note"), F.explode("sections").alias("s")).select("note", "s.*")
-    olds, news = each(old), each(new)
-    matches = matched_sections(olds, news)
-    texts = matches.join(olds.select("note", F.col("ord").alias("old_ord"), "after", F.col("dup").alias("old_dup")), ["note", "old_ord"], "left")
-    texts = texts.join(news.select("note", F.col("ord").alias("new_ord"), "managed", F.col("dup").alias("new_dup")), ["note", "new_ord"], "left")
-    number = F.col("new_slide")
-    after = F.when(trimmed(F.coalesce("after", F.lit(""))) != "", F.col("after")).otherwise(F.lit(f"\n\n> [!note] {labels.memo}\n> \n\n"))
-    section = F.concat_ws("\n", F.concat(F.lit(f"## {labels.slide} "), number.cast("string")), F.lit(""), marker(number, F.col("new_hash"), F.col("new_dup"), "start", labels), trimmed(F.col("managed")), marker(number, F.col("new_hash"), F.col("new_dup"), "end", labels), F.regexp_replace(after, r"^\n", ""))
-    dup = F.when(F.col("old_dup").isNotNull(), F.concat(F.lit(" dup:"), F.col("old_dup").cast("string"))).otherwise("")
-    orphan = F.concat(F.lit(f"<!-- {labels.tag}:orphan slide:"), F.col("old_slide").cast("string"), F.lit(" hash:"), F.col("old_hash"), dup, F.lit(" -->\n"), trimmed(F.col("after")))
-    in_order = lambda cond, by, text: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(cond, F.struct(F.col(by), text.alias("t"))))), lambda x: x["t"]), "\n" if by == "new_ord" else "\n\n")
-    bodies = texts.groupBy("note").agg(in_order(F.col("new_ord").isNotNull(), "new_ord", section).alias("body"), in_order(F.col("kind") == "deletion", "old_ord", orphan).alias("orphans"), F.count("old_ord").alias("n_old"))
-    df = notes.join(new.select("note_path", "frontmatter", "preamble"), "note_path").join(bodies, F.col("note_path") == F.col("note"), "left")
-    footer = F.when(F.coalesce("orphans", F.lit("")) != "", F.concat(F.lit(f"\n\n## {labels.orphans}\n\n"), F.col("orphans"), F.lit("\n"))).otherwise("")
-    merged = F.concat("frontmatter", "preamble", F.coalesce("body", F.lit("")), footer)
+    rows = with_sections(notes.select("note_path", "current", "next"), "current", labels).withColumnRenamed("sections", "olds").drop("frontmatter", "preamble")
+    rows = with_sections(rows, "next", labels).withColumnRenamed("sections", "news")
+    memo = F.lit(f"\n\n> [!note] {labels.memo}\n> \n\n")
+
+    def section(s: Column, old: Column) -> Column:
+        after = F.when(trimmed(F.coalesce(old["after"], F.lit(""))) != "", old["after"]).otherwise(memo)
+        number = s["slide_num"]
+        return F.concat_ws("\n", F.concat(F.lit(f"## {labels.slide} "), number.cast("string")), F.lit(""), marker(number, s["hash"], s["dup"], "start", labels), trimmed(s["managed"]), marker(number, s["hash"], s["dup"], "end", labels), F.regexp_replace(after, r"^\n", ""))
+
+    def orphan(o: Column) -> Column:
+        dup = F.when(o["dup"].isNotNull(), F.concat(F.lit(" dup:"), o["dup"].cast("string"))).otherwise("")
+        return F.concat(F.lit(f"<!-- {labels.tag}:orphan slide:"), o["slide_num"].cast("string"), F.lit(" hash:"), o["hash"], dup, F.lit(" -->\n"), trimmed(o["after"]))
+
+    def emitted(taken: Column, orphans: Column) -> Column:
+        body = F.array_join(F.transform("news", lambda s, i: section(s, F.get(F.col("olds"), F.get(taken, i)))), "\n")
+        footer = F.when(F.size(orphans) > 0, F.concat(F.lit(f"\n\n## {labels.orphans}\n\n"), F.array_join(F.transform(orphans, lambda k: orphan(F.get(F.col("olds"), k))), "\n\n"), F.lit("\n"))).otherwise("")
+        return F.concat("frontmatter", "preamble", body, footer)
+
     # an old note whose only content is of the single kind
     replaced = F.col("next") if not keep_legacy else F.when(trimmed(F.coalesce("current", F.lit(""))) == "", F.col("next")).otherwise(F.concat(F.regexp_replace("next", r"(?U)\s+$", ""), F.lit(f"\n\n## {labels.backup}\n\n"), trimmed(F.col("current")), F.lit("\n")))
-    return df.select("note_path", F.when(F.coalesce("n_old", F.lit(0)) == 0, replaced).otherwise(merged).alias("merged"))
+    return rows.select("note_path", F.when(F.size("olds") == 0, replaced).otherwise(_matched(F.col("olds"), F.col("news"), emitted)).alias("merged"))
 
 
 def merged_notes(notes: DataFrame, labels: Labels = LABELS, keep_legacy: bool = True) -> DataFrame:

@@ -84,7 +84,7 @@ def has_sections(content: Column, labels: Labels = LABELS) -> Column:
     return content.rlike(labels.marker)
 
 
-def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
     """f of a value that is made once; a column of its own would be put in wherever it is used when a filter is pushed down."""
     return F.get(F.transform(F.array(value), f), 0)
 
@@ -116,8 +116,8 @@ def orderly_sections(content: Column, labels: Labels = LABELS) -> Column:
 
     rest = lambda front: F.substring(content, F.length(front) + 1, F.length(content))
     marks_of = lambda body: F.regexp_extract_all(body, F.lit(f"({labels.marker})"), F.lit(1))
-    with_marks = lambda front, body: _let(marks_of(body), lambda marks: _let(F.split(body, labels.marker), lambda parts: split(front, body, marks, parts)))
-    return _let(frontmatter(content), lambda front: _let(rest(front), lambda body: with_marks(front, body)))
+    with_marks = lambda front, body: let(marks_of(body), lambda marks: let(F.split(body, labels.marker), lambda parts: split(front, body, marks, parts)))
+    return let(frontmatter(content), lambda front: let(rest(front), lambda body: with_marks(front, body)))
 
 
 def paired_sections(content: Column, labels: Labels = LABELS) -> Column:
@@ -145,7 +145,7 @@ def paired_sections(content: Column, labels: Labels = LABELS) -> Column:
         nothing = F.array().cast("array<struct<start:int,end:int>>")
         end = lambda all_, x, i: F.when(~x["is_end"] & F.get(all_, i + 1)["is_end"] & same(x, F.get(all_, i + 1)) & (x["j"] == F.get(all_, i + 1)["j"]), F.get(all_, i + 1)["k"])
         both = lambda all_: F.filter(F.transform(all_, lambda x, i: F.struct(x["k"].alias("start"), end(all_, x, i).alias("end"))), lambda p: p["end"].isNotNull())
-        return F.when(F.size(marks) == 0, nothing).otherwise(F.sort_array(_let(F.sort_array(folded), both)))
+        return F.when(F.size(marks) == 0, nothing).otherwise(F.sort_array(let(F.sort_array(folded), both)))
 
     def begins(marks: Column, parts: Column) -> Column:
         """Where each mark begins."""
@@ -171,8 +171,8 @@ def paired_sections(content: Column, labels: Labels = LABELS) -> Column:
 
     rest = lambda front: F.substring(content, F.length(front) + 1, F.length(content))
     marks_of = lambda body: F.regexp_extract_all(body, F.lit(f"({labels.marker})"), F.lit(1))
-    placed = lambda front, body, marks: _let(begins(marks, F.split(body, labels.marker)), lambda at: _let(pairs(marks), lambda found: split(front, body, marks, at, found)))
-    return _let(frontmatter(content), lambda front: _let(rest(front), lambda body: _let(marks_of(body), lambda marks: placed(front, body, marks))))
+    placed = lambda front, body, marks: let(begins(marks, F.split(body, labels.marker)), lambda at: let(pairs(marks), lambda found: split(front, body, marks, at, found)))
+    return let(frontmatter(content), lambda front: let(rest(front), lambda body: let(marks_of(body), lambda marks: placed(front, body, marks))))
 
 
 def with_sections(notes: DataFrame, content: str = "content", labels: Labels = LABELS) -> DataFrame:

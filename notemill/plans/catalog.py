@@ -379,7 +379,7 @@ SELECT name, pos, related FROM named2 WHERE {_REL_KEY} <> {sql_key("name")} AND
 )
 def relation_filter(spark: SparkSession, d: str) -> DataFrame:
     docs, existing = _concepts(spark, d)
-    return concepts.filtered_relations(concepts.merged_concepts(docs, existing), existing).select("name", "pos", "related")
+    return concepts.filtered_relations(docs, existing, kept).select("name", "pos", "related")
 
 
 @query("SELECT o_orderkey AS seq, o_custkey AS path FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) ORDER BY o_orderkey DESC LIMIT 20")

@@ -121,6 +121,36 @@ def test_matching_against_the_passes(spark):
     assert {(r.note, r.new_ord, r.old_ord): r.kind for r in got} == want
 
 
+def test_sections_matched_in_a_row_are_those_of_the_joins(spark):
+    rng = random.Random(21)
+    rows = []
+    for n in range(60):
+        deck = lambda: [(rng.randrange(1, 7), rng.choice([A, B, C, D])) for _ in range(rng.randrange(7))]
+        old, new = deck(), deck()
+        text = lambda d, own: note(*[block(k, h, f"text {i}", f"\n{own} {i}\n" if own else "") for i, (k, h) in enumerate(d)])
+        rows.append((str(n), text(old, f"own{n}."), text(new, "")))
+    df = spark.createDataFrame(rows, "note_path string, current string, next string")
+    plan = merge.merged_sections(df)
+    assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString() and "Python" not in plan._jdf.queryExecution().executedPlan().toString()
+    merged = {r.note_path: r.merged for r in plan.collect()}
+    each = lambda c: notes.with_sections(df, c).select(F.col("note_path").alias("note"), F.explode("sections").alias("s")).select("note", "s.*")
+    matches = {}
+    for r in merge.matched_sections(each("current"), each("next")).collect():
+        matches.setdefault(r.note, []).append(r)
+    for n, current, following in rows:
+        olds, news = sections_of(current)["sections"], sections_of(following)["sections"]
+        got = sections_of(merged[n])["sections"]
+        if not olds:
+            continue
+        assert [(s["slide_num"], s["hash"], s["managed"].strip()) for s in got] == [(s["slide_num"], s["hash"], s["managed"].strip()) for s in news]
+        taken = {m.new_ord: m.old_ord for m in matches.get(n, []) if m.new_ord is not None}
+        for i, s in enumerate(got):
+            own = olds[taken[i]]["after"].strip() if taken[i] is not None else ""
+            assert (own in s["after"]) if own else ("own" not in s["after"].split("orphan")[0].split(L.orphans)[0])
+        gone = [m.old_ord for m in matches.get(n, []) if m.kind == "deletion"]
+        assert merged[n].count(":orphan slide:") == len(gone) and all(olds[k]["after"].strip() in merged[n] for k in gone)
+
+
 def test_update_summary(spark):
     old = note(block(1, A, "one [[x]]"), block(2, B, "two"), block(3, C, "three"))
     new = note(block(1, B, "two"), block(2, D, "new\nnew"))
@@ -193,12 +223,37 @@ def test_normalized_concepts(spark):
     schema = "subject string, ord int, name string, definition string, related_concepts array<string>, example string, caution string, lecture_context string"
     rows = [("s", 0, "Deep Learning", "", ["SGD", "deep-learning", "none", "sgd"], None, None, None), ("s", 1, " deep learning ", "d", ["SGD", "Loss"], "e", None, None), ("s", 2, "Loss", "l", ["DEEP LEARNING"], None, None, None), ("s", 3, " ", "x", [], None, None, None)]
     existing = spark.createDataFrame([("s", 0, "deep-learning"), ("s", 1, "sgd")], "subject string, ord int, name string")
-    got = {r.name: r for r in concepts.normalized_concepts(spark.createDataFrame(rows, schema), existing).collect()}
+    got = {r.name: r for r in concepts.normalized_concepts(spark.createDataFrame(rows, schema), existing, files_kept).collect()}
     assert set(got) == {"deep-learning", "Loss"}
     assert (got["deep-learning"].definition, got["deep-learning"].example, got["deep-learning"].related_concepts) == ("d", "e", ["sgd", "sgd", "Loss"])
     assert got["Loss"].related_concepts == ["deep-learning"]
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_relations_of_a_hot_name(spark, seed):
+    rng = random.Random(seed)
+    words = [f"w{k}" for k in range(60)] + ["W1", "w-2", "HOT", "w 3"]
+    rows = [("s", i, rng.choice(["hot", "hot", *words]), "d", [rng.choice(words) for _ in range(rng.randrange(9))], None, None, None) for i in range(300)] + [("t", 0, "w1", "d", ["w1", "w2"], None, None, None), ("t", 1, "w2", "", None, None, None, None)]
+    df = spark.createDataFrame(rows, "subject string, ord int, name string, definition string, related_concepts array<string>, example string, caution string, lecture_context string").repartition(3)
+    old = spark.createDataFrame([("s", 0, "w-2"), ("s", 1, "Extra")], "subject string, ord int, name string")
+    key = lambda x: re.sub(r"[\s_-]+", "", x.lower())
+    want = set()
+    for subject in ("s", "t"):
+        known = {key(n): n for s, _, n in [("s", 0, "w-2"), ("s", 1, "Extra")] if s == subject}
+        relations = {}
+        for _, _, name, _, related, *_ in sorted((r for r in rows if r[0] == subject), key=lambda r: r[1]):
+            relations.setdefault(known.get(key(name), name), []).extend(related or [])
+        names = {*relations, *known.values()}
+        allowed = {f for n in names for f in (n.lower(), key(n))}
+        for name, related in relations.items():
+            for pos, raw in enumerate(dict.fromkeys(related)):
+                canonical = known.get(key(raw), raw)
+                if key(canonical) != key(name) and {canonical.lower(), key(canonical)} & allowed:
+                    want.add((subject, name, pos, canonical))
+    got = [(r.subject, r.name, r.pos, r.related) for r in concepts.filtered_relations(df, old, files_kept).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_concept_note_update(spark):
     text = f"# N\n{L.lectures} [[a]]\n{L.related} [[x]]"
     column = lambda v: F.array(*map(F.lit, v)) if isinstance(v, list) else F.lit(v)
