@@ -65,10 +65,24 @@ def chunks(text: Column, most: Column | int, paragraph: str = PARAGRAPH, sentenc
     return F.when(_tokens(text) <= most, F.array(text)).otherwise(made)
 
 
+class Run:
+    """The greedy fold from one state. State 0 is no open chunk, s + 1 an open one of s tokens (or of more than fit)."""
+
+    def __init__(self, most: int, state: int = 0):
+        self.most, self.state, self.count = most, state, 0
+
+    def add(self, tokens: int, need: int) -> None:
+        state, most = self.state, self.most
+        if state == 0 or state - 1 + need > most:
+            self.count += 1
+            state = 1
+        self.state = min(state - 1 + tokens, most + 1) + 1
+
+
 class Fill:
-    """The greedy fold from every state at once. State 0 is no open chunk, s + 1 an open one of s tokens (or of more than fit).
+    """The greedy fold from every state at once.
 
-    exits and begun tell for each entry state the state after the pieces so far and how many chunks they begin. Runs from different states soon fall together; equal ones are folded once.
+    exits and begun tell for each entry state the state after the pieces so far and how many chunks they begin. Runs from different states soon fall together; equal ones are folded once, and the last one as a Run.
     """
 
     def __init__(self, most: int):
@@ -78,23 +92,29 @@ class Fill:
         self.count = np.zeros(most + 3, np.int64)
         self.before = np.zeros(most + 3, np.int64)  # chunks that an entry state had begun more than its run
         self.added = 0
+        self.one: Run | None = None
 
     def add(self, tokens: int, need: int) -> None:
+        if self.one is not None:
+            self.one.add(tokens, need)
+            return
         fresh = (self.state == 0) | (self.state - 1 + need > self.most)
         self.state = np.minimum(np.where(fresh, 0, self.state - 1) + tokens, self.most + 1) + 1
         self.count += fresh
         self.added += 1
-        if len(self.state) > 1 and self.added % 8 == 0:
+        if self.added % 8 == 0:
             state, first, run = np.unique(self.state, return_index=True, return_inverse=True)
             if len(state) < len(self.state):
                 self.before += (self.count - self.count[first][run])[self.which]
                 self.which, self.count, self.state = run[self.which], self.count[first], state
+            if len(state) == 1:
+                self.one = Run(self.most, int(state[0]))
 
     def exits(self) -> list[int]:
-        return self.state[self.which].tolist()
+        return (self.state[self.which] if self.one is None else np.full(self.most + 3, self.one.state)).tolist()
 
     def begun(self) -> list[int]:
-        return (self.count[self.which] + self.before).tolist()
+        return (self.count[self.which] + self.before + (0 if self.one is None else self.one.count)).tolist()
 
 
 def chunked_parts(parts: DataFrame, key: str, order: str, text: str, most: int, keep: Callable[[DataFrame], DataFrame], paragraph: str = PARAGRAPH, sentence: str = SENTENCE, gap: str = "\n\n") -> DataFrame:
@@ -121,17 +141,17 @@ def chunked_parts(parts: DataFrame, key: str, order: str, text: str, most: int,
 
     def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One row for each range: its first and last key, the first one's fold from every state, and the last one's fold from none."""
-        part, first, last, head, tail = None, None, None, Fill(most), Fill(0)
+        part, first, last, head, tail = None, None, None, Fill(most), Run(most)
         done = []
-        close = lambda: done.append((part, first, last, head.exits(), head.begun(), tail.exits()[0], tail.begun()[0]))
+        close = lambda: done.append((part, first, last, head.exits(), head.begun(), tail.state, tail.count))
         for batch in batches:
             for p, k, tokens, need in zip(*(batch.column(c).to_pylist() for c in ("part", "key", "tokens", "need")), strict=True):
                 if p != part:
                     if part is not None:
                         close()
-                    part, first, last, head, tail = p, k, k, Fill(most), _fresh(most)
+                    part, first, last, head, tail = p, k, k, Fill(most), Run(most)
                 if k != last:
-                    last, tail = k, _fresh(most)
+                    last, tail = k, Run(most)
                 (head if k == first else tail).add(tokens, need)
         if part is not None:
             close()
@@ -147,17 +167,17 @@ def chunked_parts(parts: DataFrame, key: str, order: str, text: str, most: int,
         open_key = r.l
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, key, fill, begun = None, None, _fresh(most), 0
+        part, key, fill, begun = None, None, Run(most), 0
         for batch in batches:
             out = []
             for p, k, tokens, need in zip(*(batch.column(c).to_pylist() for c in ("part", "key", "tokens", "need")), strict=True):
                 if p != part:
                     part, key, (state, begun) = p, k, entry[p]
-                    fill = _fresh(most, state)
+                    fill = Run(most, state)
                 elif k != key:
-                    key, fill, begun = k, _fresh(most), 0
+                    key, fill, begun = k, Run(most), 0
                 fill.add(tokens, need)
-                out.append(begun + fill.begun()[0] - 1)
+                out.append(begun + fill.count - 1)
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.int64())], names=["row", "chunk"])
 
     numbered = narrow.mapInArrow(number, "row long, chunk long").join(ordered.select("row", "key", "text"), "row")
@@ -172,13 +192,6 @@ def chunked_parts(parts: DataFrame, key: str, order: str, text: str, most: int,
 _TABLE = (pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int32(), pa.int64())
 
 
-def _fresh(most: int, state: int = 0) -> Fill:
-    """The fold from one state alone."""
-    fill = Fill(most)
-    fill.which, fill.state, fill.count, fill.before = np.zeros(1, int), np.array([state]), np.zeros(1, np.int64), np.zeros(1, np.int64)
-    return fill
-
-
 def with_transcript(slides: DataFrame, transcripts: DataFrame) -> DataFrame:
     """JOIN-10: slides (deck_id, slide_num, ...) with the even slice of their deck's transcript (deck_id, transcript) that has their place; null where there is none."""
     n = slides.groupBy("deck_id").agg(F.max("slide_num").alias("n"))

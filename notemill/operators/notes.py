@@ -232,7 +232,7 @@ def linked_texts(docs: DataFrame, names: DataFrame, doc: str, text: str, name: s
     # how many anchors have a run of characters tells how common it is; each anchor is looked up by its rarest one
     each = anchors.select("__anchor", F.explode(grams(F.col("__anchor"), size)).alias("__gram"))
     rarest = each.join(each.groupBy("__gram").agg(F.count(F.lit(1)).alias("n")), "__gram").groupBy("__anchor").agg(F.min_by("__gram", F.struct("n", "__gram")).alias("__gram"))
-    sizes = F.array(F.lit(1), F.lit(2), F.lit(3))
+    sizes = F.array(*[F.lit(r[0]) for r in own.select(size).distinct().collect()]).cast("array<int>")  # of 1, 2 and 3
     of_words = vocabulary.select("__word", F.explode(F.array_distinct(F.flatten(F.transform(sizes, lambda k: grams(F.col("__word"), k))))).alias("__gram"))
     having = of_words.join(rarest, "__gram").where(F.contains("__word", "__anchor")).select("__word", "__anchor").join(own, "__anchor").select("__word", "__order", "__name")
     found = words.join(having, "__word").select("__doc", F.struct("__order", "__name").alias("n"))
