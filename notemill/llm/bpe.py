@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table, texts
 
-#: Pieces of text whose ids a worker remembers; when so many are held, it starts anew.
-CACHE_PIECES = 300_000
+#: Pieces of text whose ids, and pairs of tokens whose tests, a worker remembers; when so many are held, it starts anew.
+CACHE_PIECES, CACHE_PAIRS = 300_000, 1_000_000
 
 
 class BytePairEncoder:
@@ -91,6 +91,8 @@ class BytePairEncoder:
     def _may_follow(self, left: int, right: int) -> bool:
         known = self.compatible.get((left, right))
         if known is None:
+            if len(self.compatible) >= CACHE_PAIRS:
+                self.compatible.clear()
             known = self.compatible[left, right] = self._stay_apart(left, right)
         return known
 
@@ -206,8 +208,7 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, with_ids: bool = True
     """
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), *([("ids", pa.list_(pa.int32()))] if with_ids else [])])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # the tables are large and hold no cycles
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder_of(path, pattern)
         names = {r: str(r) for r in enc.tokens}
         digest = lambda data: hashlib.sha256(data).hexdigest()
@@ -223,6 +224,13 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, with_ids: bool = True
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(decoded_sha)]
             yield pa.RecordBatch.from_arrays(columns + ([pa.array(kept, schema.field("ids").type)] if with_ids else []), schema=schema)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # the tables are large and hold no cycles
+        try:
+            yield from encoded(batches)
+        finally:
+            gc.enable()  # workers are used again
+
     ddl = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     rows = texts(docs)
     return rows.withColumn("doc_id", rows.doc_id.cast("long")).mapInArrow(run, ddl)

@@ -283,3 +283,24 @@ def test_long_runs_and_small_caches(model, library, monkeypatch):
     for text in ("x" * 30_000, " " * 5000 + "end", "ab" * 9000, "the end of it all, again and again " * 20):
         assert encoder.encode(text) == library.encode(text, add_bos=True, add_eos=True)
         assert len(encoder.known) <= 3 and len(encoder.apart) <= 5
+
+
+def test_byte_pairs_are_not_remembered_without_bound(monkeypatch):
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    from notemill.llm import bpe
+
+    monkeypatch.setattr(bpe, "CACHE_PAIRS", 7)
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoder = bpe.BytePairEncoder.load(path, public_tokenizers.PATTERN)
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(2)
+    for _ in range(200):
+        text = "".join(rng.choice("abcdefghij éü") for _ in range(60))
+        assert encoder.encode(text) == library.encode_ordinary(text)
+        assert len(encoder.compatible) <= 7
