@@ -476,6 +476,44 @@ def stopped_runs(spark: SparkSession, d: str) -> DataFrame:
     return each.join(whole, "deck_id").join(runs, "deck_id").select("deck_id", "n_rows", "n_slides", "n_calls", F.when(F.col("hits") >= calls.BREAK_AFTER, F.col("last")).alias("stopped_at"))
 
 
+class Stubborn(calls.OfflineProvider):
+    """Gives JSON only when it has been asked often enough, as the prompt's length says."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        object.__setattr__(self, "asked", [0])
+
+    def generate_text(self, prompt: str, system: str = "") -> str:
+        self.asked[0] += 1
+        return f'```json\n{{"n": {len(prompt)}}}\n```' if self.asked[0] > len(prompt) % 4 else "Let me think."
+
+
+def _with_key(key: str) -> Stubborn:
+    return Stubborn()
+
+
+def _checked(answer: dict[str, int]) -> dict[str, int]:
+    """The answer, which has to have a number that isn't divisible by 7."""
+    if answer["n"] % 7 == 0:
+        raise ValueError("divisible by 7")
+    return answer
+
+
+@query("SELECT doc_id, CASE WHEN length(text) % 4 < 3 AND length(text) % 7 > 0 THEN '{\"n\": ' || length(text) || '}' END AS answer, NOT (length(text) % 4 < 3 AND length(text) % 7 > 0) AS failed FROM documents")
+def checked_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Whole documents as prompts of a provider with two keys, whose answers are parsed, checked and asked for again."""
+    rows = table(spark, d, "documents").select("doc_id", F.col("text").alias("prompt"))
+    said, _ = calls.observed(calls.generated(rows, _with_key, ["doc_id"], validate=_checked, keys=("a", "b"), delay_s=0.0, sleep=_no_wait), "checked")
+    return said.select("doc_id", "answer", F.col("error").isNotNull().alias("failed"))
+
+
+@query(f"SELECT doc_id, {_sql_answer('p')} AS answer FROM (SELECT doc_id, source || left(sha1(lang), 8) || left(sha1(text), 8) AS p FROM documents)")
+def picture_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Prompts that come with pictures (here the bytes of a document's language and text)."""
+    rows = table(spark, d, "documents").select("doc_id", F.col("source").alias("prompt"), F.array(F.col("lang").cast("binary"), F.col("text").cast("binary")).alias("images"))
+    return calls.generated(rows, calls.provider("offline"), ["doc_id"], images_col="images").select("doc_id", "answer")
+
+
 def _no_wait(seconds: float) -> None:
     """The waits of a run that nobody has to wait for."""
 
