@@ -13,12 +13,13 @@ from typing import Any, Protocol
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from notemill.functions import text as texts
 from notemill.functions.text import error_kind, kind_of_error
 from notemill.operators.chunk import chunked_parts
+from notemill.operators.ranks import SALTS, numbered, running
 
 for module in (sys.modules[__name__], texts):
     cloudpickle.register_pickle_by_value(module)  # workers needn't have this package
@@ -31,30 +32,33 @@ CHARS_PER_TOKEN = 4
 CODES = {"rate_limit": 429, "overload": 503}
 
 
-def until_break(calls: DataFrame, key: str, order: str, limited: str = "rate_limit", success: str = "success", after: int = BREAK_AFTER) -> DataFrame:
-    """WIN-3: the calls (key, order, outcome) up to the one that breaks the run: so many rate limits without a success between them; other errors don't count. Adds stopped."""
-    by = Window.partitionBy(key).orderBy(order)
-    rows = calls.withColumn("__run", F.sum((F.col("outcome") == success).cast("int")).over(by))
-    in_run = Window.partitionBy(key, "__run").orderBy(order)
-    rows = rows.withColumn("__n", F.sum((F.col("outcome") == limited).cast("int")).over(in_run))
-    whole = Window.partitionBy(key)
-    rows = rows.withColumn("__stop", F.min(F.when(F.col("__n") >= after, F.col(order))).over(whole))
-    return rows.where(F.col("__stop").isNull() | (F.col(order) <= F.col("__stop"))).withColumn("stopped", F.col("__stop").isNotNull()).drop("__run", "__n", "__stop")
+def until_break(calls: DataFrame, key: str, order: str, keep: Callable[[DataFrame], DataFrame], limited: str = "rate_limit", success: str = "success", after: int = BREAK_AFTER) -> DataFrame:
+    """WIN-3: the calls (key, order, outcome) up to the one that breaks the run: so many rate limits without a success between them; other errors don't count. Adds stopped.
+
+    How many limits came since the last success is how many came at all, less how many had come then: a running sum and a running maximum over ranges (see ranks.running), so a key may have any number of calls.
+    """
+    hit = (F.col("outcome") == limited).cast("long")
+    rows = running(calls.withColumn("__hit", hit), [key], [order], keep, {"__hits": ("sum", "__hit")})
+    rows = rows.withColumn("__then", F.when(F.col("outcome") == success, F.col("__hits")))
+    rows = running(rows, [key], [order], keep, {"__since": ("max", "__then")})
+    stop = rows.where(F.col("__hits") - F.coalesce("__since", F.lit(0)) >= after).groupBy(F.col(key).alias("__k")).agg(F.min(order).alias("__stop"))
+    salted = rows.drop("__hit", "__hits", "__then", "__since").withColumn("__salt", F.pmod(F.xxhash64(order), F.lit(SALTS)).cast("int"))
+    stop = stop.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    both = salted.join(stop, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__salt") == F.col("__s")), "left")
+    return both.where(F.col("__stop").isNull() | (F.col(order) <= F.col("__stop"))).withColumn("stopped", F.col("__stop").isNotNull()).drop("__k", "__s", "__salt", "__stop")
 
 
-def spaced(calls: DataFrame, key: str, arrival: str, delay: int, ties: str) -> DataFrame:
-    """WIN-4: calls with start: no earlier than arrival, and delay after the start before it. The recursion has a closed form: a running maximum."""
-    by = Window.partitionBy(key).orderBy(arrival, ties)
-    i = F.row_number().over(by) - 1
-    rows = calls.withColumn("__i", i.cast("long"))
-    return rows.withColumn("start", F.col("__i") * delay + F.max(F.col(arrival) - F.col("__i") * delay).over(by.rowsBetween(Window.unboundedPreceding, 0))).drop("__i")
+def spaced(calls: DataFrame, key: str, arrival: str, delay: int, ties: str, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """WIN-4: calls with start: no earlier than arrival, and delay after the start before it. The recursion has a closed form, a running maximum, and is worked out over ranges."""
+    rows = numbered(calls, [key], [arrival, ties], keep, "__i").withColumn("__early", F.col(arrival) - F.col("__i") * delay)
+    rows = running(rows, [key], [arrival, ties], keep, {"__latest": ("max", "__early")})
+    return rows.withColumn("start", F.col("__i") * delay + F.col("__latest")).drop("__i", "__early", "__latest")
 
 
-def rotated(calls: DataFrame, key: str, order: str, n_keys: int, limited: str = "rate_limit") -> DataFrame:
+def rotated(calls: DataFrame, key: str, order: str, n_keys: int, keep: Callable[[DataFrame], DataFrame], limited: str = "rate_limit") -> DataFrame:
     """WIN-5: calls with key_index: how many rate limits came before, modulo the keys."""
-    before = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    hits = F.coalesce(F.sum((F.col("outcome") == limited).cast("int")).over(before), F.lit(0))
-    return calls.withColumn("key_index", F.pmod(hits, F.lit(n_keys)).cast("int"))
+    rows = running(calls.withColumn("__hit", (F.col("outcome") == limited).cast("long")), [key], [order], keep, {"__hits": ("sum", "__hit")})
+    return rows.withColumn("key_index", F.pmod(F.col("__hits") - F.col("__hit"), F.lit(n_keys)).cast("int")).drop("__hit", "__hits")
 
 
 class Provider(Protocol):
@@ -293,7 +297,7 @@ def slide_run(prompts: DataFrame, model: Provider | Callable[[str], Provider], d
     said = generated(prompts, model, [deck, slide], in_order=(deck, slide), **how)
     said = keep(said) if keep else said
     said = said.withColumn("outcome", F.when(F.col("error").isNull(), "success").otherwise(error_kind(F.col("error"))))
-    slides = until_break(said, deck, slide, after=how.get("after", BREAK_AFTER)).drop("stopped")
+    slides = said  # what comes after a break was never asked
     in_order = lambda x, on=None: F.transform(F.sort_array(F.collect_list(F.struct(slide, x.alias("x")) if on is None else F.when(on, F.struct(slide, x.alias("x"))))), lambda s: s)
     totals = slides.groupBy(deck).agg(
         F.count("answer").cast("int").alias("n_slides"),

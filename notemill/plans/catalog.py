@@ -553,7 +553,7 @@ SELECT user_id, event_id, outcome, stop IS NOT NULL AS stopped FROM (SELECT *, m
 """
 )
 def breaker(spark: SparkSession, d: str) -> DataFrame:
-    return calls.until_break(_calls(spark, d), "user_id", "arrival").select("user_id", "event_id", "outcome", "stopped")
+    return calls.until_break(_calls(spark, d), "user_id", "arrival", kept).select("user_id", "event_id", "outcome", "stopped")
 
 
 @query(
@@ -563,7 +563,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY arrival, event_
 """
 )
 def rate_spacing(spark: SparkSession, d: str) -> DataFrame:
-    return calls.spaced(_calls(spark, d), "user_id", "arrival", DELAY_US, "event_id").select("user_id", "event_id", "start")
+    return calls.spaced(_calls(spark, d), "user_id", "arrival", DELAY_US, "event_id", kept).select("user_id", "event_id", "start")
 
 
 @query(
@@ -572,12 +572,12 @@ SELECT user_id, event_id, CAST(coalesce(sum(CAST(outcome = 'rate_limit' AS INTEG
 """
 )
 def key_rotation(spark: SparkSession, d: str) -> DataFrame:
-    return calls.rotated(_calls(spark, d), "user_id", "arrival", N_KEYS).select("user_id", "event_id", "key_index")
+    return calls.rotated(_calls(spark, d), "user_id", "arrival", N_KEYS, kept).select("user_id", "event_id", "key_index")
 
 
 @query(f"SELECT user_id, event_id FROM (SELECT *, epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) - epoch_us(ts) AS gap FROM events) WHERE gap IS NULL OR gap >= {GAP_MS * 1000}")
 def debounce(spark: SparkSession, d: str) -> DataFrame:
-    return view.debounced(table(spark, d, "events"), ["user_id"], "ts", "event_id", GAP_MS).select("user_id", "event_id")
+    return view.debounced(table(spark, d, "events"), ["user_id"], "ts", "event_id", kept, GAP_MS).select("user_id", "event_id")
 
 
 _DEBOUNCED = f"(SELECT user_id, event_id, ts, CAST(value AS INTEGER) % 7 AS page FROM (SELECT *, epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) - epoch_us(ts) AS gap FROM (SELECT user_id, event_id, ts, CAST(trunc(value) AS INTEGER) AS value FROM events)) WHERE gap IS NULL OR gap >= {GAP_MS * 1000})"
@@ -593,7 +593,7 @@ SELECT user_id, x.id AS event_id, x.ts AS ts, x.page AS page FROM (SELECT user_i
 )
 def debounce_suppress(spark: SparkSession, d: str) -> DataFrame:
     page = table(spark, d, "events").select("user_id", "event_id", "ts", (F.col("value").cast("int") % 7).alias("page"))
-    return view.suppressed(view.debounced(page, ["user_id"], "ts", "event_id", GAP_MS), ["user_id"], "ts", "page", "event_id", 3 * GAP_MS)
+    return view.suppressed(view.debounced(page, ["user_id"], "ts", "event_id", kept, GAP_MS), ["user_id"], "ts", "page", "event_id", 3 * GAP_MS)
 
 
 _SIDES = "CASE WHEN event_type IN ('click', 'view') THEN 'l' ELSE 'r' END"

@@ -6,29 +6,30 @@ Waits are in milliseconds. A stream's state is bounded by a watermark, which is
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
 
+from notemill.operators.ranks import running
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers needn't have this package
 
 WAIT_MS, QUIET_MS, LATENESS = 180, 600, "10 minutes"
 NEVER = -(1 << 62)
 
 
-def debounced(events: DataFrame, keys: list[str], ts: str, order: str, wait_ms: int = WAIT_MS) -> DataFrame:
-    """STR-1: the events that no other of their keys follows within the wait."""
-    by = Window.partitionBy(*keys).orderBy(ts, order)
-    micros = lambda c: F.unix_micros(c.cast("timestamp"))
-    after = micros(F.lead(ts).over(by)) - micros(F.col(ts))
-    return events.withColumn("__gap", after).where(F.col("__gap").isNull() | (F.col("__gap") >= wait_ms * 1000)).drop("__gap")
+def debounced(events: DataFrame, keys: list[str], ts: str, order: str, keep: Callable[[DataFrame], DataFrame], wait_ms: int = WAIT_MS) -> DataFrame:
+    """STR-1: the events that no other of their keys follows within the wait. Rows are compared with the ones after them over ranges (see ranks.running), so a key may have any number of events."""
+    back = events.withColumns({"__us": F.unix_micros(F.col(ts).cast("timestamp")), "__last": -F.unix_micros(F.col(ts).cast("timestamp")), "__back": -F.col(order)})
+    rows = running(back, keys, ["__last", "__back"], keep, {"__next": ("lag", "__us")})
+    return rows.where(F.col("__next").isNull() | (F.col("__next") - F.col("__us") >= wait_ms * 1000)).select(*events.columns)
 
 
 def debounced_stream(events: DataFrame, keys: list[str], ts: str, value: str, wait_ms: int = WAIT_MS, lateness: str = LATENESS) -> DataFrame:

@@ -4,7 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from notemill.operators import calls, concepts, log, merge, notes
+from notemill.operators import calls, concepts, log, merge, notes, ranks
 from notemill.sources.files import kept as files_kept
 
 L = notes.LABELS
@@ -327,12 +327,35 @@ def test_empty_logs(spark):
     assert [(r.seq, r.was_update) for r in log.upserted_log(none, some, files_kept).collect()] == [(1, False)]
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_scans_over_ranges(spark, seed):
+    rng = random.Random(seed)
+    rows = [(rng.choice(["hot", "hot", "hot", None, "a", "b", f"k{i}"]), rng.randrange(50), i, rng.choice([None, *range(-5, 9)])) for i in range(rng.choice([1, 40, 400]))]
+    df = spark.createDataFrame(rows, "k string, at int, i int, v int").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = ranks.running(df, ["k"], ["at", "i"], files_kept, {"total": ("sum", "v"), "most": ("max", "v"), "before": ("lag", "v")}).collect()
+        places = {r.i: r.pos for r in ranks.numbered(df, ["k"], ["at", "i"], files_kept).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for k in {r[0] for r in rows}:
+        total, most, before = 0, None, None
+        for n, (_, _, i, v) in enumerate(sorted((r for r in rows if r[0] == k), key=lambda r: r[1:3])):
+            total += v or 0
+            most = v if most is None else most if v is None else max(most, v)
+            want[i] = (total, most, before, n)
+            before = v
+    assert {r.i: (r.total, r.most, r.before, places[r.i]) for r in got} == want and len(got) == len(rows)
+    assert ranks.numbered(df.limit(0), ["k"], ["at"], files_kept).collect() == []
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_call_windows(spark, seed):
     import random
 
     rng = random.Random(seed)
-    rows = [(k, i, i * rng.randrange(1, 9) + k, rng.choice(["rate_limit", "success", "other", "rate_limit"])) for k in range(6) for i in range(rng.randrange(1, 25))]
+    rows = [(k, i, i * rng.randrange(1, 9) + k, rng.choice(["rate_limit", "success", "other", "success", "rate_limit"])) for k in range(6) for i in range(rng.randrange(1, 25) if k else 120)]  # one of most rows
     rows = [(k, i, sum(r[2] for r in rows if r[0] == k and r[1] < i), o) for k, i, _, o in rows]
     df = spark.createDataFrame(rows, "k int, i int, arrival long, outcome string")
     kept, starts, index = set(), {}, {}
@@ -346,9 +369,9 @@ def test_call_windows(spark, seed):
                 kept.add((k, i))
                 streak = 0 if o == "success" else streak + (o == "rate_limit")
                 stopped = streak >= 3
-    assert {(r.k, r.i) for r in calls.until_break(df, "k", "i").collect()} == kept
-    assert {(r.k, r.i): r.start for r in calls.spaced(df, "k", "arrival", 5, "i").collect()} == starts
-    assert {(r.k, r.i): r.key_index for r in calls.rotated(df, "k", "i", 3).collect()} == index
+    assert {(r.k, r.i) for r in calls.until_break(df, "k", "i", files_kept).collect()} == kept
+    assert {(r.k, r.i): r.start for r in calls.spaced(df, "k", "arrival", 5, "i", files_kept).collect()} == starts
+    assert {(r.k, r.i): r.key_index for r in calls.rotated(df, "k", "i", 3, files_kept).collect()} == index
 
 
 def test_providers(spark):

@@ -22,7 +22,7 @@ ROWS = [("l", 0, at(0), 1), ("l", 1, at(100), 2), ("l", 2, at(279), 3), ("l", 3,
 
 def test_debounce(spark):
     df = spark.createDataFrame(ROWS, SCHEMA)
-    assert sorted(r.n for r in events.debounced(df, ["side"], "ts", "n").collect()) == [2, 3, 4, 5]
+    assert sorted(r.n for r in events.debounced(df, ["side"], "ts", "n", files.kept).collect()) == [2, 3, 4, 5]
 
 
 def test_suppression(spark):
