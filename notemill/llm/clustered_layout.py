@@ -23,7 +23,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SALTS, kept, table, to_salts
+from .common import SALTS, kept, sql_crc32, table, to_salts
 
 #: Coordinates of a dimension (a power of two), and rows of a file.
 GRID, FILE_ROWS = 16, 500
@@ -194,8 +194,7 @@ _DIGITS = " + ".join(f"((c_{name} >> {bit}) & 1) * {1 << (bit * 4 + 3 - k)}" for
 OP12_SQL = f"""
 WITH v AS (
   SELECT doc_id, text, source, lang, CASE WHEN text IS NULL THEN -1 ELSE strlen(text) END AS length,
-    xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
-      lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda r, i: xor(r >> 1, 3988292384 * (r & 1)))), 4294967295) % 365 AS date
+    {sql_crc32("doc_id::VARCHAR")} % 365 AS date
   FROM documents),
 c AS (
   SELECT doc_id, text, {", ".join(f"(16 * (rank() OVER (ORDER BY {name} NULLS FIRST) - 1)) // count(*) OVER () AS c_{name}" for name in ("source", "lang", "length", "date"))} FROM v),

@@ -116,3 +116,9 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         if done:
             dropped(both)
             return labels
+
+
+def sql_crc32(text: str) -> str:
+    """The CRC-32 of a text of ASCII characters in DuckDB's SQL, which has no function for it: eight steps for each byte."""
+    return f"""xor(list_reduce([4294967295::BIGINT] || list_transform(string_split({text}, ''), lambda c: ascii(c)::BIGINT),
+      lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda r, i: xor(r >> 1, 3988292384 * (r & 1)))), 4294967295)"""

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SALTS, kept, reachable, table, to_salts
+from .common import SALTS, kept, reachable, sql_crc32, table, to_salts
 
 #: Costs of edits; a truncated row that stays costs TRUNCATED more.
 DELETE, REROLE, INSERT, TRUNCATED = 4, 3, 3, 3
@@ -113,22 +113,27 @@ def parsed(rows: str) -> tuple[int, str]:
     return best[0], "".join(reversed(edits))
 
 
-def faulty(rows: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, text, row, fault): each row's number in order, and its first fault: b (blank), d (duplicate), t (truncated) or - for none."""
+def in_order(rows: DataFrame) -> DataFrame:
+    """(conv_id, turn, role, text, row, same, blank, cut): rows with their number in order, a hash that equal rows of a conversation share, and whether they are blank or don't end as a sentence."""
     spark = rows.sparkSession
     reachable(spark)
     rows = rows.select("conv_id", "turn", F.coalesce("role", F.lit(" ")).alias("role"), F.coalesce("text", F.lit(" ")).alias("text"))
     same = F.sha2(F.concat_ws(":", F.coalesce(F.length(F.col("conv_id").cast("string")), F.lit(-1)).cast("string"), F.col("conv_id").cast("string"), F.length("role").cast("string"), "role", "text"), 256)
-    rows = rows.withColumn("same", same).withColumn("any", F.monotonically_increasing_id())
+    rows = rows.withColumn("same", F.unhex(same)).withColumn("any", F.monotonically_increasing_id())
     keys = ["conv_id", "turn", "role", "same", "any"]  # the last one lets a range end among equal rows
     rows = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys).drop("any")
-    rows = kept(rows.withColumn("row", F.monotonically_increasing_id()), "conversation-rows")
-    again = rows.groupBy("same").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("same", "first")
     blank = ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
     cut = ~F.col("text").rlike(r"[.!?][\x20\x09-\x0D]*\z")
-    fault = F.when(blank, "b").when(F.col("row") > F.col("first"), "d").when(cut, "t").otherwise("-")
-    salted = rows.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int")).join(to_salts(again), ["same", "salt"], "left")
-    return salted.select("conv_id", "turn", "role", "text", "row", fault.alias("fault"))
+    return kept(rows.withColumns({"row": F.monotonically_increasing_id(), "blank": blank, "cut": cut}), "conversation-rows")
+
+
+def faults(rows: DataFrame) -> DataFrame:
+    """(conv_id, turn, row, letters) of what in_order() gives, without texts: the role's initial (- for one that isn't the grammar's) and the first fault: b (blank), d (duplicate), t (truncated) or - for none."""
+    again = rows.groupBy("same").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("same", "first")
+    fault = F.when(F.col("blank"), "b").when(F.col("row") > F.col("first"), "d").when(F.col("cut"), "t").otherwise("-")
+    initial = F.substring("role", 1, 1)
+    narrow = rows.select("conv_id", "turn", "row", "same", "blank", "cut", F.when(initial.isin("s", "u", "a"), initial).otherwise("-").alias("initial"), F.pmod("row", F.lit(SALTS)).cast("int").alias("salt"))
+    return narrow.join(to_salts(again), ["same", "salt"], "left").select("conv_id", "turn", "row", F.concat("initial", fault).alias("letters"))
 
 
 def repaired(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -136,12 +141,11 @@ def repaired(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     rows has conv_id, turn, role and text. Faults: gaps (turns missing between the first and the last), blank, duplicate, truncated, illegal (neighbouring initials that aren't su, ua or au).
     """
-    rows = kept(faulty(rows), "conversation-faults")
-    count = lambda fault: F.count_if(F.col("fault") == fault).alias({"b": "blank", "d": "duplicate", "t": "truncated"}[fault])
+    texts = in_order(rows)
+    rows = kept(faults(texts), "conversation-faults")
+    count = lambda fault: F.count_if(F.substring("letters", 2, 1) == fault).alias({"b": "blank", "d": "duplicate", "t": "truncated"}[fault])
     turns = rows.groupBy("conv_id", "turn").agg(F.count(F.lit(1))).groupBy("conv_id").agg(F.coalesce(F.max("turn") - F.min("turn") + 1 - F.count("turn"), F.lit(0)).cast("long").alias("gaps"))
-    initial = F.substring("role", 1, 1)
-    letters = F.concat(F.when(initial.isin("s", "u", "a"), initial).otherwise("-"), F.col("fault"))
-    each = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("row", letters.alias("letters")))).alias("r"), *map(count, "bdt"))
+    each = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("row", "letters"))).alias("r"), *map(count, "bdt"))
     each = each.select("conv_id", "blank", "duplicate", "truncated", F.array_join(F.col("r.letters"), "").alias("letters"), F.col("r.row").alias("row"))
     out = pa.schema([("cost", pa.int64()), ("audit", pa.string()), ("illegal", pa.int64()), ("place", pa.list_(pa.int32())), ("at", pa.list_(pa.int64()))])
 
@@ -170,7 +174,7 @@ def repaired(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     edits = each.select("conv_id", left.alias("n"), F.explode(F.arrays_zip(F.split("audit", "").alias("edit"), "place", "at")).alias("e")).select("conv_id", "n", "e.*").where("place IS NOT NULL")
     role = F.when((F.col("n") % 2 == 1) & (F.col("place") == 0), "system").when(F.pmod(F.col("place") - F.col("n") % 2, F.lit(2)) == 0, "user").otherwise("assistant")
     made = edits.where("edit = 'I'").select("conv_id", "place", role.alias("role"), F.lit("").alias("text"), "edit")
-    stay = edits.where("edit <> 'I'").withColumnRenamed("at", "row").join(rows.select("row", F.col("role").alias("own"), "text"), "row")
+    stay = edits.where("edit <> 'I'").withColumnRenamed("at", "row").join(texts.select("row", F.col("role").alias("own"), "text"), "row")
     return conversations, stay.select("conv_id", "place", F.when(F.col("edit") == "K", F.col("own")).otherwise(role).alias("role"), "text", "edit").unionByName(made)
 
 
@@ -218,3 +222,48 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ids.join(conversations.withColumnRenamed("conv_id", "c"), same(F.col("c")), "left").join(digests(rows).withColumnRenamed("conv_id", "d"), same(F.col("d")), "left")
     zero = [F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
     return found.select("conv_id", *zero, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.lit(_EMPTY)).alias("repaired_sha256"))
+
+
+def _step(state: str, cost: str, edit: str) -> str:
+    """A state (ten digits of cost, then the audit) after one more edit; such strings compare as (cost, audit)."""
+    return f"lpad((substring({state}, 1, 10)::BIGINT + {cost})::VARCHAR, 10, '0') || substring({state}, 11) || '{edit}'"
+
+
+def _read(to: str, initial: str, sources: str) -> str:
+    """The best of deleting a row and of reading it as initial from one of the sources."""
+    extra = f"(CASE WHEN e.fault = 't' THEN {TRUNCATED} ELSE 0 END)"
+    ways = [f"CASE WHEN e.fault NOT IN ('b', 'd') AND e.initial = '{initial}' THEN {_step(f'a.q{q}', extra, 'K')} END" for q in sources]
+    ways += [f"CASE WHEN e.fault NOT IN ('b', 'd') THEN {_step(f'a.q{q}', f'{REROLE} + {extra}', 'R')} END" for q in sources if initial != "s"]
+    return f"least({', '.join([_step(f'a.q{to}', str(DELETE), 'D'), *ways])})"
+
+
+#: The same rows by the shortest path over four states (nothing, after s, after u, after a), row by row, each followed by the inserts of u and of a.
+OP11_SQL = rf"""
+WITH base AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {sql_crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS kind FROM conversations),
+after AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM base, (SELECT unnest([1, 2]) AS copy) WHERE kind <> 0 AND (copy = 1 OR kind = 3)),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n FROM after),
+rows AS (
+  SELECT *, substring(role, 1, 1) AS initial, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'b' WHEN n > min(n) OVER (PARTITION BY conv_id, role, text) THEN 'd'
+    WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 't' ELSE '-' END AS fault, lag(substring(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY n) AS before FROM ordered),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+    count(*) FILTER (n > 1 AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM rows GROUP BY conv_id),
+best AS (
+  SELECT conv_id, least(f.q0, f.q3) AS best FROM (SELECT conv_id, list_reduce(list({{'fault': fault, 'initial': initial, 'step': step}} ORDER BY n, step), lambda a, e: CASE e.step
+      WHEN 0 THEN {{'q0': {_step("a.q0", str(DELETE), "D")}, 'q1': {_read("1", "s", "0")}, 'q2': {_read("2", "u", "013")}, 'q3': {_read("3", "a", "2")}}}
+      WHEN 1 THEN {{'q0': a.q0, 'q1': a.q1, 'q2': least(a.q2, {", ".join(_step(f"a.q{q}", str(INSERT), "I") for q in "013")}), 'q3': a.q3}}
+      ELSE {{'q0': a.q0, 'q1': a.q1, 'q2': a.q2, 'q3': least(a.q3, {_step("a.q2", str(INSERT), "I")})}} END,
+    {{'q0': '0000000000', 'q1': NULL::VARCHAR, 'q2': '0000000003I', 'q3': '0000000006II'}}) AS f FROM rows, (SELECT unnest([0, 1, 2]) AS step) GROUP BY conv_id)),
+edits AS (
+  SELECT *, count(*) FILTER (edit <> 'I') OVER (PARTITION BY conv_id ORDER BY j) AS n, count(*) FILTER (edit <> 'D') OVER (PARTITION BY conv_id ORDER BY j) AS place, count(*) FILTER (edit <> 'D') OVER (PARTITION BY conv_id) AS m
+  FROM (SELECT conv_id, unnest(string_split(substring(best, 11), '')) AS edit, generate_subscripts(string_split(substring(best, 11), ''), 1) AS j FROM best)),
+made AS (
+  SELECT e.conv_id, string_agg(CASE WHEN edit = 'K' THEN r.role WHEN m % 2 = 1 AND place = 1 THEN 'system' WHEN (place - m) % 2 <> 0 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN edit = 'I' THEN '' ELSE r.text END, chr(10) ORDER BY j) AS text
+  FROM edits e JOIN rows r ON r.conv_id IS NOT DISTINCT FROM e.conv_id AND r.n = greatest(e.n, 1) WHERE edit <> 'D' GROUP BY e.conv_id)
+SELECT i.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+  coalesce(substring(best, 1, 10)::BIGINT, 0) AS cost, coalesce(substring(best, 11), '') AS audit, sha256(coalesce(made.text, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM i.conv_id LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM i.conv_id LEFT JOIN made ON made.conv_id IS NOT DISTINCT FROM i.conv_id
+"""

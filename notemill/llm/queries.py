@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op10_byte_bpe
 from .clustered_layout import OP12_SQL, op12_clustered_layout
-from .conversation_repair import op11_conversation_repair
+from .conversation_repair import OP11_SQL, op11_conversation_repair
 from .hamming_search import OP2_SQL, op2_hamming_top_k
 from .html_main import op9_html_main
 from .near_dup import op8_near_dup
@@ -36,4 +36,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_sentence_pieces": op13_sentence_pieces,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_hamming_top_k": OP2_SQL, "op12_clustered_layout": OP12_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_hamming_top_k": OP2_SQL, "op11_conversation_repair": OP11_SQL, "op12_clustered_layout": OP12_SQL}

@@ -133,6 +133,10 @@ def test_repair_of_the_table(spark, sf):
     assert collected(op11_conversation_repair(spark, sf)) == repair_by_force(rows)
 
 
+def test_repair_same_as_sql(spark, sf):
+    assert_same(QUERIES["op11_conversation_repair"], ORACLE_SQL["op11_conversation_repair"], spark, sf)
+
+
 def test_repair_of_odd_rows(spark, tmp_path):
     rng = random.Random(4)
     texts = ["Well.", "Well", "no end", "Is it?  \n", "", " ", "\t\n", None, "long " * 5000 + ".", "é…", "."]
