@@ -49,12 +49,12 @@ def allowed_names(concepts: DataFrame, existing: DataFrame) -> DataFrame:
     return names.select("subject", F.explode(F.array_distinct(F.array(F.lower(name), F.lower(sanitized(name)), concept_key(name)))).alias("form")).distinct()
 
 
-def relation_rows(concepts: DataFrame, existing: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """AGG-1, AGG-2: (subject, name, key, raw, pos): the different relations of each merged name (and its key) as they were written, numbered in the order in which they first came."""
-    named = named_concepts(concepts, existing).withColumn("key", concept_key(F.col("name")))
-    each = named.select("subject", "name", "key", "ord", F.posexplode("related_concepts").alias("at", "raw"))
-    first = each.groupBy("subject", "name", "raw").agg(F.min(F.struct("ord", "at")).alias("first"), F.first("key").alias("key"))
-    return numbered(first, ["subject", "name"], ["first"], keep).select("subject", "name", "key", "raw", F.col("pos").cast("int").alias("pos"))
+def relation_rows(named: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """AGG-1, AGG-2: (subject, name, key, raw, pos): the different relations of each merged name (and its key) as they were written, numbered in the order in which they first came. named is what named_concepts() gives, with key."""
+    # a concept's own repeats go first, so a place is one number for each concept; numbers, unlike structs, are aggregated by hash
+    each = named.select("subject", "name", "key", "ord", F.posexplode(F.array_distinct("related_concepts")).alias("at", "raw"))
+    first = each.groupBy("subject", "name", "key", "raw").agg(F.min("ord").alias("ord"), F.min_by("at", "ord").alias("at"))
+    return numbered(first, ["subject", "name"], ["ord", "at"], keep).select("subject", "name", "key", "raw", F.col("pos").cast("int").alias("pos"))
 
 
 def filtered_relations(concepts: DataFrame, existing: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -63,14 +63,15 @@ def filtered_relations(concepts: DataFrame, existing: DataFrame, keep: Callable[
     Distinct comes first, so two spellings of one concept both stay. What becomes of a spelling is found once for each different one, not for each relation that has it: its canonical name, and whether one of its three forms
     is allowed. concepts needn't be merged. keep writes a table and reads it back.
     """
-    rows = relation_rows(concepts, existing, keep)
+    named = named_concepts(concepts, existing).select("subject", "name", concept_key(F.col("name")).alias("key"), "ord", "related_concepts")
+    rows = relation_rows(named, keep)
     spelled = rows.select("subject", "raw").distinct().withColumn("__key", concept_key(F.col("raw")))
     names = canonical_names(existing).select(F.col("subject").alias("__s"), F.col("key").alias("__k"), "canonical")
     related = F.coalesce("canonical", "raw")
     spelled = spelled.join(names, (F.col("subject") == F.col("__s")) & (F.col("__key") == F.col("__k")), "left").select("subject", "raw", related.alias("related"))
     related = F.col("related")
     forms = spelled.withColumn("form", F.explode(F.array_distinct(F.array(concept_key(related), F.lower(related), F.lower(sanitized(related))))))
-    known = forms.join(allowed_names(named_concepts(concepts, existing), existing), ["subject", "form"], "left_semi").groupBy("subject", "raw").agg(F.first("related").alias("related"))
+    known = forms.join(allowed_names(named, existing), ["subject", "form"], "left_semi").groupBy("subject", "raw").agg(F.first("related").alias("related"))
     known = known.select(F.col("subject").alias("__s"), F.col("raw").alias("__r"), "related", concept_key(F.col("related")).alias("__key"))
     both = rows.join(known, (F.col("subject") == F.col("__s")) & (F.col("raw") == F.col("__r")))
     return both.where(F.col("__key") != F.col("key")).select("subject", "name", "pos", "related")
