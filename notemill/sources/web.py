@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from notemill.functions.text import allowed_host
+from notemill.operators.extract import as_json_lines, resolve
+from notemill.sources.files import kept
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers needn't have this package
 
@@ -70,3 +72,11 @@ def fetched_decks(urls: DataFrame, hosts: tuple[str, ...] | None = None, url: st
     """SRC-2: urls with content (bytes) and is_pdf; both null where a deck can't be fetched or has no address, which is never an error."""
     rows = fetched(urls, hosts, url, **how).drop("status", "charset", "error")
     return rows.withColumn("is_pdf", F.hex(F.substring("content", 1, 4)) == "25504446")
+
+
+def scraped(urls: DataFrame, hosts: tuple[str, ...] | None, url: str = "url", **how: object) -> DataFrame:
+    """SRC-12: one JSON object for each address: the note's fields as of extract.resolve(), or only its address and the error that kept it from being fetched or read."""
+    rows = kept(fetched_html(urls.select(F.col(url).alias("url")), hosts, **how))  # asked once, read twice
+    notes = resolve(rows.where("error IS NULL").select("url", "html"))
+    failed = rows.where("error IS NOT NULL").select("url", "error")
+    return as_json_lines(notes).unionByName(as_json_lines(failed))

@@ -280,3 +280,17 @@ def test_fetch(spark, server):
     assert {r.id: (r.content and bytes(r.content), r.is_pdf) for r in web.fetched_decks(decks).collect()} == {1: (b"%PDF-1.7 x", True), 2: (b"PK", False), 3: (None, None), 4: (None, None)}
     small = web.fetched(decks.where("id = 1"), None, "pdf_url", most_bytes=3).first()
     assert small.content is None and small.error == web.NOT_FETCHED
+
+
+def test_scraped_lines(spark, server):
+    import json
+
+    from notemill.sources import web
+
+    base, asked = server
+    asked.clear()
+    df = spark.createDataFrame([(f"{base}/page",), (f"{base}/missing",), ("http://example.invalid/",)], "url string")
+    lines = {d["url"]: d for r in web.scraped(df, ("127.0.0.1",)).collect() for d in [json.loads(r.value)]}
+    assert lines[f"{base}/page"]["error"] == "no note data on the page" and lines[f"{base}/page"]["note_id"] == "page"
+    assert lines[f"{base}/missing"] == {"url": f"{base}/missing", "error": web.NOT_FETCHED} and lines["http://example.invalid/"]["error"] == web.NOT_ALLOWED
+    assert sorted(p for p, _ in asked) == ["/missing", "/page"]
