@@ -19,6 +19,8 @@ SLIDES = r'"slides_url"\s*:\s*"([^"]+)"'
 SLIDES_HOSTS = r"""(https?://(?:[a-z0-9-]+\.supabase\.co/storage/v1/object/sign|[a-z0-9-]+\.r2\.cloudflarestorage\.com)/[^\s"'\\]+)"""
 NOTE_ID = r'"token"\s*:\s*"([0-9a-f-]{36})"'
 LONG_STRING = r'"((?:[^"\\]|\\.){100,}+)"'
+#: The same by the characters between the quotes, of which an escape has two: none of the first hundred ends the string.
+LONG_RAW_STRING = r'"(?=(?:[^"]|(?<=[^\\](?:\\\\){0,50}\\)"){100})((?:[^"\\]|\\.)++)"'
 SEGMENT_TEXT = r'"text"\s*:\s*"((?:[^"\\]|\\.){5,}+)"'
 OG_TITLE = r'(?i)<meta\s+property="og:title"\s+content="([^"]*?)"\s*/?>'
 OG_DESCRIPTION = r'(?i)<meta\s+property="og:description"\s+content="([^"]*?)"\s*/?>'
@@ -63,9 +65,9 @@ def _contains_none(x: Column, words: tuple[str, ...]) -> Column:
     return out
 
 
-def long_strings(payload: Column) -> Column:
-    """PAR-9: decoded strings of 100 characters or more that look like content, the longest first."""
-    found = F.regexp_extract_all(payload, F.lit(LONG_STRING), F.lit(1))
+def long_strings(payload: Column, pattern: str = LONG_STRING) -> Column:
+    """PAR-9: decoded strings of 100 characters or more that look like content, the longest first. An escape is one character, or two with LONG_RAW_STRING."""
+    found = F.regexp_extract_all(payload, F.lit(pattern), F.lit(1))
     as_struct = F.transform(found, lambda x, i: F.struct(json_string(x).alias("json"), _replaced(x, ("\\n", "\n"), ('\\"', '"')).alias("raw"), i.alias("i")))
     kept = F.filter(as_struct, lambda s: F.when(s["json"].isNotNull(), _contains_none(s["json"], NOT_CONTENT)).otherwise(_contains_none(s["raw"], NOT_CONTENT_RAW)))
     ranked = F.sort_array(F.transform(kept, lambda s: F.struct((-F.length(F.coalesce(s["json"], s["raw"]))).alias("n"), s["i"].alias("i"), F.coalesce(s["json"], s["raw"]).alias("text"))))

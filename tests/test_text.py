@@ -222,3 +222,10 @@ def test_model_answers(spark):
     got = [r[0] for r in spark.createDataFrame([(good,), ("{",), ('{"tags":[]}',)], "x string").select(extract.concept_answer(F.col("x"))).collect()]
     assert got[1:] == [None, None]
     assert got[0].concepts == [Row(name="n", definition="", related_concepts=["a"], example=None, caution=None, lecture_context=None)]
+
+
+def test_long_strings_by_raw_length(spark):
+    texts = ['q"' + "a" * 96 + '"', 'q"' + "a" * 94 + '"', "\\" * 50, "\\" * 49 + "b", "\\" * 3 + '"' * 47, "c" * 100, "c" * 99]
+    payload = F.to_json(F.split("x", "\n"))
+    assert one(spark, extract.long_strings(payload, extract.LONG_RAW_STRING), "\n".join(texts)) == [[texts[5], texts[0], texts[2], texts[4]]]
+    assert one(spark, extract.long_strings(payload), "\n".join(texts)) == [[texts[5]]]
