@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notemill.functions.text import blank_to_null, escaped_pattern, escaped_replacement, trimmed
+from notemill.sources.files import kept
 
 
 @dataclass(frozen=True)
@@ -203,12 +204,14 @@ def linked(body: Column, names: Column, safe: bool = False) -> Column:
     safe also leaves alone what is anywhere inside a link.
     """
     after = r"(?![^\[\]\n]*\]\])" if safe else r"(?!\]\])"
-    return F.aggregate(names, body, lambda text, name: F.regexp_replace(text, F.concat(F.lit(r"(?iu)(?<!\[\[)"), escaped_pattern(name), F.lit(after)), F.concat(F.lit("[["), escaped_replacement(name), F.lit("]]"))))
+    # what stands before is looked at where the name was found, not at every character
+    return F.aggregate(names, body, lambda text, name: F.regexp_replace(text, F.concat(F.lit("(?iu)"), escaped_pattern(name), F.lit(r"(?<!\[\["), escaped_pattern(name), F.lit(")" + after)), F.concat(F.lit("[["), escaped_replacement(name), F.lit("]]"))))
 
 
 def folded_case(x: Column) -> Column:
     """x with letters that match each other whatever their case made one. (Signs between the two steps also keep the optimizer from taking them for one.)"""
-    return F.replace(F.lower(F.translate(F.upper(F.translate(x, "ẞİ", "ßi")), "\u212a\u212b\u2126", "kåω")), F.lit("ς"), F.lit("σ"))
+    any_text = F.replace(F.lower(F.translate(F.upper(F.translate(x, "ẞİ", "ßi")), "\u212a\u212b\u2126", "kåω")), F.lit("ς"), F.lit("σ"))
+    return F.when(F.length(x) == F.octet_length(x), F.lower(x)).otherwise(any_text)  # ASCII takes one step
 
 
 def linked_texts(docs: DataFrame, names: DataFrame, doc: str, text: str, name: str, order: str) -> DataFrame:
@@ -226,7 +229,7 @@ def linked_texts(docs: DataFrame, names: DataFrame, doc: str, text: str, name: s
     size = F.least(F.length("__anchor"), F.lit(3))
 
     rows = docs.withColumn("__doc", F.xxhash64(doc, text))
-    words = rows.select("__doc", F.explode(F.array_distinct(run(F.col(text)))).alias("__word")).distinct()
+    words = kept(rows.select("__doc", F.array_distinct(run(F.col(text))).alias("__words"))).select("__doc", F.explode("__words").alias("__word"))
     vocabulary = words.select("__word").distinct()
     anchors = own.select("__anchor").distinct()
     # how many anchors have a run of characters tells how common it is; each anchor is looked up by its rarest one
@@ -234,12 +237,14 @@ def linked_texts(docs: DataFrame, names: DataFrame, doc: str, text: str, name: s
     rarest = each.join(each.groupBy("__gram").agg(F.count(F.lit(1)).alias("n")), "__gram").groupBy("__anchor").agg(F.min_by("__gram", F.struct("n", "__gram")).alias("__gram"))
     sizes = F.array(*[F.lit(r[0]) for r in own.select(size).distinct().collect()]).cast("array<int>")  # of 1, 2 and 3
     of_words = vocabulary.select("__word", F.explode(F.array_distinct(F.flatten(F.transform(sizes, lambda k: grams(F.col("__word"), k))))).alias("__gram"))
-    having = of_words.join(rarest, "__gram").where(F.contains("__word", "__anchor")).select("__word", "__anchor").join(own, "__anchor").select("__word", "__order", "__name")
-    found = words.join(having, "__word").select("__doc", F.struct("__order", "__name").alias("n"))
+    having = of_words.join(rarest, "__gram").where(F.contains("__word", "__anchor")).select("__word", "__anchor").join(own, "__anchor").select("__word", "__order", "__name", (folded_case(F.col("__name")) != F.col("__anchor")).alias("__more"))
+    found = words.join(kept(having), "__word").select("__doc", F.struct("__order", "__name", "__more").alias("n"))  # written, it is of a known size: the texts' words only move where it is large
     some = found.groupBy("__doc").agg(F.collect_set("n").alias("__some"))
     bare = lambda x: folded_case(F.regexp_replace(x, r"[\[\]]", ""))  # noqa: E731  links that are made change nothing else
-    there = F.filter(F.sort_array("__some"), lambda n: F.contains("__bare", bare(n["__name"])))
-    out = rows.join(some, "__doc", "left").withColumn("__bare", bare(F.col(text)))
+    # a name that is more than its anchor is looked for first; the text is folded once for all of them
+    checked = let(bare(F.col(text)), lambda whole: F.filter("__some", lambda n: ~n["__more"] | F.contains(whole, bare(n["__name"]))))
+    there = F.sort_array(F.when(F.exists("__some", lambda n: n["__more"]), checked).otherwise(F.col("__some")))
+    out = rows.join(some, "__doc", "left")
     return out.withColumn(text, F.when(F.col("__some").isNull(), F.col(text)).otherwise(linked(F.col(text), F.transform(there, lambda n: n["__name"])))).select(*docs.columns)
 
 

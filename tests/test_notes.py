@@ -445,3 +445,12 @@ def test_sections_in_the_jvm_are_those_of_the_scan(spark):
     assert all(r.s.asDict(recursive=True) == sections_of(texts[r.i]) for r in pairs)
     odd = df.select(F.count_if(notes.orderly_sections(F.coalesce("content", F.lit(""))).isNull())).first()[0]
     assert 20 < odd < 100
+
+
+def test_links_fold_a_text_once(spark):
+    """The text's folding is bound outside of what is done for each name."""
+    df = spark.createDataFrame([(1, "deep graph theory of GRAPH theory and graphs")], "id int, text string")
+    book = spark.createDataFrame([(i, n) for i, n in enumerate(["graph theory", "graph", "theory of", "deep x graph"])], "ord int, name string")
+    out = notes.linked_texts(df, book, "id", "text", "name", "ord")
+    assert out.first().text == "deep [[graph theory]] of [[graph theory]] and [[graph]]s"
+    assert "transform(array(" in out._jdf.queryExecution().optimizedPlan().toString()
