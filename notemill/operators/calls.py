@@ -224,6 +224,7 @@ def generated(
     With keys, model makes a provider from a key (EXT-6). A key belongs to one lane, and a lane is one partition with one clock, so a key's calls are delay_s apart in every plan; a refused call goes on to the lane's next
     key. lanes is how many calls may be made side by side, one for each key where it isn't given; with one lane all keys rotate. Rows are dealt to lanes by the hash of their ids.
     (A task that Spark starts twice, by speculation or after a loss, has a clock of its own.)
+    Without a delay nothing has to be kept apart: where lanes isn't given either, rows stay in their partitions and every task rotates all keys, so that no task reads a key's share of the whole input.
 
     in_order = (deck, slide) makes each deck's calls in one task, in order, and stops a deck's calls at the refusal that breaks it (WIN-3): later slides have no row. A deck is then in one lane.
 
@@ -232,7 +233,7 @@ def generated(
     types = {c: prompts.schema[c].dataType.simpleString() for c in id_cols}
     images = [images_col] if images_col else []
     names = [*id_cols, "answer", "error", "wall_ms", *(["calls"] if stamps else [])]
-    count = max(1, min(lanes or len(keys), len(keys))) if keys else None
+    count = max(1, min(lanes or len(keys), len(keys))) if keys and (delay_s > 0 or lanes is not None) else None
 
     def answer(own: Provider, prompt: str, pictures: list[bytes]) -> str:
         if validate is not None:
@@ -260,10 +261,10 @@ def generated(
                 def with_key(key: str, ask: Callable[..., str] = ask) -> str:
                     return ask(model(key), key)
 
-                if count is not None and lane[i] not in rotating:
-                    rotating[lane[i]] = RotatingKeys(list(keys[lane[i] :: count]), delay_s, sleep=sleep)
+                if keys and lane[i] not in rotating:
+                    rotating[lane[i]] = RotatingKeys(list(keys if count is None else keys[lane[i] :: count]), delay_s, sleep=sleep)
                 try:
-                    text, error = with_retry((lambda r=rotating[lane[i]], f=with_key: r.call(f)) if count is not None else (lambda f=ask: f(model)), sleep), None
+                    text, error = with_retry((lambda r=rotating[lane[i]], f=with_key: r.call(f)) if keys else (lambda f=ask: f(model)), sleep), None
                 except DATA_ERRORS as e:
                     text, error, kind = None, str(e) or type(e).__name__, kind_of(e)
                     if kind != kind_of_error(error):  # a message that doesn't say what it is

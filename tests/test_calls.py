@@ -112,3 +112,11 @@ def test_keep_makes_one_run(spark, tmp_path):
     slides, totals = calls.slide_run(prompts(spark, {"a": ["x", "y"]}), Counting(tmp_path / "calls"), keep=keep)
     assert slides.count() == 2 and totals.select(F.sum("n_slides")).first()[0] == 2
     assert len(Counting(tmp_path / "calls").seen()) == 2
+
+
+def test_keys_without_a_delay_need_no_lanes(spark, tmp_path):
+    df = spark.createDataFrame([(i, "p" if i % 5 else "only not k1") for i in range(40)], "id int, prompt string").repartition(8)
+    made = lambda **how: calls.generated(df, lambda key: Counting(tmp_path, key), ["id"], keys=["k1", "k2"], sleep=no_sleep, **how)
+    assert made(delay_s=0.0).rdd.getNumPartitions() == 8 and made(delay_s=0.1).rdd.getNumPartitions() == made(delay_s=0.0, lanes=2).rdd.getNumPartitions() == 2
+    rows = made(delay_s=0.0).collect()
+    assert sorted(r.id for r in rows) == list(range(40)) and all(r.answer for r in rows)
