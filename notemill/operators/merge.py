@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from notemill.functions.text import trimmed
-from notemill.operators.notes import LABELS, Labels, has_sections, headings, let, links, marker, split_managed, with_sections
-from notemill.sources.files import updated_table
+from notemill.operators.notes import LABELS, Labels, has_sections, headings, let, links, marker, sections_of, split_managed, with_sections
+from notemill.sources.files import kept, updated_table
 
 DIFF_MOST, REPLACED_SHARE = 8, 0.5
 
@@ -49,8 +49,8 @@ def deck_changes(matches: DataFrame) -> DataFrame:
 def new_lines(current: Column, following: Column) -> Column:
     """AGG-7 in a row: how many lines of following, repeated ones each, aren't among current's."""
     lines = lambda x: F.filter(F.transform(F.split(x, "\n"), trimmed), lambda s: s != "")
-    have = F.array_distinct(lines(current))
-    return F.size(F.filter(lines(following), lambda s: ~F.array_contains(have, s)))
+    # the lines are taken once, not once for each line; what both have is found by hash, and most often it is little
+    return let(lines(following), lambda new: let(F.array_intersect(new, lines(current)), lambda both: F.size(F.filter(new, lambda s: ~F.array_contains(both, s)))))
 
 
 def changed_lines(current: DataFrame, following: DataFrame) -> DataFrame:
@@ -167,27 +167,33 @@ def reimported(spark: SparkSession, folder: str, incoming: DataFrame, labels: La
     return updated_table(spark, folder, merge)
 
 
+def _marks(content: Column, labels: Labels) -> Column:
+    """What matching needs of a note's sections: array of (ord, slide_num, hash)."""
+    narrow = lambda x: F.transform(x["sections"], lambda s: F.struct(s["ord"].alias("ord"), s["slide_num"].alias("slide_num"), s["hash"].alias("hash")))
+    return let(F.coalesce(content, F.lit("")), lambda text: narrow(sections_of(text, labels)))
+
+
 def update_summary(notes: DataFrame, labels: Labels = LABELS) -> DataFrame:
     """MRG-6: what a re-import would change, for notes (note_path, current, next, concept_names)."""
     cur, nxt = F.col("current"), F.col("next")
     own = lambda x: F.coalesce(F.nullif(split_managed(x, labels)["managed"], F.lit("")), x)
-    df = notes.withColumns({"__c": own(cur), "__n": own(nxt)})
     is_update = cur.isNotNull()
+    df = kept(notes.select("note_path", "concept_names", is_update.alias("is_update"), own(cur).alias("__c"), own(nxt).alias("__n"), has_sections(cur, labels).alias("__cs"), has_sections(nxt, labels).alias("__ns"), F.when(is_update & has_sections(nxt, labels), _marks(cur, labels)).alias("__old"), F.when(is_update & has_sections(nxt, labels), _marks(nxt, labels)).alias("__new")))
+    is_update = F.col("is_update")
     only = lambda x, other: F.when(is_update, x).otherwise(other)
     none = F.array().cast("array<string>")
     flat = df.select(
         "note_path",
-        is_update.alias("is_update"),
+        "is_update",
         only(capped_difference(headings(F.col("__n")), headings(F.col("__c"))), none).alias("added_sections"),
         only(capped_difference(headings(F.col("__c")), headings(F.col("__n"))), none).alias("removed_sections"),
         only(capped_difference(F.array_distinct("concept_names"), links(F.col("__c"))), F.col("concept_names")).alias("added_concepts"),
         only(capped_difference(links(F.col("__c")), F.col("concept_names")), none).alias("removed_concepts"),
         only(new_lines(F.col("__c"), F.col("__n")), F.lit(0)).alias("changed_line_count"),
-        (is_update & has_sections(nxt, labels) & ~has_sections(cur, labels)).alias("becomes_sectioned"),
+        (is_update & F.col("__ns") & ~F.col("__cs")).alias("becomes_sectioned"),
     )
-    both = notes.where(is_update & has_sections(nxt, labels))
-    each = lambda c: with_sections(both.select("note_path", c), c, labels).select(F.col("note_path").alias("note"), F.explode("sections").alias("s")).select("note", "s.*")
-    matches = matched_sections(each("current"), each("next"))
+    each = lambda c: df.select(F.col("note_path").alias("note"), F.explode(c).alias("s")).select("note", "s.*")
+    matches = matched_sections(each("__old"), each("__new"))
     in_order = lambda kind, by, x: F.transform(F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.struct(F.col(by), x.alias("x"))))), lambda s: s["x"])
     slides = matches.groupBy("note").agg(
         in_order("reorder", "new_ord", F.struct(F.col("old_slide").alias("from"), F.col("new_slide").alias("to"), F.col("new_hash").alias("hash"))).alias("slide_reorders"),

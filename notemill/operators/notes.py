@@ -176,11 +176,15 @@ def paired_sections(content: Column, labels: Labels = LABELS) -> Column:
     return let(frontmatter(content), lambda front: let(rest(front), lambda body: let(marks_of(body), lambda marks: placed(front, body, marks))))
 
 
+def sections_of(text: Column, labels: Labels = LABELS) -> Column:
+    """PAR-20: a note's frontmatter, preamble and sections as a struct."""
+    return F.coalesce(orderly_sections(text, labels), paired_sections(text, labels))
+
+
 def with_sections(notes: DataFrame, content: str = "content", labels: Labels = LABELS) -> DataFrame:
     """notes with frontmatter, preamble and sections (array) of each. Notes whose markers are in order, as all are that nobody has cut up, need no pairing."""
     text = F.coalesce(F.col(content), F.lit(""))
-    both = F.coalesce(orderly_sections(text, labels), paired_sections(text, labels))
-    return notes.withColumn("__s", both).select(*notes.columns, "__s.frontmatter", "__s.preamble", "__s.sections")
+    return notes.withColumn("__s", sections_of(text, labels)).select(*notes.columns, "__s.frontmatter", "__s.preamble", "__s.sections")
 
 
 def headings(body: Column) -> Column:

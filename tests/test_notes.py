@@ -454,3 +454,11 @@ def test_links_fold_a_text_once(spark):
     out = notes.linked_texts(df, book, "id", "text", "name", "ord")
     assert out.first().text == "deep [[graph theory]] of [[graph theory]] and [[graph]]s"
     assert "transform(array(" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_new_lines_takes_a_notes_lines_once(spark):
+    df = spark.createDataFrame([("a\n b\n\nb", "b\nc\n c \na\n\nd"), ("", "x\nx"), ("x", "")], "a string, b string")
+    out = df.select(merge.new_lines(F.col("a"), F.col("b")).alias("n"))
+    assert [r.n for r in out.collect()] == [3, 2, 0]
+    tests = out._jdf.queryExecution().optimizedPlan().toString().split("array_contains(")[1:]
+    assert tests and all(t.startswith("lambda") for t in tests)
