@@ -170,10 +170,14 @@ def save_files(df: DataFrame, folder: str) -> None:
         from pyarrow import fs
 
         store, root = fs.FileSystem.from_uri(folder if re.match(r"[A-Za-z][\w+.-]*:/", folder) else f"file://{os.path.abspath(folder)}")
+        made = set()
         for row in rows:
             target = f"{root.rstrip('/')}/{row.path}"
-            store.create_dir(os.path.dirname(target), recursive=True)
-            part = f"{os.path.dirname(target)}/.{uuid.uuid4().hex}"
+            folder_of = os.path.dirname(target)
+            if folder_of not in made:  # once for each folder, not for each file
+                store.create_dir(folder_of, recursive=True)
+                made.add(folder_of)
+            part = f"{folder_of}/.{uuid.uuid4().hex}"
             with store.open_output_stream(part) as f:
                 f.write(row.content if isinstance(row.content, bytes | bytearray) else (row.content or "").encode())
             store.move(part, target)

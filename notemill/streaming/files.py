@@ -58,6 +58,7 @@ class _Changes(DataSourceStreamReader):
     def __init__(self, folder: str, pattern: str, settle_ms: int, most: int):
         self.folder, self.pattern, self.settle_ms, self.most = folder, pattern, settle_ms, most
         self.seen = 0
+        self.found: tuple[int, list[tuple[str, int]]] = (0, [])  # where the last listing with files began, and what it found
 
     def initialOffset(self) -> dict[str, int]:  # noqa: N802
         return {"until": 0}
@@ -65,12 +66,17 @@ class _Changes(DataSourceStreamReader):
     def latestOffset(self) -> dict[str, int]:  # noqa: N802
         """The time of the last change that has settled; it never goes back, even where files are deleted."""
         files = listed(self.folder, self.pattern, self.seen, time.time_ns() - self.settle_ms * 1_000_000)
+        if files:
+            self.found = (self.seen, files)
         self.seen = max(self.seen, files[-1][1] if files else 0)
         return {"until": self.seen}
 
     def partitions(self, start: dict[str, int], end: dict[str, int]) -> Sequence[InputPartition]:
         self.seen = max(self.seen, end["until"])
-        return [_Files(part) for part in planned(listed(self.folder, self.pattern, start["until"], end["until"]), self.most)]
+        after, files = self.found
+        if (after, files[-1][1] if files else 0) != (start["until"], end["until"]):  # not the batch that was found last, as after a start from a checkpoint
+            files = listed(self.folder, self.pattern, start["until"], end["until"])
+        return [_Files(part) for part in planned(files, self.most)]
 
     def read(self, partition: Any) -> Iterator[tuple[Any, ...]]:
         import datetime

@@ -294,3 +294,19 @@ def test_scraped_lines(spark, server):
     assert lines[f"{base}/page"]["error"] == "no note data on the page" and lines[f"{base}/page"]["note_id"] == "page"
     assert lines[f"{base}/missing"] == {"url": f"{base}/missing", "error": web.NOT_FETCHED} and lines["http://example.invalid/"]["error"] == web.NOT_ALLOWED
     assert sorted(p for p, _ in asked) == ["/missing", "/page"]
+
+
+def test_a_batch_is_listed_once(tmp_path, monkeypatch):
+    from notemill.streaming import files as changes
+
+    calls, real = [], changes.listed
+    monkeypatch.setattr(changes, "listed", lambda *a: calls.append(a) or real(*a))
+    for i in range(5):
+        (tmp_path / f"{i}.md").write_text(str(i))
+    reader = changes._Changes(str(tmp_path), "*.md", 0, 2)
+    end = reader.latestOffset()
+    parts = reader.partitions({"until": 0}, end)
+    assert len(calls) == 1 and sorted(n for p in parts for n, _ in p.files) == [f"{i}.md" for i in range(5)]
+    again = changes._Changes(str(tmp_path), "*.md", 0, 2)  # a new start knows nothing
+    assert sorted(n for p in again.partitions({"until": 0}, end) for n, _ in p.files) == [f"{i}.md" for i in range(5)]
+    assert reader.partitions(end, reader.latestOffset()) == []
