@@ -42,7 +42,12 @@ def slug(text: Column) -> Column:
 
 def concept_key(name: Column) -> Column:
     """SCL-6: the key under which spellings of one concept meet."""
-    return F.regexp_replace(F.lower(sanitized(name)), r"(?U)[\s_-]+", "")
+    return key_of_sanitized(sanitized(name))
+
+
+def key_of_sanitized(name: Column) -> Column:
+    """concept_key() of a name that is sanitized already."""
+    return F.regexp_replace(F.lower(name), r"(?U)[\s_-]+", "")
 
 
 def subject_key(subject: Column) -> Column:

@@ -5,12 +5,14 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from notemill.functions.text import concept_key, sanitized, trimmed
+from notemill.functions.text import concept_key, key_of_sanitized, sanitized, trimmed
 from notemill.operators.notes import LABELS, Labels
-from notemill.operators.ranks import numbered
+
+#: Bounds of how many relations of one name a row may have.
+LEAST_BLOCK, MOST_BLOCK = 50_000, 500_000
 
 
 def canonical_names(existing: DataFrame) -> DataFrame:
@@ -49,31 +51,59 @@ def allowed_names(concepts: DataFrame, existing: DataFrame) -> DataFrame:
     return names.select("subject", F.explode(F.array_distinct(F.array(F.lower(name), F.lower(sanitized(name)), concept_key(name)))).alias("form")).distinct()
 
 
-def relation_rows(named: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """AGG-1, AGG-2: (subject, name, key, raw, pos): the different relations of each merged name (and its key) as they were written, numbered in the order in which they first came. named is what named_concepts() gives, with key."""
-    # a concept's own repeats go first, so a place is one number for each concept; numbers, unlike structs, are aggregated by hash
-    each = named.select("subject", "name", "key", "ord", F.posexplode(F.array_distinct("related_concepts")).alias("at", "raw"))
-    first = each.groupBy("subject", "name", "key", "raw").agg(F.min("ord").alias("ord"), F.min_by("at", "ord").alias("at"))
-    return numbered(first, ["subject", "name"], ["ord", "at"], keep).select("subject", "name", "key", "raw", F.col("pos").cast("int").alias("pos"))
-
+def relation_rows(named: DataFrame, counted: DataFrame, keep: Callable[[DataFrame], DataFrame], most: int | None = None) -> DataFrame:
+    """AGG-1, AGG-2: (subject, name, key, raw, pos): the different relations of each merged name (and its key) as they were written, numbered in the order in which they first came. named is what named_concepts() gives,
+    counted (subject, name, ord, n) how many relations its concepts have.
 
-def filtered_relations(concepts: DataFrame, existing: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    Concepts, not relations, are shuffled to their names. A name with more than most relations (else a share of a task's, between LEAST_BLOCK and MOST_BLOCK) is cut to blocks of concepts that follow one another; of what its
+    blocks have in common the first stays, and a block's places begin where those of the blocks before it end. So no row and no task gathers such a name.
+    """
+    ranges = int(named.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sizes = keep(counted.groupBy("subject", "name").agg(F.sum("n").alias("n")))
+    all_of, largest = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    most = most or max(LEAST_BLOCK, min(MOST_BLOCK, all_of // (4 * ranges)))
+    some = named.where(F.col("related_concepts").isNotNull()).select("subject", "name", "ord", "related_concepts")
+    if largest > most:
+        n = min(2 * -(-largest // most), 10_000)
+        hot = F.broadcast(sizes.where(F.col("n") > most).select(F.col("subject").alias("__s"), F.col("name").alias("__n")))
+        mine = (F.col("subject") == F.col("__s")) & (F.col("name") == F.col("__n"))
+        cuts = keep(counted.join(hot, mine).groupBy("__s", "__n").agg(F.percentile_approx("ord", [k / n for k in range(1, n)], 10 * n).alias("__cuts")))
+        # equal ords are never cut apart
+        some = some.join(F.broadcast(cuts), mine, "left").withColumn("block", F.when(F.col("__cuts").isNull(), -1).otherwise(F.size(F.filter("__cuts", lambda c: c < F.col("ord")))))
+    else:
+        some = some.withColumn("block", F.lit(-1))
+    in_order = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("ord", "related_concepts"))), lambda x: x["related_concepts"]))
+    each = some.groupBy("subject", "name", "block").agg(F.array_distinct(in_order).alias("raw")).withColumn("key", concept_key(F.col("name")))
+    each = keep(each.select("subject", "name", "key", "block", F.posexplode("raw").alias("pos", "raw")))
+    rows = each.where("block = -1").select("subject", "name", "key", "raw", "pos")
+    if largest <= most:
+        return rows
+    # a place is one number for its block and its place there; numbers, unlike structs, are aggregated by hash
+    first = each.where("block >= 0").groupBy("subject", "name", "key", "raw").agg(F.min(F.shiftleft(F.col("block").cast("long"), 32) + F.col("pos")).alias("at")).withColumn("block", F.shiftright("at", 32))
+    first = keep(first.withColumn("pos", F.row_number().over(Window.partitionBy("subject", "name", "block").orderBy("at"))))
+    before = F.sum("n").over(Window.partitionBy("subject", "name").orderBy("block")) - F.col("n")
+    begins = first.groupBy("subject", "name", "block").agg(F.count(F.lit(1)).alias("n")).withColumn("before", before).drop("n")
+    return rows.unionByName(first.join(F.broadcast(begins), ["subject", "name", "block"]).select("subject", "name", "key", "raw", (F.col("before") + F.col("pos") - 1).cast("int").alias("pos")))
+
+
+def filtered_relations(concepts: DataFrame, existing: DataFrame, keep: Callable[[DataFrame], DataFrame], most: int | None = None) -> DataFrame:
     """JOIN-7, AGG-2: (subject, name, pos, related): relations made distinct, then canonical, kept if they name a known concept that isn't the concept itself.
 
     Distinct comes first, so two spellings of one concept both stay. What becomes of a spelling is found once for each different one, not for each relation that has it: its canonical name, and whether one of its three forms
-    is allowed. concepts needn't be merged. keep writes a table and reads it back.
+    is allowed. concepts needn't be merged. keep writes a table and reads it back. A name with more than most relations is dealt to several tasks.
     """
-    named = named_concepts(concepts, existing).select("subject", "name", concept_key(F.col("name")).alias("key"), "ord", "related_concepts")
-    rows = relation_rows(named, keep)
-    spelled = rows.select("subject", "raw").distinct().withColumn("__key", concept_key(F.col("raw")))
-    names = canonical_names(existing).select(F.col("subject").alias("__s"), F.col("key").alias("__k"), "canonical")
-    related = F.coalesce("canonical", "raw")
-    spelled = spelled.join(names, (F.col("subject") == F.col("__s")) & (F.col("__key") == F.col("__k")), "left").select("subject", "raw", related.alias("related"))
-    related = F.col("related")
-    forms = spelled.withColumn("form", F.explode(F.array_distinct(F.array(concept_key(related), F.lower(related), F.lower(sanitized(related))))))
-    known = forms.join(allowed_names(named, existing), ["subject", "form"], "left_semi").groupBy("subject", "raw").agg(F.first("related").alias("related"))
-    known = known.select(F.col("subject").alias("__s"), F.col("raw").alias("__r"), "related", concept_key(F.col("related")).alias("__key"))
-    both = rows.join(known, (F.col("subject") == F.col("__s")) & (F.col("raw") == F.col("__r")))
+    named = named_concepts(concepts, existing)
+    counted = keep(named.select("subject", "name", "ord", F.size(F.coalesce("related_concepts", F.array().cast("array<string>"))).cast("long").alias("n")))
+    rows = relation_rows(named, counted, keep, most)
+    # a canonical name has the key of what it stands for; patterns are what is dear here, so each is looked for once
+    spelled = rows.select("subject", "raw").distinct().withColumn("__clean", sanitized(F.col("raw"))).withColumn("__key", key_of_sanitized(F.col("__clean")))
+    names = canonical_names(existing).select(F.col("subject").alias("__s"), F.col("key").alias("__k"), "canonical", sanitized(F.col("canonical")).alias("__c"))
+    spelled = spelled.join(names, (F.col("subject") == F.col("__s")) & (F.col("__key") == F.col("__k")), "left")
+    spelled = spelled.select("subject", "raw", "__key", F.coalesce("canonical", "raw").alias("related"), F.coalesce("__c", "__clean").alias("__clean"))
+    forms = spelled.withColumn("form", F.explode(F.array_distinct(F.array("__key", F.lower("related"), F.lower("__clean")))))
+    known = forms.join(allowed_names(counted, existing), ["subject", "form"], "left_semi").groupBy("subject", "raw").agg(F.first("related").alias("related"), F.first("__key").alias("__key"))
+    known = known.select(F.col("subject").alias("__s"), F.col("raw").alias("__r"), "related", "__key")
+    both = rows.join(known.hint("shuffle_hash"), (F.col("subject") == F.col("__s")) & (F.col("raw") == F.col("__r")))
     return both.where(F.col("__key") != F.col("key")).select("subject", "name", "pos", "related")
 
 

@@ -344,8 +344,10 @@ def line_changes(spark: SparkSession, d: str) -> DataFrame:
 def _concepts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """The first word of each line of documents as a concept that relates to the line's other words, and first words of benchmark as existing names."""
     lines = table(spark, d, "documents").select("doc_id", "source", "lang", F.posexplode(F.split("text", "\n")).alias("line", "said"))
-    words = F.split("said", " ")
-    docs = lines.select(F.lit("all").alias("subject"), (F.col("doc_id") * (1 << 20) + F.col("line")).alias("ord"), F.get(words, 0).alias("name"), F.when(F.length("said") > 100, F.col("source")).otherwise("").alias("definition"), F.slice(words, 2, F.size(words)).alias("related_concepts"), F.nullif(F.col("lang"), F.lit("en")).alias("example"), F.lit("").alias("caution"), F.lit(None).cast("string").alias("lecture_context"))
+    # a line is split once, and only where its other words are used
+    space = F.instr("said", " ")
+    words = F.when(space > 0, F.split(F.substring("said", space + 1, F.length("said")), " ")).otherwise(F.array().cast("array<string>"))
+    docs = lines.select(F.lit("all").alias("subject"), (F.col("doc_id") * (1 << 20) + F.col("line")).alias("ord"), F.substring_index("said", " ", 1).alias("name"), F.when(F.length("said") > 100, F.col("source")).otherwise("").alias("definition"), words.alias("related_concepts"), F.nullif(F.col("lang"), F.lit("en")).alias("example"), F.lit("").alias("caution"), F.lit(None).cast("string").alias("lecture_context"))
     existing = table(spark, d, "benchmark").select(F.lit("all").alias("subject"), F.col("item_id").alias("ord"), F.get(F.split("text", r"[ \n]"), 0).alias("name"))
     return docs, existing
 

@@ -254,6 +254,33 @@ def test_relations_of_a_hot_name(spark, seed):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+@pytest.mark.parametrize("most", [None, 5, 40])
+def test_relations_are_shuffled_with_their_concepts(spark, most):
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(40)]
+    rows = [("s", rng.randrange(10**6) * 1000 + i, "hot" if i % 3 else rng.choice(words), "d", rng.choices(words, k=rng.randrange(6)), None, None, None) for i in range(240)]
+    df = spark.createDataFrame(rows, "subject string, ord long, name string, definition string, related_concepts array<string>, example string, caution string, lecture_context string").repartition(3)
+    old = spark.createDataFrame([("s", 0, w) for w in words], "subject string, ord long, name string")
+    plans, blocks = [], []
+
+    def keep(x):
+        plans.append(x._jdf.queryExecution().toString())
+        x = files_kept(x)
+        if "pos" in x.columns and "block" in x.columns and "at" not in x.columns:
+            blocks.extend(r["count"] for r in x.where("name = 'hot'").groupBy("block").count().collect())
+        return x
+
+    relations = {}
+    for _, _, name, _, related, *_ in sorted(rows, key=lambda r: r[1]):
+        relations.setdefault(name, []).extend(related)
+    want = {(name, pos, raw) for name, related in relations.items() for pos, raw in enumerate(dict.fromkeys(related)) if raw != name}
+    how = {"most": most} if most else {}
+    got = [(r.name, r.pos, r.related) for r in concepts.filtered_relations(df, old, keep, **how).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert not any("InArrow" in p or "InPandas" in p for p in plans)
+    assert len(blocks) == 1 if most is None else len(blocks) > 4
+
+
 def test_concept_note_update(spark):
     text = f"# N\n{L.lectures} [[a]]\n{L.related} [[x]]"
     column = lambda v: F.array(*map(F.lit, v)) if isinstance(v, list) else F.lit(v)
