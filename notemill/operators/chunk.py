@@ -120,24 +120,34 @@ class Fill:
 def chunked_parts(parts: DataFrame, key: str, order: str, text: str, most: int, keep: Callable[[DataFrame], DataFrame], paragraph: str = PARAGRAPH, sentence: str = SENTENCE, gap: str = "\n\n") -> DataFrame:
     """CHK-1 for texts whose parts are rows: (key, chunk, text), the chunks of each key's parts in order with a gap between them. Line ends next to such a gap belong to it, and a part of nothing else is left out.
 
-    No text is put together, and a key's pieces may be in many tasks: ranges of pieces are folded side by side from every state that a chunk can be in; the driver joins these tables, one for each range,
-    so that each range knows its state and its first chunk's number, and pieces are brought together by chunk. keep writes a table and reads it back.
+    No text is put together, and a key's parts may be in many tasks: ranges of parts, as the sizes of their pieces alone, are folded side by side from every state that a chunk can be in; the driver joins these tables, one for
+    each range, so that each range knows its state and its first chunk's number. Then each part knows where chunks begin in it, and what it has of a chunk is brought together by chunk: that is all that moves texts, but
+    for the parts meeting their places where these are too many to be broadcast. keep writes a table and reads it back.
     """
     spark = parts.sparkSession
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = parts.select(F.col(key).alias("key"), F.col(order).alias("ord"), F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"^\n+|\n+\z", "").alias("text"))
-    n = F.greatest(F.count_if(F.col("text") != "") - 1, F.lit(0))
-    sizes = rows.groupBy("key").agg((F.ceil((F.sum(F.length("text")) + F.lit(len(gap)) * n) / CHARS_PER_TOKEN) <= most).alias("fits"))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("ord", "text"), F.lit(16)).cast("int"))
-    right = sizes.select(F.col("key").alias("k"), "fits", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("s"))
-    rows = salted.join(right, salted.key.eqNullSafe(F.col("k")) & (F.col("salt") == F.col("s"))).select("key", "ord", "text", "fits")
-    short = rows.where("fits").groupBy("key").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "text"))), lambda x: F.nullif(x["text"], F.lit(""))), gap).alias("text")).select("key", F.lit(0).cast("long").alias("chunk"), "text")
-
-    cut = rows.where(~F.col("fits") & (F.col("text") != "")).select("key", "ord", F.posexplode(pieces(F.col("text"), most, paragraph, sentence, gap)).alias("i", "p"))
-    ordered = cut.select("key", "ord", "i", "p.*").repartitionByRange(ranges, "key", "ord", "i").sortWithinPartitions("key", "ord", "i")
-    at = F.monotonically_increasing_id()
-    ordered = keep(ordered.select("key", F.concat("text", "gap").alias("text"), "tokens", "need", at.alias("row")).withColumn("part", F.shiftright("row", 33).cast("int")))
-    narrow = ordered.select("part", "row", F.xxhash64("key").alias("key"), "tokens", "need").repartitionById(ranges, F.col("part")).sortWithinPartitions("part", "row")
+    rows = parts.select(F.col(key).alias("key"), F.col(order).alias("ord"), F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit("\n")).alias("text"))
+    rows = rows.withColumn("p", pieces(F.col("text"), most, paragraph, sentence, gap))
+    each = lambda c: F.transform("p", lambda p: p[c].cast("int")).alias(c)
+    rows = keep(rows.select("key", "ord", F.monotonically_increasing_id().alias("id"), "text", F.length("text").alias("n"), each("tokens"), each("need")))
+    gaps = F.greatest(F.count_if(F.col("n") > 0) - 1, F.lit(0))
+    sizes = keep(rows.groupBy("key").agg((F.ceil((F.sum("n") + F.lit(len(gap)) * gaps) / CHARS_PER_TOKEN) <= most).alias("fits")))
+    n_short, n_long = sizes.agg(F.count_if("fits"), F.count_if(~F.col("fits"))).first()
+
+    def of(fits: bool) -> DataFrame:
+        """The rows of keys that fit, or don't."""
+        if not (n_long if fits else n_short):
+            return rows
+        right = sizes.where(F.col("fits") == fits).select(F.col("key").alias("__k"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("__s"))
+        return rows.join(right, F.col("key").eqNullSafe(F.col("__k")) & (F.pmod("id", F.lit(16)) == F.col("__s"))).drop("__k", "__s")
+
+    short = of(True).groupBy("key").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "text"))), lambda x: F.nullif(x["text"], F.lit(""))), gap).alias("text")).select("key", F.lit(0).cast("long").alias("chunk"), "text")
+    if not n_long:
+        return short.withColumnRenamed("key", key)
+
+    ordered = of(False).where("n > 0").select("key", "ord", "id", "tokens", "need").repartitionByRange(ranges, "key", "ord", "id").sortWithinPartitions("key", "ord", "id")
+    ordered = keep(ordered.select(F.xxhash64("key").alias("key"), "id", "tokens", "need", F.monotonically_increasing_id().alias("row")).withColumn("part", F.shiftright("row", 33).cast("int")))
+    narrow = ordered.repartitionById(ranges, F.col("part")).sortWithinPartitions("part", "row")
 
     def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One row for each range: its first and last key, the first one's fold from every state, and the last one's fold from none."""
@@ -152,41 +162,67 @@ def chunked_parts(parts: DataFrame, key: str, order: str, text: str, most: int,
                     part, first, last, head, tail = p, k, k, Fill(most), Run(most)
                 if k != last:
                     last, tail = k, Run(most)
-                (head if k == first else tail).add(tokens, need)
+                run = head if k == first else tail
+                for t, n in zip(tokens, need, strict=True):
+                    run.add(t, n)
         if part is not None:
             close()
         columns = list(zip(*done, strict=True)) if done else [[]] * 7
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TABLE, strict=True)], names=list("pflebsn"))
 
     entry: dict[int, tuple[int, int]] = {}
-    state, begun, open_key = 0, 0, None
+    after: dict[int, int] = {}  # the first key of the range after each
+    state, begun, open_key, open_part = 0, 0, None, None
     for r in sorted(narrow.mapInArrow(tables, "p int, f long, l long, e array<int>, b array<long>, s int, n long").collect()):
         entry[r.p] = (state, begun) if r.f == open_key else (0, 0)
         s, b = entry[r.p]
         state, begun = (r.e[s], b + r.b[s]) if r.f == r.l else (r.s, r.n)
-        open_key = r.l
+        if open_part is not None:
+            after[open_part] = r.f
+        open_key, open_part = r.l, r.p
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each part, the number of the chunk that its first piece goes into, the pieces at which what it has of a chunk starts, and whether it is its key's last part."""
         part, key, fill, begun = None, None, Run(most), 0
+        held = None  # what comes after it isn't known yet
         for batch in batches:
             out = []
-            for p, k, tokens, need in zip(*(batch.column(c).to_pylist() for c in ("part", "key", "tokens", "need")), strict=True):
+            for i, row, p, k, tokens, need in zip(*(batch.column(c).to_pylist() for c in ("id", "row", "part", "key", "tokens", "need")), strict=True):
+                if held is not None:
+                    out.append((*held, key != (k if p == part else after.get(part))))
                 if p != part:
                     part, key, (state, begun) = p, k, entry[p]
                     fill = Run(most, state)
                 elif k != key:
                     key, fill, begun = k, Run(most), 0
-                fill.add(tokens, need)
-                out.append(begun + fill.count - 1)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.int64())], names=["row", "chunk"])
-
-    numbered = narrow.mapInArrow(number, "row long, chunk long").join(ordered.select("row", "key", "text"), "row")
-    whole = trimmed(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("row", "text"))), lambda x: x["text"]), ""))
-    made = numbered.groupBy("key", "chunk").agg(whole.alias("text"))
-    ends = made.groupBy("key").agg(F.max("chunk").alias("last")).select(F.col("key").alias("k"), "last")
-    blank = made.where("text = ''").join(ends, F.col("key").eqNullSafe(F.col("k")) & (F.col("chunk") == F.col("last"))).select(F.col("key").alias("bk"), F.col("chunk").alias("bc"))
-    made = made.join(blank, F.col("key").eqNullSafe(F.col("bk")) & (F.col("chunk") == F.col("bc")), "left_anti")
-    return short.unionByName(made).withColumnRenamed("key", key)
+                starts, chunk = [0], 0
+                for j, (t, n) in enumerate(zip(tokens, need, strict=True)):
+                    count = fill.count
+                    fill.add(t, n)
+                    if j == 0:
+                        chunk = begun + fill.count - 1
+                    elif fill.count > count:
+                        starts.append(j)
+                held = (i, row, chunk, starts)
+            yield places(out)
+        if held is not None:
+            yield places([(*held, key != after.get(part))])
+
+    def places(found: list[tuple[int, int, int, list[int], bool]]) -> pa.RecordBatch:
+        columns = list(zip(*found, strict=True)) if found else [[]] * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.bool_()), strict=True)], names=["id", "row", "chunk", "starts", "last"])
+
+    at = keep(narrow.mapInArrow(number, "id long, row long, chunk long, starts array<int>, last boolean"))
+
+    def cut(whole: Column) -> Column:
+        stop = lambda k: F.coalesce(F.get("starts", k + 1), F.size(whole))
+        return F.transform("starts", lambda b, k: F.struct(F.array_join(F.slice(whole, b + 1, stop(k) - b), "").alias("text"), (F.col("last") & (k == F.size("starts") - 1)).alias("last")))
+
+    whole = F.transform(pieces(F.col("text"), most, paragraph, sentence, gap), lambda p: F.concat(p["text"], p["gap"]))
+    bits = rows.select("key", "id", "text").join(at, "id").select("key", "row", "chunk", F.posexplode(F.get(F.transform(F.array(whole), cut), 0)).alias("k", "bit"))
+    made = bits.groupBy("key", (F.col("chunk") + F.col("k")).alias("chunk")).agg(trimmed(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("row", "bit.text"))), lambda x: x["text"]), "")).alias("text"), F.bool_or("bit.last").alias("last"))
+    made = made.where(~F.col("last") | (F.col("text") != "")).drop("last")
+    return (short.unionByName(made) if n_short else made).withColumnRenamed("key", key)
 
 
 _TABLE = (pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int32(), pa.int64())

@@ -280,7 +280,7 @@ SELECT source, {_sql_answer("text")} AS summary, CAST(n_levels AS INTEGER) AS n_
 )
 def subject_summaries(spark: SparkSession, d: str) -> DataFrame:
     """Each source's documents summarised by the offline provider in as many levels as they need, in chunks that are cut across documents."""
-    docs = table(spark, d, "documents").select("source", "doc_id", F.regexp_replace("text", r"^\n+|\n+\z", "").alias("text"))
+    docs = table(spark, d, "documents").select("source", "doc_id", F.btrim("text", F.lit("\n")).alias("text"))
     return calls.summarized_parts(docs, calls.OfflineProvider(max_input_tokens=SUBJECT_TOKENS), "source", "doc_id", kept).select("source", "summary", "n_levels")
 
 

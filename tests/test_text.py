@@ -135,6 +135,23 @@ def test_chunks_of_parts(spark, most, ranges):
         assert [got.get(k, {}).get(i) for i in range(max(len(want), len(got.get(k, {}))))] == want, (k, text)
 
 
+def test_chunks_of_parts_keep_rows_for_parts_not_for_pieces(spark):
+    rng = random.Random(5)
+    parts = [("k", i, " ".join(rng.choice(["ab.", "c!", "\n\nefghij"]) for _ in range(200)) + "\n" * (i % 3)) for i in range(9)] + [("l", 0, "x. " * 90), ("l", 1, "   ")]
+    most, counts, texts = 12, [], []
+
+    def keep(x):
+        x = files.kept(x)
+        counts.append(x.count())
+        texts.append("text" in x.columns)
+        return x
+
+    got = {(r.subject, r.chunk): r.text for r in chunk.chunked_parts(spark.createDataFrame(parts, "subject string, at int, body string"), "subject", "at", "body", most, keep).collect()}
+    want = {(k, i): t for k in "kl" for i, t in enumerate(greedy("\n\n".join(t.strip("\n") for key, _, t in parts if key == k), most))}
+    assert got == want
+    assert max(counts) == len(parts) and sum(texts) == 1
+
+
 def test_fill_is_the_fold_from_every_state():
     rng = random.Random(1)
     for most in (0, 1, 5, 30):
