@@ -6,17 +6,19 @@ import os
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, fields
 from typing import Any
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notemill.functions.text import allowed_host, sanitized
+from notemill.streaming.files import store_of
 
 NOT_SUBJECTS = ("Concepts", "Exam")
+NAMES_AT_ONCE, BYTES_AT_ONCE = 1000, 16 << 20
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -47,17 +49,100 @@ def fetched_pages(pages: DataFrame, hosts: tuple[str, ...]) -> DataFrame:
     return pages.withColumns({"error": F.when(~ok, "host not allowed"), "html": F.when(ok, F.col("html"))})
 
 
+def _folders(spark: SparkSession, folder: str, pattern: str) -> list[str]:
+    """The folders below a folder that a pattern names, as paths below it; all that the driver holds of a listing."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    top = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+    return [s.getPath().toString()[len(top) + 1 :] for s in _statuses(spark, f"{folder}/{pattern}") if s.isDirectory()]
+
+
+def _listed(spark: SparkSession, folder: str, within: list[tuple[str, bool]], pattern: str) -> DataFrame:
+    """(file, a path below folder) of the files with names of a pattern within folders below it, each with whether its own folders are looked through too. Tasks list the folders, one at a time, and the driver holds no file's
+    name. A folder of a local or mounted disk is streamed; of another store that Arrow knows, one folder's names are in its task's memory. Names that begin with a dot are hidden."""
+    wanted = spark.sparkContext._jvm.org.apache.hadoop.fs.GlobPattern(pattern).compiled().pattern()
+
+    def entries(store: Any, at: str) -> Iterator[tuple[str, bool]]:
+        from pyarrow import fs
+
+        if isinstance(store, fs.LocalFileSystem):
+            with os.scandir(at) as found:
+                for e in found:
+                    yield e.name, e.is_dir()
+        else:
+            for f in store.get_file_info(fs.FileSelector(at)):
+                yield f.base_name, f.type == fs.FileType.Directory
+
+    def names(store: Any, root: str, below: str, deep: bool) -> Iterator[str]:
+        waiting, fits = [below], re.compile(wanted, re.DOTALL)
+        while waiting:
+            at = waiting.pop()
+            for name, is_folder in entries(store, f"{root}/{at}" if at else root):
+                path = f"{at}/{name}" if at else name
+                if name.startswith("."):
+                    continue
+                if not is_folder and fits.fullmatch(name):
+                    yield path
+                elif is_folder and deep:
+                    waiting.append(path)
+
+    def found(batches: Any) -> Any:
+        import itertools
+
+        import pyarrow as pa
+
+        store, root = store_of(folder)
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                rest = names(store, root, *within[k])
+                while some := list(itertools.islice(rest, NAMES_AT_ONCE)):
+                    yield pa.RecordBatch.from_arrays([pa.array(some, pa.string())], ["file"])
+
+    return spark.range(0, len(within), 1, max(1, min(len(within), 1000))).mapInArrow(found, "file string")
+
+
+def _contents(spark: SparkSession, folder: str, listed: DataFrame) -> DataFrame:
+    """(file, content) of listed files, read by as many tasks as a shuffle has; an empty file has an empty content (Spark's own sources leave it out)."""
+
+    def read(batches: Any) -> Any:
+        import pyarrow as pa
+
+        store, root = store_of(folder)
+
+        def batch_of(some: list[tuple[str, bytes]]) -> Any:
+            return pa.RecordBatch.from_arrays([pa.array([f for f, _ in some], pa.string()), pa.array([c for _, c in some], pa.binary())], ["file", "content"])
+
+        some: list[tuple[str, bytes]] = []
+        size = 0
+        for batch in batches:
+            for file in batch.column(0).to_pylist():
+                with store.open_input_stream(f"{root}/{file}") as f:
+                    content = f.read()
+                if some and (len(some) >= NAMES_AT_ONCE or size + len(content) > BYTES_AT_ONCE):
+                    yield batch_of(some)
+                    some, size = [], 0
+                some.append((file, content))
+                size += len(content)
+        if some:
+            yield batch_of(some)
+
+    return listed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "file").mapInArrow(read, "file string, content binary")
+
+
+def _base_name(file: Column) -> Column:
+    return F.element_at(F.split(file, "/"), -1)
+
+
 def decks(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> DataFrame:
-    """SRC-2: (path, content, size, is_pdf) of deck files."""
-    rows = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder)
-    return rows.select("path", "content", F.col("length").alias("size"), (F.substring(F.hex(F.substring("content", 1, 4)), 1, 8) == "25504446").alias("is_pdf"))
+    """SRC-2: (path, content, size, is_pdf) of deck files in a folder and all below it."""
+    within = [("", False), *((f, True) for f in _folders(spark, folder, "*") if not f.startswith("."))]
+    rows = _contents(spark, folder, _listed(spark, folder, within, pattern))
+    return rows.select(F.concat(F.lit(f"{folder.rstrip('/')}/"), "file").alias("path"), "content", F.octet_length("content").cast("long").alias("size"), (F.substring(F.hex(F.substring("content", 1, 4)), 1, 8) == "25504446").alias("is_pdf"))
 
 
 def notes(spark: SparkSession, folder: str, subject: str) -> DataFrame:
-    """SRC-6: (path, name, content) of the Markdown files directly in a subject's folder."""
-    rows = spark.read.option("pathGlobFilter", "*.md").text(f"{folder}/{subject}", wholetext=True)
-    path = F.col("_metadata.file_path")
-    return rows.select(path.alias("path"), F.regexp_replace(F.element_at(F.split(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), "/"), -1), r"\.md$", "").alias("name"), F.col("value").alias("content"))
+    """SRC-6: (path, name, content) of the Markdown files directly in a subject's folder (subject may be a wildcard), empty ones too; a subject without a folder has none."""
+    rows = _contents(spark, folder, _listed(spark, folder, [(f, False) for f in _folders(spark, folder, subject)], "*.md"))
+    return rows.select(F.concat(F.lit(f"{folder.rstrip('/')}/"), "file").alias("path"), F.regexp_replace(_base_name(F.col("file")), r"\.md$", "").alias("name"), F.col("content").cast("string").alias("content"))
 
 
 def _statuses(spark: SparkSession, pattern: str) -> list[Any]:
@@ -68,12 +153,8 @@ def _statuses(spark: SparkSession, pattern: str) -> list[Any]:
 
 def concept_names(spark: SparkSession, folder: str, subject: str) -> DataFrame:
     """SRC-7: (subject, name) of a subject's concept notes (subject may be a wildcard); only file names are read, and a subject without a Concepts folder has none."""
-    schema = "subject string, name string"
-    there = [s.getPath().toString() for s in _statuses(spark, f"{folder}/{subject}/Concepts") if s.isDirectory()]
-    if not there:
-        return spark.createDataFrame([], schema)
-    rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").load(there).select(F.split("path", "/").alias("p"))
-    return rows.select(F.element_at("p", -3).alias("subject"), F.regexp_replace(F.element_at("p", -1), r"\.md$", "").alias("name"))
+    rows = _listed(spark, folder, [(f, False) for f in _folders(spark, folder, f"{subject}/Concepts")], "*.md")
+    return rows.select(F.element_at(F.split("file", "/"), -3).alias("subject"), F.regexp_replace(_base_name(F.col("file")), r"\.md$", "").alias("name"))
 
 
 def subjects(spark: SparkSession, folder: str) -> DataFrame:
@@ -167,12 +248,10 @@ def save_files(df: DataFrame, folder: str) -> None:
     address); folders are made as needed. Files appear whole: they are written under a name of their own and moved, and a retried task writes the same ones again."""
 
     def write(rows: Any) -> None:
-        from pyarrow import fs
-
-        store, root = fs.FileSystem.from_uri(folder if re.match(r"[A-Za-z][\w+.-]*:/", folder) else f"file://{os.path.abspath(folder)}")
+        store, root = store_of(folder)
         made = set()
         for row in rows:
-            target = f"{root.rstrip('/')}/{row.path}"
+            target = f"{root}/{row.path}"
             folder_of = os.path.dirname(target)
             if folder_of not in made:  # once for each folder, not for each file
                 store.create_dir(folder_of, recursive=True)

@@ -27,10 +27,14 @@ SETTLE_MS, FILES_PER_TASK = 100, 200
 
 
 def store_of(folder: str) -> tuple[Any, str]:
-    """The store of a folder (a path or an address) and the folder's place in it."""
+    """The store of a folder (a path or an address) and the folder's place in it. As in Spark's paths, spaces and percent signs of an address of this machine's disk stand for themselves."""
     from pyarrow import fs
 
-    store, root = fs.FileSystem.from_uri(folder if re.match(r"[A-Za-z][\w+.-]*:/", folder) else f"file://{os.path.abspath(folder)}")
+    if not re.match(r"[A-Za-z][\w+.-]*:/", folder):
+        return fs.LocalFileSystem(), os.path.abspath(folder)
+    if local := re.match(r"file:(?://)?(/[^/].*|/)$", folder, re.DOTALL):
+        return fs.LocalFileSystem(), local[1].rstrip("/")
+    store, root = fs.FileSystem.from_uri(folder)
     return store, root.rstrip("/")
 
 

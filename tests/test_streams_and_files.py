@@ -310,3 +310,33 @@ def test_a_batch_is_listed_once(tmp_path, monkeypatch):
     again = changes._Changes(str(tmp_path), "*.md", 0, 2)  # a new start knows nothing
     assert sorted(n for p in again.partitions({"until": 0}, end) for n, _ in p.files) == [f"{i}.md" for i in range(5)]
     assert reader.partitions(end, reader.latestOffset()) == []
+
+
+@pytest.fixture
+def odd_documents(spark, tmp_path):
+    """A folder with documents whose texts are empty, or begin with white space so that their first word is."""
+    texts = ["", "a b a", " ", "\n", " a b", "\na b\n", "x\n", "a", "", "\n\n", "b\r\n a", "", "x x", " x", "x", ""]
+    rows = [(k, t, "en", f"src{k % 3}", len(t)) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/written")
+    (tmp_path / "odd").mkdir()
+    next((tmp_path / "written").glob("*.parquet")).rename(tmp_path / "odd/documents.parquet")
+    return str(tmp_path / "odd")
+
+
+def test_empty_files_are_read(spark, odd_documents, tmp_path):
+    from notemill.plans import catalog
+    from tests.oracle import assert_same
+
+    assert_same(catalog.QUERIES["note_files"], catalog.ORACLE_SQL["note_files"], spark, odd_documents)
+    base = tmp_path / "my vault 100%25"
+    for p, content in (("a b/x 1%.md", ""), ("a b/y.md", "é\r\n"), ("a b/.z.md", "hidden"), ("a b/d.pdf", ""), ("a b/deep/er/e.pdf", "%PDF"), ("top.pdf", "PK"), ("top.md", "no subject's")):
+        os.makedirs(os.path.dirname(base / p), exist_ok=True)
+        (base / p).write_bytes(content.encode())
+    for folder in (str(base), f"file://{base}", f"file:{base}/"):
+        for subject in ("*", "a b"):
+            rows = files.notes(spark, folder, subject).collect()
+            assert sorted((r.name, r.content) for r in rows) == [("x 1%", ""), ("y", "é\r\n")]
+            assert {r.path for r in rows} == {f"{folder.rstrip('/')}/a b/{n}.md" for n in ("x 1%", "y")}
+        assert sorted((os.path.basename(r.path), bytes(r.content), r.size, r.is_pdf) for r in files.decks(spark, folder).collect()) == [("d.pdf", b"", 0, False), ("e.pdf", b"%PDF", 4, True), ("top.pdf", b"PK", 2, False)]
+    assert sorted(os.path.basename(r.path) for r in files.decks(spark, str(base), "{d,to?}.p*").collect()) == ["d.pdf", "top.pdf"]
+    assert files.notes(spark, str(base), "missing").collect() == files.concept_names(spark, str(base), "*").collect() == []
