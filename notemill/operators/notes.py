@@ -205,11 +205,12 @@ def cited(body: Column, names: Column) -> Column:
 def linked(body: Column, names: Column, safe: bool = False) -> Column:
     """PRJ-8: each name, in order, made a link wherever it stands and isn't directly after [[ or before ]].
 
-    safe also leaves alone what is anywhere inside a link.
+    safe also leaves alone what is anywhere inside a link. An empty name is none (as a pattern it would stand between all characters).
     """
     after = r"(?![^\[\]\n]*\]\])" if safe else r"(?!\]\])"
     # what stands before is looked at where the name was found, not at every character
-    return F.aggregate(names, body, lambda text, name: F.regexp_replace(text, F.concat(F.lit("(?iu)"), escaped_pattern(name), F.lit(r"(?<!\[\["), escaped_pattern(name), F.lit(")" + after)), F.concat(F.lit("[["), escaped_replacement(name), F.lit("]]"))))
+    link = lambda text, name: F.regexp_replace(text, F.concat(F.lit("(?iu)"), escaped_pattern(name), F.lit(r"(?<!\[\["), escaped_pattern(name), F.lit(")" + after)), F.concat(F.lit("[["), escaped_replacement(name), F.lit("]]")))
+    return F.aggregate(names, body, lambda text, name: F.when(name == "", text).otherwise(link(text, name)))
 
 
 def folded_case(x: Column) -> Column:

@@ -340,3 +340,11 @@ def test_empty_files_are_read(spark, odd_documents, tmp_path):
         assert sorted((os.path.basename(r.path), bytes(r.content), r.size, r.is_pdf) for r in files.decks(spark, folder).collect()) == [("d.pdf", b"", 0, False), ("e.pdf", b"%PDF", 4, True), ("top.pdf", b"PK", 2, False)]
     assert sorted(os.path.basename(r.path) for r in files.decks(spark, str(base), "{d,to?}.p*").collect()) == ["d.pdf", "top.pdf"]
     assert files.notes(spark, str(base), "missing").collect() == files.concept_names(spark, str(base), "*").collect() == []
+
+
+@pytest.mark.parametrize("name", ["note_sections"])
+def test_texts_without_a_first_word_are_as_in_sql(name, spark, odd_documents):
+    from notemill.plans import catalog
+    from tests.oracle import assert_same
+
+    assert_same(catalog.QUERIES[name], catalog.ORACLE_SQL[name], spark, odd_documents)
