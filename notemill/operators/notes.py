@@ -209,8 +209,16 @@ def linked(body: Column, names: Column, safe: bool = False) -> Column:
     """
     after = r"(?![^\[\]\n]*\]\])" if safe else r"(?!\]\])"
     # what stands before is looked at where the name was found, not at every character
-    link = lambda text, name: F.regexp_replace(text, F.concat(F.lit("(?iu)"), escaped_pattern(name), F.lit(r"(?<!\[\["), escaped_pattern(name), F.lit(")" + after)), F.concat(F.lit("[["), escaped_replacement(name), F.lit("]]")))
-    return F.aggregate(names, body, lambda text, name: F.when(name == "", text).otherwise(link(text, name)))
+    def link(text: Column, name: Column, pattern: Column) -> Column:
+        return F.regexp_replace(text, F.concat(F.lit("(?iu)"), pattern, F.lit(r"(?<!\[\["), pattern, F.lit(")" + after)), F.concat(F.lit("[["), escaped_replacement(name), F.lit("]]")))
+
+    def all_linked(names: Column, pattern: Callable[[Column], Column]) -> Column:
+        return F.aggregate(names, body, lambda text, name: F.when(name == "", text).otherwise(link(text, name, pattern(name))))
+
+    # Java takes an i with and one without a dot for one letter
+    turkish = lambda x: F.contains(x, F.lit("ı")) | F.contains(x, F.lit("İ"))
+    apart = lambda name: F.regexp_replace(F.regexp_replace(escaped_pattern(name), "([iI])", "(?-u:$1)"), "([ıİ])", "(?-i:$1)")
+    return let(names, lambda names: F.when(turkish(body) | F.exists(names, turkish), all_linked(names, apart)).otherwise(all_linked(names, escaped_pattern)))
 
 
 def folded_case(x: Column) -> Column:

@@ -172,6 +172,13 @@ def test_links(spark):
     assert tuple(row) == (["A", "B"], ["x", "w"], ["w"])
 
 
+def test_names_that_are_no_letters_or_look_alike(spark):
+    rows = [("ab a", ["", "a"], "[[a]]b [[a]]"), ("ab", [""], "ab"), ("", ["", "a"], ""), ("I i İ ı", ["i"], "[[i]] [[i]] İ ı"), ("I i İ ı", ["İ"], "I i [[İ]] ı"), ("isi ısı ISI", ["ısı", "ISI"], "[[ISI]] [[ısı]] [[ISI]]"), ("É é K k K", ["é", "k"], "[[é]] [[é]] [[k]] [[k]] [[k]]")]
+    df = spark.createDataFrame(rows, "x string, names array<string>, want string")
+    for r in df.select("want", notes.linked(F.col("x"), F.col("names")).alias("got")).collect():
+        assert r.got == r.want
+
+
 def test_links_of_a_large_dictionary_are_those_of_the_fold(spark):
     rng = random.Random(8)
     syllable = lambda: rng.choice(["gra", "ph", "the", "ory", "Ma", "x", "ß", "İ", "ſ", "Σας", "é", "K", "c++", "$1", "l(a)", "."])

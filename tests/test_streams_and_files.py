@@ -315,7 +315,7 @@ def test_a_batch_is_listed_once(tmp_path, monkeypatch):
 @pytest.fixture
 def odd_documents(spark, tmp_path):
     """A folder with documents whose texts are empty, or begin with white space so that their first word is."""
-    texts = ["", "a b a", " ", "\n", " a b", "\na b\n", "x\n", "a", "", "\n\n", "b\r\n a", "", "x x", " x", "x", ""]
+    texts = ["", "a b a", " ", "\n", " a b", "\na b\n", "", "a", "", "\n\n", "b\r\n a", "", "", " x", "x", "", "x\n", "x x"]
     rows = [(k, t, "en", f"src{k % 3}", len(t)) for k, t in enumerate(texts)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/written")
     (tmp_path / "odd").mkdir()
@@ -342,7 +342,7 @@ def test_empty_files_are_read(spark, odd_documents, tmp_path):
     assert files.notes(spark, str(base), "missing").collect() == files.concept_names(spark, str(base), "*").collect() == []
 
 
-@pytest.mark.parametrize("name", ["note_sections"])
+@pytest.mark.parametrize("name", ["note_sections", "single_notes"])
 def test_texts_without_a_first_word_are_as_in_sql(name, spark, odd_documents):
     from notemill.plans import catalog
     from tests.oracle import assert_same
