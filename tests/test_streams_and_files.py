@@ -342,7 +342,7 @@ def test_empty_files_are_read(spark, odd_documents, tmp_path):
     assert files.notes(spark, str(base), "missing").collect() == files.concept_names(spark, str(base), "*").collect() == []
 
 
-@pytest.mark.parametrize("name", ["note_sections", "single_notes"])
+@pytest.mark.parametrize("name", ["note_sections", "single_notes", "slide_notes"])
 def test_texts_without_a_first_word_are_as_in_sql(name, spark, odd_documents):
     from notemill.plans import catalog
     from tests.oracle import assert_same
