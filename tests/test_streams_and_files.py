@@ -348,3 +348,16 @@ def test_texts_without_a_first_word_are_as_in_sql(name, spark, odd_documents):
     from tests.oracle import assert_same
 
     assert_same(catalog.QUERIES[name], catalog.ORACLE_SQL[name], spark, odd_documents)
+
+
+def test_the_driver_holds_no_names_of_files(spark, tmp_path):
+    n = files.NAMES_AT_ONCE * 2 + 3
+    for p in ("a/Concepts", "b"):
+        (tmp_path / p).mkdir(parents=True)
+    for k in range(n):
+        (tmp_path / f"a/{k}.md").write_text("x")
+    for p in ("a/Concepts/c.md", "b/1.md", "b/1.pdf"):
+        (tmp_path / p).write_text("x")
+    notes, decks, concepts = files.notes(spark, str(tmp_path), "*"), files.decks(spark, str(tmp_path)), files.concept_names(spark, str(tmp_path), "*")
+    assert (notes.count(), decks.count(), concepts.count()) == (n + 1, 1, 1)
+    assert [df.inputFiles() for df in (notes, decks, concepts)] == [[], [], []]
